@@ -1,6 +1,78 @@
-STAGES = []
+"""Documents to token ids: quality rules, exact dedup, near dedup, source mix, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again for the next one.
+All but the last return the columns of documents. ORACLE_SQL is None: hashed darts, merge order and the seeded
+part of the mix have no short SQL form; tests/llm holds the stages against brute force instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from imagelake.llm.common import table
+from imagelake.llm.exactdedup import exact_dedup
+from imagelake.llm.minhash import near_duplicates
+from imagelake.llm.mixing import mix
+from imagelake.llm.quality import quality
+from imagelake.llm.sentencepieces import encode
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose their failed lines."""
+    carry = tuple(c for c in COLUMNS if c not in ("text", "n_chars"))
+    out = quality(docs, carry=carry).filter("kept").withColumnRenamed("clean_text", "text")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    dropped = exact_dedup(docs, keep="last").filter("not kept")
+    return _without(docs, dropped)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates one document stays: the one with the smallest doc_id."""
+    dropped = near_duplicates(docs).filter("not lead")
+    return _without(docs, dropped)
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the dropped rows. Where rows repeat a doc_id, as many of them go as were dropped."""
+    gone = table(dropped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_gone")), "dropped")
+    d, g = docs.select(*COLUMNS).alias("d"), gone.alias("g")
+    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
+    return joined.filter("_gone is null").select("d.*")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times."""
+    copies = table(mix(docs).filter("copies > 0").select("doc_id", "copies").distinct(), "copies").alias("c")
+    d = docs.select(*COLUMNS).alias("d")
+    joined = d.join(copies, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("d.*")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document; the mix's copies are encoded as often as they stand."""
+    return encode(docs, carry=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing", source_mix),
+    ("sentencepiece", sentencepiece),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

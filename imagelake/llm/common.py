@@ -87,7 +87,7 @@ def filter_slot(*cols: Column, bits: int = FILTER_BITS) -> Column:
 def build_filter(slots: DataFrame, bits: int = FILTER_BITS) -> bytes:
     """A bitmap with one hash of every row of `slots` (one column, filter_slot). Its size is fixed, so it
     can be broadcast at any input size: a full one lets more rows pass, never fewer."""
-    c = F.col(slots.columns[0])
+    c = F.col(slots.columns[0]) + 1  # the bitmap functions count from 1
     parts = (
         slots.groupBy(F.bitmap_bucket_number(c).alias("b"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("m"))
@@ -101,7 +101,6 @@ def build_filter(slots: DataFrame, bits: int = FILTER_BITS) -> bytes:
 
 
 def in_filter(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    # bitmap_bucket_number is 1 + slot // 32768 and bitmap_bit_position is slot % 32768
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 

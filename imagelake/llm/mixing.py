@@ -150,12 +150,16 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         .filter("before <= rest and rest < before + words")
         .select("pattern", F.col("bucket").alias("cut"), "before")
     )
-    plan = table(plan.join(cut, "pattern", "left"), "plan")
+    at = {r["pattern"]: (r["cut"], r["before"]) for r in cut.collect()}  # one row per pattern, as above
+    plan = spark.createDataFrame(
+        [(*r, *at.get(r["pattern"], (None, None))) for r in plan.collect()], plan.schema.add("cut", "long").add("before", "long")
+    )
     rows = sized.join(plan, "pattern")
     inside = F.col("bucket") == F.col("cut")
     # Only rows of the buckets that are cut are sorted.
     within = Window.partitionBy("pattern").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter(inside).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    cuts = plan.filter("cut is not null").withColumnRenamed("cut", "bucket")
+    last = sized.join(cuts, ["pattern", "bucket"]).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")))
     other = rows.filter(~F.coalesce(inside, F.lit(False))).withColumn(
         "extra", (F.col("size") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.col("rest") > 0)

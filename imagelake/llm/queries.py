@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from imagelake.llm.exactdedup import exact_dedup
 from imagelake.llm.linededup import line_dedup
+from imagelake.llm.minhash import near_duplicates
 from imagelake.llm.mixing import mix
 from imagelake.llm.quality import quality
+from imagelake.llm.sentencepieces import encode
 
 QUERIES = {}
 ORACLES = {}
@@ -38,6 +40,11 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
@@ -62,6 +69,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), texts=False)
