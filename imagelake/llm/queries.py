@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagelake.llm.exactdedup import exact_dedup
+from imagelake.llm.htmltext import extract
+from imagelake.llm.langid import language_id
 from imagelake.llm.linededup import line_dedup
 from imagelake.llm.minhash import near_duplicates
 from imagelake.llm.mixing import mix
 from imagelake.llm.quality import quality
 from imagelake.llm.sentencepieces import encode
+from imagelake.llm.urlfilter import HOST, PATH, host_of, url_filter
+from imagelake.llm.warc import archive_round_trip
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +29,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(read(spark, sf_dir, "pages"), min_bytes=100)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="last")
@@ -40,6 +60,89 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """pages have no fetch date: page_id gives them one in 2024."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    return pages.select("page_id", "url", day.alias("fetch_date"))
+
+
+def _number(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list as large as the pages' hosts call for, from hashes of names and paths."""
+    start = F.lit("2024-01-01").cast("date")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    names = hosts.select("host", F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("domain"))
+    domains = names.filter("domain <> ''").select(F.concat(F.lit("d:"), "domain").alias("pattern")).distinct().withColumn("h", _number(F.col("pattern")))
+    exact = names.select(F.concat(F.lit("h:"), "host").alias("pattern")).withColumn("h", _number(F.col("pattern")))
+    first = F.concat(host_of(F.col("url")), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1))
+    paths = pages.select(F.concat(F.lit("p:"), first).alias("pattern")).filter("pattern is not null").distinct().withColumn("h", _number(F.col("pattern")))
+
+    def entry(rows: DataFrame, keep, category, day, action: str) -> DataFrame:
+        return rows.filter(keep).select("pattern", F.lit(category).alias("category"), F.date_add(start, day.cast("int")).alias("entry_date"), F.lit(action).alias("action"))
+
+    h = F.col("h")
+    fixed = pages.sparkSession.createDataFrame(
+        [("d:example.net", "spam", "2024-03-01", "add"), ("d:example.net", "spam", "2024-05-01", "remove"), ("d:example.net", "spam", "2024-10-01", "add")],
+        "pattern string, category string, day string, action string",
+    )
+    return (
+        fixed.select("pattern", "category", F.col("day").cast("date").alias("entry_date"), "action")
+        .union(entry(domains, h % 3 == 0, "adult", h % 200, "add"))
+        .union(entry(domains, h % 6 == 0, "adult", h % 200 + 40, "remove"))
+        .union(entry(exact, h % 4 == 0, "allow", h % 150, "add"))
+        .union(entry(exact, h % 8 == 0, "allow", h % 150 + 100, "remove"))
+        .union(entry(paths, h % 5 == 0, "malware", h % 300, "add"))
+    )
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter(dated_captures(pages), dated_list(pages))
+    return out.withColumn("fetch_date", F.col("fetch_date").cast("string"))
+
+
+_NUM = "('0x' || substr(md5(pattern), 1, 8))::BIGINT"
+
+ORACLES["op3_url_filters"] = f"""
+WITH c AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetch_date,
+                  rtrim(lower(regexp_extract(url, '{HOST}', 1)), '.') AS host0,
+                  regexp_extract(url, '{PATH}', 1) AS path FROM pages),
+u AS (SELECT *, CASE WHEN host0 <> '' THEN host0 END AS host FROM c),
+doms AS (SELECT DISTINCT 'd:' || regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS pattern FROM u WHERE regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) <> ''),
+hosts AS (SELECT DISTINCT 'h:' || host AS pattern FROM u WHERE host IS NOT NULL),
+paths AS (SELECT DISTINCT 'p:' || host || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)', 1) AS pattern FROM u WHERE host IS NOT NULL),
+d AS (SELECT pattern, {_NUM} AS h FROM doms), e AS (SELECT pattern, {_NUM} AS h FROM hosts), p AS (SELECT pattern, {_NUM} AS h FROM paths),
+entries AS (
+  SELECT * FROM (VALUES ('d:example.net', 'spam', DATE '2024-03-01', 'add'), ('d:example.net', 'spam', DATE '2024-05-01', 'remove'),
+                        ('d:example.net', 'spam', DATE '2024-10-01', 'add')) AS t(pattern, category, entry_date, action)
+  UNION ALL SELECT pattern, 'adult', DATE '2024-01-01' + CAST(h % 200 AS INTEGER), 'add' FROM d WHERE h % 3 = 0
+  UNION ALL SELECT pattern, 'adult', DATE '2024-01-01' + CAST(h % 200 + 40 AS INTEGER), 'remove' FROM d WHERE h % 6 = 0
+  UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + CAST(h % 150 AS INTEGER), 'add' FROM e WHERE h % 4 = 0
+  UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + CAST(h % 150 + 100 AS INTEGER), 'remove' FROM e WHERE h % 8 = 0
+  UNION ALL SELECT pattern, 'malware', DATE '2024-01-01' + CAST(h % 300 AS INTEGER), 'add' FROM p WHERE h % 5 = 0),
+daily AS (SELECT pattern, entry_date, max(action) AS action, min(category) AS category FROM entries GROUP BY ALL),
+iv AS (SELECT *, lead(entry_date) OVER (PARTITION BY pattern ORDER BY entry_date) AS until FROM daily),
+act AS (SELECT pattern, category, entry_date AS since, until FROM iv WHERE action = 'add'),
+m AS (SELECT u.page_id, act.pattern, act.category, length(act.pattern) AS size, CAST(act.category <> 'allow' AS INTEGER) AS block
+      FROM u JOIN act ON act.since <= u.fetch_date AND (act.until IS NULL OR u.fetch_date < act.until) AND (
+        (act.pattern LIKE 'd:%' AND ('.' || u.host) LIKE ('%.' || substr(act.pattern, 3))) OR act.pattern = 'h:' || u.host OR
+        (act.pattern LIKE 'p:%' AND starts_with(u.host || u.path || '/', substr(act.pattern, 3) || '/')))),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY size DESC, block DESC, pattern DESC) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM m)
+SELECT u.page_id, u.host, CAST(u.fetch_date AS VARCHAR) AS fetch_date, CASE WHEN r.pattern IS NULL THEN 'none' WHEN r.block = 1 THEN 'block' ELSE 'allow' END AS verdict,
+       r.pattern, r.category, coalesce(r.n, 0) AS n_active
+FROM u LEFT JOIN r ON u.page_id = r.page_id AND r.k = 1
+"""
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"))
@@ -74,6 +177,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), texts=False)
