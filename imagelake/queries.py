@@ -1,8 +1,520 @@
-"""Queries over the test tables, one per operator, and the SQL that says the same."""
+"""Queries over the test tables, one or more per operator, and the SQL that says the same.
+
+The tables hold no images, so their numbers stand in: lineitem rows are pixels with channels r, g, b, a;
+each embedding is an 8 x 8 raster; texts are byte streams; events are measurements.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from imagelake.functions import grid, packed, predict, samples
+from imagelake.operators import blocks, dct, geometry, palette, stats
 
 QUERIES = {}
 ORACLES = {}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as 8-bit pixels; (id, n) names them, though not uniquely."""
+    i = lambda c: F.round(c).cast("int")
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (i(F.col("l_quantity")) * 5).alias("r"),
+        i(F.col("l_discount") * 1000).alias("g"), i(F.col("l_tax") * 1000).alias("b"), (F.col("l_linenumber") * 36 % 256).alias("a"),
+    )
+
+
+PIXELS = """px AS (SELECT l_orderkey AS id, l_linenumber AS n, CAST(round(l_quantity) AS INT) * 5 AS r, CAST(round(l_discount * 1000) AS INT) AS g,
+CAST(round(l_tax * 1000) AS INT) AS b, l_linenumber * 36 % 256 AS a FROM lineitem)"""
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+def byte_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.least(F.greatest(F.floor(F.col("v") * 256) + 128, F.lit(0)), F.lit(255)).cast("int")
+    return raster(spark, sf_dir).withColumn("v", v)
+
+
+RASTER = """rs AS (SELECT vec_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)),
+br AS (SELECT vec_id, y, x, CAST(least(greatest(floor(v * 256) + 128, 0), 255) AS INT) AS v FROM rs)"""
+
+# ---------------------------------------------------------------- K: kernels
+
+_U8 = "CAST(round_even(least(greatest(CAST({0} AS FLOAT) * CAST(255 AS FLOAT), 0), 255), 0) AS INT)"
+_F8 = "(CAST({0} AS FLOAT) * CAST(0.003921568859368563 AS FLOAT))"
+
+
+@query(f"WITH {PIXELS} SELECT id, n, r, {_U8.format(_F8.format('r'))} AS r2, CAST({_F8.format('r')} AS DOUBLE) AS f FROM px")
+def unorm8_roundtrip(spark, sf_dir):
+    f = samples.unorm_to_float(F.col("r"))
+    return pixels(spark, sf_dir).select("id", "n", "r", samples.float_to_unorm(f).alias("r2"), f.cast("double").alias("f"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, CAST(round(l_extendedprice) AS BIGINT) % 65536 AS v FROM lineitem)
+SELECT l_orderkey, v, CAST(round_even(least(greatest(CAST(CAST(v AS FLOAT) * CAST(1.5259021893143654e-05 AS FLOAT) AS FLOAT) * CAST(65535 AS FLOAT), 0), 65535), 0) AS INT) AS v2 FROM t""")
+def unorm16_roundtrip(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.round("l_extendedprice").cast("long") % 65536).alias("v"))
+    return t.withColumn("v2", samples.float_to_unorm(samples.unorm_to_float(F.col("v"), 16), 16))
+
+
+@query("""WITH w AS (SELECT CAST(i AS INT) AS w FROM range(65536) t(i)),
+p AS (SELECT w, CASE WHEN w & 32768 <> 0 THEN -1.0 ELSE 1.0 END AS s, (w >> 10) & 31 AS e, w & 1023 AS m FROM w)
+SELECT w, CASE WHEN e = 0 THEN s * m * pow(2.0, -24) ELSE s * (1 + m / 1024.0) * pow(2.0, e - 15) END AS v, w & 32767 <> 0 OR w = 0 AS plain
+FROM p WHERE e < 31""")
+def half_decode(spark, sf_dir):
+    w = spark.range(65536).select(F.col("id").cast("int").alias("w"))
+    finite = w.filter(F.shiftright("w", 10).bitwiseAND(31) < 31)
+    return finite.select("w", samples.half_to_float(F.col("w")).alias("v"), ((F.col("w").bitwiseAND(32767) != 0) | (F.col("w") == 0)).alias("plain"))
+
+
+@query("SELECT CAST(i AS INT) AS w, CAST(i AS INT) AS w2 FROM range(65536) t(i) WHERE (i >> 10) & 31 < 31 AND i <> 32768")
+def half_roundtrip(spark, sf_dir):
+    w = spark.range(65536).select(F.col("id").cast("int").alias("w"))
+    finite = w.filter((F.shiftright("w", 10).bitwiseAND(31) < 31) & (F.col("w") != 32768))
+    return finite.select("w", samples.float_to_half(samples.half_to_float(F.col("w"))).alias("w2"))
+
+
+@query("SELECT l_orderkey, l_partkey, ((l_partkey & 255) << 24) | ((l_partkey >> 8 & 255) << 16) | ((l_partkey >> 16 & 255) << 8) | (l_partkey >> 24 & 255) AS swapped FROM lineitem")
+def byte_order_swap(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", samples.byteswap(F.col("l_partkey"), 32).alias("swapped"))
+
+
+@query(f"WITH {PIXELS} SELECT id, n, round(r / 255e0 * (a / 255e0), 9) AS pr, round(g / 255e0 * (a / 255e0), 9) AS pg FROM px")
+def premultiply_alpha(spark, sf_dir):
+    a = F.col("a") / 255
+    return pixels(spark, sf_dir).select("id", "n", *(F.round(samples.premultiply(F.col(c) / 255, a), 9).alias(f"p{c}") for c in "rg"))
+
+
+@query(f"WITH {PIXELS} SELECT id, n, CASE WHEN b = 0 THEN 0e0 ELSE round(r / CAST(b AS DOUBLE), 9) END AS ur FROM px")
+def unpremultiply_alpha(spark, sf_dir):
+    return pixels(spark, sf_dir).select("id", "n", F.round(samples.unpremultiply(F.col("r").cast("double"), F.col("b")), 9).alias("ur"))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT id, n, r / 255e0 - 0.2e0 AS v FROM px)
+SELECT id, n, round(sign(v) * CASE WHEN abs(v) <= 0.0031308e0 THEN 12.92e0 * abs(v) ELSE 1.055e0 * pow(abs(v), 1 / 2.4e0) - 0.055e0 END, 9) + 0e0 AS s FROM t""")
+def linear_to_srgb(spark, sf_dir):
+    return pixels(spark, sf_dir).select("id", "n", (F.round(samples.linear_to_srgb(F.col("r") / 255 - 0.2), 9) + 0.0).alias("s"))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT id, n, r / 255e0 - 0.2e0 AS v FROM px)
+SELECT id, n, round(sign(v) * CASE WHEN abs(v) <= 0.04045e0 THEN abs(v) / 12.92e0 ELSE pow((abs(v) + 0.055e0) / 1.055e0, 2.4e0) END, 9) + 0e0 AS s FROM t""")
+def srgb_to_linear(spark, sf_dir):
+    return pixels(spark, sf_dir).select("id", "n", (F.round(samples.srgb_to_linear(F.col("r") / 255 - 0.2), 9) + 0.0).alias("s"))
+
+
+_Q = "CAST(floor(least(greatest({0} / 255e0, 0e0), 1e0) * {1} + 0.5e0) AS BIGINT)"
+
+
+def _unit(t: DataFrame) -> dict[str, Column]:
+    return {c: F.col(c) / 255 for c in "rgba"}
+
+
+@query(f"""WITH {PIXELS} SELECT id, n, {_Q.format('r', 1023)} + ({_Q.format('g', 1023)} << 10) + ({_Q.format('b', 1023)} << 20) + ({_Q.format('a', 3)} << 30) AS rgb10a2,
+{_Q.format('b', 31)} + ({_Q.format('g', 63)} << 5) + ({_Q.format('r', 31)} << 11) AS b5g6r5,
+{_Q.format('b', 31)} + ({_Q.format('g', 31)} << 5) + ({_Q.format('r', 31)} << 10) + ({_Q.format('a', 1)} << 15) AS b5g5r5a1 FROM px""")
+def pack_pixels(spark, sf_dir):
+    t = pixels(spark, sf_dir)
+    u = _unit(t)
+    return t.select("id", "n", packed.pack_unorm(u, "r10g10b10a2").alias("rgb10a2"), packed.pack_unorm(u, "b5g6r5").alias("b5g6r5"), packed.pack_unorm(u, "b5g5r5a1").alias("b5g5r5a1"))
+
+
+@query("""SELECT l_partkey, round((l_partkey & 31) / 31e0, 9) AS b, round((l_partkey >> 5 & 63) / 63e0, 9) AS g, round((l_partkey >> 11 & 31) / 31e0, 9) AS r FROM lineitem""")
+def unpack_565(spark, sf_dir):
+    u = packed.unpack_unorm(F.col("l_partkey"), "b5g6r5")
+    return read(spark, sf_dir, "lineitem").select("l_partkey", *(F.round(u[c], 9).alias(c) for c in "bgr"))
+
+
+@query(f"""WITH {PIXELS}, e AS (SELECT *, CASE WHEN r = 0 THEN 0e0 ELSE r * pow(2e0, g - 136) END AS rv FROM px) SELECT id, n, round(rv * 1e9, 4) AS rv FROM e""")
+def rgbe_decode(spark, sf_dir):
+    e = F.when(F.col("r") == 0, 0).otherwise(F.col("g"))
+    return pixels(spark, sf_dir).select("id", "n", F.round(packed.rgbe_decode(F.col("r"), e) * 1e9, 4).alias("rv"))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT id, n, r / 16e0 AS r, g / 16e0 AS g, b / 16e0 AS b, greatest(r, g, b) / 16e0 AS m FROM px),
+e AS (SELECT *, CASE WHEN m < 1e-32 THEN 0 ELSE (SELECT max(k) FROM range(-8, 8) k(k) WHERE pow(2e0, k) <= m) + 1 END AS e FROM t)
+SELECT id, n, CASE WHEN m < 1e-32 THEN 0 ELSE CAST(floor(r * pow(2e0, 8 - e)) AS INT) END AS er,
+CASE WHEN m < 1e-32 THEN 0 ELSE CAST(floor(g * pow(2e0, 8 - e)) AS INT) END AS eg,
+CASE WHEN m < 1e-32 THEN 0 ELSE CAST(floor(b * pow(2e0, 8 - e)) AS INT) END AS eb, CASE WHEN m < 1e-32 THEN 0 ELSE CAST(e + 128 AS INT) END AS ee FROM e""")
+def rgbe_encode(spark, sf_dir):
+    t = packed.rgbe_encode(*(F.col(c) / 16 for c in "rgb"))
+    return pixels(spark, sf_dir).select("id", "n", *(v.alias(f"e{k}") for k, v in t.items()))
+
+
+@query(f"""WITH {PIXELS}, t AS (SELECT id, n, r * 3e0 AS r, g * 3e0 AS g, b * 3e0 AS b, greatest(r, g, b) * 3e0 AS m FROM px),
+p AS (SELECT *, greatest(CASE WHEN m > 0 THEN (SELECT max(k) FROM range(-8, 12) k(k) WHERE pow(2e0, k) <= m) ELSE -16 END, -16) + 16 AS e0 FROM t),
+e AS (SELECT *, CASE WHEN floor(m / pow(2e0, e0 - 24) + 0.5e0) = 512 THEN e0 + 1 ELSE e0 END AS e FROM p)
+SELECT id, n, CAST(floor(r / pow(2e0, e - 24) + 0.5e0) AS BIGINT) + (CAST(floor(g / pow(2e0, e - 24) + 0.5e0) AS BIGINT) << 9)
++ (CAST(floor(b / pow(2e0, e - 24) + 0.5e0) AS BIGINT) << 18) + (CAST(e AS BIGINT) << 27) AS word FROM e""")
+def rgb9e5_encode(spark, sf_dir):
+    return pixels(spark, sf_dir).select("id", "n", packed.rgb9e5_encode(*(F.col(c) * 3.0 for c in "rgb")).alias("word"))
+
+
+@query("""SELECT l_partkey, round((l_partkey & 511) * pow(2e0, (l_partkey >> 9 & 31) - 24), 12) AS v FROM lineitem""")
+def rgb9e5_decode(spark, sf_dir):
+    word = F.col("l_partkey").bitwiseAND(511) + F.shiftleft(F.shiftright("l_partkey", 9).bitwiseAND(31), 27)
+    return read(spark, sf_dir, "lineitem").select("l_partkey", F.round(packed.rgb9e5_decode(word)["r"], 12).alias("v"))
+
+
+@query("SELECT CAST(i AS INT) AS w, CAST(i AS BIGINT) AS w6 FROM range(1984) t(i)")
+def small_float_roundtrip(spark, sf_dir):
+    w = spark.range(1984).select(F.col("id").cast("int").alias("w"))
+    return w.select("w", packed.small_float_encode(packed.small_float_decode(F.col("w"), 6), 6).alias("w6"))
+
+
+# ---------------------------------------------------------------- P: plan operators on pixels
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y - 2 AS y, x - 1 AS x, v FROM rs WHERE x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6")
+def crop_window(spark, sf_dir):
+    return geometry.crop(raster(spark, sf_dir), 1, 2, 4, 5)
+
+
+def _orientation(name: str):
+    swap, sx, sy = geometry.ORIENTATIONS[name]
+    a, b = ("y", "x") if swap else ("x", "y")
+    nx, ny = (a if sx == 1 else f"7 - {a}"), (b if sy == 1 else f"7 - {b}")
+
+    def run(spark, sf_dir):
+        return geometry.orient(raster(spark, sf_dir), 8, 8, name).select("vec_id", "y", "x", "v")
+
+    run.__name__ = f"orient_{name}"
+    query(f"WITH {RASTER} SELECT vec_id, {ny} AS y, {nx} AS x, v FROM rs")(run)
+
+
+for _name in geometry.ORIENTATIONS:
+    _orientation(_name)
+
+
+@query(f"""WITH {RASTER}, d AS (SELECT CAST(i AS INT) AS d, (i + 0.5e0) * 2 - 0.5e0 AS c FROM range(4) t(i)),
+t AS (SELECT d, s.s, greatest(0e0, 1 - abs(s.s - c) / 2e0) AS w FROM d, (SELECT CAST(i AS INT) AS s FROM range(8) t(i)) s WHERE s.s >= floor(c - 2) AND s.s <= ceil(c + 2)),
+k AS (SELECT d, s, w / sum(w) OVER (PARTITION BY d) AS w FROM t),
+h AS (SELECT vec_id, y, d AS x, sum(v * w) AS v FROM rs JOIN k ON k.s = rs.x GROUP BY ALL)
+SELECT vec_id, d AS y, x, round(sum(v * w), 6) + 0e0 AS v FROM h JOIN k ON k.s = h.y GROUP BY vec_id, d, x""")
+def resample_tent(spark, sf_dir):
+    out = geometry.resample(raster(spark, sf_dir), "vec_id", (8, 8), (4, 4), ["v"])
+    return out.select("vec_id", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"""WITH {RASTER} SELECT vec_id, CAST(l AS INT) AS level, CAST(y >> l AS INT) AS y, CAST(x >> l AS INT) AS x, round(avg(v), 6) + 0e0 AS v FROM rs, range(4) t(l) GROUP BY vec_id, l, y >> l, x >> l""")
+def mip_chain(spark, sf_dir):
+    out = geometry.mip_chain(raster(spark, sf_dir), "vec_id", 8, ["v"])
+    return out.select("vec_id", "level", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"WITH {PIXELS} SELECT id, n, g AS y, g AS red, g AS green, g AS blue, 255 AS alpha FROM px")
+def gray_to_rgb_with_alpha(spark, sf_dir):
+    return pixels(spark, sf_dir).select("id", "n", F.col("g").alias("y"), *(F.col("g").alias(c) for c in ("red", "green", "blue")), F.lit(255).alias("alpha"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, s_nationkey AS idx, n_name, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
+def palette_expand(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("idx"))
+    indexed = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(s, "l_suppkey").drop("l_suppkey")
+    colours = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("idx"), "n_name", "n_regionkey")
+    return palette.expand(indexed, colours, []).select("l_orderkey", "l_linenumber", "idx", "n_name", "n_regionkey")
+
+
+@query(f"WITH {PIXELS}, c AS (SELECT DISTINCT n, r, g FROM px), f AS (SELECT n FROM c GROUP BY n HAVING count(*) <= 600) SELECT n, r, g, row_number() OVER (PARTITION BY n ORDER BY r, g) - 1 AS idx FROM c WHERE n IN (SELECT n FROM f)")
+def palette_build(spark, sf_dir):
+    return palette.build(pixels(spark, sf_dir), ["n"], ["r", "g"], 600).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(f"WITH {PIXELS} SELECT id, n, (least(r // 64, 3) * 4 + least(g // 64, 3)) * 4 + least(b // 64, 3) AS idx FROM px")
+def palette_quantise(spark, sf_dir):
+    return palette.quantise(pixels(spark, sf_dir), ["id"], ["r", "g", "b"]).select("id", "n", "idx")
+
+
+@query(f"WITH {RASTER}, s AS (SELECT vec_id, y, x, v FROM rs WHERE x % 2 = 0 AND y % 2 = 0) SELECT rs.vec_id, rs.y, rs.x, s.v FROM rs JOIN s ON s.vec_id = rs.vec_id AND s.x = rs.x - rs.x % 2 AND s.y = rs.y - rs.y % 2")
+def subsample_replicate(spark, sf_dir):
+    full = raster(spark, sf_dir)
+    kept = full.filter(grid.on_grid(F.col("x"), 0, 2) & grid.on_grid(F.col("y"), 0, 2)).select("vec_id", F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
+    at = full.select("vec_id", "y", "x", grid.clamp_to_sample(F.col("y"), F.lit(0), 0, 2).alias("gy"), grid.clamp_to_sample(F.col("x"), F.lit(0), 0, 2).alias("gx"))
+    return at.join(kept, ["vec_id", "gy", "gx"]).select("vec_id", "y", "x", "v")
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, c AS channel, CASE c WHEN 'p' THEN v ELSE -v END AS value FROM rs, (VALUES ('p'), ('q')) t(c)")
+def deinterleave(spark, sf_dir):
+    wide = raster(spark, sf_dir).select("vec_id", "y", "x", F.col("v").alias("p"), (-F.col("v")).alias("q"))
+    return wide.unpivot(["vec_id", "y", "x"], ["p", "q"], "channel", "value")
+
+
+@query("""SELECT p_partkey, (p_size + 3) // 4 * ((p_partkey % 97 + 4) // 4) * 8 AS bc1_bytes, p_size * (p_partkey % 97 + 1) * 4 AS rgba_bytes,
+(SELECT count(*) FROM range(-4, 200) t(i) WHERE i >= p_size - 30 AND i < p_partkey % 97 AND (i + 300) % 3 = 1) AS thirds FROM part""")
+def encoded_byte_counts(spark, sf_dir):
+    w, h, one = F.col("p_size").cast("long"), F.col("p_partkey") % 97 + 1, F.lit(1)
+    t = read(spark, sf_dir, "part").select(
+        "p_partkey", grid.encoded_bytes(w, h, one, 4, 4, 1, 64).cast("long").alias("bc1_bytes"), grid.encoded_bytes(w, h, one, 1, 1, 1, 32).cast("long").alias("rgba_bytes"),
+        F.greatest(grid.samples_in(F.greatest(w - 30, F.lit(-4)), F.col("p_partkey") % 97, 1, 3), F.lit(0)).alias("thirds"),
+    )
+    return t
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 37 AS w, p_partkey % 500 + 1 AS h FROM part)
+SELECT p_partkey, CAST(l AS INT) AS level, greatest(1, w >> l) AS width, greatest(1, h >> l) AS height FROM p, range(12) t(l) WHERE l <= floor(log2(greatest(w, h)))""")
+def mip_levels(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37).cast("long").alias("w"), (F.col("p_partkey") % 500 + 1).alias("h"))
+    levels = p.withColumn("level", F.explode(F.sequence(F.lit(0), grid.level_count(F.greatest("w", "h")) - 1)))
+    return levels.select("p_partkey", "level", grid.level_size(F.col("w"), F.col("level")).alias("width"), grid.level_size(F.col("h"), F.col("level")).alias("height"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 37 AS w FROM part)
+SELECT p_partkey, CAST(x AS INT) AS lx, CAST(y AS INT) AS ly, greatest(1, w >> x) AS width, greatest(1, 64 >> y) AS height FROM p, range(12) a(x), range(7) b(y) WHERE x <= floor(log2(w))""")
+def rip_levels(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37).cast("long").alias("w"))
+    p = p.withColumn("lx", F.explode(F.sequence(F.lit(0), grid.level_count(F.col("w")) - 1))).withColumn("ly", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return p.select("p_partkey", "lx", "ly", grid.level_size(F.col("w"), F.col("lx")).alias("width"), grid.level_size(F.lit(64), F.col("ly")).alias("height"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 37 AS w, p_partkey % 300 + 1 AS h FROM part)
+SELECT p_partkey, count(*) AS tiles, CAST(sum(least(64, w - tx * 64) * least(64, h - ty * 64)) AS BIGINT) AS area FROM p, range(40) a(tx), range(8) b(ty) WHERE tx * 64 < w AND ty * 64 < h GROUP BY p_partkey""")
+def tile_grid(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37).cast("long").alias("w"), (F.col("p_partkey") % 300 + 1).alias("h"))
+    t = p.withColumn("tx", F.explode(F.sequence(F.lit(0), grid.ceil_div(F.col("w"), 64) - 1))).withColumn("ty", F.explode(F.sequence(F.lit(0), grid.ceil_div(F.col("h"), 64) - 1)))
+    area = F.least(F.lit(64), F.col("w") - F.col("tx") * 64) * F.least(F.lit(64), F.col("h") - F.col("ty") * 64)
+    return t.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("tiles"), F.sum(area).cast("long").alias("area"))
+
+
+# ---------------------------------------------------------------- E, G: prediction
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, CASE WHEN x = 0 THEN v ELSE ((v - lag(v) OVER w + 128) % 256 + 256) % 256 END AS d FROM br WINDOW w AS (PARTITION BY vec_id, y ORDER BY x)")
+def byte_predictor(spark, sf_dir):
+    w = Window.partitionBy("vec_id", "y").orderBy("x")
+    return byte_raster(spark, sf_dir).select("vec_id", "y", "x", predict.byte_delta(F.col("v"), F.lag("v").over(w)).alias("d"))
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, v FROM br")
+def byte_predictor_inverse(spark, sf_dir):
+    w = Window.partitionBy("vec_id", "y").orderBy("x")
+    return byte_predictor(spark, sf_dir).select("vec_id", "y", "x", predict.byte_undelta(F.col("d"), w).cast("int").alias("v"))
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, v, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 4 + x // 2 END AS at FROM br")
+def byte_split(spark, sf_dir):
+    return byte_raster(spark, sf_dir).select("vec_id", "y", "x", "v", predict.split_position(F.col("x"), F.lit(8)).cast("int").alias("at"))
+
+
+_NEAR = f"""{RASTER}, nb AS (SELECT vec_id, y, x, v, coalesce(lag(v) OVER (PARTITION BY vec_id, y ORDER BY x), 0) AS l, coalesce(lag(v) OVER (PARTITION BY vec_id, x ORDER BY y), 0) AS u FROM br),
+nc AS (SELECT *, coalesce(lag(u) OVER (PARTITION BY vec_id, y ORDER BY x), 0) AS c FROM nb),
+ps AS (SELECT *, abs(u - c) AS dl, abs(l - c) AS du, abs(l + u - 2 * c) AS dc FROM nc),
+fl AS (SELECT vec_id, y, x, v % 256 AS f0, ((v - l) % 256 + 256) % 256 AS f1, ((v - u) % 256 + 256) % 256 AS f2, ((v - (l + u) // 2) % 256 + 256) % 256 AS f3,
+((v - CASE WHEN dl <= du AND dl <= dc THEN l WHEN du <= dc THEN u ELSE c END) % 256 + 256) % 256 AS f4 FROM ps)"""
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, y, x, f0 AS f_none, f1 AS f_sub, f2 AS f_up, f3 AS f_average, f4 AS f_paeth FROM fl")
+def png_filters(spark, sf_dir):
+    near = predict.with_neighbours(byte_raster(spark, sf_dir), "vec_id")
+    made = predict.filtered(F.col("v"), F.col("left"), F.col("up"), F.col("corner"))
+    return near.select("vec_id", "y", "x", *(c.alias(f"f_{k}") for k, c in made.items()))
+
+
+@query(f"""WITH {_NEAR}, s AS (SELECT vec_id, y, unnest([sum(least(f0, 256 - f0)), sum(least(f1, 256 - f1)), sum(least(f2, 256 - f2)), sum(least(f3, 256 - f3)), sum(least(f4, 256 - f4))]) AS score, generate_subscripts([1, 2, 3, 4, 5], 1) - 1 AS filter_id FROM fl GROUP BY vec_id, y)
+SELECT vec_id, y, CAST(filter_id AS INT) AS filter_id, CAST(score AS BIGINT) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id, y ORDER BY score, filter_id) = 1""")
+def png_filter_select(spark, sf_dir):
+    return predict.best_filter(byte_raster(spark, sf_dir), "vec_id")
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, v FROM br")
+def png_unfilter_sub_up(spark, sf_dir):
+    near = predict.with_neighbours(byte_raster(spark, sf_dir), "vec_id")
+    f = predict.filtered(F.col("v"), F.col("left"), F.col("up"), F.col("corner"))
+    t = near.select("vec_id", "y", "x", f["sub"].alias("s"), f["up"].alias("u"))
+    along = Window.partitionBy("vec_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("vec_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    both = t.select("vec_id", "y", "x", F.pmod(F.sum("s").over(along), F.lit(256)).alias("v"), F.pmod(F.sum("u").over(down), F.lit(256)).alias("w"))
+    return both.filter("v = w").select("vec_id", "y", "x", F.col("v").cast("int").alias("v"))
+
+
+@query(f"""WITH {RASTER} SELECT vec_id, CASE WHEN x % 8 = 0 AND y % 8 = 0 THEN 1 WHEN x % 8 = 4 AND y % 8 = 0 THEN 2 WHEN x % 4 = 0 AND y % 8 = 4 THEN 3 WHEN x % 4 = 2 AND y % 4 = 0 THEN 4
+WHEN x % 2 = 0 AND y % 4 = 2 THEN 5 WHEN x % 2 = 1 AND y % 2 = 0 THEN 6 ELSE 7 END AS pass, count(*) AS samples, CAST(sum(v) AS BIGINT) AS total FROM br GROUP BY ALL""")
+def adam7_histogram(spark, sf_dir):
+    t = byte_raster(spark, sf_dir).withColumn("pass", predict.adam7_pass(F.col("x"), F.col("y")))
+    return t.groupBy("vec_id", "pass").agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"))
+
+
+@query(f"""WITH {RASTER}, q AS (SELECT vec_id, y * 8 + x AS i, v // 64 AS v FROM br), f AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS n FROM q WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY vec_id ORDER BY i) AS r FROM f) SELECT vec_id, v, min(i) AS start, count(*) AS length FROM g GROUP BY vec_id, r, v""")
+def run_lengths(spark, sf_dir):
+    t = byte_raster(spark, sf_dir).select("vec_id", (F.col("y") * 8 + F.col("x")).alias("i"), F.floor(F.col("v") / 64).cast("int").alias("v"))
+    return predict.runs(t, "vec_id", "i", "v").select("vec_id", "v", "start", "length")
+
+
+@query(f"WITH {RASTER}, d AS (SELECT DISTINCT v FROM br) SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM d")
+def piz_lookup(spark, sf_dir):
+    values = byte_raster(spark, sf_dir).select("v").distinct()  # at most 65,536 values of 16 bits
+    return values.select("v", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("long").alias("code"))
+
+
+@query(f"WITH {PIXELS} SELECT id, n, ((r - g) % 256 + 256) % 256 AS sr, ((b - g) % 256 + 256) % 256 AS sb, r AS r2, b AS b2 FROM px")
+def subtract_green(spark, sf_dir):
+    t = pixels(spark, sf_dir)
+    sr, sb = predict.subtract_green(F.col("r"), F.col("g"), F.col("b"))
+    r2, b2 = predict.add_green(sr, F.col("g"), sb)
+    return t.select("id", "n", sr.alias("sr"), sb.alias("sb"), r2.alias("r2"), b2.alias("b2"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, sha256(text) AS digest FROM documents")
+def text_digests(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT '123456789' AS text, 3421780262 AS crc")
+def crc32_check_value(spark, sf_dir):
+    return spark.range(1).select(F.lit("123456789").alias("text"), F.crc32(F.lit("123456789").cast("binary")).alias("crc"))
+
+
+# ---------------------------------------------------------------- C, J: blocks and transforms
+
+
+def _block_rows(spark, sf_dir):
+    return blocks.to_blocks(byte_raster(spark, sf_dir), "vec_id")
+
+
+@query(f"""WITH {RASTER}, e AS (SELECT vec_id, y // 4 AS brow, x // 4 AS bcol, y % 4 * 4 + x % 4 AS t, v, max(v) OVER w AS v0, min(v) OVER w AS v1 FROM br WINDOW w AS (PARTITION BY vec_id, y // 4, x // 4)),
+p AS (SELECT *, CASE WHEN v0 > v1 THEN [v0, v1, (6*v0+v1)//7, (5*v0+2*v1)//7, (4*v0+3*v1)//7, (3*v0+4*v1)//7, (2*v0+5*v1)//7, (v0+6*v1)//7] ELSE [v0, v1, v0, v0, v0, v0, 0, 255] END AS pal FROM e),
+c AS (SELECT vec_id, brow, bcol, t, v, v0, v1, unnest(pal) AS q, generate_subscripts(pal, 1) - 1 AS k FROM p),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vec_id, brow, bcol, t ORDER BY abs(v - q), k) = 1)
+SELECT vec_id, brow, bcol, v0, v1, CAST(sum(k) AS BIGINT) AS index_sum, CAST(sum(abs(v - q)) AS BIGINT) AS error FROM b GROUP BY ALL""")
+def bc4_blocks(spark, sf_dir):
+    t = blocks.bc4_decode(blocks.bc4_encode(_block_rows(spark, sf_dir)))
+    error = F.aggregate(F.zip_with("texels", "decoded", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b)
+    return t.select("vec_id", "brow", "bcol", "v0", "v1", F.aggregate("indices", F.lit(0), lambda a, b: a + b).cast("long").alias("index_sum"), error.cast("long").alias("error"))
+
+
+@query(f"""WITH {RASTER}, t AS (SELECT vec_id, y // 4 AS brow, x // 4 AS bcol, y % 4 * 4 + x % 4 AS t, v AS r, (v * 7 + 3) % 256 AS g, 255 - v AS b FROM br),
+p AS (SELECT a.vec_id, a.brow, a.bcol, a.t AS i, b.t AS j, (a.r-b.r)*(a.r-b.r)+(a.g-b.g)*(a.g-b.g)+(a.b-b.b)*(a.b-b.b) AS d, (a.r//8)*2048+(a.g//4)*32+a.b//8 AS pa, (b.r//8)*2048+(b.g//4)*32+b.b//8 AS pb
+FROM t a JOIN t b ON a.vec_id = b.vec_id AND a.brow = b.brow AND a.bcol = b.bcol)
+SELECT vec_id, brow, bcol, d AS distance, greatest(pa, pb) AS color0, least(pa, pb) AS color1 FROM p QUALIFY row_number() OVER (PARTITION BY vec_id, brow, bcol ORDER BY d DESC, i, j) = 1""")
+def bc1_endpoints(spark, sf_dir):
+    t = _block_rows(spark, sf_dir).withColumns({
+        "g": F.transform("texels", lambda v: (v * 7 + 3) % 256), "b": F.transform("texels", lambda v: 255 - v),
+    })
+    return blocks.bc1_endpoints(t, "texels", "g", "b").select("vec_id", "brow", "bcol", "distance", "color0", "color1")
+
+
+@query(f"WITH {PIXELS} SELECT id, n, least(15, (a + 8) // 17) AS code, least(15, (a + 8) // 17) * 17 AS decoded FROM px")
+def bc2_alpha(spark, sf_dir):
+    code = blocks.bc2_alpha_encode(F.col("a"))
+    return pixels(spark, sf_dir).select("id", "n", code.alias("code"), blocks.bc2_alpha_decode(code).alias("decoded"))
+
+
+_DCT = f"""{RASTER}, bs AS (SELECT CAST(k AS INT) AS k, CAST(n AS INT) AS n, CASE WHEN k = 0 THEN sqrt(0.125e0) ELSE 0.5e0 END * cos((2 * n + 1) * k * pi() / 16e0) AS c FROM range(8) a(k), range(8) b(n)),
+h AS (SELECT vec_id, y, k AS x, sum(v * c) AS v FROM rs JOIN bs ON bs.n = rs.x GROUP BY ALL), dc AS (SELECT vec_id, k AS y, x, sum(v * c) AS v FROM h JOIN bs ON bs.n = h.y GROUP BY vec_id, k, x)"""
+
+
+@query(f"WITH {_DCT} SELECT vec_id, y, x, round(v, 6) + 0e0 AS v FROM dc")
+def dct8x8_forward(spark, sf_dir):
+    return dct.transform(raster(spark, sf_dir), "vec_id").select("vec_id", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, round(v, 6) + 0e0 AS v FROM rs")
+def dct8x8_inverse(spark, sf_dir):
+    out = dct.transform(dct.transform(raster(spark, sf_dir), "vec_id"), "vec_id", inverse=True)
+    return out.select("vec_id", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"""WITH {_DCT}, qt AS (SELECT * FROM (VALUES {', '.join(f'({p // 8}, {p % 8}, {zz}, {dct.scaled_table(90)[p]})' for zz, p in enumerate(dct.zigzag()))}) t(qy, qx, zz, step))
+SELECT vec_id, y, x, zz, CAST(round_even(round(v * 512, 6) / step, 0) AS INT) AS q FROM dc JOIN qt ON qy = y AND qx = x""")
+def dct8x8_quantize(spark, sf_dir):
+    coefficients = dct.transform(raster(spark, sf_dir), "vec_id").withColumn("v", F.round(F.col("v") * 512, 6))
+    return dct.quantised(coefficients, 90).select("vec_id", "y", "x", "zz", "q")
+
+
+@query(f"WITH {PIXELS} SELECT id, n, round(0.299e0*r+0.587e0*g+0.114e0*b-128, 6) AS y, round(-0.168736e0*r-0.331264e0*g+0.5e0*b, 6) + 0e0 AS cb, round(0.5e0*r-0.418688e0*g-0.081312e0*b, 6) + 0e0 AS cr FROM px")
+def rgb_to_ycbcr(spark, sf_dir):
+    y, cb, cr = dct.ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return pixels(spark, sf_dir).select("id", "n", F.round(y, 6).alias("y"), (F.round(cb, 6) + 0.0).alias("cb"), (F.round(cr, 6) + 0.0).alias("cr"))
+
+
+# ---------------------------------------------------------------- M: figures and rankings
+
+
+@query(f"""WITH {PIXELS} SELECT n, round(avg((r - g) * (r - g)), 6) AS mse, round(10 * log10(65025e0 / avg((r - g) * (r - g))), 6) AS psnr, max(abs(r - g)) + 0e0 AS max_error,
+count(*) FILTER (WHERE r <> g) AS differing, round(avg(abs(r - g)), 6) AS mae, count(*) AS samples FROM px GROUP BY n""")
+def psnr_report(spark, sf_dir):
+    out = stats.error_report(pixels(spark, sf_dir), ["n"], "r", "g")
+    return out.select("n", *(F.round(c, 6).alias(c) for c in ("mse", "psnr", "mae")), "max_error", "differing", "samples")
+
+
+@query("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS gmean FROM events GROUP BY event_type")
+def geometric_means(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(stats.geometric_mean(F.col("value") + 1), 6).alias("gmean"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type FROM events), k AS (SELECT count(DISTINCT event_type) AS k FROM e) SELECT user_id FROM e GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT k FROM k)""")
+def complete_groups(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", "event_type")
+    return stats.complete_groups(e, ["user_id"], "event_type", e)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_partkey % 7 AS g, p_partkey % 101 AS cost FROM part)
+SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.g = p.g AND q.p_size <= p.p_size AND q.cost <= p.cost AND (q.p_size < p.p_size OR q.cost < p.cost))""")
+def pareto_frontier(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 7).alias("g"), (F.col("p_partkey") % 101).alias("cost"))
+    return stats.pareto(p, "g", "p_size", "cost")
+
+
+@query("SELECT p_partkey, p_size, rank() OVER (PARTITION BY p_partkey % 50 ORDER BY p_size) AS place FROM part")
+def rank_with_ties(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("g", F.col("p_partkey") % 50)
+    return p.select("p_partkey", "p_size", stats.rank_with_ties(p, ["g"], F.col("p_size")).cast("long").alias("place"))
+
+
+@query(f"WITH {RASTER}, c AS (SELECT vec_id, v // 16 AS v, count(*) AS k FROM br GROUP BY ALL) SELECT vec_id, CAST(sum(k) AS BIGINT) AS n, count(*) AS distinct_values, round(log2(sum(k)) - sum(k * log2(k)) / sum(k), 6) + 0e0 AS entropy FROM c GROUP BY vec_id")
+def byte_entropy(spark, sf_dir):
+    t = byte_raster(spark, sf_dir).withColumn("v", F.floor(F.col("v") / 16))
+    return stats.entropy(t, ["vec_id"], "v").withColumn("entropy", F.round("entropy", 6) + 0.0)
+
+
+@query("SELECT event_type, count(*) AS outcomes, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def outcome_counters(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("outcomes"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH c AS (SELECT p_partkey, q, p_size * 100 + q * (p_partkey % 37 + 1) AS bytes FROM part, range(0, 101, 10) t(q)) SELECT p_partkey, max(q) FILTER (WHERE bytes <= 4000) AS q FROM c GROUP BY p_partkey""")
+def target_size_search(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(10).cast("long"))).alias("q"))
+    return stats.largest_that_fits(p.withColumn("bytes", F.col("p_size") * 100 + F.col("q") * (F.col("p_partkey") % 37 + 1)), ["p_partkey"], "q", "bytes", 4000)
+
+
+@query(f"""WITH {PIXELS}, c AS (SELECT n, id, r * 10 + 100 AS size, g * 10 + 100 AS peer, b * 1e0 AS mse, b * 0.9e0 AS peer_mse, a % 2 = 0 AS lossless FROM px)
+SELECT n, count(*) FILTER (WHERE size <= 1.2e0 * peer AND CASE WHEN lossless THEN mse = 0 AND peer_mse = 0 ELSE mse <= 1.25e0 * peer_mse + 2 END) AS passed FROM c GROUP BY n""")
+def quality_gate(spark, sf_dir):
+    t = pixels(spark, sf_dir)
+    ok = stats.passes_quality(F.col("r") * 10 + 100, F.col("g") * 10 + 100, F.col("b") * 1.0, F.col("b") * 0.9, F.col("a") % 2 == 0)
+    return t.groupBy("n").agg(F.count_if(ok).alias("passed"))
+
+
+@query("""WITH a AS (SELECT p_partkey, p_size % 3 AS parts, p_size % 5 AS channels, p_size * 3000 AS width, p_partkey % 90000 AS height, p_size % 20 AS levels, p_partkey * 100 AS metadata_bytes FROM part)
+SELECT p_partkey, concat_ws(',', CASE WHEN parts > 1 THEN 'parts' END, CASE WHEN channels > 3 THEN 'channels' END, CASE WHEN greatest(width, height) > 65536 THEN 'dimension' END,
+CASE WHEN CAST(width AS HUGEINT) * height > 100000000 THEN 'pixels' END, CASE WHEN levels > 16 THEN 'levels' END, CASE WHEN metadata_bytes > 150000 THEN 'metadata' END) AS violations FROM a""")
+def limit_violations(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("long")
+    a = read(spark, sf_dir, "part").select("p_partkey", (s % 3).alias("parts"), (s % 5).alias("channels"), (s * 3000).alias("width"), (k % 90000).alias("height"), (s % 20).alias("levels"), (k * 100).alias("metadata_bytes"))
+    limits = {"parts": 1, "channels": 3, "dimension": 65536, "pixels": 100_000_000, "levels": 16, "metadata": 150_000}
+    return a.select("p_partkey", F.array_join(stats.violations(a, limits), ",").alias("violations"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels to float and back after a crop, with the error of each line number's image."""
+    t = pixels(spark, sf_dir).filter(F.col("id") % 4 < 2)
+    back = t.withColumn("r2", samples.float_to_unorm(samples.unorm_to_float(F.col("r"))))
+    return stats.error_report(back, ["n"], "r", "r2")
