@@ -9,7 +9,8 @@
 2. Documents with the same shingle set are one node. Nodes that share a band of `rows` coordinates meet in a
    bucket. A bucket isn't expanded into pairs: its members are compared with a pivot, exactly. Jaccard distance
    is a metric, so a member that missed the pivot by more than twice the link distance can link to no member
-   that hit it; only members that could link and aren't in one class yet stay, and get a new pivot.
+   that hit it; only members that missed are held against others, and only against those of other classes at a
+   like distance from the pivot.
 3. Classes are the connected components of the verified links.
 
 Defined results: texts without a word are classes of their own; a text shorter than a shingle is one shingle;
@@ -196,31 +197,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the smallest node of the component. Alternates two
-    steps until nothing changes: neighbours above a node, then those below it, move to the smallest one known."""
-    spark = links.sparkSession
+    steps until all components are stars: neighbours above a node, then those below it, move to the smallest one
+    known. Minima are tables of their own, so Spark can split the joins of a node with very many neighbours."""
     edges = table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
     for _ in range(max_rounds):
         # every node of u's neighbourhood above u moves to the smallest node of it
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = table(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
         # u, and its neighbours below it, move to the smallest of these
-        small_edges = table(large.filter("u != v").distinct(), "edges")
-        least = table(small_edges.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = small_edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        least = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         made = table(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for t in (edges, low, small_edges, least):
+        for t in (edges, low, large, least):
             drop_table(t)
         edges = made
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if tuple(now) == state:
+        # Stars: every node has one edge up at most, and no root has one.
+        degree = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        bent = degree.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+        if not bent.head(1):
             break
-        state = tuple(now)
     else:
         raise RuntimeError("components did not settle")
-    del spark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
 # ---------------------------------------------------------------- the operator
@@ -228,7 +227,7 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4,
-    small_bucket: int = 16, pivot_rounds: int = 6,
+    at_once: int = 32, pivot_rounds: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
     (one row of each class: that with class_id).
@@ -258,51 +257,47 @@ def near_duplicates(
         .select("w.node", "f.elements").dropDuplicates(["node"]),
         "sets",
     )
-    links, known, n = None, None, 0
-    while True:
-        pairs = active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = table(pairs, "pairs")
-        scored = table(verified(pairs, sets), "scored")
-        drop_table(pairs)
-        new = scored.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b")
-        links = new if links is None else links.union(new).distinct()
-        n += 1
-        # What could still link: bucket members of different classes, within reach by the triangle inequality.
-        rest = active.filter("members > 2 and node != pivot").select("bucket", "node", "pivot")
-        rest = rest.join(scored, (rest.pivot == scored.a) & (rest.node == scored.b)).select("bucket", "node", (1 - F.col("similarity")).alias("away"))
-        rest = table(rest, "rest")
-        missed = rest.filter(F.col("away") > far + 1e-12)
-        reach = table(
-            missed.groupBy("bucket").agg(F.count(F.lit(1)).alias("misses"), F.min("away").alias("nearest")).filter(
-                (F.col("misses") > 1) | (F.col("nearest") <= 2 * far + 1e-9)
-            ),
-            "reach",
-        )
-        rest = rest.join(reach, "bucket").filter(
-            (F.col("away") > far + 1e-12) | (F.col("away") >= F.col("nearest") - far - 1e-9)
-        ).select("bucket", "node")
-        if known is not None:
-            drop_table(known)
-        known = table(components(links), "classes")
-        rest = rest.join(known, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        rest = table(rest, "rest")
-        open_ = rest.groupBy("bucket").agg(
-            F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        ).filter("r0 < r1")
-        open_ = table(open_.select("bucket", "pivot", "members"), "pivots")
-        if not open_.head(1):
+    pairs = table(active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    scored = table(verified(pairs, sets), "scored")
+    is_link = F.col("similarity") >= threshold - 1e-12
+    links = scored.filter(is_link).select("a", "b")
+    known = table(components(links), "classes")
+    # What pivots leave: a member that missed its pivot may link to members that the pivot doesn't tell apart from it.
+    rest = active.filter("members > 2 and node != pivot").select("bucket", "node", "pivot").alias("r")
+    rest = rest.join(scored.alias("s"), (F.col("r.pivot") == F.col("s.a")) & (F.col("r.node") == F.col("s.b"))).select("bucket", "node", (1 - F.col("similarity")).alias("away"))
+    rest = table(rest, "rest")
+    miss = F.col("away") > far + 1e-12
+    reach = rest.filter(miss).groupBy("bucket").agg(F.count(F.lit(1)).alias("misses"), F.min("away").alias("nearest"))
+    reach = table(reach.filter((F.col("misses") > 1) | (F.col("nearest") <= 2 * far + 1e-9)), "reach")
+    rest = rest.join(reach.select("bucket", "nearest"), "bucket").filter(miss | (F.col("away") >= F.col("nearest") - far - 1e-9))
+    open_ = table(rest.select("bucket", "node", "away", miss.alias("miss"), F.xxhash64("bucket", "node").alias("turn")), "open")
+    last = None
+    for n in range(pivot_rounds + 1):
+        if not open_.filter("miss").head(1):
             break
-        if n >= pivot_rounds:
-            links = links.union(blocks(rest.join(open_, "bucket").select("bucket", "node", "root"), sets, threshold)).distinct()
-            known = table(components(links), "classes")
+        members = open_.join(known, "node", "left").select(*open_.columns, F.coalesce("root", "node").alias("root"))
+        if last is not None:
+            members = members.withColumn("miss", F.col("miss") & (F.col("turn") > last))
+        # In each round members that missed, by a hashed turn, are held against all that the triangle inequality
+        # leaves: about `at_once` of each bucket, so pairs grow with a bucket, not with its square. In the last
+        # round all that remain are.
+        widest = members.filter("miss").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+        if not widest:
             break
-        few = rest.join(open_.filter(F.col("members") <= small_bucket), "bucket").select("bucket", "node", "root")
-        small = blocks(few, sets, threshold)
-        links = table(links.union(small).distinct(), "links")
-        active = table(rest.join(open_.filter(F.col("members") > small_bucket), "bucket").select("bucket", "node", "pivot", "members"), "members")
-        if not active.head(1):
+        top = 2**63 - 1
+        low = -(2**63) if last is None else last
+        limit = top if widest <= at_once or n == pivot_rounds else low + (top - low) // -(-widest // at_once)
+        members = table(members, "members")
+        one = members.filter(F.col("miss") & (F.col("turn") <= limit)).alias("o")
+        near = (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.root") != F.col("m.root")) & (F.abs(F.col("o.away") - F.col("m.away")) <= far + 1e-9)
+        pairs = one.join(members.alias("m"), near).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
+        scored = table(verified(table(pairs, "pairs"), sets), "scored").filter(is_link).select("a", "b")
+        if scored.head(1):
+            links = table(links.union(scored).distinct(), "links")
             known = table(components(links), "classes")
+        if limit == top:
             break
+        last = limit
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.select("node", "node_key", "least_id", "copies").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -322,14 +317,3 @@ def near_duplicates(
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
         (alone | (F.col("row") == F.col("lead_row"))).alias("lead"),
     )
-
-
-def blocks(members: DataFrame, sets: DataFrame, threshold: float, tiles: int = 16) -> DataFrame:
-    """The exact way for what pivots leave: members (bucket, node, root) of one bucket and different classes are
-    compared tile by tile, tiles being hashes of the node, so no bucket stays in one task."""
-    tile = F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int")
-    one = members.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), tile.alias("i"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("j"))
-    two = members.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), tile.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("i"))
-    pairs = one.join(two, ["bucket", "i", "j"]).filter("a < b and ra != rb").select("a", "b").distinct()
-    scored = verified(table(pairs, "pairs"), sets)
-    return table(scored.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b"), "links")

@@ -107,7 +107,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM = "('0x' || substr(md5(pattern), 1, 8))::BIGINT"
 
-ORACLES["op3_url_filters"] = f"""
+ORACLES["op3_url_filters"] = rf"""
 WITH c AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetch_date,
                   rtrim(lower(regexp_extract(url, '{HOST}', 1)), '.') AS host0,
                   regexp_extract(url, '{PATH}', 1) AS path FROM pages),
