@@ -518,3 +518,56 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pixels(spark, sf_dir).filter(F.col("id") % 4 < 2)
     back = t.withColumn("r2", samples.float_to_unorm(samples.unorm_to_float(F.col("r"))))
     return stats.error_report(back, ["n"], "r", "r2")
+
+
+# ---------------------------------------------------------------- S: codecs and catalogue
+
+
+def _codec(fmt: str, channels: str, sample: str, options: dict):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Each embedding as an image through encoder and decoder: its largest error."""
+        from imagelake.sources import catalog
+
+        scale = 1.0 if sample.startswith("float") else 255.0
+        v = F.when(F.col("v") < 0, -F.col("v")).otherwise(F.col("v")) * scale
+        v = F.least(F.floor(v), F.lit(255.0)) if scale > 1 else F.floor(v * 64) / 64
+        one = raster(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", v.alias("v")))).alias("t"))
+        images = one.select(
+            "vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(*map(F.lit, channels)).alias("channels"), F.lit(sample).alias("sample"),
+            F.lit("identity").alias("orientation"), F.flatten(F.transform("t", lambda p: F.array_repeat(p["v"], len(channels)))).alias("samples"),
+        )
+        files = catalog.encode_images(images, fmt, options, ("vec_id",))
+        back = catalog.decode_images(files, carry=("vec_id",)).select("vec_id", F.col("samples").alias("decoded"), F.col("error.code").alias("error"))
+        worst = F.array_max(F.zip_with("samples", "decoded", lambda a, b: F.abs(a - b)))
+        return images.join(back, "vec_id").select("vec_id", worst.alias("max_error"), "error")
+
+    run.__name__ = f"codec_{fmt}_roundtrip"
+    query()(run)
+
+
+for _fmt, _channels, _sample, _options in (
+    ("png", "RGB", "unorm8", {}), ("exr", "RGB", "float32", {"compression": "zip"}), ("hdr", "RGB", "float32", {}), ("dds", "RGBA", "unorm8", {}),
+    ("ktx2", "RGBA", "unorm8", {"compress": True}), ("jpeg", "RGB", "unorm8", {"quality": 95, "subsampling": "444"}),
+):
+    _codec(_fmt, _channels, _sample, _options)
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'dds' WHEN 3 THEN 'hdr' END AS format FROM nation""")
+def format_probe(spark, sf_dir):
+    from imagelake.sources import catalog
+
+    heads = ["89504E470D0A1A0A0000", "FFD8FFE0", "444453207C000000", "233F52414449414E43450A", "00112233"]
+    content = F.get(F.array(*map(F.lit, heads)), (F.col("n_nationkey") % 5).cast("int"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", catalog.probe(F.unhex(content)).alias("format"))
+
+
+@query("SELECT * FROM (VALUES ('flat', 127, 127, 127), ('ramp', 85, 0, 42), ('stripes', 255, 0, 255), ('chroma', 255, 0, 0)) t(pattern, r, g, b)")
+def test_images(spark, sf_dir):
+    """One pixel, (1, 0), of generated 4 x 4 images."""
+    from imagelake.operators import generate
+
+    out = None
+    for name in ("flat", "ramp", "stripes", "chroma"):
+        one = generate.image(spark, name, 4, 4).filter("x = 1 and y = 0").select(F.lit(name).alias("pattern"), "r", "g", "b")
+        out = one if out is None else out.unionByName(one)
+    return out
