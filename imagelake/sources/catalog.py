@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from imagelake.sources import dds, exr, hdr, jpeg, png
+from imagelake.sources import dds, exr, hdr, jpeg, png, webp
 from imagelake.sources.base import Codec, FormatError, Image, Limits, Registry
 
 REGISTRY = Registry()
@@ -22,6 +22,7 @@ for _codec in (
     Codec("hdr", ("hdr", "pic"), lambda h: 3 if h[:10] == b"#?RADIANCE" else 2 if h[:6] == b"#?RGBE" else 0, hdr.decode, hdr.encode, ("float32",), (3,), ("rgbe",), orientation=True),
     Codec("dds", ("dds",), lambda h: 3 if h[:4] == b"DDS " else 0, dds.decode_dds, dds.encode_dds, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6])),
     Codec("ktx2", ("ktx2",), lambda h: 3 if h[:12] == dds.KTX2 else 0, dds.decode_ktx2, dds.encode_ktx2, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6] and v[1])),
+    Codec("webp", ("webp",), lambda h: 3 if h[:4] == b"RIFF" and h[8:12] == b"WEBP" else 0, webp.decode, webp.encode, ("unorm8",), (3, 4)),
 ):
     REGISTRY.register(_codec)
 
@@ -34,7 +35,7 @@ def probe(content: Column) -> Column:
     head, out = F.hex(F.substring(content, 1, 12)), F.lit(None).cast("string")
     for magic, name in MAGIC.items():
         out = F.when(F.startswith(head, F.lit(magic)), F.lit(name)).otherwise(out)
-    return out
+    return F.when(F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250")), F.lit("webp")).otherwise(out)
 
 
 IMAGE_SCHEMA = (

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from imagelake.sources import dds, exr, hdr, jpeg, png
+from imagelake.sources import dds, exr, hdr, jpeg, png, webp
 from imagelake.sources.base import FormatError, Image, Limits
 from imagelake.sources.catalog import REGISTRY
 
@@ -111,6 +111,62 @@ def test_jpeg_round_trip(subsampling):
     assert np.abs(grey.samples.astype(int) - v[:, :, :1]).mean() < 3
 
 
+@pytest.mark.parametrize("n", [3, 4])
+@pytest.mark.parametrize("kind", ["flat", "ramp", "noise", "two", "wide"])
+def test_webp_round_trip(n, kind):
+    v = {
+        "flat": np.full((9, 14, n), 7), "ramp": ramp(19, 11, n), "noise": rng.integers(0, 256, (12, 17, n)), "two": np.where(ramp(20, 5, n) > 128, 255, 0),
+        "wide": np.repeat(rng.integers(0, 256, (4, 40, n)), 25, axis=1),
+    }[kind].astype(np.uint8)
+    out = webp.decode(webp.encode(Image("webp", list("RGBA")[:n], "unorm8", v)))
+    assert (out.samples[:, :, :n] == v).all() and (n == 4 or (out.samples[:, :, 3] == 255).all())
+
+
+def test_webp_transforms():
+    """Predictor, cross-colour and palette transforms against their definitions, by hand-made streams."""
+    w = webp._Writer()
+
+    def plain(argb):  # an entropy image of few pixels: no cache, five simple codes, at most two symbols each
+        w.put(0, 1)
+        channels = [[p >> k & 255 for p in argb] for k in (8, 16, 0, 24)]
+        codes = []
+        for c in channels:
+            used = sorted(set(c))
+            w.put(1, 1), w.put(len(used) - 1, 1), w.put(1, 1)
+            for s in used:
+                w.put(s, 8)
+            codes.append({s: (k, len(used) - 1) for k, s in enumerate(used)})
+        w.put(1, 1), w.put(0, 1), w.put(0, 1), w.put(0, 1)
+        for i in range(len(argb)):
+            for c, code in zip(channels, codes, strict=True):
+                w.put(*code[c[i]])
+
+    w.put(0x2F, 8), w.put(3, 14), w.put(1, 14), w.put(1, 1), w.put(0, 3)
+    w.put(1, 1), w.put(3, 2), w.put(1, 8)  # palette of two colours, stored as differences
+    plain([0xFF102030, 0x00010101])
+    w.put(0, 1)
+    w.put(0, 1), w.put(0, 1)  # no cache, one group; eight indices fit one packed pixel of each row
+    used = [0b0101, 0b1110]
+    w.put(1, 1), w.put(1, 1), w.put(1, 1), w.put(used[0], 8), w.put(used[1], 8)
+    for _ in range(4):
+        w.put(1, 1), w.put(0, 1), w.put(0, 1), w.put(0, 1)
+    w.put(0, 1), w.put(1, 1)
+    body = w.done()
+    body = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
+    out = webp.decode(b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body)
+    a, b = [16, 32, 48, 255], [17, 33, 49, 255]
+    assert out.samples[0].tolist() == [b, a, b, a] and out.samples[1].tolist() == [a, b, b, b]
+
+
+def test_webp_predictors():
+    left, top, right, corner = (np.array(v) for v in ([9, 200, 10, 0], [9, 100, 30, 4], [9, 50, 7, 8], [9, 90, 200, 2]))
+    assert webp._predicted(0, left, top, right, corner).tolist() == [255, 0, 0, 0]
+    assert [webp._predicted(k, left, top, right, corner).tolist() for k in (1, 2, 3, 4)] == [v.tolist() for v in (left, top, right, corner)]
+    assert webp._predicted(7, left, top, right, corner).tolist() == [9, 150, 20, 2]
+    assert webp._predicted(12, left, top, right, corner).tolist() == [9, 210, 0, 2]
+    assert webp._predicted(13, left, top, right, corner).tolist() == [9, 180, 0, 2]
+
+
 def test_registry():
     im = Image("png", ["Y"], "unorm8", ramp(8, 8, 1))
     assert REGISTRY.resolve(png.encode(im)[:16]).format == "png"
@@ -126,6 +182,7 @@ EXR = exr.encode(Image("exr", ["R"], "float16", ramp(8, 20, 1, 100, np.float16))
 HDR = hdr.encode(Image("hdr", ["R", "G", "B"], "float32", ramp(20, 5, 3).astype(np.float32)))
 KTX = dds.encode_ktx2(Image("ktx2", list("RGBA"), "unorm8", ramp(8, 8, 4)))
 DDS = dds.encode_dds(Image("dds", list("RGBA"), "unorm8", ramp(8, 8, 4)))
+WEBP = webp.encode(Image("webp", list("RGB"), "unorm8", ramp(16, 16, 3)))
 JPG = jpeg.encode(Image("jpeg", ["Y"], "unorm8", ramp(16, 16, 1)))
 
 
@@ -137,7 +194,7 @@ JPG = jpeg.encode(Image("jpeg", ["Y"], "unorm8", ramp(16, 16, 1)))
         (hdr.decode, HDR[:-3]), (hdr.decode, HDR.replace(b"32-bit_rle_rgbe", b"32-bit_rle_xyze")), (hdr.decode, HDR.replace(b"+X", b"*X")),
         (dds.decode_ktx2, KTX[:-1]), (dds.decode_ktx2, KTX[:12] + struct.pack("<I", 9999) + KTX[16:]), (dds.decode_ktx2, KTX[:44] + struct.pack("<I", 1) + KTX[48:]),
         (dds.decode_dds, DDS[:-1]), (dds.decode_dds, DDS[:100]), (dds.decode_dds, DDS[:4] + b"\0" + DDS[5:]),
-        (jpeg.decode, JPG[:-2]), (jpeg.decode, JPG[:30]), (jpeg.decode, JPG.replace(b"\xff\xc0", b"\xff\xc9")), (jpeg.decode, b""),
+        (jpeg.decode, JPG[:-2]), (jpeg.decode, JPG[:30]), (jpeg.decode, JPG.replace(b"\xff\xc0", b"\xff\xc9")), (jpeg.decode, b""), (webp.decode, WEBP[:-3]), (webp.decode, WEBP.replace(b"VP8L", b"VP8 ")), (webp.decode, WEBP[:20] + b"x" + WEBP[21:]),
     ],
 )
 def test_must_reject(decode, data):
