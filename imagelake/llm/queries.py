@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imagelake.llm import quality as rules
 from imagelake.llm.exactdedup import exact_dedup
 from imagelake.llm.htmltext import extract
 from imagelake.llm.langid import language_id
@@ -172,6 +173,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+_SP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+ORACLES["op7_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3e0 * n / w AS ratio, row_number() OVER (ORDER BY 3e0 * n / w, source NULLS LAST) AS k FROM s),
+c AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) - 3 * coalesce(sum(n) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS share
+      FROM r WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min(k) AS k FROM c WHERE NOT CAST(rest AS DOUBLE) * w / CAST(share AS DOUBLE) > 3 * n),
+t AS (SELECT source, n, CASE WHEN k < (SELECT k FROM f) THEN 3e0 * n
+             ELSE (SELECT CAST(rest AS DOUBLE) FROM c WHERE k = (SELECT k FROM f)) * w / (SELECT CAST(share AS DOUBLE) FROM c WHERE k = (SELECT k FROM f)) END AS target FROM c),
+g AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target + 0.5e0) AS BIGINT) // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN CAST(floor(target + 0.5e0) AS BIGINT) % n ELSE 0 END AS part FROM t),
+o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5('17:' || doc_id), 1, 15))::BIGINT, doc_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d),
+m AS (SELECT doc_id, size, n AS source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE passes + CAST(part > 0 AND 2 * ahead + size <= 2 * part AS INTEGER) END AS BIGINT) AS copies
+      FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM m
+"""
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
@@ -185,3 +207,36 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), texts=False)
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+_RULES = rules.QualityRules()
+_MARKED = "[!?.,;:#*$%&|<>~=_+^@-]{2}"
+
+ORACLES["op10_quality_rules"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {_WORDS.format("text")} AS ws FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS k, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS gram FROM w WHERE len(ws) > 5),
+h AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM g),
+p AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM h, range(5) r(j) WHERE times > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
+b AS (SELECT doc_id, pos, line, trim(line, {_SP}) AS bare, {_WORDS.format("line")} AS ws FROM l),
+v AS (SELECT doc_id, pos, line, list_sum(list_transform(ws, lambda x: length(x))) AS chars,
+        row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
+        NOT right(rtrim(bare, {_quoted([rules.CLOSING])}), 1) IN ({_quoted(rules.TERMINAL)})
+        OR len(list_filter(ws, lambda x: regexp_matches(x, '{_MARKED}'))) > {_RULES.max_marked}e0 * len(ws)
+        OR len(list_filter(ws, lambda x: x IN ({_quoted(rules.SEPARATORS)}))) > {_RULES.max_separators}e0 * len(ws)
+        OR (len(ws) <= {_RULES.boilerplate_words} AND regexp_matches({_AZ.format("line")}, '{"|".join(rules.PHRASES)}')) AS gone
+      FROM b WHERE len(ws) > 0),
+q AS (SELECT doc_id, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE gone) AS removed, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM v GROUP BY doc_id),
+a AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(q.dup, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+        coalesce(q.removed, 0) AS n_removed_lines, CAST(coalesce(q.lost, 0) AS BIGINT) AS lost
+      FROM w LEFT JOIN p ON p.doc_id = w.doc_id LEFT JOIN q ON q.doc_id = w.doc_id),
+z AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.max_repeat_percent} * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars - lost >= {_RULES.min_kept}e0 * word_chars AS kept, n_removed_lines, word_chars - lost AS kept_chars FROM z
+"""
