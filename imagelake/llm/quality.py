@@ -29,7 +29,7 @@ from imagelake.llm.common import row_bytes, shingles, word_hashes
 
 #: Terminal marks, and what may follow one at the end of a line.
 TERMINAL = ".!?:;…。！？"
-CLOSING = "\"')]}”’»"
+CLOSING = "\"')]}”’»«"
 SEPARATORS = ("|", ">", "<", "»", "«", "›", "‹", "•", "·", "/", "\\", "-", "–", "*")
 PHRASES = (
     "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "use cookies",
