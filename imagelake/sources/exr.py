@@ -1,4 +1,4 @@
-"""OpenEXR: scan lines and one-level tiles, half, float and uint channels, subsampling, no, run-length and zip
+"""OpenEXR: scan lines and one-level tiles, half, float and uint channels, subsampling; no, run-length, zip and PIZ
 compression. Other compressions and deep data are described but not decoded."""
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 
+from imagelake.sources import piz
 from imagelake.sources.base import FormatError, Image, Limits
 
 MAGIC = b"\x76\x2f\x31\x01"
@@ -134,6 +135,32 @@ def decompress(kind: str, raw: bytes, size: int) -> bytes:
     return out
 
 
+def _words(rows: list[tuple]) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Shapes of the channels in 16-bit words, in order of first rows, and each row's channel."""
+    names = list(dict.fromkeys(r[0] for r in rows))
+    shapes = [(sum(r[0] == c for r in rows), next(r[4] for r in rows if r[0] == c), next(np.dtype(KINDS[r[1]][1]).itemsize // 2 for r in rows if r[0] == c)) for c in names]
+    return shapes, [names.index(r[0]) for r in rows]
+
+
+def unpiz(raw: bytes, rows: list[tuple]) -> bytes:
+    shapes, owner = _words(rows)
+    planes, seen, out = piz.planes_of(piz.decompress(raw, shapes), shapes), [0] * len(shapes), []
+    for k in owner:
+        out.append(planes[k][seen[k]].astype("<u2").tobytes())
+        seen[k] += 1
+    return b"".join(out)
+
+
+def make_piz(raw: bytes, rows: list[tuple]) -> bytes:
+    shapes, owner = _words(rows)
+    parts, at = [[] for _ in shapes], 0
+    for k in owner:
+        n = 2 * shapes[k][1] * shapes[k][2]
+        parts[k].append(raw[at : at + n])
+        at += n
+    return piz.compress(np.frombuffer(b"".join(b"".join(p) for p in parts), "<u2").astype(np.int64), shapes)
+
+
 def compress(kind: str, raw: bytes) -> bytes:
     made = {"none": lambda: raw, "zip": lambda: zlib.compress(_predict(raw)), "zips": lambda: zlib.compress(_predict(raw)), "rle": lambda: _rle(_predict(raw))}[kind]()
     return made if len(made) < len(raw) else raw
@@ -170,7 +197,8 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
         size = sum(count * np.dtype(KINDS[k][1]).itemsize for _, k, _, _, count in rows)
         if n > size or place + lead + n > len(data):
             raise FormatError("exr", "BadChunkSize", str(n), place)
-        raw, used = decompress(kind, data[place + lead : place + lead + n], size), 0
+        body, used = data[place + lead : place + lead + n], 0
+        raw = unpiz(body, rows) if kind == "piz" and n < size else decompress("none" if kind == "piz" else kind, body, size)
         for c, k, y, x, count in rows:
             planes[c][y, x : x + count] = np.frombuffer(raw, KINDS[k][1], count, used)
             used += count * np.dtype(KINDS[k][1]).itemsize
@@ -202,7 +230,12 @@ def encode(image: Image, compression: str = "zip") -> bytes:
     chunks = []
     for y in range(0, h, lines):
         raw = np.ascontiguousarray(planes[y : y + lines].swapaxes(1, 2)).tobytes()
-        packed = compress(compression, raw)
+        if compression == "piz":
+            count = min(lines, h - y)
+            made = make_piz(raw, [(image.channels[i], kind, yy, 0, w) for yy in range(count) for i in order])
+            packed = made if len(made) < len(raw) else raw
+        else:
+            packed = compress(compression, raw)
         chunks.append(struct.pack("<iI", y0 + y, len(packed)) + packed)
     at, table = len(out) + 8 * len(chunks), []
     for c in chunks:

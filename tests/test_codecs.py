@@ -39,7 +39,7 @@ def test_png_palette_and_interlace():
 
 
 @pytest.mark.parametrize("kind", ["float16", "float32", "uint32"])
-@pytest.mark.parametrize("compression", ["none", "rle", "zips", "zip"])
+@pytest.mark.parametrize("compression", ["none", "rle", "zips", "zip", "piz"])
 def test_exr_round_trip(kind, compression):
     v = ramp(13, 37, 4, 900, np.dtype(kind))
     v[:, :5] = v[0, 0]
@@ -49,6 +49,20 @@ def test_exr_round_trip(kind, compression):
     assert (out.samples == v[:, :, [3, 2, 1, 0]]).all()
 
 
+@pytest.mark.parametrize("largest", [1, 300, 65_535])
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (2, 2), (7, 5), (32, 33), (16, 64)])
+def test_wavelet_and_huffman_invert(largest, shape):
+    from imagelake.sources import piz
+
+    v = rng.integers(0, largest + 1, shape).astype(np.int64)
+    w = v.copy()
+    piz.wavelet(w, largest, True)
+    flat = w.ravel().copy()
+    assert (piz.huffman_decode(piz.huffman_encode(flat), len(flat)) == flat).all()
+    piz.wavelet(w, largest, False)
+    assert (w == v).all()
+
+
 @pytest.mark.parametrize("size", [(31, 12), (5, 7), (300, 3)])
 @pytest.mark.parametrize("orientation", ["identity", "flip_x", "flip_y", "rotate180"])
 def test_hdr_round_trip(size, orientation):
