@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from imagelake.functions.packed import FIELDS
+from imagelake.sources import bc7
+from imagelake.sources.base import FormatError
 
-SIZES = {"bc1": 8, "bc2": 16, "bc3": 16, "bc4": 8, "bc5": 16}
+SIZES = {"bc1": 8, "bc2": 16, "bc3": 16, "bc4": 8, "bc5": 16, "bc7": 16}
 
 # ---------------------------------------------------------------- packed pixels
 
@@ -113,6 +115,8 @@ def _decode_single(raw: np.ndarray) -> np.ndarray:
 
 def decode_image(kind: str, raw: bytes, w: int, h: int) -> np.ndarray:
     n = -(-w // 4) * -(-h // 4)
+    if kind == "bc7":
+        return from_blocks(bc7.decode(raw, n), w, h)
     b = np.frombuffer(raw, np.uint8, n * SIZES[kind]).reshape(n, SIZES[kind])
     if kind == "bc1":
         out = _decode_color(b, False)
@@ -162,6 +166,8 @@ def _encode_single(v: np.ndarray) -> np.ndarray:
 
 
 def encode_image(kind: str, image: np.ndarray) -> bytes:
+    if kind == "bc7":
+        raise FormatError("texture", "Unsupported.Bc7.Encoding", "decoding only")
     t = to_blocks(image.astype(np.uint8))
     if kind == "bc1":
         out = _encode_color(t, False)

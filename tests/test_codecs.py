@@ -115,6 +115,32 @@ def test_bc1_modes():
     assert three[2].tolist() == [127, 0, 127, 255] and three[3].tolist() == [0, 0, 0, 0]
 
 
+def test_bc7_tables_agree():
+    from imagelake.sources import bc7
+
+    for p in range(64):
+        assert bc7.subset_of(2, p, 0) == 0 and bc7.subset_of(2, p, bc7.ANCHOR_TWO[p]) == 1
+        assert [bc7.subset_of(3, p, t) for t in (0, bc7.ANCHOR_SECOND[p], bc7.ANCHOR_THIRD[p])] == [0, 1, 2]
+        assert {bc7.subset_of(3, p, t) for t in range(16)} == {0, 1, 2}
+    for subsets, pb, rb, sb, cb, ab, ends, shared, ib, ib2 in bc7.MODES:  # every mode fills its 128 bits
+        used = bc7.MODES.index((subsets, pb, rb, sb, cb, ab, ends, shared, ib, ib2)) + 1
+        used += pb + rb + sb + 2 * subsets * (3 * cb + ab + ends) + subsets * shared + 16 * ib - subsets + (16 * ib2 - 1 if ib2 else 0)
+        assert used == 128
+
+
+def test_bc7_solid_mode_6():
+    from imagelake.sources import bc7
+
+    word, at = 1 << 6, 7
+    for v in (10, 10, 60, 60, 100, 100, 127, 127):
+        word |= v << at
+        at += 7
+    word |= 0b01 << at  # low bits of the ends: 1 and 0
+    block = word.to_bytes(16, "little")
+    assert bc7.decode_block(block) == [(21, 121, 201, 255)] * 16
+    assert bc7.decode_block(bytes(16)) == [(0, 0, 0, 255)] * 16
+
+
 @pytest.mark.parametrize("subsampling", ["444", "422", "420"])
 def test_jpeg_round_trip(subsampling):
     y, x = np.mgrid[0:40, 0:51]
