@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imagelake.functions import grid, packed, predict, samples
+from imagelake.functions import grid, packed, predict, samples, video
 from imagelake.operators import blocks, dct, geometry, palette, stats
 
 QUERIES = {}
@@ -571,3 +571,136 @@ def test_images(spark, sf_dir):
         one = generate.image(spark, name, 4, 4).filter("x = 1 and y = 0").select(F.lit(name).alias("pattern"), "r", "g", "b")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- more of J, W, G, E, R, F
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y // 2 AS y, x // 2 AS x, round(avg(v), 6) + 0e0 AS v FROM rs GROUP BY vec_id, y // 2, x // 2")
+def chroma_average(spark, sf_dir):
+    return geometry.halve(raster(spark, sf_dir), "vec_id", ["v"]).select("vec_id", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"""WITH {RASTER}, n AS (SELECT *, coalesce(lag(v) OVER w, v) AS l, coalesce(lead(v) OVER w, v) AS r FROM rs WINDOW w AS (PARTITION BY vec_id, y ORDER BY x))
+SELECT vec_id, y, 2 * x + k AS x, round((3 * v + CASE k WHEN 0 THEN l ELSE r END) / 4, 6) + 0e0 AS v FROM n, (VALUES (0), (1)) t(k)""")
+def chroma_upsample(spark, sf_dir):
+    row = Window.partitionBy("vec_id", "y").orderBy("x")
+    near = raster(spark, sf_dir).withColumns({"l": F.coalesce(F.lag("v").over(row), "v"), "r": F.coalesce(F.lead("v").over(row), "v")})
+    both = near.select("vec_id", "y", "x", F.posexplode(F.array((3 * F.col("v") + F.col("l")) / 4, (3 * F.col("v") + F.col("r")) / 4)).alias("k", "u"))
+    return both.select("vec_id", "y", (2 * F.col("x") + F.col("k")).alias("x"), (F.round("u", 6) + 0.0).alias("v"))
+
+
+@query(f"""WITH {_DCT}, qt AS (SELECT * FROM (VALUES {', '.join(f'({p // 8}, {p % 8}, {zz}, {dct.scaled_table(90)[p]})' for zz, p in enumerate(dct.zigzag()))}) t(qy, qx, zz, step)),
+q AS (SELECT vec_id, zz, CAST(round_even(round(v * 512, 6) / step, 0) AS INT) AS q FROM dc JOIN qt ON qy = y AND qx = x),
+n AS (SELECT *, zz - coalesce(lag(zz) OVER (PARTITION BY vec_id ORDER BY zz), 0) - 1 AS run FROM q WHERE zz > 0 AND q <> 0)
+SELECT vec_id, zz, run // 16 AS long_runs, run % 16 * 16 + length(bin(abs(q))) AS symbol FROM n""")
+def ac_symbols(spark, sf_dir):
+    """(zero run, size) tokens of quantised coefficients in zig-zag order: gaps between the nonzero ones."""
+    coefficients = dct.transform(raster(spark, sf_dir), "vec_id").withColumn("v", F.round(F.col("v") * 512, 6))
+    some = dct.quantised(coefficients, 90).filter("zz > 0 and q != 0")
+    run = F.col("zz") - F.coalesce(F.lag("zz").over(Window.partitionBy("vec_id").orderBy("zz")), F.lit(0)) - 1
+    return some.select("vec_id", "zz", run.alias("run"), "q").select(
+        "vec_id", "zz", F.floor(F.col("run") / 16).cast("int").alias("long_runs"), (F.col("run") % 16 * 16 + F.length(F.bin(F.abs("q")))).cast("long").alias("symbol")
+    )
+
+
+@query(f"WITH {PIXELS} SELECT id, n, ((16839*r + 33059*g + 6420*b + 32768) >> 16) + 16 AS y, ((-9719*r*4 - 19081*g*4 + 28800*b*4 + 131072) >> 18) + 128 AS u, ((28800*r*4 - 24116*g*4 - 4684*b*4 + 131072) >> 18) + 128 AS v FROM px")
+def rgb_to_yuv_fixed(spark, sf_dir):
+    u, v = video.chroma(*(F.col(c) * 4 for c in "rgb"))
+    return pixels(spark, sf_dir).select("id", "n", video.luma(F.col("r"), F.col("g"), F.col("b")).alias("y"), u.alias("u"), v.alias("v"))
+
+
+@query("SELECT CAST(q AS INT) AS quality, CAST((127 * (100 - q) + 50) // 100 AS INT) AS quantiser, CAST(least(255, greatest(1, (16 * CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END + 50) // 100)) AS INT) AS step FROM range(1, 101) t(q)")
+def quality_steps(spark, sf_dir):
+    q = F.col("quality")
+    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality")).select("quality", video.quantiser(q).alias("quantiser"), video.jpeg_step(F.lit(16), q).alias("step"))
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, y, x, ((v - CASE WHEN x = 0 AND y = 0 THEN 0 WHEN x = 0 THEN u WHEN y = 0 THEN l ELSE least(greatest(l + u - c, 0), 255) END) % 256 + 256) % 256 AS residual FROM ps")
+def alpha_gradient_filter(spark, sf_dir):
+    near = predict.with_neighbours(byte_raster(spark, sf_dir), "vec_id")
+    left, up, corner = (F.coalesce(F.col(c), F.lit(0)) for c in ("left", "up", "corner"))
+    p = F.when(F.col("x") == 0, up).when(F.col("y") == 0, left).otherwise(video.gradient(left, up, corner))
+    return near.select("vec_id", "y", "x", F.pmod(F.col("v") - p, F.lit(256)).alias("residual"))
+
+
+@query("""WITH r AS (SELECT p_partkey, CAST(y AS INT) AS y, p_size * 2 + CASE WHEN y % 2 = 0 THEN (p_size + 1) // 2 * 4 ELSE 0 END AS bytes FROM part, range(8) t(y))
+SELECT p_partkey, y, CAST(coalesce(sum(bytes) OVER (PARTITION BY p_partkey ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM r""")
+def block_row_offsets(spark, sf_dir):
+    """Byte offsets of rows where a channel stands in every second row only: a running sum."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
+    size = F.col("p_size") * 2 + F.when(grid.on_grid(F.col("y"), 0, 2), grid.ceil_div(F.col("p_size"), 2) * 4).otherwise(0)
+    before = Window.partitionBy("p_partkey").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("p_partkey", "y", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long").alias("at"))
+
+
+@query("SELECT l_orderkey, l_partkey & 255 AS byte, CAST(i AS INT) AS i, (l_partkey & 255) >> CAST(6 - 2 * i AS INT) & 3 AS sample FROM lineitem, range(4) t(i)")
+def bit_unpack(spark, sf_dir):
+    """2-bit samples of a byte, highest bits first."""
+    b = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").bitwiseAND(255).alias("byte"))
+    parts = F.array(*(F.shiftright("byte", 6 - 2 * i).bitwiseAND(3) for i in range(4)))
+    return b.select("l_orderkey", "byte", F.posexplode(parts).alias("i", "sample"))
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y - 5 AS y, x + 10 AS x, v FROM rs")
+def map_window(spark, sf_dir):
+    return raster(spark, sf_dir).select("vec_id", (F.col("y") - 5).alias("y"), (F.col("x") + 10).alias("x"), "v")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size AS w, p_partkey % 40 + 1 AS h, p_partkey % 3 + 1 AS n, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE 1 END AS f FROM part)
+SELECT p_partkey, CAST(e AS INT) AS element, CAST(a AS INT) AS face, CAST(l AS INT) AS level, (greatest(1, w >> l) + 3) // 4 * ((greatest(1, h >> l) + 3) // 4) * 8 AS bytes
+FROM p, range(3) x(e), range(6) y(a), range(7) z(l) WHERE e < n AND a < f AND l <= floor(log2(greatest(w, h)))""")
+def subresource_bytes(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("w"), (k % 40 + 1).alias("h"), (k % 3).cast("int").alias("n"), F.when(k % 5 == 0, 5).otherwise(0).alias("f"))
+    p = p.withColumn("element", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumn("face", F.explode(F.sequence(F.lit(0), F.col("f"))))
+    p = p.withColumn("level", F.explode(F.sequence(F.lit(0), grid.level_count(F.greatest("w", "h")) - 1)))
+    w, h = (grid.level_size(F.col(c), F.col("level")) for c in "wh")
+    return p.select("p_partkey", "element", "face", "level", grid.encoded_bytes(w, h, F.lit(1), 4, 4, 1, 64).cast("long").alias("bytes"))
+
+
+_PROBES = "('png', 'png', 3), ('jpeg', 'jpg', 2), ('exr', 'exr', 3), ('raw', 'png', 3), ('hdr', 'hdr', 0)"
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {_PROBES}) t(format, ext, c)), a AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'exr' WHEN 2 THEN 'jpg' ELSE NULL END AS ext FROM nation),
+s AS (SELECT n_nationkey, format, CASE WHEN (n_nationkey + length(format)) % 2 = 0 THEN c ELSE 0 END AS c, coalesce(f.ext = a.ext, false) AS named FROM a, f),
+r AS (SELECT *, max(c) OVER (PARTITION BY n_nationkey) AS top FROM s), b AS (SELECT * FROM r WHERE c = top AND top > 0),
+k AS (SELECT n_nationkey, count(*) AS n, count(*) FILTER (WHERE named) AS m, min(format) AS one, min(format) FILTER (WHERE named) AS two FROM b GROUP BY n_nationkey)
+SELECT n_nationkey, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two ELSE 'ambiguous' END AS format FROM k""")
+def registry_resolve(spark, sf_dir):
+    """Most confident format; an extension decides between equals. One aggregate per asset over the small format table."""
+    f = spark.createDataFrame([("png", "png", 3), ("jpeg", "jpg", 2), ("exr", "exr", 3), ("raw", "png", 3), ("hdr", "hdr", 0)], "format string, known string, c int")
+    a = read(spark, sf_dir, "nation").select("n_nationkey", F.get(F.array(F.lit("png"), F.lit("exr"), F.lit("jpg")), (F.col("n_nationkey") % 4).cast("int")).alias("ext"))
+    c = F.when((F.col("n_nationkey") + F.length("format")) % 2 == 0, F.col("c")).otherwise(0)
+    named = F.coalesce(F.col("known") == F.col("ext"), F.lit(False))
+    found = a.withColumn("_f", F.explode(F.array(*(F.struct(F.lit(r.format).alias("format"), F.lit(r.known).alias("known"), F.lit(r.c).alias("c")) for r in f.collect())))).select("n_nationkey", "ext", "_f.*")
+    best = found.select("n_nationkey", "format", named.alias("named"), c.alias("c")).groupBy("n_nationkey").agg(F.max("c").alias("top"), F.collect_list(F.struct("format", "named", "c")).alias("all"))
+    top = F.filter("all", lambda x: x["c"] == F.col("top"))
+    hinted = F.filter(top, lambda x: x["named"])
+    return best.filter("top > 0").select("n_nationkey", F.when(F.size(top) == 1, top[0]["format"]).when(F.size(hinted) == 1, hinted[0]["format"]).otherwise("ambiguous").alias("format"))
+
+
+@query("""WITH p AS (SELECT p_partkey, list_filter(['A', 'Z', 'G', 'R', 'Y', 'B'], lambda c, i: (p_partkey >> (i - 1)) & 1 = 1) AS c FROM part)
+SELECT p_partkey, array_to_string(list_filter(CASE WHEN len(list_filter(c, lambda x: x NOT IN ('Y', 'A'))) = 0 THEN ['Y', 'A'] ELSE ['R', 'G', 'B', 'A', 'Y'] END, lambda x: list_contains(c, x))[1:4], '') AS channels FROM p""")
+def channel_canonical_order(spark, sf_dir):
+    letters = F.array(*map(F.lit, "AZGRYB"))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.filter(letters, lambda c, i: F.getbit("p_partkey", i) == 1).alias("c"))
+    grey = F.size(F.array_except("c", F.array(F.lit("Y"), F.lit("A")))) == 0
+    order = F.when(grey, F.array(F.lit("Y"), F.lit("A"))).otherwise(F.array(*map(F.lit, "RGBAY")))
+    return p.select("p_partkey", F.array_join(F.slice(F.filter(order, lambda x: F.array_contains("c", x)), 1, 4), "").alias("channels"))
+
+
+@query("SELECT p_partkey, sha256('1|preserve|crop(' || p_size || ', 0, 8, 8)|orient(flip_y, 8, 8)') AS fingerprint FROM part")
+def plan_fingerprint(spark, sf_dir):
+    steps = F.concat_ws("|", F.lit("1"), F.lit("preserve"), F.format_string("crop(%d, 0, 8, 8)", "p_size"), F.lit("orient(flip_y, 8, 8)"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.sha2(steps, 256).alias("fingerprint"))
+
+
+@query("SELECT p_partkey, p_size AS width, p_partkey % 3 AS faces, 'unorm8' AS sample FROM part WHERE p_partkey % 7 <> 3")
+def descriptor_json_roundtrip(spark, sf_dir):
+    """Versioned descriptors to JSON and back; other versions are rejected."""
+    version = F.when(F.col("p_partkey") % 7 == 3, "imagelake.descriptor/0").otherwise("imagelake.descriptor/1")
+    doc = F.to_json(F.struct(version.alias("version"), F.col("p_partkey").alias("id"), F.struct(F.col("p_size").alias("width"), (F.col("p_partkey") % 3).alias("faces"), F.lit("unorm8").alias("sample")).alias("part")))
+    back = F.from_json(doc, "version string, id long, part struct<width int, faces long, sample string>")
+    rows = read(spark, sf_dir, "part").select(back.alias("d")).filter("d.version = 'imagelake.descriptor/1'")
+    return rows.select(F.col("d.id").alias("p_partkey"), "d.part.width", "d.part.faces", "d.part.sample")
