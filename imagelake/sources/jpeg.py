@@ -1,4 +1,4 @@
-"""JPEG: baseline and progressive decoding, baseline encoding; 8 bits, one or three components."""
+"""JPEG: baseline and progressive, decoding and encoding; 8 bits, one or three components."""
 
 from __future__ import annotations
 
@@ -336,8 +336,8 @@ def _tokens(blocks: np.ndarray, previous: int) -> list[tuple[int, int, int, int]
     return out
 
 
-def encode(image: Image, quality: int = 90, subsampling: str = "420") -> bytes:
-    """Baseline with Huffman tables fitted to the image."""
+def encode(image: Image, quality: int = 90, subsampling: str = "420", progressive: bool = False) -> bytes:
+    """Baseline, or progressive by spectral selection; Huffman tables are fitted to the image."""
     if not 1 <= quality <= 100 or subsampling not in ("444", "422", "420"):
         raise FormatError("jpeg", "BadOption", f"{quality} {subsampling}")
     if image.sample != "unorm8" or image.samples.shape[2] not in (1, 3):
@@ -359,24 +359,42 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420") -> bytes:
         q = np.rint((_C @ blocks @ _C.T).reshape(*blocks.shape[:2], 64) / tables[min(k, 1)]).astype(np.int64)
         coded.append(q[:, :, _ZIG])
     factors = [(hs, vs), (1, 1), (1, 1)][:n]
-    counts = [[{}, {}] for _ in tables]
-    stream, previous = [], [0] * n
+    seg = lambda m, p: b"\xff" + bytes([m]) + struct.pack(">H", len(p) + 2) + p
+    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+    for k, t in enumerate(tables):
+        out += seg(0xDB, bytes([k]) + bytes(t[_ZIG].tolist()))
+    frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((k + 1, fh << 4 | fv, min(k, 1))) for k, (fh, fv) in enumerate(factors))
+    out += seg(0xC2 if progressive else 0xC0, frame)
+    stream, previous = [], [0] * n  # (table, class, symbol, value, bits) of all components, in the order of a shared scan
     for my in range(padded.shape[0] // (8 * vs)):
         for mx in range(padded.shape[1] // (8 * hs)):
             for k, (fh, fv) in enumerate(factors):
                 for j in range(fv):
                     for i in range(fh):
                         block = coded[k][my * fv + j, mx * fh + i]
-                        for t in _tokens(block, previous[k]):
-                            stream.append((min(k, 1), *t))
-                            seen = counts[min(k, 1)][t[0]]
-                            seen[t[1]] = seen.get(t[1], 0) + 1
+                        tokens = _tokens(block, previous[k])
+                        stream += [(min(k, 1), *t) for t in (tokens[:1] if progressive else tokens)]
                         previous[k] = int(block[0])
-    huff = [[optimal(c) for c in pair] for pair in counts]
+    out += _scan_bytes(stream, list(range(n)), (0, 0 if progressive else 63))
+    for k in range(n if progressive else 0):  # then the other coefficients of each component in a scan of its own
+        fh, fv = factors[k]
+        bw, bh = -(-(-(-w * fh // hs)) // 8), -(-(-(-h * fv // vs)) // 8)
+        stream = [(min(k, 1), *t) for y in range(bh) for x in range(bw) for t in _tokens(coded[k][y, x], 0)[1:]]
+        out += _scan_bytes(stream, [k], (1, 63))
+    return out + b"\xff\xd9"
+
+
+def _scan_bytes(stream: list[tuple], components: list[int], band: tuple[int, int]) -> bytes:
+    """Huffman tables fitted to the tokens, the scan's header, and its packed bits."""
+    counts: dict[tuple[int, int], dict[int, int]] = {}
+    for k, kind, symbol, _, _ in stream:
+        seen = counts.setdefault((kind, k), {})
+        seen[symbol] = seen.get(symbol, 0) + 1
+    huff = {key: optimal(c) for key, c in counts.items()}
     word = used = 0
     packed = bytearray()
     for k, kind, symbol, value, bits in stream:
-        code, length = huff[k][kind].codes[symbol]
+        code, length = huff[kind, k].codes[symbol]
         word, used = (word << length | code) << bits | value, used + length + bits
         while used >= 8:
             byte = word >> (used - 8) & 255
@@ -389,12 +407,6 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420") -> bytes:
         byte = (word << (8 - used) | (1 << (8 - used)) - 1) & 255
         packed += bytes((byte, 0)) if byte == 255 else bytes((byte,))
     seg = lambda m, p: b"\xff" + bytes([m]) + struct.pack(">H", len(p) + 2) + p
-    out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
-    for k, t in enumerate(tables):
-        out += seg(0xDB, bytes([k]) + bytes(t[_ZIG].tolist()))
-    out += seg(0xC0, struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((k + 1, fh << 4 | fv, min(k, 1))) for k, (fh, fv) in enumerate(factors)))
-    for k, pair in enumerate(huff):
-        for kind, t in enumerate(pair):
-            out += seg(0xC4, bytes([kind << 4 | k]) + bytes(t.counts) + bytes(t.symbols))
-    out += seg(0xDA, bytes([n]) + b"".join(bytes((k + 1, min(k, 1) * 0x11)) for k in range(n)) + b"\0\x3f\0")
-    return out + bytes(packed) + b"\xff\xd9"
+    out = b"".join(seg(0xC4, bytes([kind << 4 | k]) + bytes(t.counts) + bytes(t.symbols)) for (kind, k), t in sorted(huff.items()))
+    chosen = b"".join(bytes((k + 1, min(k, 1) * 0x11)) for k in components)
+    return out + seg(0xDA, bytes([len(components)]) + chosen + bytes((*band, 0))) + bytes(packed)

@@ -141,13 +141,14 @@ def test_bc7_solid_mode_6():
     assert bc7.decode_block(bytes(16)) == [(0, 0, 0, 255)] * 16
 
 
+@pytest.mark.parametrize("progressive", [False, True])
 @pytest.mark.parametrize("subsampling", ["444", "422", "420"])
-def test_jpeg_round_trip(subsampling):
+def test_jpeg_round_trip(subsampling, progressive):
     y, x = np.mgrid[0:40, 0:51]
     v = np.stack((x * 4, y * 5, (x + y) * 2), 2).astype(np.uint8)
-    out = jpeg.decode(jpeg.encode(Image("jpeg", ["R", "G", "B"], "unorm8", v), 92, subsampling))
+    out = jpeg.decode(jpeg.encode(Image("jpeg", ["R", "G", "B"], "unorm8", v), 92, subsampling, progressive))
     assert out.samples.shape == v.shape and np.abs(out.samples.astype(int) - v).mean() < 6
-    grey = jpeg.decode(jpeg.encode(Image("jpeg", ["Y"], "unorm8", v[:, :, :1]), 95))
+    grey = jpeg.decode(jpeg.encode(Image("jpeg", ["Y"], "unorm8", v[:, :, :1]), 95, progressive=progressive))
     assert np.abs(grey.samples.astype(int) - v[:, :, :1]).mean() < 3
 
 
@@ -207,6 +208,12 @@ def test_webp_predictors():
     assert webp._predicted(13, left, top, right, corner).tolist() == [9, 180, 0, 2]
 
 
+def test_jpeg_progressive_equals_baseline():
+    v = ramp(37, 29, 3)
+    im = Image("jpeg", list("RGB"), "unorm8", v)
+    assert (jpeg.decode(jpeg.encode(im, 80)).samples == jpeg.decode(jpeg.encode(im, 80, progressive=True)).samples).all()
+
+
 def test_registry():
     im = Image("png", ["Y"], "unorm8", ramp(8, 8, 1))
     assert REGISTRY.resolve(png.encode(im)[:16]).format == "png"
