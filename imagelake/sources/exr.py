@@ -25,33 +25,43 @@ def _string(data: bytes, at: int) -> tuple[str, int]:
     return data[at:end].decode("utf-8", "replace"), end + 1
 
 
-def header(data: bytes) -> tuple[dict, int, int]:
-    """Attributes, version flags, and the place of the offset table."""
+def headers(data: bytes) -> tuple[list[dict], int, int]:
+    """Attributes of each part, version flags, and the place of the first offset table."""
     if data[:4] != MAGIC:
         raise FormatError("exr", "BadSignature", "", 0)
+    if len(data) < 8:
+        raise FormatError("exr", "TruncatedHeader", "", len(data))
     (version,) = struct.unpack("<I", data[4:8])
-    if version & 255 != 2 or version & 0x1800:
+    if version & 255 != 2:
         raise FormatError("exr", "Unsupported.Exr.Version", hex(version), 4)
-    attributes, at = {}, 8
+    if version & 0x800:
+        raise FormatError("exr", "Unsupported.Exr.Deep", "deep data is described only", 4)
+    parts, at = [], 8
     while True:
-        name, at = _string(data, at)
-        if not name:
-            break
-        kind, at = _string(data, at)
-        (n,) = struct.unpack("<I", data[at : at + 4])
-        if at + 4 + n > len(data):
-            raise FormatError("exr", "TruncatedHeader", name, at)
-        if name in attributes:
-            raise FormatError("exr", "DuplicateAttribute", name, at)
-        attributes[name] = (kind, data[at + 4 : at + 4 + n])
-        at += 4 + n
-    for name in REQUIRED:
-        if name not in attributes:
-            raise FormatError("exr", "MissingAttribute", name)
-    (aspect,) = struct.unpack("<f", attributes["pixelAspectRatio"][1])
-    if not 1e-6 <= aspect <= 1e6:
-        raise FormatError("exr", "BadAspect", str(aspect))
-    return attributes, version, at
+        attributes = {}
+        while True:
+            name, at = _string(data, at)
+            if not name:
+                break
+            kind, at = _string(data, at)
+            n = int.from_bytes(data[at : at + 4], "little")
+            if at + 4 + n > len(data):
+                raise FormatError("exr", "TruncatedHeader", name, at)
+            if name in attributes:
+                raise FormatError("exr", "DuplicateAttribute", name, at)
+            attributes[name] = (kind, data[at + 4 : at + 4 + n])
+            at += 4 + n
+        if not attributes and parts:
+            return parts, version, at
+        for name in (*REQUIRED, *(("name", "type", "chunkCount") if version & 0x1000 else ())):
+            if name not in attributes:
+                raise FormatError("exr", "MissingAttribute", name)
+        (aspect,) = struct.unpack("<f", attributes["pixelAspectRatio"][1])
+        if not 1e-6 <= aspect <= 1e6:
+            raise FormatError("exr", "BadAspect", str(aspect))
+        parts.append(attributes)
+        if not version & 0x1000:
+            return parts, version, at
 
 
 def channels_of(raw: bytes) -> list[tuple[str, int, int, int]]:
@@ -168,7 +178,25 @@ def compress(kind: str, raw: bytes) -> bytes:
 
 
 def decode(data: bytes, limits: Limits = Limits()) -> Image:
-    attributes, version, at = header(data)
+    """The first part; those after it stand in `others` by part number, their names and channels in the metadata."""
+    parts, version, at = headers(data)
+    if len(parts) > limits.parts:
+        raise FormatError("exr", "LimitExceeded", f"{len(parts)} parts")
+    out = None
+    for number, attributes in enumerate(parts):
+        image, at = _part(data, attributes, version, at, number, limits)
+        if out is None:
+            out = image
+        else:
+            out.others[number, 0, 0, 0] = image.samples
+        if version & 0x1000:
+            out.metadata.append(("exr.part", attributes["name"][1].decode("utf-8", "replace"), tuple(image.channels)))
+    return out
+
+
+def _part(data: bytes, attributes: dict, version: int, at: int, number: int, limits: Limits) -> tuple[Image, int]:
+    """One part, and where the offset table of the next one begins."""
+    multi, tiled = bool(version & 0x1000), "tiles" in attributes and (version & 0x200 or attributes.get("type", ("", b""))[1] == b"tiledimage")
     kind, lines = COMPRESSIONS.get(attributes["compression"][1][0], (None, 0))
     x0, y0, x1, y1 = struct.unpack("<4i", attributes["dataWindow"][1])
     w, h, channels = x1 - x0 + 1, y1 - y0 + 1, channels_of(attributes["channels"][1])
@@ -176,7 +204,7 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
         raise FormatError("exr", "BadHeader", "window, channels or compression")
     limits.check(w, h, 4 * len(channels))
     planes = {c: np.zeros((-(-h // sy), -(-w // sx)), KINDS[k][1]) for c, k, sx, sy in channels}
-    if version & 0x200:
+    if tiled:
         tw, th, mode = struct.unpack("<IIB", attributes["tiles"][1])
         if mode & 15:
             raise FormatError("exr", "Unsupported.Exr.Levels", "mip and rip levels")
@@ -187,10 +215,12 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
     if len(table) != len(regions):
         raise FormatError("exr", "TruncatedHeader", "offset table", at)
     for (rx, ry, rw, rh), place in zip(regions, table, strict=True):
-        lead = 20 if version & 0x200 else 8
+        lead = (20 if tiled else 8) + 4 * multi
         if place + lead > len(data):
             raise FormatError("exr", "BadChunkOffset", str(place))
-        if not version & 0x200 and struct.unpack("<i", data[place : place + 4])[0] != y0 + ry:
+        if multi and struct.unpack("<i", data[place : place + 4])[0] != number:
+            raise FormatError("exr", "BadChunkLeader", f"part {number}", place)
+        if not tiled and struct.unpack("<i", data[place + 4 * multi : place + 4 * multi + 4])[0] != y0 + ry:
             raise FormatError("exr", "BadChunkLeader", f"row {ry}", place)
         (n,) = struct.unpack("<I", data[place + lead - 4 : place + lead])
         rows = [(c, k, y // sy, rx // sx, -(-rw // sx)) for y in range(ry, ry + rh) for c, k, sx, sy in channels if (y0 + y) % sy == 0]
@@ -203,42 +233,57 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
             planes[c][y, x : x + count] = np.frombuffer(raw, KINDS[k][1], count, used)
             used += count * np.dtype(KINDS[k][1]).itemsize
     kinds = {KINDS[k][0] for _, k, _, _ in channels}
-    wide = np.float32 if kinds != {"uint32"} else np.uint32
-    if kinds == {"float16"}:
-        wide = np.float16
+    wide = np.float16 if kinds == {"float16"} else np.uint32 if kinds == {"uint32"} else np.float32
     full = [np.repeat(np.repeat(planes[c], sy, 0), sx, 1)[:h, :w].astype(wide) for c, k, sx, sy in channels]
-    other = [("exr", name, value) for name, (_, value) in attributes.items() if name not in REQUIRED and name != "tiles"]
-    return Image("exr", [c[0] for c in channels], np.dtype(wide).name, np.stack(full, 2), metadata=other, window=(x0, y0))
+    other = [("exr", name, value) for name, (_, value) in attributes.items() if name not in (*REQUIRED, "tiles", "name", "type", "chunkCount")]
+    return Image("exr", [c[0] for c in channels], np.dtype(wide).name, np.stack(full, 2), metadata=other, window=(x0, y0)), at + 8 * len(regions)
 
 
-def encode(image: Image, compression: str = "zip") -> bytes:
+def encode(image: Image, compression: str = "zip", tile: tuple[int, int] | None = None) -> bytes:
+    return encode_parts([("", image)], compression, tile)
+
+
+def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile: tuple[int, int] | None = None) -> bytes:
+    """Named parts, each in scan lines or, with `tile`, in tiles of one level; more than one make a multi-part file."""
     code, (_, lines) = next((k, v) for k, v in COMPRESSIONS.items() if v[0] == compression)
-    kind = {"uint32": 0, "float16": 1, "float32": 2}.get(image.sample)
-    if kind is None:
-        raise FormatError("exr", "Unsupported.Exr.Samples", image.sample)
-    h, w, _ = image.samples.shape
-    x0, y0 = image.window
-    order = sorted(range(len(image.channels)), key=lambda i: image.channels[i])
-    listed = b"".join(image.channels[i].encode() + b"\0" + struct.pack("<IB3xII", kind, 0, 1, 1) for i in order) + b"\0"
-    box = struct.pack("<4i", x0, y0, x0 + w - 1, y0 + h - 1)
-    attributes = [
-        ("channels", "chlist", listed), ("compression", "compression", bytes([code])), ("dataWindow", "box2i", box), ("displayWindow", "box2i", box),
-        ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", bytes(8)), ("screenWindowWidth", "float", struct.pack("<f", 1)),
-    ]
-    out = MAGIC + struct.pack("<I", 2) + b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<I", len(v)) + v for n, t, v in attributes) + b"\0"
-    planes = image.samples[:, :, order].astype(KINDS[kind][1])
-    chunks = []
-    for y in range(0, h, lines):
-        raw = np.ascontiguousarray(planes[y : y + lines].swapaxes(1, 2)).tobytes()
-        if compression == "piz":
-            count = min(lines, h - y)
-            made = make_piz(raw, [(image.channels[i], kind, yy, 0, w) for yy in range(count) for i in order])
-            packed = made if len(made) < len(raw) else raw
-        else:
-            packed = compress(compression, raw)
-        chunks.append(struct.pack("<iI", y0 + y, len(packed)) + packed)
-    at, table = len(out) + 8 * len(chunks), []
-    for c in chunks:
-        table.append(at)
-        at += len(c)
-    return out + struct.pack(f"<{len(table)}Q", *table) + b"".join(chunks)
+    multi, heads, bodies = len(parts) > 1, b"", []
+    for number, (name, image) in enumerate(parts):
+        kind = {"uint32": 0, "float16": 1, "float32": 2}.get(image.sample)
+        if kind is None:
+            raise FormatError("exr", "Unsupported.Exr.Samples", image.sample)
+        h, w, _ = image.samples.shape
+        x0, y0 = image.window
+        order = sorted(range(len(image.channels)), key=lambda i: image.channels[i])
+        planes = image.samples[:, :, order].astype(KINDS[kind][1])
+        step, across = (tile[1], tile[0]) if tile else (lines, w)
+        chunks = []
+        for y in range(0, h, step):
+            for x in range(0, w, across):
+                part = planes[y : y + step, x : x + across]
+                raw = np.ascontiguousarray(part.swapaxes(1, 2)).tobytes()
+                if compression == "piz":
+                    made = make_piz(raw, [(image.channels[i], kind, yy, 0, part.shape[1]) for yy in range(part.shape[0]) for i in order])
+                    packed = made if len(made) < len(raw) else raw
+                else:
+                    packed = compress(compression, raw)
+                place = struct.pack("<4i", x // across, y // step, 0, 0) if tile else struct.pack("<i", y0 + y)
+                chunks.append((struct.pack("<i", number) if multi else b"") + place + struct.pack("<I", len(packed)) + packed)
+        listed = b"".join(image.channels[i].encode() + b"\0" + struct.pack("<IB3xII", kind, 0, 1, 1) for i in order) + b"\0"
+        box = struct.pack("<4i", x0, y0, x0 + w - 1, y0 + h - 1)
+        attributes = [
+            ("channels", "chlist", listed), ("compression", "compression", bytes([code])), ("dataWindow", "box2i", box), ("displayWindow", "box2i", box),
+            ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", bytes(8)), ("screenWindowWidth", "float", struct.pack("<f", 1)),
+        ]
+        if tile:
+            attributes.append(("tiles", "tiledesc", struct.pack("<IIB", *tile, 0)))
+        if multi:
+            attributes += [("name", "string", name.encode()), ("type", "string", b"tiledimage" if tile else b"scanlineimage"), ("chunkCount", "int", struct.pack("<i", len(chunks)))]
+        heads += b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<I", len(v)) + v for n, t, v in attributes) + b"\0"
+        bodies.append(chunks)
+    out = MAGIC + struct.pack("<I", 2 | 0x1000 * multi | 0x200 * (tile is not None and not multi)) + heads + (b"\0" if multi else b"")
+    at, tables = len(out) + 8 * sum(map(len, bodies)), []
+    for chunks in bodies:
+        for c in chunks:
+            tables.append(at)
+            at += len(c)
+    return out + struct.pack(f"<{len(tables)}Q", *tables) + b"".join(c for chunks in bodies for c in chunks)

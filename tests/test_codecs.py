@@ -49,6 +49,18 @@ def test_exr_round_trip(kind, compression):
     assert (out.samples == v[:, :, [3, 2, 1, 0]]).all()
 
 
+@pytest.mark.parametrize("compression", ["none", "zip", "piz"])
+@pytest.mark.parametrize("tile", [None, (8, 16)])
+def test_exr_parts_and_tiles(compression, tile):
+    a = Image("exr", ["diffuse.R", "diffuse.G"], "float16", ramp(21, 37, 2, 900, np.float16))
+    b = Image("exr", ["Z"], "float32", ramp(9, 5, 1, 70, np.float32), window=(3, -2))
+    one = exr.decode(exr.encode(a, compression, tile))
+    assert one.channels == ["diffuse.G", "diffuse.R"] and (one.samples == a.samples[:, :, ::-1]).all()
+    out = exr.decode(exr.encode_parts([("beauty", a), ("depth", b)], compression, tile))
+    assert (out.samples == one.samples).all() and (out.others[1, 0, 0, 0] == b.samples).all()
+    assert [m[1:] for m in out.metadata] == [("beauty", ("diffuse.G", "diffuse.R")), ("depth", ("Z",))]
+
+
 @pytest.mark.parametrize("largest", [1, 300, 65_535])
 @pytest.mark.parametrize("shape", [(1, 1), (1, 9), (2, 2), (7, 5), (32, 33), (16, 64)])
 def test_wavelet_and_huffman_invert(largest, shape):
