@@ -7,7 +7,7 @@ part of the mix have no short SQL form; tests/llm holds the stages against brute
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imagelake.llm.common import table
@@ -39,20 +39,30 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, dropped)
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """Adds _id, doc_id without nulls; with text_key it names a row's id and text."""
+    return df.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
+
+
+def _numbered(docs: DataFrame, figures: DataFrame) -> DataFrame:
+    """docs with the figures of their (_id, text_key), and _nth, a number among rows that share both."""
+    d = _keyed(docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text")))
+    rows = Window.partitionBy("_id", "text_key").orderBy("lang", "source", "n_chars")  # as the join has dealt and sorted them
+    return d.join(figures, ["_id", "text_key"], "left").withColumn("_nth", F.row_number().over(rows))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the dropped rows. Where rows repeat a doc_id, as many of them go as were dropped."""
-    gone = table(dropped.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_gone")), "dropped")
-    d, g = docs.select(*COLUMNS).alias("d"), gone.alias("g")
-    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    return joined.filter("_gone is null").select("d.*")
+    """docs less the dropped rows. Of rows that repeat both id and text as many go as were dropped."""
+    gone = table(_keyed(dropped).groupBy("_id", "text_key").agg(F.count(F.lit(1)).alias("_gone")), "dropped")
+    return _numbered(docs, gone).filter("_gone is null or _nth > _gone").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    copies = table(mix(docs).filter("copies > 0").select("doc_id", "copies").distinct(), "copies").alias("c")
-    d = docs.select(*COLUMNS).alias("d")
-    joined = d.join(copies, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("d.*")
+    taken = _keyed(mix(docs)).groupBy("_id", "text_key").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    rows = _numbered(docs, table(taken.filter("_sum > 0"), "copies")).filter("_sum is not null")
+    copies = F.floor(F.col("_sum") / F.col("_n")) + (F.col("_nth") <= F.col("_sum") % F.col("_n")).cast("long")
+    return rows.withColumn("_copies", copies).filter("_copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

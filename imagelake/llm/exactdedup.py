@@ -33,10 +33,10 @@ from imagelake.llm.common import build_filter, filter_slot, in_filter, row_bytes
 _NONE = 2**63 - 1  # order of a null id: after all others
 
 _ENTRY = pa.schema(
-    [("doc_id", pa.int64()), ("sha", pa.binary()), ("alt", pa.int64()), ("run", pa.int64()), ("entry", pa.int64()),
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("sha", pa.binary()), ("alt", pa.int64()), ("run", pa.int64()), ("entry", pa.int64()),
      ("lead", pa.bool_()), ("first", pa.int64()), ("n", pa.int64())]
 )
-_ENTRY_DDL = "doc_id long, sha binary, alt long, run long, entry long, lead boolean, first long, n long"
+_ENTRY_DDL = "doc_id long, text_key long, sha binary, alt long, run long, entry long, lead boolean, first long, n long"
 
 
 def order_of(doc_id: int | None, sign: int) -> int:
@@ -59,15 +59,15 @@ class Memtable:
     def clear(self) -> None:
         self.held, self.rows, self.bytes = {}, 0, 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
+    def add(self, doc_id: int | None, key: int, text: bytes) -> None:
         text = text.lower()  # bytes: A-Z only
         sha = hashlib.sha256(text).digest()
         for entry in self.held.setdefault(sha[: self.digest_bytes], []):
             if entry[0] == text:  # the bytes decide, not the digest
-                entry[2].append(doc_id)
+                entry[2].append((doc_id, key))
                 break
         else:
-            self.held[sha[: self.digest_bytes]].append((text, sha, [doc_id]))
+            self.held[sha[: self.digest_bytes]].append((text, sha, [(doc_id, key)]))
             self.bytes += len(text)
         self.rows += 1
 
@@ -79,9 +79,9 @@ class Memtable:
         for digest in sorted(self.held):
             for text, sha, ids in self.held[digest]:
                 alt = alternative(text)
-                first = min(range(len(ids)), key=lambda i: (order_of(ids[i], self.sign), i))
-                for i, doc_id in enumerate(ids):
-                    rows.append((doc_id, sha, alt, self.run, self.next_entry, i == first, order_of(ids[first], self.sign), len(ids)))
+                first = min(range(len(ids)), key=lambda i: (order_of(ids[i][0], self.sign), i))
+                for i, (doc_id, key) in enumerate(ids):
+                    rows.append((doc_id, key, sha, alt, self.run, self.next_entry, i == first, order_of(ids[first][0], self.sign), len(ids)))
                 self.next_entry += 1
         self.clear()
         for at in range(0, len(rows), 20_000):
@@ -95,13 +95,13 @@ def runs(docs: DataFrame, sign: int, max_rows: int, max_bytes: int, digest_bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memtable = Memtable(TaskContext.get().partitionId(), sign, max_rows, max_bytes, digest_bytes)
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), row_bytes(b.column(1)), strict=True):
-                memtable.add(doc_id, text or b"")
+            for doc_id, text, key in zip(b.column(0).to_pylist(), row_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                memtable.add(doc_id, key, text or b"")
                 if memtable.full():
                     yield from memtable.flush()
         yield from memtable.flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ENTRY_DDL)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, _ENTRY_DDL)
 
 
 def contested_texts(docs: DataFrame, bitmap: bytes) -> DataFrame:
@@ -129,7 +129,8 @@ def contested_texts(docs: DataFrame, bitmap: bytes) -> DataFrame:
 def exact_dedup(
     docs: DataFrame, keep: str = "last", max_rows: int = 20_000, max_bytes: int = 32 << 20, digest_bytes: int = 32
 ) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id (of the row that stays), group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id (of the row that stays), group_size, kept,
+    text_sha256, and text_key, a hash of the text as it is.
 
     max_rows, max_bytes: what a memtable holds before it is flushed. digest_bytes: of the index key; shorter
     ones collide, which costs time but changes no result.
@@ -138,7 +139,7 @@ def exact_dedup(
     rows = table(runs(docs, sign, max_rows, max_bytes, digest_bytes), "runs")
     leads = rows.filter("lead").withColumn("digest", F.expr(f"substring(sha, 1, {digest_bytes})"))
     contested = leads.groupBy("digest").agg(F.count(F.lit(1)).alias("entries")).filter("entries > 1").select("digest")
-    hits = table(leads.join(contested, "digest", "left_semi").drop("lead", "run"), "hits")
+    hits = table(leads.join(contested, "digest", "left_semi").drop("lead", "run", "text_key"), "hits")
     bitmap = build_filter(hits.select(filter_slot(F.col("doc_id"))))
     # A repeated doc_id can bring several texts, and a text several times; one copy of each is compared.
     t = contested_texts(docs, bitmap).join(hits.select("sha").distinct(), "sha", "left_semi").distinct().alias("t")
@@ -161,4 +162,5 @@ def exact_dedup(
         F.coalesce("size", "n").alias("group_size"),
         (F.col("lead") & (F.coalesce("best_entry", "entry") == F.col("entry"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "text_key",
     )

@@ -115,7 +115,7 @@ def dart_minhash(elements: np.ndarray, k: int, weights: np.ndarray | None = None
 
 # ---------------------------------------------------------------- documents
 
-_NODE_DDL = "row long, doc_id long, node_key binary, n int, signature binary"
+_NODE_DDL = "row long, doc_id long, text_key long, node_key binary, n int, signature binary"
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -146,12 +146,12 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
                 made.append(last[key] if len(s) else b"")
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(made, pa.binary())],
-                ["row", "doc_id", "node_key", "n", "signature"],
+                [pa.array(np.arange(row, row + n)), b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(made, pa.binary())],
+                ["row", "doc_id", "text_key", "node_key", "n", "signature"],
             )
             row += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _NODE_DDL)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(run, _NODE_DDL)
 
 
 def shingle_sets(docs: DataFrame, bitmap: bytes, words: int) -> DataFrame:
@@ -230,7 +230,7 @@ def near_duplicates(
     at_once: int = 32, pivot_rounds: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
-    (one row of each class: that with class_id).
+    (one row of each class: that with class_id), and text_key, a hash of the text.
 
     A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default.
     """
@@ -306,7 +306,7 @@ def near_duplicates(
         "named",
     )
     # One row of a class leads: of those with the class's id the first.
-    rowed = made.select("row", "doc_id", "node_key", "n").join(named, "node_key", "left")
+    rowed = made.select("row", "doc_id", "text_key", "node_key", "n").join(named, "node_key", "left")
     leads = rowed.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n") > 0)).groupBy("root").agg(F.min("row").alias("lead_row"))
     named = rowed.join(leads, "root", "left")
     alone = F.col("n") == 0
@@ -316,4 +316,5 @@ def near_duplicates(
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
         (alone | (F.col("row") == F.col("lead_row"))).alias("lead"),
+        "text_key",
     )

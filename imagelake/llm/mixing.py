@@ -102,7 +102,8 @@ def min_cost_flow(patterns: dict[tuple, int], quota: dict, max_repeats: int) ->
 
 
 def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """docs with doc_id and text -> one row per row: doc_id, sources, size, source_size, target, copies, taken.
+    """docs with doc_id and text -> one row per row: doc_id, sources, size, source_size,
+    target, copies, taken, and text_key, the hash of the text that tells rows with one doc_id apart.
 
     sources: an array column with each document's sources; default: array(source). source_size and target are
     those of the document's first source. copies: how often the mix takes the document, 0 to max_repeats.
@@ -121,6 +122,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         sources.alias("sources"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("order"),
+        F.xxhash64("text").alias("text_key"),
     )
     sized = sized.withColumns({"pattern": F.to_json("sources", {"ignoreNullFields": "false"}), "bucket": F.shiftright("order", 60 - BUCKET_BITS)})
     sized = table(sized, "sized")
@@ -164,9 +166,9 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
     other = rows.filter(~F.coalesce(inside, F.lit(False))).withColumn(
         "extra", (F.col("size") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.col("rest") > 0)
     )
-    columns = ["doc_id", "sources", "size", "source_size", "target", "passes", "extra"]
+    columns = ["doc_id", "text_key", "sources", "size", "source_size", "target", "passes", "extra"]
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(0)
     return (
         other.select(columns).unionByName(last.select(columns))
-        .select("doc_id", "sources", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select("doc_id", "text_key", "sources", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )

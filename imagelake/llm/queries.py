@@ -48,7 +48,7 @@ FROM f
 
 @query
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(read(spark, sf_dir, "documents"), keep="last")
+    return exact_dedup(read(spark, sf_dir, "documents"), keep="last").drop("text_key")
 
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -196,7 +196,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM m
 
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query

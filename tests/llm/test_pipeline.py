@@ -36,3 +36,13 @@ def test_each_stage(steps):
     assert not any(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for n, a in enumerate(keys) for b in keys[:n])
     assert set(mixed.doc_id) <= set(far.doc_id) and max(Counter(mixed.doc_id).values()) <= 3
     assert Counter(ids.doc_id) == Counter(mixed.doc_id) and ids.round_trip.all()
+
+
+def test_stages_tell_repeated_ids_apart(spark):
+    long = "this is a text that is long enough to have shingles of its own and more words"
+    rows = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (1, "another text of the same id that has words of its own in it", "en", "b", 9), (None, long.upper(), None, None, 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text or "" for r in corpus_pipeline.exact(spark, docs, SF).collect()) == ["", rows[2][1], long]
+    assert sorted(r.text or "" for r in corpus_pipeline.near(spark, docs, SF).collect()) == ["", rows[2][1], long]
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, docs, SF).collect())
+    assert set(mixed) <= {r[:2] for r in rows} and mixed and (None, None) not in mixed
