@@ -29,6 +29,8 @@ from imagelake.llm.common import table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leading bits of the seeded order that the histogram holds for each pattern.
 BUCKET_BITS = 14
+#: Rows of the plan, one per pattern, that may be broadcast.
+MAX_BROADCAST = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: int = 3, max_repeats: int = 3) -> dict[str | None, float]:
@@ -156,6 +158,8 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
     plan = spark.createDataFrame(
         [(*r, *at.get(r["pattern"], (None, None))) for r in plan.collect()], plan.schema.add("cut", "long").add("before", "long")
     )
+    if len(patterns) <= MAX_BROADCAST:  # else Spark shuffles, and splits patterns with very many rows
+        plan = F.broadcast(plan)
     rows = sized.join(plan, "pattern")
     inside = F.col("bucket") == F.col("cut")
     # Only rows of the buckets that are cut are sorted.
