@@ -123,13 +123,11 @@ def train(labelled: DataFrame, rows_per_language: int = 600, features: Features
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    spark, scale = labelled.sparkSession, 1 << 40
-    share = spark.createDataFrame(
-        [(k, int(min(1.0, 1.1 * rows_per_language / n) * scale) if n > rows_per_language else scale) for k, n in sorted(counts.items())],
-        "lang string, bound long",
-    )
+    scale = 1 << 40
+    # The languages' shares as an expression: texts are filtered where they are read and don't move for a join.
+    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * rows_per_language / n) * scale)))]
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(scale))
-    sample = labelled.join(share, "lang").filter(chance < F.col("bound")).select("lang", chance.alias("chance"), "text")
+    sample = labelled.filter(chance < F.try_element_at(F.create_map(*shares), "lang")).select("lang", chance.alias("chance"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
