@@ -9,8 +9,8 @@
 2. Documents with the same shingle set are one node. Nodes that share a band of `rows` coordinates meet in a
    bucket. A bucket isn't expanded into pairs: its members are compared with a pivot, exactly. Jaccard distance
    is a metric, so a member that missed the pivot by more than twice the link distance can link to no member
-   that hit it; only members that missed are held against others, and only against those of other classes at a
-   like distance from the pivot.
+   that hit it; members outside a bucket's largest class are then held against those of other classes at a like
+   distance from the pivot.
 3. Classes are the connected components of the verified links.
 
 Defined results: texts without a word are classes of their own; a text shorter than a shingle is one shingle;
@@ -227,7 +227,7 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4,
-    at_once: int = 32, pivot_rounds: int = 6,
+    at_once: int = 64, pivot_rounds: int = 6,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
     (one row of each class: that with class_id), and text_key, a hash of the text.
@@ -270,34 +270,30 @@ def near_duplicates(
     reach = rest.filter(miss).groupBy("bucket").agg(F.count(F.lit(1)).alias("misses"), F.min("away").alias("nearest"))
     reach = table(reach.filter((F.col("misses") > 1) | (F.col("nearest") <= 2 * far + 1e-9)), "reach")
     rest = rest.join(reach.select("bucket", "nearest"), "bucket").filter(miss | (F.col("away") >= F.col("nearest") - far - 1e-9))
-    open_ = table(rest.select("bucket", "node", "away", miss.alias("miss"), F.xxhash64("bucket", "node").alias("turn")), "open")
-    last = None
-    for n in range(pivot_rounds + 1):
-        if not open_.filter("miss").head(1):
-            break
-        members = open_.join(known, "node", "left").select(*open_.columns, F.coalesce("root", "node").alias("root"))
-        if last is not None:
-            members = members.withColumn("miss", F.col("miss") & (F.col("turn") > last))
-        # In each round members that missed, by a hashed turn, are held against all that the triangle inequality
-        # leaves: about `at_once` of each bucket, so pairs grow with a bucket, not with its square. In the last
-        # round all that remain are.
-        widest = members.filter("miss").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
-        if not widest:
-            break
-        top = 2**63 - 1
-        low = -(2**63) if last is None else last
-        limit = top if widest <= at_once or n == pivot_rounds else low + (top - low) // -(-widest // at_once)
-        members = table(members, "members")
-        one = members.filter(F.col("miss") & (F.col("turn") <= limit)).alias("o")
-        near = (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.root") != F.col("m.root")) & (F.abs(F.col("o.away") - F.col("m.away")) <= far + 1e-9)
+    rest = rest.join(known, "node", "left").select("bucket", "node", "away", miss.alias("miss"), F.coalesce("root", "node").alias("root"))
+    rest = table(rest, "open")
+    # Two members of different classes: one of them is outside its bucket's largest class. Those outside are few.
+    sizes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    several = table(sizes.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "several")
+    open_ = table(rest.join(several.select("bucket", "major"), "bucket").select("bucket", "node", "away", "miss", (F.col("root") != F.col("major")).alias("minor"), F.xxhash64("bucket", "node").alias("turn")), "minor")
+    widest = open_.filter("minor").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    # Where very many stand outside they take turns, and classes that merge meanwhile save the later ones' pairs:
+    # pairs of a round grow with a bucket, not with its square. The last round takes all that remain.
+    rounds = min(-(-widest // at_once), pivot_rounds)
+    for n in range(rounds):
+        low = -(2**63) + 2**64 * n * at_once // widest
+        high = 2**63 - 1 if n == rounds - 1 else -(2**63) + 2**64 * (n + 1) * at_once // widest - 1
+        members = open_.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        one = members.filter(F.col("minor") & F.col("turn").between(low, high)).alias("o")
+        near = (
+            (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.root") != F.col("m.root")) & (F.col("o.miss") | F.col("m.miss"))
+            & (F.abs(F.col("o.away") - F.col("m.away")) <= far + 1e-9)
+        )
         pairs = one.join(members.alias("m"), near).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
         scored = table(verified(table(pairs, "pairs"), sets), "scored").filter(is_link).select("a", "b")
         if scored.head(1):
             links = table(links.union(scored).distinct(), "links")
             known = table(components(links), "classes")
-        if limit == top:
-            break
-        last = limit
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.select("node", "node_key", "least_id", "copies").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
