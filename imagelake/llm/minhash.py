@@ -192,6 +192,48 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
+def against(members: DataFrame, outside: DataFrame, sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """Links between members outside their bucket's largest class and all others of the bucket, as a query set
+    against all rows, in blocks: a block of `outside` goes to every task, and each member comes once with its
+    buckets and its set. No pair is a row; only links are."""
+    far = 1 - threshold
+    rows = members.groupBy("node", "root").agg(F.collect_list(F.struct("bucket", "away", "miss")).alias("places")).join(sets, "node")
+    rows = table(rows.select("node", "root", "places", "elements"), "inside")
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        held = {r["node"]: (r["root"], np.frombuffer(r["elements"], _U)) for r in outside.filter(block == k).collect()}
+        at: dict[int, list] = {}
+        for r in members.filter("minor").filter(block == k).select("bucket", "node", "away", "miss").collect():
+            at.setdefault(r["bucket"], []).append((r["node"], r["away"], r["miss"]))
+        shared = members.sparkSession.sparkContext.broadcast((held, at))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held, at = shared.value
+            for b in batches:
+                links = []
+                for node, root, places, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    x = np.frombuffer(x, _U)
+                    near = {
+                        u for p in places for u, away, miss in at.get(p["bucket"], ())
+                        if (miss or p["miss"]) and abs(away - p["away"]) <= far + 1e-9 and held[u][0] != root
+                    }
+                    for u in near:
+                        y = held[u][1]
+                        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+                            continue
+                        both = np.concatenate((x, y))
+                        both.sort()
+                        same = int(np.count_nonzero(both[1:] == both[:-1]))
+                        if same >= (threshold - 1e-12) * (len(both) - same):
+                            links.append((min(u, node), max(u, node)))
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        found = table(rows.mapInArrow(run, "a long, b long"), "links")
+        out = found if out is None else out.union(found)
+    return out
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -227,7 +269,7 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4,
-    at_once: int = 64, pivot_rounds: int = 6,
+    at_once: int = 64, pivot_rounds: int = 6, block_bytes: int = 24 << 20, most_blocks: int = 16,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
     (one row of each class: that with class_id), and text_key, a hash of the text.
@@ -257,10 +299,20 @@ def near_duplicates(
         .select("w.node", "f.elements").dropDuplicates(["node"]),
         "sets",
     )
-    pairs = table(active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    scored = table(verified(pairs, sets), "scored")
     is_link = F.col("similarity") >= threshold - 1e-12
-    links = scored.filter(is_link).select("a", "b")
+    # First one pivot for each node, the one it shares most bands with; then, where a bucket still holds several
+    # classes, all of its pivot's pairs.
+    shared = active.filter("node != pivot").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", "b")
+    first = table(verified(table(best, "pairs"), sets), "scored")
+    links = first.filter(is_link).select("a", "b")
+    known = table(components(links), "classes")
+    rooted = active.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = table(rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket"), "mixed")
+    active = table(active.join(mixed, "bucket", "left_semi"), "members")
+    others = active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    scored = table(verified(table(others, "pairs"), sets).union(first), "scored")
+    links = table(scored.filter(is_link).select("a", "b"), "links")
     known = table(components(links), "classes")
     # What pivots leave: a member that missed its pivot may link to members that the pivot doesn't tell apart from it.
     rest = active.filter("members > 2 and node != pivot").select("bucket", "node", "pivot").alias("r")
@@ -275,15 +327,23 @@ def near_duplicates(
     # Two members of different classes: one of them is outside its bucket's largest class. Those outside are few.
     sizes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     several = table(sizes.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "several")
-    open_ = table(rest.join(several.select("bucket", "major"), "bucket").select("bucket", "node", "away", "miss", (F.col("root") != F.col("major")).alias("minor"), F.xxhash64("bucket", "node").alias("turn")), "minor")
-    widest = open_.filter("minor").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
+    open_ = table(rest.join(several.select("bucket", "major"), "bucket").select("bucket", "node", "away", "miss", (F.col("root") != F.col("major")).alias("minor"), "root", F.xxhash64("bucket", "node").alias("turn")), "minor")
+    outside = open_.filter("minor").select("node", "root").distinct().join(sets, "node")
+    outside = table(outside, "outside")
+    held_bytes = outside.agg(F.sum(F.octet_length("elements") + 64)).head()[0] or 0
+    in_blocks = 0 < held_bytes <= most_blocks * block_bytes
+    if in_blocks:
+        found = against(open_, outside, sets, -(-held_bytes // block_bytes), threshold)
+        links = table(links.union(found).distinct(), "links")
+        known = table(components(links), "classes")
+    widest = 0 if in_blocks else open_.filter("minor").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
     # Where very many stand outside they take turns, and classes that merge meanwhile save the later ones' pairs:
     # pairs of a round grow with a bucket, not with its square. The last round takes all that remain.
     rounds = min(-(-widest // at_once), pivot_rounds)
     for n in range(rounds):
         low = -(2**63) + 2**64 * n * at_once // widest
         high = 2**63 - 1 if n == rounds - 1 else -(2**63) + 2**64 * (n + 1) * at_once // widest - 1
-        members = open_.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        members = open_.drop("root").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         one = members.filter(F.col("minor") & F.col("turn").between(low, high)).alias("o")
         near = (
             (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.root") != F.col("m.root")) & (F.col("o.miss") | F.col("m.miss"))
