@@ -249,3 +249,27 @@ def test_codewords_are_apart():
 @pytest.mark.parametrize("run", [exactdedup.exact_dedup, linededup.line_dedup, quality.quality, minhash.near_duplicates, mixing.mix, langid.language_id])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    """One base with few to many changed words: copies link to some others only, so pivots don't settle it."""
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) + str(i) for i in range(150)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(1, 7)):
+            words[rng.randrange(150)] = f"w{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
+    root = list(range(120))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for options in ({}, {"most_blocks": 0, "at_once": 8}, {"block_bytes": 4000, "most_blocks": 10**6}):
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, **options).collect()}
+        assert got == {i: find(i) for i in range(120)}
