@@ -1,14 +1,15 @@
 """URL filters by a temporal list join, in DataFrame operations only.
 
-List entries are dated: an `add` makes a pattern active from its date on, until a `remove` or the pattern's next
-entry. Sorted by date they become validity intervals. A capture is held against the entries active at its
+List entries are dated: an `add` makes a pattern active in its category from its date on, until a `remove` or the
+next entry of that pattern and category. Sorted by date they become validity intervals. A capture is held against the entries active at its
 fetch date by an as-of join: its URL names the few patterns that could match (each domain above its host, the
 host, each leading part of its path), and these meet the intervals on equality of the pattern with the date
-within. Intervals of one pattern don't overlap, so a capture meets at most one per pattern; the longest
-pattern decides, and of equally long ones a block. Captures are salted and intervals repeated per salt, so a
+within. Intervals of one pattern and category don't overlap, so a capture meets at most one per pattern and
+category; the longest pattern decides, and of equally long ones a block. Captures are salted and intervals repeated per salt, so a
 host with a third of all captures is spread.
 
-Entries of one pattern and date: a remove beats an add. Defined results: a null or unparseable url has host null
+Entries of one pattern, category and date: a remove beats an add; other categories are not touched by it, and a
+null category is one of its own. Defined results: a null or unparseable url has host null
 and verdict none; so has a null date; null patterns, dates or actions in the list are no entries; repeated rows
 of captures each get a row; an empty table gives an empty result; columns other than those named are not read.
 """
@@ -31,9 +32,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     """entries (pattern, category, entry_date, action) -> (pattern, category, since, until); until is null while
     the last entry holds. Patterns: `d:` domain and all below it, `h:` exact host, `p:` host and leading path."""
     clean = entries.filter("pattern is not null and entry_date is not null and action in ('add', 'remove')")
-    # One entry per pattern and date: of the same date a remove wins, then the smallest category.
-    daily = clean.groupBy("pattern", "entry_date").agg(F.max_by("action", "action").alias("action"), F.min("category").alias("category"))
-    line = Window.partitionBy("pattern").orderBy("entry_date")
+    # One entry per pattern, category and date: of the same date a remove wins.
+    daily = clean.groupBy("pattern", "category", "entry_date").agg(F.max("action").alias("action"))
+    line = Window.partitionBy("pattern", "category").orderBy("entry_date")
     return (
         daily.withColumn("until", F.lead("entry_date").over(line))
         .filter("action = 'add'")

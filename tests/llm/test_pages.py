@@ -110,3 +110,19 @@ def test_url_filter(spark):
     out = urlfilter.url_filter(captures, listed).collect()
     assert Counter((r.page_id, r.verdict) for r in out) == Counter((i, v) for i, _, _, v in cases)
     assert urlfilter.url_filter(captures.limit(0), listed.limit(0)).count() == 0
+
+
+def test_url_filter_categories(spark):
+    """A pattern in several categories: entries of one leave those of the others active."""
+    entries = [
+        ("d:x.org", "malware", day(0), "add"), ("d:x.org", "spam", day(10), "add"), ("d:x.org", "spam", day(20), "remove"),
+        ("d:y.org", "allow", day(0), "add"), ("d:y.org", "malware", day(0), "add"), ("d:y.org", "malware", day(5), "remove"),
+        ("d:z.org", "adult", day(3), "remove"), ("d:z.org", "spam", day(3), "add"), ("d:z.org", "spam", day(3), "add"),
+    ]
+    cases = [
+        ("x", 5, "block", "malware", 1), ("x", 15, "block", "spam", 2), ("x", 25, "block", "malware", 1),
+        ("y", 0, "block", "malware", 2), ("y", 5, "allow", "allow", 1), ("z", 2, "none", None, 0), ("z", 3, "block", "spam", 1),
+    ]
+    captures = spark.createDataFrame([(i, f"http://{h}.org/", day(n)) for i, (h, n, *_) in enumerate(cases)], "page_id long, url string, fetch_date date")
+    out = urlfilter.url_filter(captures, spark.createDataFrame(entries, "pattern string, category string, entry_date date, action string"))
+    assert sorted((r.page_id, r.verdict, r.category, r.n_active) for r in out.collect()) == [(i, *c[2:]) for i, c in enumerate(cases)]
