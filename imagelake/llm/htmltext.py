@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags. The first pass labels each block from its length, link density and
 stop-word density, and from where it stands (menus, headers, footers, asides, forms, adverts, notices and
-reader comments are bad; inside an article or main element only these are). Blocks too short to judge stay
+reader comments are bad; inside an article or main element only these are). Roles, hidden elements and names that
+are wholly those of adverts, notices or reader comments condemn what stands in them; other words of class and id
+do so only if most of the text there fails the density rules, and never for html, body, main or article (but an
+article named a comment after another article is one). Blocks too short to judge stay
 ambiguous; the second pass gives them the label of the nearest decided block, within the article if they stand
 in one. The good blocks in page order are the text.
 
@@ -51,16 +54,24 @@ BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
     "topbar toolbar share sharing social related recommended widget newsletter subscribe signup login search pagination "
-    "pager tags comment comments disqus discussion replies reply respond".split()
+    "pager tags comment comments disqus replies reply respond".split()
 )
-COMMENT_NAMES = frozenset("comment comments disqus discussion replies reply respond".split())
+COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: Those that need no look at the text, if a whole token is made of them, other bad names and names of mere parts.
+HARD_NAMES = COMMENT_NAMES | frozenset(
+    "ad ads adv advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr newsletter subscribe signup login".split()
+)
+PART_NAMES = frozenset("area bar block body box container content count form group holder inner item list outer panel section slot thread title unit wrap wrapper".split())
+#: Elements that hold the article or the page, whatever their class and id.
+OUTER = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# A name with its value, so that no value is read as a name; or a stray quoted string.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _WHITE = re.compile(r"\s+")
@@ -82,42 +93,50 @@ class Block:
     heading: bool
     article: int  # 0: outside; else the article's number
     bad: bool  # by its place
+    soft: int  # the innermost element above whose names its text may refute; 0: none
     label: str = ""
 
 
-def names_of(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark a bad container, and whether one of reader comments."""
-    bad = comment = False
+def names_of(attrs: str, ids: bool = True) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes mark a bad element by role or hiding, by hard names, one of reader comments, and by names
+    that its text may refute. Without `ids` only classes are names."""
+    found: dict[str, str] = {}
     for key, a, b, c in _ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "role":
-            bad |= value in BAD_ROLES
-        elif key in ("class", "id"):
-            words = set(_NAME.findall(value))
-            bad |= not words.isdisjoint(BAD_NAMES)
+        found.setdefault(key.lower(), (a or b or c).lower())
+    bad = "hidden" in found or found.get("aria-hidden") == "true" or not BAD_ROLES.isdisjoint(found.get("role", "").split())
+    hard = comment = soft = False
+    for token in found.get("class", "").split() + (found.get("id", "").split() if ids else []):
+        words = set(_NAME.findall(token))
+        if words.isdisjoint(BAD_NAMES):
+            continue
+        if words <= BAD_NAMES | PART_NAMES and not words.isdisjoint(HARD_NAMES):
+            hard = True
             comment |= not words.isdisjoint(COMMENT_NAMES)
         else:
-            bad |= key == "hidden" or value == "true"
-    return bad, comment
+            soft = True
+    return bad, hard, comment, soft
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks in page order, and of each soft element the next soft one above it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, bad, comment, article
+    above: list[int] = [0]
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, bad, comment, article, soft
     parts: list[str] = []
     linked = links = articles = 0
     leaf_bad = leaf_heading = False
+    leaf_soft = 0
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][3]) if stack else (False, 0)
+    def state() -> tuple[bool, int, int]:
+        return (stack[-1][1], stack[-1][3], stack[-1][4]) if stack else (False, 0, 0)
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = _WHITE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                bad, article = state()
-                out.append(Block(text, linked, leaf_heading, article, (bad and not (leaf_heading and article and stack[-1][0] == "header")) or leaf_bad))
+                bad, article, soft = state()
+                out.append(Block(text, linked, leaf_heading, article, (bad and not (leaf_heading and article and stack[-1][0] == "header")) or leaf_bad, leaf_soft or soft))
             parts.clear()
         linked = 0
 
@@ -140,29 +159,71 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCKS:
             continue
         close()
-        links, leaf_bad, leaf_heading = 0, False, False
+        links, leaf_bad, leaf_heading, leaf_soft = 0, False, False, 0
         if m["end"]:
             if tag in CONTAINERS and any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
-        bad, comment = names_of(m["attrs"]) if m["attrs"] else (False, False)
+        # The id of a heading is an anchor of its section.
+        bad, hard, comment, soft = names_of(m["attrs"], tag not in HEADINGS) if m["attrs"] else (False, False, False, False)
+        if tag in OUTER:
+            hard = comment = comment and tag == "article" and articles > 0
+            soft = False
+        above_bad, article, within = state()
         if tag in CONTAINERS:
-            above_bad, article = state()
             above_comment = bool(stack) and stack[-1][2]
             if tag in ("article", "main"):
                 if not article:
                     articles += 1
                     article = articles
                 above_bad = above_comment
-            bad |= tag in BAD_ELEMENTS or tag == "header"
-            stack.append((tag, bad or above_bad, comment or above_comment, article))
+                within = 0
+            bad |= hard or tag in BAD_ELEMENTS or tag == "header"
+            if soft:
+                above.append(within)
+                within = len(above) - 1
+            stack.append((tag, bad or above_bad, comment or above_comment, article, within))
         else:
-            leaf_bad, leaf_heading = bad, tag in HEADINGS
+            leaf_bad, leaf_heading = bad or hard, tag in HEADINGS
+            if soft and not leaf_heading:
+                above.append(within)
+                leaf_soft = len(above) - 1
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return out, above
+
+
+def stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def condemn(blocks: list[Block], above: list[int], rules: Rules) -> None:
+    """Marks the blocks of soft elements bad, but for elements with at least half their text outside links in blocks
+    that pass the density rules (and outside articles more than a long block's worth)."""
+    if len(above) == 1:
+        return
+    passed, whole, apart = [0] * len(above), [0] * len(above), [0] * len(above)
+    for b in blocks:
+        if b.soft and not b.bad:
+            n = len(b.text)
+            whole[b.soft] += max(0, n - b.linked)
+            apart[b.soft] |= not b.article
+            if not b.heading and n >= rules.short and b.linked <= rules.links * n and (b.article or "©" not in b.text):
+                passed[b.soft] += n if stops(b.text) >= (rules.stop_low if b.article else rules.stop_high) else 0
+    keeps = [True] * len(above)
+    for i in range(len(above) - 1, 0, -1):  # those within come after those around them
+        keeps[i] = passed[i] > (rules.long if apart[i] else 0) and 2 * passed[i] >= whole[i]
+        if keeps[i] and above[i]:
+            for sums in (passed, whole):
+                sums[above[i]] += sums[i]
+            apart[above[i]] |= apart[i]
+    for i in range(1, len(above)):
+        keeps[i] &= keeps[above[i]]
+    for b in blocks:
+        b.bad |= not keeps[b.soft]
 
 
 def first_pass(blocks: list[Block], rules: Rules) -> None:
@@ -173,8 +234,7 @@ def first_pass(blocks: list[Block], rules: Rules) -> None:
         if b.bad or (within and not b.article) or density > rules.links or (not b.article and "©" in b.text):
             b.label = "bad"
             continue
-        words = _WORD.findall(b.text.lower())
-        stop = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+        stop = stops(b.text)
         if b.article:
             b.label = "good" if stop >= rules.stop_low and n >= rules.short else "ambiguous"
         elif n < rules.short or b.heading:
@@ -217,7 +277,8 @@ def second_pass(blocks: list[Block]) -> list[str]:
 def main_text(page: str, rules: Rules = Rules()) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks, above = blocks_of(page)
+    condemn(blocks, above, rules)
     first_pass(blocks, rules)
     return " ".join(b.text for b, label in zip(blocks, second_pass(blocks), strict=True) if label == "good")
 

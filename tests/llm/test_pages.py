@@ -82,6 +82,25 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article style="overflow:hidden" title="A hidden valley" data-id="menu-3"><p>Text</p></article>', "Text"),
+        ("<article><div style='overflow:hidden'><p>A</p></div><div data-class=ad data-role='navigation'><p>B</p></div><div title=\"class='ad'\"><p>C</p></div></article>", "A B C"),
+        ("<article><p>A</p><div HIDDEN><p>B</p></div><div aria-hidden = 'true'><p>C</p></div><div aria-hidden=false><p>D</p></div><div role=navigation><p>E</p></div></article>", "A D"),
+        ('<article class="post tag-social"><p>Text</p></article>', "Text"),
+        ('<article><p>A</p><section id="discussion"><h2 id="related-work">Discussion</h2><p>B</p></section></article>', "A Discussion B"),
+        (f'<html class="no-sidebar"><body class="right-sidebar comments"><p>{LONG}</p><div class="menu"><a href=x>Menu</a></div></body></html>', LONG),
+        (f'<div class="widget Blog"><h2>Title</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p><div class="sidebar"><a href=x>Link</a> more</div></div>', f"Title {LONG} Short. {LONG}"),
+        (f'<article><p>A</p><div class="related-work"><p>{LONG}</p><p>B</p></div><div class="share-this"><p>Share</p></div></article>', f"A {LONG} B"),
+        (f'<article><p>A</p><div class="ad-slot"><p>{LONG}</p></div><ol class="comment-list"><li>{LONG}</ol></article><article class="comment"><p>{LONG}</p></article>', "A"),
+    ],
+)
+def test_main_text_names(page, text):
+    """Attributes are read by exact name, and words of class and id don't outweigh the text."""
+    assert htmltext.main_text(page) == text
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>É ß</p></article>", "x"), (1, "u", "<article><p>É ß</p></article>", "x"), (None, None, None, None), (2, "v", "<article>" + "<p>word</p>" * 20_000, "y")]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
