@@ -60,7 +60,9 @@ class QualityRules:
 
 def line_fails(line: bytes, words: list[bytes], rules: QualityRules) -> str | None:
     """The kind of rule that a line with words fails, or None."""
-    end = line[-64:].decode("utf-8", "ignore").rstrip(CLOSING)
+    size = 64
+    while not (end := line[-size:].decode("utf-8", "ignore").rstrip(CLOSING)) and size < len(line):
+        size *= 4  # closing marks only so far
     if end[-1:] not in _TERMINAL:
         return "punctuation"
     n = len(words)

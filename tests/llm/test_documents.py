@@ -115,6 +115,13 @@ def test_line_rules(line, verdict):
     assert quality.line_fails(line.encode(), line.encode().split(), quality.QualityRules()) == verdict
 
 
+@pytest.mark.parametrize("marks", [22, 63, 64, 65, 400])
+def test_line_rules_look_behind_all_closing_marks(marks):
+    for mark in "\"”)":
+        for line, verdict in (("This is a plain sentence." + mark * marks, None), ("no end mark here" + mark * marks, "punctuation"), (mark * marks, "punctuation")):
+            assert quality.line_fails(line.encode(), line.encode().split(), quality.QualityRules()) == verdict
+
+
 def test_quality_removes_lines_and_rejects(spark):
     good = "The first sentence of it all is here and stays.\nThe second one is also fine, and it is long."
     rows = [(1, good + "\nHome | News | Sport | About ."), (2, "no end\nmarks at all\nin these lines\n" * 5 + "One good line is here."), (3, None)]
