@@ -212,12 +212,12 @@ def against(members: DataFrame, outside: DataFrame, sets: DataFrame, blocks: int
             held, at = shared.value
             for b in batches:
                 links = []
-                for node, root, places, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                    x = np.frombuffer(x, _U)
+                for node, root, places, elements in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                     near = {
                         u for p in places for u, away, miss in at.get(p["bucket"], ())
                         if (miss or p["miss"]) and abs(away - p["away"]) <= far + 1e-9 and held[u][0] != root
                     }
+                    x = np.frombuffer(elements.as_py(), _U) if near else None
                     for u in near:
                         y = held[u][1]
                         if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
@@ -230,6 +230,7 @@ def against(members: DataFrame, outside: DataFrame, sets: DataFrame, blocks: int
                 yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         found = table(rows.mapInArrow(run, "a long, b long"), "links")
+        shared.destroy()  # its links are written, and the next block takes its place
         out = found if out is None else out.union(found)
     return out
 
@@ -269,12 +270,14 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4,
-    at_once: int = 64, pivot_rounds: int = 6, block_bytes: int = 24 << 20, most_blocks: int = 16,
+    at_once: int = 64, pivot_rounds: int = 6, block_bytes: int = 24 << 20, most_blocks: int | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
     (one row of each class: that with class_id), and text_key, a hash of the text.
 
     A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default.
+    Members outside their bucket's largest class are held against the others in as many blocks of block_bytes as they
+    fill; only with `most_blocks` does what would fill more blocks go through rounds of pair rows instead.
     """
     k, far = bands * rows, 1 - threshold
     made = table(signatures(docs, words, k), "signatures")
@@ -331,7 +334,7 @@ def near_duplicates(
     outside = open_.filter("minor").select("node", "root").distinct().join(sets, "node")
     outside = table(outside, "outside")
     held_bytes = outside.agg(F.sum(F.octet_length("elements") + 64)).head()[0] or 0
-    in_blocks = 0 < held_bytes <= most_blocks * block_bytes
+    in_blocks = held_bytes > 0 and (most_blocks is None or held_bytes <= most_blocks * block_bytes)
     if in_blocks:
         found = against(open_, outside, sets, -(-held_bytes // block_bytes), threshold)
         links = table(links.union(found).distinct(), "links")

@@ -280,3 +280,24 @@ def test_near_duplicates_around_the_threshold(spark):
     for options in ({}, {"most_blocks": 0, "at_once": 8}, {"block_bytes": 4000, "most_blocks": 10**6}):
         got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, **options).collect()}
         assert got == {i: find(i) for i in range(120)}
+
+
+def test_near_duplicates_take_one_path_at_any_size(spark, monkeypatch):
+    """However many blocks the members outside their bucket's largest class fill, no pair becomes a row."""
+    rng = random.Random(5)
+    base = [rng.choice(WORDS) + str(i) for i in range(150)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randint(1, 7)):
+            words[rng.randrange(150)] = f"w{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blocks, pairs = [], []
+    against, verified = minhash.against, minhash.verified
+    monkeypatch.setattr(minhash, "against", lambda *a: blocks.append(a[3]) or against(*a))
+    monkeypatch.setattr(minhash, "verified", lambda *a: pairs.append(1) or verified(*a))
+    few = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    many = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block_bytes=1500).collect()}
+    assert few == many and len(pairs) == 4
+    assert blocks[0] == 1 and blocks[1] > 16
