@@ -1,13 +1,19 @@
 """Stages of the pipeline, each against its own input, on the smallest table."""
 
+import re
 from collections import Counter
 
+import duckdb
 import pytest
+import sentencepiece
 
 import corpus_pipeline
+from imagelake.llm import quality, sentencepieces
 from imagelake.llm.common import table
+from imagelake.llm.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +52,59 @@ def test_stages_tell_repeated_ids_apart(spark):
     assert sorted(r.text or "" for r in corpus_pipeline.near(spark, docs, SF).collect()) == ["", rows[2][1], long]
     mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.source_mix(spark, docs, SF).collect())
     assert set(mixed) <= {r[:2] for r in rows} and mixed and (None, None) not in mixed
+
+
+def rows_of(d, columns=corpus_pipeline.COLUMNS):
+    """Rows as a multiset; missing values are None."""
+    return Counter(tuple(None if v is None or v != v else v for v in r) for r in d[list(columns)].itertuples(index=False))
+
+
+def fails(line):
+    """The line rules of imagelake.llm.quality, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    bare = line.strip(" \t\n\x0b\x0c\r").rstrip(quality.CLOSING)
+    marked = sum(bool(re.search(r"[!?.,;:#*$%&|<>~=_+^@-]{2}", w)) for w in words)
+    between = sum(w in quality.SEPARATORS for w in words)
+    lower = "".join(c.lower() if c.isascii() else c for c in line)
+    stock = len(words) <= 25 and any(p in lower for p in quality.PHRASES)
+    return bool(words) and (not bare.endswith(tuple(quality.TERMINAL)) or marked > 0.3 * len(words) or between > 0.2 * len(words) or stock)
+
+
+def test_each_stage_keeps_whole_rows(steps):
+    """The rows of each stage in full, against SQL or brute force over its input."""
+    docs, clean, unique, far, mixed, ids = steps
+    con = duckdb.connect()
+
+    def sql(name, table):
+        con.register("documents", table)
+        return {r[0]: r[1] for r in con.execute(f"SELECT doc_id, {name[1]} FROM ({ORACLES[name[0]]})").fetchall()}
+
+    assert docs.doc_id.is_unique and docs.doc_id.notna().all()  # rows are told apart by id below
+    kept, want = sql(("op10_quality_rules", "kept"), docs), Counter()
+    for r in docs.itertuples():
+        if kept[r.doc_id]:
+            text = "\n".join(x for x in (r.text or "").split("\n") if not fails(x))
+            want[r.doc_id, text, r.lang, r.source, len(text)] += 1
+    assert rows_of(clean) == want and any(kept.values()) and not all(kept.values())
+
+    last = clean.assign(k=[t.translate(AZ) for t in clean.text]).groupby("k").doc_id.max()
+    assert rows_of(unique) == rows_of(clean[clean.doc_id.isin(last)])
+
+    grams, root = {}, {}
+    for i, t in sorted(zip(unique.doc_id, unique.text, strict=True)):
+        w = t.encode().lower().split()
+        grams[i], root[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), i
+    find = lambda i: i if root[i] == i else find(root[i])
+    for n, a in enumerate(grams):
+        for b in list(grams)[:n]:
+            if grams[a] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert rows_of(far) == rows_of(unique[[find(i) == i for i in unique.doc_id]])
+
+    copies = sql(("op7_mixing", "copies"), far)
+    assert rows_of(mixed) == Counter({r: n for r in rows_of(far) if (n := copies[r[0]])}) and len(mixed)
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    got = Counter((r.doc_id, r.lang, r.source, tuple(r.ids), r.n_ids) for r in ids.itertuples())
+    assert got == Counter((r.doc_id, r.lang, r.source, tuple(e := library.encode(r.text)), len(e)) for r in mixed.itertuples())
