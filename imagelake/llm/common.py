@@ -64,6 +64,17 @@ def drop_table(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch_path)
 
 
+def spread_join(rows: DataFrame, key: str, by: str, partial: list[Column], whole: list[Column], salts: int = 32) -> DataFrame:
+    """rows with figures of their key: `partial` aggregates over rows, `whole` over those. Rows of one key are dealt
+    over `salts` tasks by the column `by`, and its figures go to each of these, so a key may hold a third of all
+    rows; keys with few rows are repeated no more often than they have rows. Figures replace columns of their names."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    figures = salted.groupBy(key, "_salt").agg(*partial).groupBy(key).agg(*whole, F.collect_set("_salt").alias("_salts"))
+    names = [c for c in figures.columns if c not in (key, "_salts")]
+    spread = figures.select(key, *names, F.explode("_salts").alias("_salt"))
+    return salted.drop(*names).join(table(spread, "spread"), [key, "_salt"]).drop("_salt")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is; pure ASCII takes the byte-wise path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -1,16 +1,19 @@
 """Near duplicates by DartMinHash signatures, bands and exact verification.
 
-1. Every document becomes its set of hashed word shingles. Darts are thrown at the plane (weight, rank) of each
-   element: a Poisson process that depends on the element alone, generated region by region. Those that land
-   below the element's weight hit; each hit has a coordinate of the signature, and the earliest (lowest rank)
-   hit of a coordinate is kept. Only ranks up to about k ln k over the total weight are looked at, doubling
-   while a coordinate is empty, so a long document costs little more than its shingles. Two signatures agree in
-   a coordinate with probability equal to the weighted Jaccard similarity.
-2. Documents with the same shingle set are one node. Nodes that share a band of `rows` coordinates meet in a
-   bucket. A bucket isn't expanded into pairs: its members are compared with a pivot, exactly. Jaccard distance
-   is a metric, so a member that missed the pivot by more than twice the link distance can link to no member
-   that hit it; members outside a bucket's largest class are then held against those of other classes at a like
-   distance from the pivot.
+1. Every document becomes its weighted set of hashed word shingles; a shingle weighs as often as it occurs. Darts
+   are thrown at the plane (weight, rank) of each element: a Poisson process that depends on the element alone,
+   generated region by region. Those that land below the element's weight hit; each hit has a coordinate of the
+   signature, and the earliest (lowest rank) hit of a coordinate is kept. Only ranks up to about k ln k over the
+   total weight are looked at, doubling while a coordinate is empty, so a long document costs little more than
+   its shingles. Two signatures agree in a coordinate with probability equal to the weighted Jaccard similarity,
+   the sum of the smaller weights over the sum of the larger ones.
+2. Documents with the same weighted set are one node. Nodes that share a band of `rows` coordinates meet in a
+   bucket. A bucket isn't expanded into pairs: its members are compared with a pivot, exactly, and those it leaves
+   outside with a few members of the bucket's largest class, a bounded number of rows a node. Weighted Jaccard
+   distance is a metric, so a member that missed the pivot by more than twice the link distance can link to no
+   member that hit it. What may still link across classes is compared within tasks: outsiders of a class in blocks
+   against members of its buckets in blocks, both of bounded bytes, and only links are written. Nothing of this
+   goes through the driver, and every size takes the same way.
 3. Classes are the connected components of the verified links.
 
 Defined results: texts without a word are classes of their own; a text shorter than a shingle is one shingle;
@@ -30,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.llm.common import build_filter, drop_table, filter_slot, in_filter, mix, row_bytes, shingles, table, word_hashes
+from imagelake.llm.common import build_filter, drop_table, filter_slot, in_filter, mix, row_bytes, shingles, spread_join, table, word_hashes
 
 # ---------------------------------------------------------------- signatures
 
 _U = np.uint64
 #: The first region of ranks; later ones double up to _STEP, then stay that wide.
 _BASE, _STEP = 0.125, 64.0
+#: Darts expected in a cell of the plane at most; larger cells are cut.
+_DARTS = 64.0
 _cdf: dict[float, np.ndarray] = {}
 
 
@@ -58,40 +63,53 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> _U(11)).astype(np.float64) * 2.0**-53
 
 
+def _cells(top: float, ranks: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
+    """The plane below weight `top` within the regions of ranks: levels of weight [0, 1), [1, 2), [2, 4), ..., each
+    region cut so that a cell expects _DARTS darts at most. Where cells lie doesn't depend on the document."""
+    out, w0, w1 = [], 0.0, 1.0
+    while w0 < top:
+        for r0, r1 in ranks:
+            n = max(1, math.ceil((r1 - r0) * (w1 - w0) / _DARTS))
+            step = (r1 - r0) / n
+            out += [(w0, w1, r0 + i * step, r0 + (i + 1) * step) for i in range(n)]
+        w0, w1 = w1, 2 * w1
+    return out
+
+
 def _throw(elements: np.ndarray, weights: np.ndarray | None, ranks: list[tuple[float, float]], seed: int):
     """Darts that land below their element's weight, with ranks in the given regions: (hash, rank)."""
-    cells, w0, w1 = [], 0.0, 1.0
-    while w0 == 0 or (weights is not None and weights.max() > w0):
-        below = None if w0 == 0 else np.flatnonzero(weights > w0)
-        cells += [(w0, w1, r0, r1, below) for r0, r1 in ranks]
-        w0, w1 = w1, 2 * w1
-    names = mix(np.array([(hash((w, r)) ^ seed) & 0xFFFFFFFFFFFFFFFF for w, _, r, _, _ in cells], _U))  # hashes of floats: the same everywhere
+    cells = np.array(_cells(1.0 if weights is None else float(weights.max()), ranks))
+    corner = np.ascontiguousarray(cells[:, [0, 2]]).view(_U)
+    names = mix(corner[:, 0] ^ mix(corner[:, 1] + _U(seed)))
     if weights is None:
-        key = mix((elements[None, :] + names[:, None]).ravel())
-        sizes = [len(elements)] * len(cells)
-    else:
-        owner = np.concatenate([np.arange(len(elements)) if c[4] is None else c[4] for c in cells])
-        sizes = [len(elements) if c[4] is None else len(c[4]) for c in cells]
+        owner = None
+        key, sizes = mix((elements[None, :] + names[:, None]).ravel()), np.full(len(cells), len(elements))
+    else:  # only elements that reach into a cell's level
+        reach = {w: np.flatnonzero(weights > w) for w in set(cells[:, 0])}
+        owner = np.concatenate([reach[w] for w in cells[:, 0]])
+        sizes = np.array([len(reach[w]) for w in cells[:, 0]])
         key = mix(elements[owner] + np.repeat(names, sizes))
     u, count, at = _unit(key), np.empty(len(key), np.int64), 0
-    for (w, x, r, s, _), n in zip(cells, sizes, strict=True):
-        count[at : at + n] = np.searchsorted(_poisson((x - w) * (s - r)), u[at : at + n], side="right")
+    for (w, x, r, s), n in zip(cells, sizes, strict=True):
+        count[at : at + n] = np.searchsorted(_poisson(float((x - w) * (s - r))), u[at : at + n], side="right")
         at += n
     which = np.repeat(np.arange(len(key)), count)
     nth = np.arange(1, len(which) + 1) - (np.cumsum(count) - count)[which]
     dart = mix(key[which] ^ (nth.astype(_U) * _U(0x9E3779B97F4A7C15)))
     cell = np.repeat(np.arange(len(cells)), sizes)[which]
-    low, wide = np.array([c[2] for c in cells]), np.array([c[3] - c[2] for c in cells])
-    rank = low[cell] + wide[cell] * _unit(mix(dart + _U(1)))
+    low, high = cells[:, 2], cells[:, 3]
+    rank = low[cell] + (high - low)[cell] * _unit(mix(dart + _U(1)))
     if weights is None:
         return dart, rank
-    low, wide = np.array([c[0] for c in cells]), np.array([c[1] - c[0] for c in cells])
-    hit = low[cell] + wide[cell] * _unit(mix(dart + _U(2))) < weights[owner[which]]
+    low, high = cells[:, 0], cells[:, 1]
+    hit = low[cell] + (high - low)[cell] * _unit(mix(dart + _U(2))) < weights[owner[which]]
     return dart[hit], rank[hit]
 
 
 def dart_minhash(elements: np.ndarray, k: int, weights: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
     """k hashes of 32 bits for distinct elements; weights: positive, default 1 each."""
+    if weights is not None and (weights == 1).all():
+        weights = None  # the same darts, without looking at weights
     total = float(len(elements) if weights is None else weights.sum())
     enough = (k * math.log(k) + 2 * k) / total
     regions = [(0.0, _BASE)]
@@ -118,12 +136,14 @@ def dart_minhash(elements: np.ndarray, k: int, weights: np.ndarray | None = None
 _NODE_DDL = "row long, doc_id long, text_key long, node_key binary, n int, signature binary"
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    return np.unique(shingles(word_hashes(text.lower()), words))
+def weighted_shingles(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order and how often each occurs."""
+    elements, counts = np.unique(shingles(word_hashes(text.lower()), words), return_counts=True)
+    return elements, counts.astype(np.uint32)
 
 
-def node_key(elements: np.ndarray) -> bytes:
-    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+def node_key(elements: np.ndarray, counts: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes() + counts.tobytes(), digest_size=16).digest()
 
 
 def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -133,20 +153,20 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         last: dict[bytes, bytes] = {}
         for b in batches:
-            keys, counts, made = [], [], []
+            keys, sizes, made = [], [], []
             for text in row_bytes(b.column(1)):
-                s = shingle_set(text or b"", words)
-                key = node_key(s)
+                elements, counts = weighted_shingles(text or b"", words)
+                key = node_key(elements, counts)
                 keys.append(key)
-                counts.append(len(s))
-                if len(s) and key not in last:
+                sizes.append(len(elements))
+                if len(elements) and key not in last:
                     if len(last) >= 4096:
                         last.clear()
-                    last[key] = dart_minhash(s, k).tobytes()
-                made.append(last[key] if len(s) else b"")
+                    last[key] = dart_minhash(elements, k, counts).tobytes()
+                made.append(last[key] if len(elements) else b"")
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + n)), b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(made, pa.binary())],
+                [pa.array(np.arange(row, row + n)), b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(made, pa.binary())],
                 ["row", "doc_id", "text_key", "node_key", "n", "signature"],
             )
             row += n
@@ -155,86 +175,150 @@ def signatures(docs: DataFrame, words: int, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, bitmap: bytes, words: int) -> DataFrame:
-    """(doc_id, node_key, elements) of the documents whose id passes the filter."""
+    """(doc_id, node_key, elements, counts) of the documents whose id passes the filter; counts are left out where
+    all are 1."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             passed = pa.array(in_filter(bits, b.column(2).to_numpy()))
-            sets = [shingle_set(t or b"", words) for t in row_bytes(b.column(1).filter(passed))]
-            made = pa.array([node_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(passed), *made], ["doc_id", "node_key", "elements"])
+            keys, elements, counts = [], [], []
+            for t in row_bytes(b.column(1).filter(passed)):
+                e, c = weighted_shingles(t or b"", words)
+                keys.append(node_key(e, c))
+                elements.append(e.tobytes())
+                counts.append(b"" if (c == 1).all() else c.tobytes())
+            made = [pa.array(x, pa.binary()) for x in (keys, elements, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(passed), *made], ["doc_id", "node_key", "elements", "counts"])
 
     id_ = F.col("doc_id").cast("long")
-    return docs.select(id_.alias("doc_id"), "text", filter_slot(id_).alias("slot")).mapInArrow(run, "doc_id long, node_key binary, elements binary")
+    return docs.select(id_.alias("doc_id"), "text", filter_slot(id_).alias("slot")).mapInArrow(run, "doc_id long, node_key binary, elements binary, counts binary")
+
+
+def unpacked(elements: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(elements, _U)
+    return e, np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(e), np.int64)
+
+
+def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Elements in order with their weights, on both sides."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    shared = int(np.minimum(wx[at[same]], wy[same]).sum())
+    return shared / (int(wx.sum()) + int(wy.sum()) - shared)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact Jaccard similarity."""
+    """pairs (a, b) with their exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                if 5 * min(len(x), len(y)) < max(len(x), len(y)):
-                    out.append(min(len(x), len(y)) / max(len(x), len(y)))  # an upper bound, and far too low already
-                    continue
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                out.append(shared / (len(both) - shared))
+            out = [weighted_jaccard(*unpacked(x, wx), *unpacked(y, wy)) for x, wx, y, wy in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
-
-
-def against(members: DataFrame, outside: DataFrame, sets: DataFrame, blocks: int, threshold: float) -> DataFrame:
-    """Links between members outside their bucket's largest class and all others of the bucket, as a query set
-    against all rows, in blocks: a block of `outside` goes to every task, and each member comes once with its
-    buckets and its set. No pair is a row; only links are."""
-    far = 1 - threshold
-    rows = members.groupBy("node", "root").agg(F.collect_list(F.struct("bucket", "away", "miss")).alias("places")).join(sets, "node")
-    rows = table(rows.select("node", "root", "places", "elements"), "inside")
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    out = None
-    for k in range(blocks):
-        held = {r["node"]: (r["root"], np.frombuffer(r["elements"], _U)) for r in outside.filter(block == k).collect()}
-        at: dict[int, list] = {}
-        for r in members.filter("minor").filter(block == k).select("bucket", "node", "away", "miss").collect():
-            at.setdefault(r["bucket"], []).append((r["node"], r["away"], r["miss"]))
-        shared = members.sparkSession.sparkContext.broadcast((held, at))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held, at = shared.value
-            for b in batches:
-                links = []
-                for node, root, places, elements in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                    near = {
-                        u for p in places for u, away, miss in at.get(p["bucket"], ())
-                        if (miss or p["miss"]) and abs(away - p["away"]) <= far + 1e-9 and held[u][0] != root
-                    }
-                    x = np.frombuffer(elements.as_py(), _U) if near else None
-                    for u in near:
-                        y = held[u][1]
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-                            continue
-                        both = np.concatenate((x, y))
-                        both.sort()
-                        same = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if same >= (threshold - 1e-12) * (len(both) - same):
-                            links.append((min(u, node), max(u, node)))
-                yield pa.RecordBatch.from_arrays([pa.array([v[i] for v in links], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        found = table(rows.mapInArrow(run, "a long, b long"), "links")
-        shared.destroy()  # its links are written, and the next block takes its place
-        out = found if out is None else out.union(found)
+    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"), F.col("counts").alias("wx"))
+    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"), F.col("counts").alias("wy"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "wx", "y", "wy").mapInArrow(run, "a long, b long, similarity double")
+
+
+# ---------------------------------------------------------------- comparisons within tasks
+
+
+class Members:
+    """A block of members with two indexes: their places by bucket, and their weights by element."""
+
+    def __init__(self, rows: list[tuple]):
+        self.node, self.root = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        places = [(p["bucket"], i, p["away"], p["miss"]) for i, r in enumerate(rows) for p in r[2]]
+        bucket, who, away, miss = (np.array(c) for c in zip(*places, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        self.bucket, self.who, self.away, self.miss = bucket[order], who[order], away[order], miss[order]
+        sets = [unpacked(r[3], r[4]) for r in rows]
+        elements, weight = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
+        owner = np.repeat(np.arange(len(rows)), [len(e) for e, _ in sets])
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.weight, self.owner = elements[order], weight[order], owner[order]
+        self.total = np.array([int(w.sum()) for _, w in sets])
+
+    def candidates(self, places: list[dict], far: float) -> np.ndarray:
+        """Those that share a bucket and that its pivot doesn't tell apart."""
+        found = []
+        for p in places:
+            at = slice(np.searchsorted(self.bucket, p["bucket"]), np.searchsorted(self.bucket, p["bucket"], side="right"))
+            found.append(self.who[at][(p["miss"] | self.miss[at]) & (np.abs(p["away"] - self.away[at]) <= far + 1e-9)])
+        return np.unique(np.concatenate(found))
+
+    def similarity(self, elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """To each member."""
+        low = np.searchsorted(self.elements, elements)
+        n = np.searchsorted(self.elements, elements, side="right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(weights, n)), len(self.node))
+        return shared / (self.total + weights.sum() - shared)
+
+
+def linked(outsiders: list[tuple], rows: list[tuple], threshold: float) -> list[tuple[int, int]]:
+    """Links between outsiders and members of other classes; of classes that links have joined one link is enough."""
+    m, out, far = Members(rows), [], 1 - threshold
+    current, joined = m.root.copy(), {}
+    for node, root, places, elements, counts in outsiders:
+        while root in joined:
+            root = joined[root]
+        near = m.candidates(places, far)
+        near = near[current[near] != root]
+        elements, weights = unpacked(elements, counts)
+        size = int(weights.sum())
+        near = near[np.minimum(m.total[near], size) >= threshold * np.maximum(m.total[near], size) - 1e-9]
+        if not len(near):
+            continue
+        near = near[m.similarity(elements, weights)[near] >= threshold - 1e-12]
+        for other, v in zip(*np.unique(current[near], return_index=True), strict=True):
+            v = int(m.node[near[v]])
+            out.append((min(node, v), max(node, v)))
+            joined[int(other)] = root
+            current[current == other] = root
     return out
 
 
+def across(open_: DataFrame, sets: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
+    """Links (a, b) between members outside their bucket's largest class and all others of the bucket.
+
+    Buckets with the same largest class go together, so a member comes once for each of these with its places. A
+    group's outsiders and its members are dealt into blocks of about block_bytes, and each pair of blocks meets in
+    a cell: rows grow with the outsiders' share, pairs are no rows, and a cell's memory is bounded."""
+    rows = open_.groupBy("major", "node", "root").agg(F.collect_list(F.struct("bucket", "away", "miss")).alias("places"))
+    held = F.octet_length("elements") + F.octet_length("counts") + 40 * F.size("places") + 64
+    rows = table(rows.join(sets, "node").withColumns({"minor": F.col("root") != F.col("major"), "bytes": held.cast("long")}), "inside")
+    blocks = lambda size: F.ceil(F.sum(size) / block_bytes).cast("int")
+    sized = spread_join(
+        rows, "major", "node", [F.sum("bytes").alias("m"), F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0)).alias("o")],
+        [F.greatest(F.lit(1), blocks("m")).alias("m"), F.greatest(F.lit(1), blocks("o")).alias("o")],
+    )
+    name = F.xxhash64("node")
+    columns = ["major", "i", "j", "outsider", "node", "root", "places", "elements", "counts"]
+    meant = sized.filter("minor").withColumns({"i": F.pmod(name, F.col("o")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("m") - 1)), "outsider": F.lit(True)})
+    others = sized.withColumns({"j": F.pmod(name, F.col("m")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("o") - 1)), "outsider": F.lit(False)})
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = meant.select(columns).union(others.select(columns)).repartition(n, "major", "i", "j").sortWithinPartitions("major", "i", "j", "outsider", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, members, outsiders = None, [], []
+        for b in batches:
+            links = []
+            for major, i, j, outsider, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (major, i, j) != cell:
+                    if outsiders and members:
+                        links += linked(outsiders, members, threshold)
+                    cell, members, outsiders = (major, i, j), [], []
+                (outsiders if outsider else members).append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        links = linked(outsiders, members, threshold) if outsiders and members else []
+        yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -268,21 +352,46 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
 # ---------------------------------------------------------------- the operator
 
 
+def rooted(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members with the root of their node's component."""
+    return members.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def with_major(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several classes, with the root of the largest of these."""
+    rest = rooted(rest, known)
+    sizes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    several = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    return rest.join(table(several.select("bucket", "major"), "several"), "bucket")
+
+
+def partners(open_: DataFrame, turn: int, threshold: float, slots: int = 8, most: int = 4) -> DataFrame:
+    """Pairs (a, b) of each outsider with up to `most` members of the largest classes of its buckets, drawn by hashes."""
+    slot = lambda *c: F.pmod(F.xxhash64(F.lit(turn), *c), F.lit(slots))
+    inner = open_.filter("root = major").groupBy("bucket", slot("node").alias("slot"))
+    inner = inner.agg(F.max_by(F.struct("node", "away", "miss"), F.xxhash64(F.lit(-turn), "node")).alias("v"))
+    outer = open_.filter("root != major").withColumn("slot", slot("bucket", "node"))
+    may = (F.col("miss") | F.col("v.miss")) & (F.abs(F.col("away") - F.col("v.away")) <= 1 - threshold + 1e-9)
+    drawn = outer.join(inner, ["bucket", "slot"]).filter(may).groupBy("node", "major")
+    drawn = drawn.agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "v.node").alias("h"), F.col("v.node").alias("v")))), 1, most).alias("drawn"))
+    pair = drawn.select("node", F.explode("drawn.v").alias("v"))
+    return pair.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4,
-    at_once: int = 64, pivot_rounds: int = 6, block_bytes: int = 24 << 20, most_blocks: int | None = None,
+    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, draws: int = 3, block_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size (rows), n_links (verified links of the text), lead
-    (one row of each class: that with class_id), and text_key, a hash of the text.
+    """One row per row of docs: doc_id, class_id, class_size (rows), lead (one row of each class: that with
+    class_id), and text_key, a hash of the text.
 
-    A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default.
-    Members outside their bucket's largest class are held against the others in as many blocks of block_bytes as they
-    fill; only with `most_blocks` does what would fill more blocks go through rounds of pair rows instead.
+    A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default. draws: rounds
+    in which outsiders are held against drawn members; block_bytes: of either side of a cell. Both change the cost only.
     """
     k, far = bands * rows, 1 - threshold
     made = table(signatures(docs, words, k), "signatures")
+    least = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     nodes = table(
-        made.filter("n > 0").groupBy("node_key").agg(F.min("row").alias("node"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies")),
+        made.filter("n > 0").groupBy("node_key").agg(F.min("row").alias("node"), F.first("signature").alias("signature"), F.min(least).alias("least"), F.count(F.lit(1)).alias("copies")),
         "nodes",
     )
     # Its document's text stands for the node, so any doc_id of the node will do; a null one is found as well.
@@ -293,13 +402,13 @@ def near_duplicates(
     active = table(member.join(pivots, "bucket"), "members")
     drop_table(pivots)
     wanted = table(
-        active.select("node").distinct().join(nodes, "node").select("node", "node_key", F.col("least_id").alias("doc_id")), "wanted"
+        active.select("node").distinct().join(nodes, "node").select("node", "node_key", F.col("least.doc_id").alias("doc_id")), "wanted"
     )
     bitmap = build_filter(wanted.select(filter_slot(F.col("doc_id"))))
     found, w = shingle_sets(docs, bitmap, words).alias("f"), wanted.alias("w")
     sets = table(
         found.join(w, F.col("f.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("f.node_key") == F.col("w.node_key")))
-        .select("w.node", "f.elements").dropDuplicates(["node"]),
+        .select("w.node", "f.elements", "f.counts").dropDuplicates(["node"]),
         "sets",
     )
     is_link = F.col("similarity") >= threshold - 1e-12
@@ -308,10 +417,8 @@ def near_duplicates(
     shared = active.filter("node != pivot").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", "b")
     first = table(verified(table(best, "pairs"), sets), "scored")
-    links = first.filter(is_link).select("a", "b")
-    known = table(components(links), "classes")
-    rooted = active.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = table(rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket"), "mixed")
+    known = table(components(first.filter(is_link).select("a", "b")), "classes")
+    mixed = table(rooted(active, known).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket"), "mixed")
     active = table(active.join(mixed, "bucket", "left_semi"), "members")
     others = active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     scored = table(verified(table(others, "pairs"), sets).union(first), "scored")
@@ -325,55 +432,32 @@ def near_duplicates(
     reach = rest.filter(miss).groupBy("bucket").agg(F.count(F.lit(1)).alias("misses"), F.min("away").alias("nearest"))
     reach = table(reach.filter((F.col("misses") > 1) | (F.col("nearest") <= 2 * far + 1e-9)), "reach")
     rest = rest.join(reach.select("bucket", "nearest"), "bucket").filter(miss | (F.col("away") >= F.col("nearest") - far - 1e-9))
-    rest = rest.join(known, "node", "left").select("bucket", "node", "away", miss.alias("miss"), F.coalesce("root", "node").alias("root"))
-    rest = table(rest, "open")
-    # Two members of different classes: one of them is outside its bucket's largest class. Those outside are few.
-    sizes = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-    several = table(sizes.agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"), "several")
-    open_ = table(rest.join(several.select("bucket", "major"), "bucket").select("bucket", "node", "away", "miss", (F.col("root") != F.col("major")).alias("minor"), "root", F.xxhash64("bucket", "node").alias("turn")), "minor")
-    outside = open_.filter("minor").select("node", "root").distinct().join(sets, "node")
-    outside = table(outside, "outside")
-    held_bytes = outside.agg(F.sum(F.octet_length("elements") + 64)).head()[0] or 0
-    in_blocks = held_bytes > 0 and (most_blocks is None or held_bytes <= most_blocks * block_bytes)
-    if in_blocks:
-        found = against(open_, outside, sets, -(-held_bytes // block_bytes), threshold)
-        links = table(links.union(found).distinct(), "links")
+    rest = table(rest.select("bucket", "node", "away", miss.alias("miss")), "rest")
+    # Two members of different classes: one of them is outside its bucket's largest class. Most of those that link
+    # into it do so to many of its members, and a few drawn ones show it.
+    open_ = table(with_major(rest, known), "open")
+    for turn in range(1, draws + 1):
+        drawn = table(verified(table(partners(open_, turn, threshold), "pairs"), sets).filter(is_link).select("a", "b"), "links")
+        if not drawn.head(1):
+            break
+        links = table(links.union(drawn), "links")
         known = table(components(links), "classes")
-    widest = 0 if in_blocks else open_.filter("minor").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-    # Where very many stand outside they take turns, and classes that merge meanwhile save the later ones' pairs:
-    # pairs of a round grow with a bucket, not with its square. The last round takes all that remain.
-    rounds = min(-(-widest // at_once), pivot_rounds)
-    for n in range(rounds):
-        low = -(2**63) + 2**64 * n * at_once // widest
-        high = 2**63 - 1 if n == rounds - 1 else -(2**63) + 2**64 * (n + 1) * at_once // widest - 1
-        members = open_.drop("root").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        one = members.filter(F.col("minor") & F.col("turn").between(low, high)).alias("o")
-        near = (
-            (F.col("o.bucket") == F.col("m.bucket")) & (F.col("o.root") != F.col("m.root")) & (F.col("o.miss") | F.col("m.miss"))
-            & (F.abs(F.col("o.away") - F.col("m.away")) <= far + 1e-9)
-        )
-        pairs = one.join(members.alias("m"), near).select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
-        scored = table(verified(table(pairs, "pairs"), sets), "scored").filter(is_link).select("a", "b")
-        if scored.head(1):
-            links = table(links.union(scored).distinct(), "links")
-            known = table(components(links), "classes")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.select("node", "node_key", "least_id", "copies").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = table(
-        rooted.join(classes, "root").join(degree, "node", "left").select("node_key", "node", "root", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
-        "named",
-    )
-    # One row of a class leads: of those with the class's id the first.
-    rowed = made.select("row", "doc_id", "text_key", "node_key", "n").join(named, "node_key", "left")
-    leads = rowed.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n") > 0)).groupBy("root").agg(F.min("row").alias("lead_row"))
-    named = rowed.join(leads, "root", "left")
+        open_ = table(with_major(rest, known), "open")
+    links = links.union(table(across(open_, sets, threshold, block_bytes), "links"))
+    known = table(components(links), "classes")
+    # Classes of several nodes; a class may hold a third of all nodes, and a node a third of all rows, so what is
+    # known of either is dealt out by salts. The row that leads a class is the first of those with its id.
+    joined = table(known.join(nodes.select("node", "node_key", "least", "copies"), "node"), "joined")
+    sums = [F.min("least").alias("least"), F.sum("copies").alias("copies")]
+    named = spread_join(joined.select("node", "node_key", "root", "least", "copies"), "root", "node", sums, [F.min("least").alias("class_least"), F.sum("copies").alias("class_size")])
+    named = nodes.select("node_key", "least", "copies").join(named.select("node_key", "class_least", "class_size"), "node_key", "left")
+    named = table(named.select("node_key", F.coalesce("class_least", "least").alias("least"), F.coalesce("class_size", "copies").alias("size")), "named")
+    out = made.select("row", "doc_id", "text_key", "node_key", "n").join(named, "node_key", "left")
     alone = F.col("n") == 0
-    return named.select(
+    return out.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"),
-        (alone | (F.col("row") == F.col("lead_row"))).alias("lead"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
+        F.when(alone, F.lit(1)).otherwise(F.col("size")).alias("class_size"),
+        (alone | (F.col("row") == F.col("least.row"))).alias("lead"),
         "text_key",
     )

@@ -130,26 +130,38 @@ def test_quality_removes_lines_and_rejects(spark):
     assert not out[2].kept and not out[3].kept and out[3].n_words == 0
 
 
-def brute_classes(threshold=0.8):
-    rows = corpus()
-    sets = []
-    for _, t, *_ in rows:
-        w = lower(t).split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(rows)))
+def similar(x, y):
+    """Weighted Jaccard similarity of two counters."""
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def shingled(text):
+    w = lower(text).split()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def classes_of(sets, threshold=0.8):
+    """The smallest place of each set's class."""
+    root = list(range(len(sets)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
+    for i in range(len(sets)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
-                root[find(i)] = find(j)
+            if sets[i] and sets[j] and similar(sets[i], sets[j]) >= threshold:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def brute_classes(threshold=0.8):
+    rows = corpus()
     groups = defaultdict(list)
-    for i, r in enumerate(rows):
-        groups[find(i)].append(r[0])
+    for r, c in zip(rows, classes_of([shingled(t) for _, t, *_ in rows], threshold), strict=True):
+        groups[c].append(r[0])
     out = Counter()
     for ids in groups.values():
         known = [i for i in ids if i is not None]
@@ -258,46 +270,68 @@ def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_near_duplicates_around_the_threshold(spark):
-    """One base with few to many changed words: copies link to some others only, so pivots don't settle it."""
-    rng = random.Random(11)
-    base = [rng.choice(WORDS) + str(i) for i in range(150)]
+def changed(n, words, most, seed):
+    """Copies of one text with 1 to `most` words changed: they link to some others only, so pivots don't settle it."""
+    rng = random.Random(seed)
+    base = [rng.choice(WORDS) + str(i) for i in range(words)]
     texts = []
-    for i in range(120):
-        words = list(base)
-        for _ in range(rng.randint(1, 7)):
-            words[rng.randrange(150)] = f"w{rng.randrange(10_000)}"
-        texts.append(" ".join(words))
-    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
-    root = list(range(120))
-    find = lambda x: x if root[x] == x else find(root[x])
-    for i in range(120):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for options in ({}, {"most_blocks": 0, "at_once": 8}, {"block_bytes": 4000, "most_blocks": 10**6}):
-        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, **options).collect()}
-        assert got == {i: find(i) for i in range(120)}
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(1, most)):
+            copy[rng.randrange(words)] = f"w{rng.randrange(10_000)}"
+        texts.append(" ".join(copy))
+    return texts
 
 
-def test_near_duplicates_take_one_path_at_any_size(spark, monkeypatch):
-    """However many blocks the members outside their bucket's largest class fill, no pair becomes a row."""
-    rng = random.Random(5)
-    base = [rng.choice(WORDS) + str(i) for i in range(150)]
-    texts = []
-    for _ in range(90):
-        words = list(base)
-        for _ in range(rng.randint(1, 7)):
-            words[rng.randrange(150)] = f"w{rng.randrange(10_000)}"
-        texts.append(" ".join(words))
+def test_near_duplicates_around_the_threshold(spark):
+    texts = changed(120, 150, 7, 11)
+    want = classes_of(list(map(shingled, texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    blocks, pairs = [], []
-    against, verified = minhash.against, minhash.verified
-    monkeypatch.setattr(minhash, "against", lambda *a: blocks.append(a[3]) or against(*a))
-    monkeypatch.setattr(minhash, "verified", lambda *a: pairs.append(1) or verified(*a))
+    for parts, options in ((3, {}), (1, {"draws": 0}), (7, {"draws": 0, "block_bytes": 4000})):
+        got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(df.repartition(parts), **options).collect()}
+        assert got == {i: (want[i], want.count(want[i])) for i in range(120)}
+
+
+def test_near_duplicates_weigh_repeated_shingles(spark):
+    """Equal sets of shingles are no duplicates where counts differ much, and counts link what sets alone don't."""
+    line, tail = "one two three four five six seven eight nine ten", " ".join(f"x{i}" for i in range(12))
+    texts = [line, " ".join([line] * 30), " ".join([line] * 33), " ".join([line] * 60), f"{line} {tail}", f"{' '.join([line] * 30)} {tail}", "a " * 3000, "a " * 3500, "a " * 5000]
+    want = classes_of(list(map(shingled, texts)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want == [0, 1, 1, 3, 4, 1, 6, 6, 8]
+
+
+def test_near_duplicates_write_links_only(spark, monkeypatch):
+    """However many cells outsiders and members fill, pairs of a cell are no rows and nothing goes through the driver."""
+    df = spark.createDataFrame(list(enumerate(changed(90, 150, 7, 5))), "doc_id long, text string")
+    verified, pairs = minhash.verified, []
+    monkeypatch.setattr(minhash, "verified", lambda p, s: pairs.append(p.count()) or verified(p, s))
     few = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    n = len(pairs)
     many = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, block_bytes=1500).collect()}
-    assert few == many and len(pairs) == 4
-    assert blocks[0] == 1 and blocks[1] > 16
+    assert few == many and pairs[:n] == pairs[n:] and max(pairs) <= 28 * 90
+
+
+def test_near_duplicates_equal_brute_force_on_the_corpus(spark):
+    """All documents of the sf0.01 table; recall over pairs and classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets, holders, root = [shingled(t) for _, t in rows], defaultdict(list), {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = []
+    for n, s in enumerate(sets):
+        for m in {m for g in s for m in holders[g]}:
+            if similar(s, sets[m]) >= 0.8:
+                links.append((rows[m][0], rows[n][0]))
+                a, b = find(rows[m][0]), find(rows[n][0])
+                root[max(a, b)] = min(a, b)
+        for g in s:
+            holders[g].append(n)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert links and all(got[a] == got[b] for a, b in links)
+    assert got == {i: find(i) for i, _ in rows}
