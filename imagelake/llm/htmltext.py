@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,9 +66,11 @@ PART_NAMES = frozenset("area bar block body box container content count form gro
 #: Elements that hold the article or the page, whatever their class and id.
 OUTER = frozenset("html body main article".split())
 
+# A name ends at white space, a slash or the tag's end: <title-card> is no <title>. A tag without its end stops before
+# the next one, so no part of a page is read more than a few times.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 # A name with its value, so that no value is read as a name; or a stray quoted string.
@@ -122,6 +125,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     out: list[Block] = []
     above: list[int] = [0]
     stack: list[tuple[str, bool, bool, int, int]] = []  # tag, bad, comment, article, soft
+    open_: Counter[str] = Counter()  # containers of the stack
     parts: list[str] = []
     linked = links = articles = 0
     leaf_bad = leaf_heading = False
@@ -161,9 +165,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         close()
         links, leaf_bad, leaf_heading, leaf_soft = 0, False, False, 0
         if m["end"]:
-            if tag in CONTAINERS and any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_[tag]:
+                last = ""
+                while last != tag:
+                    last = stack.pop()[0]
+                    open_[last] -= 1
             continue
         # The id of a heading is an anchor of its section.
         bad, hard, comment, soft = names_of(m["attrs"], tag not in HEADINGS) if m["attrs"] else (False, False, False, False)
@@ -184,6 +190,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                 above.append(within)
                 within = len(above) - 1
             stack.append((tag, bad or above_bad, comment or above_comment, article, within))
+            open_[tag] += 1
         else:
             leaf_bad, leaf_heading = bad or hard, tag in HEADINGS
             if soft and not leaf_heading:
@@ -211,7 +218,7 @@ def condemn(blocks: list[Block], above: list[int], rules: Rules) -> None:
             n = len(b.text)
             whole[b.soft] += max(0, n - b.linked)
             apart[b.soft] |= not b.article
-            if not b.heading and n >= rules.short and b.linked <= rules.links * n and (b.article or "©" not in b.text):
+            if not b.heading and n >= rules.short and b.linked <= rules.links * n:
                 passed[b.soft] += n if stops(b.text) >= (rules.stop_low if b.article else rules.stop_high) else 0
     keeps = [True] * len(above)
     for i in range(len(above) - 1, 0, -1):  # those within come after those around them
@@ -231,7 +238,7 @@ def first_pass(blocks: list[Block], rules: Rules) -> None:
     for b in blocks:
         n = len(b.text)
         density = b.linked / n
-        if b.bad or (within and not b.article) or density > rules.links or (not b.article and "©" in b.text):
+        if b.bad or (within and not b.article) or density > rules.links or (not b.article and n < rules.long and b.text.startswith("©")):
             b.label = "bad"
             continue
         stop = stops(b.text)

@@ -101,6 +101,81 @@ def test_main_text_names(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><title-card><p>A</p></title-card><button-row><p>B</p></button-row><head-line>C</head-line></article>", "A B C"),
+        (f"<p>{LONG} © 2024 Somebody.</p><p>© 2024 Somebody, and all the rights are theirs.</p>", f"{LONG} © 2024 Somebody."),
+        ('<article><script data-x="a<b">var x = "</p>";</script><p>A</p></article>', "A"),
+        ("<article><p>A</p><script src=x /><p>B</p></article>", "A B"),
+        ("<article><p>A</p></nav></div><p>B</p></article>", "A B"),
+    ],
+)
+def test_main_text_tags(page, text):
+    assert htmltext.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<div><section>", "<div></nav>", "<script ", "<script '", "<script \"", '<p title="', '<div class="menu">', "<title", "&amp", "<!", "<a b='", "</script "])
+def test_main_text_is_linear(part):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        htmltext.main_text(part * n + "text")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def plain_text(page):
+    """The article's text by the standard library's parser, for pages whose article stands in an article element."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.parts, self.inside, self.away = [], [], 0, []
+
+        def cut(self):
+            self.blocks.append(" ".join("".join(self.parts).split()))
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "em", "strong", "a", "span", "code"):
+                self.parts.append(" ") if tag == "br" else self.cut()
+            self.inside += tag == "article"
+            if tag in ("script", "style", "nav", "aside", "footer", "form") or tag == "div" and dict(attrs).get("class") in ("ad", "share", "comments"):
+                self.away.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "em", "strong", "a", "span", "code"):
+                self.cut()
+            self.inside -= tag == "article"
+            if self.away and self.away[-1] == tag:
+                self.away.pop()
+
+        def handle_data(self, data):
+            if self.inside and not self.away:
+                self.parts.append(data)
+
+    parser = Parser()
+    parser.feed(page)
+    parser.cut()
+    return " ".join(filter(None, parser.blocks))
+
+
+def test_extract_equals_a_plain_parser(spark):
+    """All pages of the sf0.01 table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html or "" for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in htmltext.extract(pages).collect()}
+    assert got == {i: (t, len(t)) for i, t in ((i, plain_text(h)) for i, h in html.items())} and any(t for t, _ in got.values())
+
+
+def test_extract_of_an_empty_table(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article><p>É ß</p></article>", "x"), (1, "u", "<article><p>É ß</p></article>", "x"), (None, None, None, None), (2, "v", "<article>" + "<p>word</p>" * 20_000, "y")]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
