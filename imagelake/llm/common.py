@@ -36,10 +36,19 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.mkdirs(where)
 
 
 def _clean() -> None:

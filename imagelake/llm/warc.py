@@ -3,11 +3,13 @@
 * write_archives: each task streams its records into one whole-file gzip stream (one member).
 * normalise_archives: inflates such a stream once, rewrites every record as a gzip member of its own and writes
   a sidecar index next to it: a line per record with offset, length, type, record id and target.
+* sidecar_index: reads the sidecars back, in parallel.
 * read_archives: opens each member at its offset; records can be read alone, whatever the archive's size.
 
-Files go below the shared folder under names that depend on the partition only; each is written under a
-temporary name and moved into place, so a task that runs again, or twice at once, leaves one whole file.
-Texts pass through in parts; a task holds one record at most.
+Archives are dealt over tasks one by one for inflating, and their records by ranges of (archive, offset) for
+reading. Files go below the shared folder under names that depend on the partition only; each is written under a
+temporary name and takes its place when whole, so a task that runs again, or twice at once, leaves one whole file.
+Beyond Arrow's batches, whose bytes Spark bounds, a task holds one record, or READ_BYTES of payloads read.
 
 Defined results: a null html is an empty payload; a null url leaves out the target header; a null page_id
 leaves out the page header, such a record is never referred to and revisits the response of its group if there
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imagelake.llm.common import scratch_path, table
+from imagelake.llm.common import make_dir, scratch_path, table
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _CHUNK = 1 << 16
+#: Payloads that a reading task gathers before it hands them on.
+READ_BYTES = 8 << 20
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,7 +61,14 @@ class Placed:
             self.size += len(data)
 
     def close(self) -> None:
+        """Where another attempt has put the same file already, that one stays."""
         self.out.close()
+        there = self.fs.get_file_info(self.path)
+        if there.type == pafs.FileType.File:
+            if there.size == self.size:
+                self.fs.delete_file(self.temporary)
+                return
+            self.fs.delete_file(self.path)
         self.fs.move(self.temporary, self.path)
 
 
@@ -203,8 +214,8 @@ def write_archives(pages: DataFrame, where: str, min_bytes: int = 100, level: in
         fs.create_dir(folder)
         out = packer = None
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            for page_id, url, html, digest, refers_to in zip(*columns, strict=True):
+            for row in range(b.num_rows):
+                page_id, url, html, digest, refers_to = (c[row].as_py() for c in b.columns)
                 if out is None:
                     name = f"{folder}/mono-{TaskContext.get().partitionId():06d}.warc.gz"
                     out, packer = Placed(fs, name), zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -218,90 +229,113 @@ def write_archives(pages: DataFrame, where: str, min_bytes: int = 100, level: in
     return rows.mapInArrow(run, "path string")
 
 
-_INDEX_DDL = "path string, offset long, length long, record_type string, record_id string, target string"
-
-
 def normalise_archives(paths: DataFrame, where: str, level: int = 6) -> DataFrame:
     """For each archive of `paths` a copy below `where` with a member per record and a sidecar index (.idx, tab
-    separated); returns the index rows."""
+    separated); returns the copies' paths and numbers of records. A stream can't be entered in its middle, so an
+    archive is one task's; as many tasks as there are shuffle partitions take them in turn."""
+    make_dir(paths.sparkSession, where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = store(where)
-        fs.create_dir(folder)
         for b in batches:
+            made = []
             for path in b.column(0).to_pylist():
                 source, inner = store(path)
                 name = f"{folder}/{hashlib.sha256(path.encode()).hexdigest()[:16]}.warc.gz"
-                out, index, rows = Placed(fs, name), Placed(fs, name + ".idx"), []
+                out, index, n = Placed(fs, name), Placed(fs, name + ".idx"), 0
                 with source.open_input_stream(inner, compression=None, buffer_size=_CHUNK) as f:
                     for head, headers, block in Records(inflate(f.read)):
                         offset, packer = out.size, zlib.compressobj(level, zlib.DEFLATED, 31)
                         out.write(packer.compress(head) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush())
-                        row = (name, offset, out.size - offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"))
-                        index.write(("\t".join("" if v is None else str(v) for v in row[1:]) + "\n").encode())
-                        rows.append(row)
-                        if len(rows) == 4096:
-                            yield _index_batch(rows)
-                            rows = []
+                        row = (offset, out.size - offset, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"))
+                        index.write(("\t".join("" if v is None else str(v) for v in row) + "\n").encode())
+                        n += 1
                 out.close()
                 index.close()
-                yield _index_batch(rows)
+                made.append((name, n))
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in made], pa.string()), pa.array([v[1] for v in made], pa.int64())], ["path", "records"])
+
+    return paths.repartition(_tasks(paths)).mapInArrow(run, "path string, records long")
+
 
-    return paths.mapInArrow(run, _INDEX_DDL)
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "offset", "length", "record_type", "record_id", "target"])
+def sidecar_index(spark: SparkSession, where: str) -> DataFrame:
+    """The rows of all sidecars below `where`: path, offset, length, record_type, record_id, target."""
+    lines = spark.read.schema("value string").option("pathGlobFilter", "*.idx").text(where)
+    cells = F.split("value", "\t", -1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.idx$", 1)
+    text = lambda i: F.nullif(cells[i], F.lit(""))
+    return lines.select(
+        F.concat(F.lit(where.rstrip("/") + "/"), name).alias("path"), cells[0].cast("long").alias("offset"), cells[1].cast("long").alias("length"),
+        text(2).alias("record_type"), text(3).alias("record_id"), text(4).alias("target"),
+    )
 
 
 _PAGE_DDL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
 
+_PAGE = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+     ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())]
+)
+
+
+def _pages(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_PAGE)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PAGE, strict=True)], schema=_PAGE)
+
+
+def read_record(file, path: str, offset: int, length: int, texts: bool) -> tuple:
+    """One record by its place. A response's payload is measured and digested again and must match its header; a
+    revisit's figures are those of its header."""
+    file.seek(offset)
+    data = zlib.decompress(file.read(length), 31)
+    end = data.index(b"\r\n\r\n") + 4
+    headers = parse_headers(data[:end], offset)
+    kind = headers["warc-type"]
+    digest, size, html = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"]), None
+    if kind == "response":
+        payload = payload_of(data[end : end + int(headers["content-length"])])
+        if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
+        html = payload.decode("utf-8", "replace") if texts else None
+    page, to = headers.get("x-page-id"), headers.get("x-refers-to-page")
+    return (int(page) if page else None, headers.get("warc-target-uri"), size, digest, kind, int(to) if to else None, html)
+
+
 def read_archives(index: DataFrame, texts: bool = True) -> DataFrame:
-    """Response and revisit records by their index rows (path, offset, length). A response's payload is measured
-    and digested again and must match its header; a revisit's figures are those of its header."""
+    """Response and revisit records by their index rows (path, offset, length), in as many tasks as there are shuffle
+    partitions: each takes a range of (path, offset)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_path, file = None, None
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for path, offset, length in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if path != open_path:
                     if file is not None:
                         file.close()
                     fs, inner = store(path)
                     open_path, file = path, fs.open_input_file(inner)
-                file.seek(offset)
-                data = zlib.decompress(file.read(length), 31)
-                end = data.index(b"\r\n\r\n") + 4
-                headers = parse_headers(data[:end], offset)
-                kind = headers["warc-type"]
-                digest, size, html = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"]), None
-                if kind == "response":
-                    payload = payload_of(data[end : end + int(headers["content-length"])])
-                    if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
-                    html = payload.decode("utf-8", "replace") if texts else None
-                page, to = headers.get("x-page-id"), headers.get("x-refers-to-page")
-                rows.append((int(page) if page else None, headers.get("warc-target-uri"), size, digest, kind, int(to) if to else None, html))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"],
-            )
+                rows.append(read_record(file, path, offset, length, texts))
+                held += len(rows[-1][-1] or "")
+                if held >= READ_BYTES:
+                    yield _pages(rows)
+                    rows, held = [], 0
+            yield _pages(rows)
         if file is not None:
             file.close()
 
     wanted = index.filter("record_type in ('response', 'revisit')").select("path", "offset", "length")
-    return wanted.mapInArrow(run, _PAGE_DDL)
+    return wanted.repartitionByRange(_tasks(index), "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(run, _PAGE_DDL)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 100, texts: bool = False) -> DataFrame:
     """pages through monolithic archives, the normaliser and the index, back to one row per record."""
     where = scratch_path(pages.sparkSession, "warc")
     mono = table(write_archives(pages, f"{where}/mono", min_bytes), "archives")
-    index = table(normalise_archives(mono.repartition("path"), f"{where}/records"), "index")
-    return read_archives(index, texts)
+    table(normalise_archives(mono, f"{where}/records"), "records")  # written, so that all sidecars are whole
+    return read_archives(sidecar_index(pages.sparkSession, f"{where}/records"), texts)

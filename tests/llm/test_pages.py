@@ -43,13 +43,43 @@ def test_warc_normaliser_index(spark, tmp_path):
     records = [warc.page_record(i, f"http://p/{i}", b"payload %d" % i * 50, "0" * 64, None, False) for i in range(30)]
     (tmp_path / "mono.warc.gz").write_bytes(gzip.compress(b"".join(records[:20])) + gzip.compress(b"".join(records[20:])))
     paths = spark.createDataFrame([(f"file://{tmp_path}/mono.warc.gz",)], "path string")
-    index = warc.normalise_archives(paths, f"file://{tmp_path}/out").orderBy("offset").collect()
+    made = warc.normalise_archives(paths, f"file://{tmp_path}/out").collect()
+    assert [r.records for r in made] == [30]
+    index = warc.sidecar_index(spark, f"file://{tmp_path}/out").orderBy("offset").collect()
     assert len(index) == 30
-    data = open(index[0].path, "rb").read()
+    name = index[0].path.removeprefix("file://")
+    assert name == made[0].path
+    data = open(name, "rb").read()
     assert b"".join(zlib.decompress(data[r.offset : r.offset + r.length], 31) for r in index) == b"".join(records)
     assert gzip.decompress(data) == b"".join(records)  # still one valid stream
-    lines = open(index[0].path + ".idx").read().splitlines()
-    assert [x.split("\t")[0] for x in lines] == [str(r.offset) for r in index] and index[3].target == "http://p/3"
+    lines = open(name + ".idx").read().splitlines()
+    assert [x.split("\t")[0] for x in lines] == [str(r.offset) for r in index] and index[3].target == "http://p/3" and index[3].record_type == "response"
+
+
+def test_warc_work_is_dealt_out(spark):
+    """Archives are inflated, and records read, in as many tasks as there are shuffle partitions."""
+    from imagelake.llm.common import scratch_path, table
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.createDataFrame([(i, "http://x/", f"page {i}" * 40) for i in range(200)], "page_id long, url string, html string").repartition(8)
+    where = scratch_path(spark, "warc")
+    mono = table(warc.write_archives(df, f"{where}/mono"), "archives")
+    assert mono.count() == 8
+    copies = warc.normalise_archives(mono, f"{where}/records")
+    assert copies.rdd.getNumPartitions() == tasks
+    assert sum(r.records for r in copies.collect()) == 208  # with a warcinfo record each
+    rows = warc.read_archives(warc.sidecar_index(spark, f"{where}/records"))
+    assert rows.rdd.getNumPartitions() == tasks and rows.count() == 200
+    assert max(rows.rdd.glom().map(len).collect()) < 100
+
+
+def test_warc_file_stays_if_written_twice(tmp_path):
+    fs, folder = warc.store(f"file://{tmp_path}")
+    for data in (b"abc", b"abc", b"abcd"):
+        out = warc.Placed(fs, f"{folder}/x")
+        out.write(data)
+        out.close()
+        assert (tmp_path / "x").read_bytes() == data and len(list(tmp_path.iterdir())) == 1
 
 
 @pytest.mark.parametrize("cut", [10, 300])
