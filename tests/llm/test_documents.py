@@ -49,7 +49,7 @@ def lower(t):
     return (t or "").encode().lower()
 
 
-@pytest.mark.parametrize("digest_bytes,max_rows", [(32, 20_000), (1, 7)])
+@pytest.mark.parametrize("digest_bytes,max_rows", [(32, 20_000), (1, 7), (32, 3)])
 @pytest.mark.parametrize("keep", ["first", "last"])
 def test_exact_dedup(docs, keep, digest_bytes, max_rows):
     out = exactdedup.exact_dedup(docs, keep, max_rows=max_rows, digest_bytes=digest_bytes).collect()
@@ -67,6 +67,38 @@ def test_exact_dedup(docs, keep, digest_bytes, max_rows):
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_exact_dedup_of_extreme_ids(spark, keep):
+    low, high = -(2**63), 2**63 - 1
+    ids = {"a": [low, high, 0, None], "b": [low, None], "c": [high, high], "d": [-high, None], "e": [None, None], "f": [-1, 0]}
+    rows = [(i, t) for t, group in ids.items() for i in group]
+    out = exactdedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep, max_rows=2).collect()
+    best = {t: (min if keep == "first" else max)((i for i in g if i is not None), default=None) for t, g in ids.items()}
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in ids}
+    assert Counter((r.doc_id, sha[r.text_sha256], r.keep_id, r.group_size) for r in out) == Counter((i, t, best[t], len(ids[t])) for i, t in rows)
+    assert Counter(sha[r.text_sha256] for r in out if r.kept) == Counter(ids.keys()) and all(r.doc_id == r.keep_id for r in out if r.kept)
+
+
+def test_runs_find_their_digests(tmp_path):
+    rng = random.Random(8)
+    table = exactdedup.Memtable(0, f"file://{tmp_path}", True, 10**9, 10**9, 1)  # digests of one byte: many collide
+    texts = [str(rng.randrange(3000)).encode() for _ in range(6000)]
+    rows = []
+    for i, t in enumerate(texts):
+        table.add(i, 0, t)
+        if i % 900 == 899:
+            rows += [r for b in table.flush() for r in b.to_pylist()]
+    rows += [r for b in table.flush() for r in b.to_pylist()]
+    entries = defaultdict(set)
+    for r in rows:
+        entries[texts[r["doc_id"]]].add(r["entry"])
+    assert len(rows) == 6000 and all(len(v) == 1 for v in entries.values()) and len({e for v in entries.values() for e in v}) == len(entries)
+    assert sum(r["path"] is not None for r in rows) == len(entries) and {r["seq"] for r in rows} == set(range(6000))
+    full = exactdedup.Filter([hashlib.sha256(t).digest() for t in set(texts)])
+    assert all(full.passes(hashlib.sha256(t).digest()) for t in texts)
+    assert sum(full.passes(hashlib.sha256(b"x%d" % i).digest()) for i in range(3000)) < 150
+
+
 def test_line_dedup(docs):
     got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in linededup.line_dedup(docs, 40, 5).collect())
     holders = defaultdict(set)
@@ -287,7 +319,7 @@ def test_near_duplicates_around_the_threshold(spark):
     texts = changed(120, 150, 7, 11)
     want = classes_of(list(map(shingled, texts)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for parts, options in ((3, {}), (1, {"draws": 0}), (7, {"draws": 0, "block_bytes": 4000})):
+    for parts, options in ((3, {}), (1, {"draws": 1}), (7, {"draws": 1, "block_bytes": 4000})):
         got = {r.doc_id: (r.class_id, r.class_size) for r in minhash.near_duplicates(df.repartition(parts), **options).collect()}
         assert got == {i: (want[i], want.count(want[i])) for i in range(120)}
 
