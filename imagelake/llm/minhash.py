@@ -322,6 +322,19 @@ def across(open_: DataFrame, sets: DataFrame, threshold: float, block_bytes: int
 # ---------------------------------------------------------------- components
 
 
+def tree_roots(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, root) for links (a, b) with a < b, at most one for each b: a's of a's, until nothing lies above."""
+    up = table(links.select(F.col("b").alias("node"), F.col("a").alias("root")), "trees")
+    for _ in range(max_rounds):
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        higher = table(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "trees")
+        done = not higher.filter("moved").head(1)
+        up = higher.select("node", "root")
+        if done:
+            return up
+    raise RuntimeError("trees did not settle")
+
+
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the smallest node of the component. Alternates two
     steps until all components are stars: neighbours above a node, then those below it, move to the smallest one
@@ -331,7 +344,7 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         # every node of u's neighbourhood above u moves to the smallest node of it
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = table(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "edges")
+        large = table(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"), "edges")
         # u, and its neighbours below it, move to the smallest of these
         least = table(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
@@ -365,27 +378,27 @@ def with_major(rest: DataFrame, known: DataFrame) -> DataFrame:
     return rest.join(table(several.select("bucket", "major"), "several"), "bucket")
 
 
-def partners(open_: DataFrame, turn: int, threshold: float, slots: int = 8, most: int = 4) -> DataFrame:
+def partners(open_: DataFrame, most: int, threshold: float, slots: int = 8) -> DataFrame:
     """Pairs (a, b) of each outsider with up to `most` members of the largest classes of its buckets, drawn by hashes."""
-    slot = lambda *c: F.pmod(F.xxhash64(F.lit(turn), *c), F.lit(slots))
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(slots))
     inner = open_.filter("root = major").groupBy("bucket", slot("node").alias("slot"))
-    inner = inner.agg(F.max_by(F.struct("node", "away", "miss"), F.xxhash64(F.lit(-turn), "node")).alias("v"))
+    inner = inner.agg(F.max_by(F.struct("node", "away", "miss"), F.xxhash64(F.lit(1), "node")).alias("v"))
     outer = open_.filter("root != major").withColumn("slot", slot("bucket", "node"))
     may = (F.col("miss") | F.col("v.miss")) & (F.abs(F.col("away") - F.col("v.away")) <= 1 - threshold + 1e-9)
     drawn = outer.join(inner, ["bucket", "slot"]).filter(may).groupBy("node", "major")
-    drawn = drawn.agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "v.node").alias("h"), F.col("v.node").alias("v")))), 1, most).alias("drawn"))
+    drawn = drawn.agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64(F.lit(2), "v.node").alias("h"), F.col("v.node").alias("v")))), 1, most).alias("drawn"))
     pair = drawn.select("node", F.explode("drawn.v").alias("v"))
     return pair.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, draws: int = 3, block_bytes: int = 4 << 20,
+    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, draws: int = 8, block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), lead (one row of each class: that with
     class_id), and text_key, a hash of the text.
 
-    A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default. draws: rounds
-    in which outsiders are held against drawn members; block_bytes: of either side of a cell. Both change the cost only.
+    A pair at the threshold shares no band with probability (1 - threshold^rows)^bands: 4e-7 by default. draws: members
+    that an outsider is held against; block_bytes: of either side of a cell. Both change the cost only.
     """
     k, far = bands * rows, 1 - threshold
     made = table(signatures(docs, words, k), "signatures")
@@ -417,13 +430,11 @@ def near_duplicates(
     shared = active.filter("node != pivot").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("a")).select("a", "b")
     first = table(verified(table(best, "pairs"), sets), "scored")
-    known = table(components(first.filter(is_link).select("a", "b")), "classes")
+    known = table(tree_roots(first.filter(is_link)), "classes")
     mixed = table(rooted(active, known).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket"), "mixed")
     active = table(active.join(mixed, "bucket", "left_semi"), "members")
     others = active.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     scored = table(verified(table(others, "pairs"), sets).union(first), "scored")
-    links = table(scored.filter(is_link).select("a", "b"), "links")
-    known = table(components(links), "classes")
     # What pivots leave: a member that missed its pivot may link to members that the pivot doesn't tell apart from it.
     rest = active.filter("members > 2 and node != pivot").select("bucket", "node", "pivot").alias("r")
     rest = rest.join(scored.alias("s"), (F.col("r.pivot") == F.col("s.a")) & (F.col("r.node") == F.col("s.b"))).select("bucket", "node", (1 - F.col("similarity")).alias("away"))
@@ -435,16 +446,12 @@ def near_duplicates(
     rest = table(rest.select("bucket", "node", "away", miss.alias("miss")), "rest")
     # Two members of different classes: one of them is outside its bucket's largest class. Most of those that link
     # into it do so to many of its members, and a few drawn ones show it.
-    open_ = table(with_major(rest, known), "open")
-    for turn in range(1, draws + 1):
-        drawn = table(verified(table(partners(open_, turn, threshold), "pairs"), sets).filter(is_link).select("a", "b"), "links")
-        if not drawn.head(1):
-            break
-        links = table(links.union(drawn), "links")
-        known = table(components(links), "classes")
-        open_ = table(with_major(rest, known), "open")
-    links = links.union(table(across(open_, sets, threshold, block_bytes), "links"))
+    drawn = table(partners(with_major(rest, known), draws, threshold), "pairs")
+    links = table(scored.union(verified(drawn, sets)).filter(is_link).select("a", "b"), "links")
     known = table(components(links), "classes")
+    found = table(across(table(with_major(rest, known), "open"), sets, threshold, block_bytes), "links")
+    if found.head(1):
+        known = table(components(links.union(found)), "classes")
     # Classes of several nodes; a class may hold a third of all nodes, and a node a third of all rows, so what is
     # known of either is dealt out by salts. The row that leads a class is the first of those with its id.
     joined = table(known.join(nodes.select("node", "node_key", "least", "copies"), "node"), "joined")
