@@ -93,6 +93,10 @@ def dated_list(pages: DataFrame) -> DataFrame:
         fixed.select("pattern", "category", F.col("day").cast("date").alias("entry_date"), "action")
         .union(entry(domains, h % 3 == 0, "adult", h % 200, "add"))
         .union(entry(domains, h % 6 == 0, "adult", h % 200 + 40, "remove"))
+        .union(entry(domains, h % 9 == 0, "spam", h % 200 + 20, "add"))
+        .union(entry(domains, h % 18 == 0, "spam", h % 200 + 60, "remove"))
+        .union(entry(exact, h % 12 == 0, "malware", h % 150, "add"))
+        .union(entry(exact, h % 24 == 0, "malware", h % 150 + 50, "remove"))
         .union(entry(exact, h % 4 == 0, "allow", h % 150, "add"))
         .union(entry(exact, h % 8 == 0, "allow", h % 150 + 100, "remove"))
         .union(entry(paths, h % 5 == 0, "malware", h % 300, "add"))
@@ -122,17 +126,21 @@ entries AS (
                         ('d:example.net', 'spam', DATE '2024-10-01', 'add')) AS t(pattern, category, entry_date, action)
   UNION ALL SELECT pattern, 'adult', DATE '2024-01-01' + CAST(h % 200 AS INTEGER), 'add' FROM d WHERE h % 3 = 0
   UNION ALL SELECT pattern, 'adult', DATE '2024-01-01' + CAST(h % 200 + 40 AS INTEGER), 'remove' FROM d WHERE h % 6 = 0
+  UNION ALL SELECT pattern, 'spam', DATE '2024-01-01' + CAST(h % 200 + 20 AS INTEGER), 'add' FROM d WHERE h % 9 = 0
+  UNION ALL SELECT pattern, 'spam', DATE '2024-01-01' + CAST(h % 200 + 60 AS INTEGER), 'remove' FROM d WHERE h % 18 = 0
+  UNION ALL SELECT pattern, 'malware', DATE '2024-01-01' + CAST(h % 150 AS INTEGER), 'add' FROM e WHERE h % 12 = 0
+  UNION ALL SELECT pattern, 'malware', DATE '2024-01-01' + CAST(h % 150 + 50 AS INTEGER), 'remove' FROM e WHERE h % 24 = 0
   UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + CAST(h % 150 AS INTEGER), 'add' FROM e WHERE h % 4 = 0
   UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + CAST(h % 150 + 100 AS INTEGER), 'remove' FROM e WHERE h % 8 = 0
   UNION ALL SELECT pattern, 'malware', DATE '2024-01-01' + CAST(h % 300 AS INTEGER), 'add' FROM p WHERE h % 5 = 0),
-daily AS (SELECT pattern, entry_date, max(action) AS action, min(category) AS category FROM entries GROUP BY ALL),
-iv AS (SELECT *, lead(entry_date) OVER (PARTITION BY pattern ORDER BY entry_date) AS until FROM daily),
+daily AS (SELECT pattern, category, entry_date, max(action) AS action FROM entries GROUP BY pattern, category, entry_date),
+iv AS (SELECT *, lead(entry_date) OVER (PARTITION BY pattern, category ORDER BY entry_date) AS until FROM daily),
 act AS (SELECT pattern, category, entry_date AS since, until FROM iv WHERE action = 'add'),
 m AS (SELECT u.page_id, act.pattern, act.category, length(act.pattern) AS size, CAST(act.category <> 'allow' AS INTEGER) AS block
       FROM u JOIN act ON act.since <= u.fetch_date AND (act.until IS NULL OR u.fetch_date < act.until) AND (
         (act.pattern LIKE 'd:%' AND ('.' || u.host) LIKE ('%.' || substr(act.pattern, 3))) OR act.pattern = 'h:' || u.host OR
         (act.pattern LIKE 'p:%' AND starts_with(u.host || u.path || '/', substr(act.pattern, 3) || '/')))),
-r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY size DESC, block DESC, pattern DESC) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM m)
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY size DESC, block DESC, pattern DESC, category DESC) AS k, count(*) OVER (PARTITION BY page_id) AS n FROM m)
 SELECT u.page_id, u.host, CAST(u.fetch_date AS VARCHAR) AS fetch_date, CASE WHEN r.pattern IS NULL THEN 'none' WHEN r.block = 1 THEN 'block' ELSE 'allow' END AS verdict,
        r.pattern, r.category, coalesce(r.n, 0) AS n_active
 FROM u LEFT JOIN r ON u.page_id = r.page_id AND r.k = 1

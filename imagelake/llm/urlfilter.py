@@ -3,13 +3,14 @@
 List entries are dated: an `add` makes a pattern active in its category from its date on, until a `remove` or the
 next entry of that pattern and category. Sorted by date they become validity intervals. A capture is held against the entries active at its
 fetch date by an as-of join: its URL names the few patterns that could match (each domain above its host, the
-host, each leading part of its path), and these meet the intervals on equality of the pattern with the date
+host, each leading part of its path, as far as the list's longest entries go), and these meet the intervals on equality of the pattern with the date
 within. Intervals of one pattern and category don't overlap, so a capture meets at most one per pattern and
 category; the longest pattern decides, and of equally long ones a block. Captures are salted and intervals repeated per salt, so a
 host with a third of all captures is spread.
 
 Entries of one pattern, category and date: a remove beats an add; other categories are not touched by it, and a
-null category is one of its own. Defined results: a null or unparseable url has host null
+null category is one of its own. An IPv6 address is a host with its brackets and without domains above it; steps
+of a path are what stands between its slashes, empty ones left out. Defined results: a null or unparseable url has host null
 and verdict none; so has a null date; null patterns, dates or actions in the list are no entries; repeated rows
 of captures each get a row; an empty table gives an empty result; columns other than those named are not read.
 """
@@ -19,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+from imagelake.llm.common import table
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
 
@@ -42,27 +45,42 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def patterns_of(url: Column, host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    steps = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
+def reach(active: DataFrame) -> tuple[int, int, int]:
+    """Of the list: labels of its longest domain, steps of its deepest path, characters of its longest pattern."""
+    name = F.substring("pattern", 3, 2**31 - 1)
+    kind = lambda k, sep: F.max(F.when(F.col("pattern").startswith(k), F.size(F.split(name, sep))).otherwise(0))
+    labels, steps, size = active.agg(kind("d:", r"\."), kind("p:", "/"), F.max(F.length("pattern"))).head()
+    return labels or 0, (steps or 1) - 1, size or 0
+
+
+def patterns_of(url: Column, host: Column, bounds: tuple[int, int, int]) -> Column:
+    """What may match: the domains above a host and itself, the host, and leading paths, no longer than any pattern."""
+    most_labels, most_steps, longest = bounds
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
+    counted = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    domains = F.transform(counted(F.least(F.size(labels), F.lit(most_labels))), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(labels, -n, n), ".")))
+    path = F.regexp_replace(F.regexp_extract(url, PATH, 1), "/+", "/")
+    path = F.substring(path, 1, longest + 1)  # a step cut here is too long for any pattern
+    steps = F.slice(F.filter(F.split(path, "/", most_steps + 2), lambda s: s != ""), 1, max(1, most_steps))
     paths = F.transform(
-        F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")),
+        counted(F.least(F.size(steps), F.lit(most_steps))),
+        lambda n: F.concat(F.lit("p:"), host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")),
     )
-    return F.when(host.isNotNull(), F.concat(domains, F.array(F.concat(F.lit("h:"), host)), paths))
+    found = F.concat(domains, F.array(F.concat(F.lit("h:"), host)), paths)
+    return F.when(host.isNotNull(), F.filter(found, lambda p: F.length(p) <= longest))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, salts: int = 16, carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """captures (carry..., url, fetch_date) -> carry..., host, fetch_date, verdict (block, allow or none),
     pattern and category of the deciding entry, n_active entries that matched."""
+    active = table(intervals(entries), "intervals")
     named = captures.select(*carry, "url", "fetch_date").withColumn("_row", F.monotonically_increasing_id())
     named = named.withColumn("host", host_of(F.col("url")))
     keyed = named.select(
         "_row", *carry, "host", "fetch_date", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode_outer(patterns_of(F.col("url"), F.col("host"))).alias("key"),
+        F.explode_outer(patterns_of(F.col("url"), F.col("host"), reach(active))).alias("key"),
     )
-    active = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    active = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = keyed.join(
         active,
         (keyed.key == active.pattern) & (keyed.salt == active.salt) & (active.since <= keyed.fetch_date)

@@ -250,3 +250,20 @@ def test_url_filter_categories(spark):
     captures = spark.createDataFrame([(i, f"http://{h}.org/", day(n)) for i, (h, n, *_) in enumerate(cases)], "page_id long, url string, fetch_date date")
     out = urlfilter.url_filter(captures, spark.createDataFrame(entries, "pattern string, category string, entry_date date, action string"))
     assert sorted((r.page_id, r.verdict, r.category, r.n_active) for r in out.collect()) == [(i, *c[2:]) for i, c in enumerate(cases)]
+
+
+def test_url_filter_long_urls_and_addresses(spark):
+    entries = [
+        ("d:x.org", "spam", day(0), "add"), ("p:deep.org/" + "/".join("ab" * 20), "malware", day(0), "add"), ("p:deep.org/q", "adult", day(0), "add"),
+        ("h:[2001:db8::1]", "malware", day(0), "add"), ("d:[::2]", "spam", day(0), "add"), ("p:[::3]/x", "spam", day(0), "add"),
+    ]
+    deep = "/".join("ab" * 20)
+    cases = [
+        ("http://deep.org/" + "s/" * 500_000, "none", 0), ("http://deep.org/q/" + "s/" * 500_000, "block", 1), ("http://deep.org/q" + "s" * 1_000_000, "none", 0),
+        (f"http://deep.org/{deep}/more", "block", 1), (f"http://deep.org/{deep}x", "none", 0), (f"http://deep.org//{deep.replace('/', '//')}", "block", 1), ("http://deep.org/" + "/" * 1_000_000 + "q", "block", 1),
+        ("http://" + "l." * 200_000 + "x.org/", "block", 1), ("http://[2001:DB8::1]:80/", "block", 1), ("http://u@[::2]/y", "block", 1), ("https://[::3]/x/y", "block", 1), ("http://[::4]/x", "none", 0),
+    ]
+    captures = spark.createDataFrame([(i, u, day(1)) for i, (u, *_) in enumerate(cases)], "page_id long, url string, fetch_date date")
+    listed = spark.createDataFrame(entries, "pattern string, category string, entry_date date, action string")
+    out = sorted((r.page_id, r.verdict, r.n_active) for r in urlfilter.url_filter(captures, listed).select("page_id", "verdict", "n_active").collect())
+    assert out == [(i, *c[1:]) for i, c in enumerate(cases)]
