@@ -5,7 +5,8 @@ so the flow network is small: start -> pattern -> each of its sources -> end. A
 for nothing, a second time at cost 1, a third at cost 3, and so on (convex), up to `max_repeats` times; a
 source takes up to its target. The flow of least cost says how many words each pattern gives: whole passes
 over all its documents, and a part of one pass. The documents of that part are the first in a seeded order
-whose words fill it, found by a histogram over the leading bits of the order, so no pattern is sorted whole.
+whose words fill it. Where it ends is found by histograms over the order's leading bits, LEVEL_BITS at a time, each
+within the bucket that the one before it names; so of a pattern only the rows of one last bucket are sorted.
 
 Targets: the sources, ordered by code point with null last, weigh 1, 2, ..., `weights`, 1, 2, ... and share
 all words; a target stops at `max_repeats` times its source's words, and the rest is shared again by weight.
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 from imagelake.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Leading bits of the seeded order that the histogram holds for each pattern.
-BUCKET_BITS = 14
-#: Rows of the plan, one per pattern, that may be broadcast.
-MAX_BROADCAST = 50_000
+#: Bits of the seeded order, those that one histogram tells apart, and how many histograms there are.
+ORDER_BITS, LEVEL_BITS, LEVELS = 60, 7, 3
 
 
 def targets(sizes: dict[str | None, int], weights: int = 3, max_repeats: int = 3) -> dict[str | None, float]:
@@ -103,6 +102,26 @@ def min_cost_flow(patterns: dict[tuple, int], quota: dict, max_repeats: int) ->
     return given
 
 
+def leading(level: int) -> Column:
+    return F.shiftright("order", ORDER_BITS - LEVEL_BITS * level)
+
+
+def narrowed(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
+    """The plan with `cut` one level finer: the bucket of leading bits in which a pattern's part ends, and the words of the
+    buckets before it. At most 2^LEVEL_BITS sums of a pattern meet in a window, at any input size."""
+    inside = sized.withColumn("bucket", leading(level)).join(plan.select("pattern", F.col("cut").alias("above"), "before", "rest"), "pattern")
+    inside = inside.filter(F.shiftright("bucket", LEVEL_BITS) == F.col("above"))
+    sums = inside.groupBy("pattern", "bucket", "before", "rest").agg(F.sum("size").alias("words"))
+    running = Window.partitionBy("pattern").orderBy("bucket")
+    sums = sums.withColumn("ahead", F.col("before") + F.sum("words").over(running) - F.col("words"))
+    # The last bucket that begins before the part's end; where no words are left for a part, the first one.
+    found = sums.groupBy("pattern").agg(
+        F.coalesce(F.max(F.when(F.col("ahead") <= F.col("rest"), F.col("bucket"))), F.min("bucket")).alias("cut"),
+        F.coalesce(F.max(F.when(F.col("ahead") <= F.col("rest"), F.col("ahead"))), F.min("ahead")).alias("before"),
+    )
+    return plan.drop("cut", "before").join(found, "pattern")
+
+
 def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """docs with doc_id and text -> one row per row: doc_id, sources, size, source_size,
     target, copies, taken, and text_key, the hash of the text that tells rows with one doc_id apart.
@@ -126,10 +145,10 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         order.alias("order"),
         F.xxhash64("text").alias("text_key"),
     )
-    sized = sized.withColumns({"pattern": F.to_json("sources", {"ignoreNullFields": "false"}), "bucket": F.shiftright("order", 60 - BUCKET_BITS)})
-    sized = table(sized, "sized")
+    sized = table(sized.withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})), "sized")
     patterns, key = {}, {}
-    for r in sized.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).collect():
+    found = sized.groupBy("pattern", "sources").agg(F.sum("size").alias("size")).collect()
+    for r in sorted(found, key=lambda r: r["pattern"]):  # of several flows of least cost always the same one
         patterns[tuple(r["sources"])], key[tuple(r["sources"])] = r["size"], r["pattern"]
     sizes: dict = defaultdict(int)
     for p, n in patterns.items():
@@ -140,36 +159,21 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         scale = sum(patterns.values()) / max(1, sum(sizes.values()))
         goal = {s: t * scale for s, t in goal.items()}
     given = min_cost_flow(patterns, {s: math.floor(t + 0.5) for s, t in goal.items()}, max_repeats)
+    # A written table has a true size, from which Spark chooses: a broadcast of a small plan, else a join that it splits
+    # where a pattern has very many rows.
     plan = spark.createDataFrame(
-        [(key[p], sizes[p[0]], float(goal[p[0]]), *(divmod(given[p], n) if n else (0, 0))) for p, n in patterns.items()],
-        "pattern string, source_size long, target double, passes long, rest long",
+        [(key[p], sizes[p[0]], float(goal[p[0]]), *(divmod(given[p], n) if n else (0, 0)), 0, 0) for p, n in patterns.items()],
+        "pattern string, source_size long, target double, passes long, rest long, cut long, before long",
     )
-    # Buckets of the order whose words lie around the point where the last pass ends: one for each pattern. At most
-    # 2^BUCKET_BITS counts of a pattern meet in a window, at any input size.
-    running = Window.partitionBy("pattern").orderBy("bucket")
-    cut = (
-        sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
-        .withColumn("before", F.sum("words").over(running) - F.col("words"))
-        .join(plan, "pattern")
-        .filter("before <= rest and rest < before + words")
-        .select("pattern", F.col("bucket").alias("cut"), "before")
-    )
-    at = {r["pattern"]: (r["cut"], r["before"]) for r in cut.collect()}  # one row per pattern, as above
-    plan = spark.createDataFrame(
-        [(*r, *at.get(r["pattern"], (None, None))) for r in plan.collect()], plan.schema.add("cut", "long").add("before", "long")
-    )
-    if len(patterns) <= MAX_BROADCAST:  # else Spark shuffles, and splits patterns with very many rows
-        plan = F.broadcast(plan)
-    rows = sized.join(plan, "pattern")
-    inside = F.col("bucket") == F.col("cut")
-    # Only rows of the buckets that are cut are sorted.
+    plan = table(plan, "plan")
+    for level in range(1, LEVELS + 1):
+        plan = table(narrowed(sized, plan, level), "plan")
+    rows = sized.join(plan, "pattern").withColumn("bucket", leading(LEVELS))
+    # Only rows of the buckets where a part ends are sorted.
     within = Window.partitionBy("pattern").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = plan.filter("cut is not null").withColumnRenamed("cut", "bucket")
-    last = sized.join(cuts, ["pattern", "bucket"]).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    last = rows.filter("bucket = cut").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")))
-    other = rows.filter(~F.coalesce(inside, F.lit(False))).withColumn(
-        "extra", (F.col("size") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.col("rest") > 0)
-    )
+    other = rows.filter("bucket != cut").withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("bucket") < F.col("cut")))
     columns = ["doc_id", "text_key", "sources", "size", "source_size", "target", "passes", "extra"]
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(0)
     return (
