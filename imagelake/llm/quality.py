@@ -5,7 +5,7 @@ Each line with a word is held against three kinds of rule:
 * punctuation: it does not end in a terminal mark (closing quotes and brackets after it allowed), or more
   than `max_marked` of its words carry two symbols in a row (`!!`, `###`, `%%%`);
 * navigation: more than `max_separators` of its words are menu separators (`|`, `>`, `»`, `/`, ...);
-* boilerplate: it is short and holds a stock phrase (licence, cookie, log-in, copyright lines).
+* boilerplate: it is short and holds a stock phrase (licence, cookie, log-in, copyright lines) of one of four languages.
 
 A document is rejected when the lines that stay hold less than `min_kept` of its word characters, or when a
 base rule fails (fewer than `min_words` words, or too many words in repeated five-word windows).
@@ -31,11 +31,18 @@ from imagelake.llm.common import row_bytes, shingles, word_hashes
 TERMINAL = ".!?:;…。！？"
 CLOSING = "\"')]}”’»«"
 SEPARATORS = ("|", ">", "<", "»", "«", "›", "‹", "•", "·", "/", "\\", "-", "–", "*")
-PHRASES = (
-    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "use cookies",
-    "cookie policy", "enable javascript", "lorem ipsum", "subscribe to", "sign in", "log in", "copyright",
-    "click here", "read more", "powered by",
-)
+#: Stock phrases by language; a line is held against those of all, as its language isn't known.
+STOCK = {
+    "en": ("all rights reserved", "licensed under", "released under the", "general public license", "terms of use", "terms of service", "privacy policy", "use cookies", "cookie policy",
+           "enable javascript", "lorem ipsum", "subscribe to", "sign in", "log in", "copyright", "click here", "read more", "powered by"),
+    "de": ("alle rechte vorbehalten", "lizenziert unter", "steht unter der lizenz", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "verwenden cookies", "javascript aktivieren",
+           "newsletter abonnieren", "melden sie sich an", "impressum", "hier klicken", "klicken sie hier", "weiterlesen", "mehr lesen"),
+    "fr": ("tous droits réservés", "sous licence", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies", "utilisons des cookies", "activer javascript",
+           "abonnez-vous", "connectez-vous", "se connecter", "cliquez ici", "lire la suite", "en savoir plus"),
+    "es": ("todos los derechos reservados", "bajo licencia", "bajo la licencia", "condiciones de uso", "términos de uso", "aviso legal", "política de privacidad", "utiliza cookies", "utilizamos cookies",
+           "activar javascript", "suscríbete", "suscríbase", "iniciar sesión", "inicia sesión", "haga clic aquí", "haz clic aquí", "leer más"),
+}
+PHRASES = tuple(p for phrases in STOCK.values() for p in phrases)
 _MARKED = re.compile(rb"[!?.,;:#*$%&|<>~=_+^@-]{2}")
 _PHRASE = re.compile("|".join(map(re.escape, PHRASES)).encode())
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)

@@ -237,7 +237,7 @@ v AS (SELECT doc_id, pos, line, list_sum(list_transform(ws, lambda x: length(x))
         NOT right(rtrim(bare, {_quoted([rules.CLOSING])}), 1) IN ({_quoted(rules.TERMINAL)})
         OR len(list_filter(ws, lambda x: regexp_matches(x, '{_MARKED}'))) > {_RULES.max_marked}e0 * len(ws)
         OR len(list_filter(ws, lambda x: x IN ({_quoted(rules.SEPARATORS)}))) > {_RULES.max_separators}e0 * len(ws)
-        OR (len(ws) <= {_RULES.boilerplate_words} AND regexp_matches({_AZ.format("line")}, '{"|".join(rules.PHRASES)}')) AS gone
+        OR (len(ws) <= {_RULES.boilerplate_words} AND regexp_matches({_AZ.format("line")}, {_quoted(["|".join(rules.PHRASES)])})) AS gone
       FROM b WHERE len(ws) > 0),
 q AS (SELECT doc_id, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE gone) AS removed, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM v GROUP BY doc_id),
 a AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
