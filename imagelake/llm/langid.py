@@ -7,7 +7,7 @@ weighted by how well its classifier did in training; the nearest codeword is the
 nearest codewords are almost as near is flagged ambiguous.
 
 Fitting uses a bounded sample: at most `rows_per_language` texts of each language, those with the smallest
-hashes of doc_id; their counts, not their texts, come to the driver. Everything else covers whole texts.
+hashes of doc_id, and `max_rows` in all; their counts, not their texts, come to the driver. Everything else covers whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; rows with a null lang or doc_id are
 not learned from; without any row to learn from all is `und`; with one language only, every text with a letter
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imagelake.llm.common import row_bytes, table
@@ -118,14 +118,16 @@ class Classifier:
         return order[:, 0], 1 / odds.sum(1), second - best
 
 
-def train(labelled: DataFrame, rows_per_language: int = 600, features: Features = Features()) -> Classifier | None:
-    """labelled: doc_id, text, lang (none null)."""
+def train(labelled: DataFrame, rows_per_language: int = 600, features: Features = Features(), max_rows: int = 12_000) -> Classifier | None:
+    """labelled: doc_id, text, lang (none null). At most max_rows feature counts come to the driver, in one job, however
+    many languages there are: with more than max_rows / rows_per_language of them each has fewer rows."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    each = max(1, min(rows_per_language, max_rows // len(counts)))
     scale = 1 << 40
     # The languages' shares as an expression: texts are filtered where they are read and don't move for a join.
-    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * rows_per_language / n) * scale)))]
+    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * each / n) * scale)))]
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(scale))
     sample = labelled.filter(chance < F.try_element_at(F.create_map(*shares), "lang")).select("lang", chance.alias("chance"), "text")
 
@@ -135,12 +137,13 @@ def train(labelled: DataFrame, rows_per_language: int = 600, features: Features
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["lang", "chance", "x"])
 
     rows = table(sample.mapInArrow(run, "lang string, chance long, x binary"), "sample")
-    languages, x, y = sorted(counts), [], []
-    for i, name in enumerate(languages):
-        for r in rows.filter(F.col("lang") == name).orderBy("chance", "x").limit(rows_per_language).select("x").collect():
-            x.append(np.frombuffer(r["x"], np.float16))
-            y.append(i)
-    return Classifier.fit(np.array(x, np.float32), np.array(y), languages)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "x"))  # over some more than `each` rows
+    got = rows.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "nth", "x").collect()
+    got.sort(key=lambda r: (r["lang"], r["nth"]))
+    languages = sorted(counts)
+    place = {name: i for i, name in enumerate(languages)}
+    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32)
+    return Classifier.fit(x, np.array([place[r["lang"]] for r in got]), languages)
 
 
 def identify(docs: DataFrame, model: Classifier | None, carry: tuple[str, ...] = ("doc_id",), ambiguous_gap: float = 0.05, features: Features = Features()) -> DataFrame:
