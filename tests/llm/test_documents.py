@@ -1,6 +1,7 @@
 """Operators over documents against brute force, on fixtures with every awkward case."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -140,7 +141,10 @@ def test_quality_base_figures(docs):
     "line,verdict",
     [
         ("This is a plain sentence.", None), ("She asked: »Is it so?«", None), ("no end mark here", "punctuation"), ("Buy!! now!! this!! is!! it!!", "punctuation"),
-        ("Home | News | Sport | About .", "navigation"), ("Copyright 2020. All rights reserved.", "boilerplate"),
+        ("Home | News | Sport | About .", "navigation"), ("Copyright 2020. All rights reserved.", "boilerplate"), ("Released under the MIT License.", "boilerplate"),
+        ("Dieses Werk ist lizenziert unter CC BY-SA 4.0.", "boilerplate"), ("Alle Rechte vorbehalten.", "boilerplate"), ("Tous droits réservés.", "boilerplate"),
+        ("Cette œuvre est mise à disposition sous licence CC BY.", "boilerplate"), ("Todos los derechos reservados.", "boilerplate"), ("Publicado bajo la licencia MIT.", "boilerplate"),
+        ("Ce site utilise des cookies.", "boilerplate"), ("Die Rechte der Bürger sind wichtig.", None), ("Les droits de tous sont importants.", None), ("Los derechos son de todos.", None),
     ],
 )
 def test_line_rules(line, verdict):
@@ -266,11 +270,58 @@ def test_min_cost_flow_prefers_first_passes_and_shares_overlaps():
     assert sum(given.values()) == 280 and given["a",] >= 100
 
 
+def all_flows(patterns, quota, most):
+    """The largest flow and its least cost, by trying every way to give words."""
+    import itertools
+
+    arcs = [(p, s) for p in patterns for s in p]
+    best = (0, 0)
+    for words in itertools.product(*(range(most * patterns[p] + 1) for p, _ in arcs)):
+        given, got = Counter(), Counter()
+        for (p, s), n in zip(arcs, words):
+            given[p] += n
+            got[s] += n
+        if all(given[p] <= most * n for p, n in patterns.items()) and all(got[s] <= q for s, q in quota.items()):
+            cost = sum(sum(k * (k + 1) // 2 * min(max(given[p] - k * n, 0), n) for k in range(most)) for p, n in patterns.items())
+            best = max(best, (sum(words), -cost))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_min_cost_flow_against_every_flow(seed):
+    rng = random.Random(seed)
+    patterns = {p: rng.randint(1, 2) for p in [("a",), ("a", "b"), ("b", "c"), ("c",)][: rng.randint(2, 4)]}
+    quota = {s: rng.randint(0, 7) for p in patterns for s in p}
+    given = mixing.min_cost_flow(patterns, quota, 3)
+    cost = sum(sum(k * (k + 1) // 2 * min(max(given[p] - k * n, 0), n) for k in range(3)) for p, n in patterns.items())
+    assert (sum(given.values()), -cost) == all_flows(patterns, quota, 3)
+
+
 def test_mixing_of_overlapping_sources(spark):
-    rows = [(i, "w " * 10, ["x"] if i % 3 else ["x", "y"]) for i in range(90)] + [(90, "w", []), (91, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
+    """Words that each set of sources gives, against the flow; documents of a part are the first in the seeded order."""
+    rng = random.Random(6)
+    tags = [["x"], ["y"], ["x", "y"], ["z", "x"], ["z"], [], None]
+    rows = [(i, " ".join("w" * rng.randint(0, 9)), rng.choice(tags[:4] if i % 5 else tags)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>").repartition(5)
     out = mixing.mix(df, sources=F.col("tags")).collect()
-    assert len(out) == 92 and {tuple(r.sources) for r in out} == {("x",), ("x", "y"), (None,)}
+    size, taken, sizes = Counter(), Counter(), Counter()
+    for _, t, s in rows:
+        for name in [key := tuple(sorted(set(s or [None]), key=str))] and key:
+            sizes[name] += len(t.split())
+        size[key] += len(t.split())
+    goal = mixing.targets(sizes)
+    goal = {s: t * sum(size.values()) / sum(sizes.values()) for s, t in goal.items()}
+    size = dict(sorted(size.items(), key=lambda kv: json.dumps(kv[0], separators=(",", ":"))))
+    given = mixing.min_cost_flow(size, {s: int(t + 0.5) for s, t in goal.items()}, 3)
+    assert len(out) == 400
+    for r in out:
+        taken[tuple(r.sources)] += r.taken
+        assert r.taken == r.copies * r.size <= 3 * r.size and r.target == pytest.approx(goal[r.sources[0]])
+    assert set(taken) == set(size) and all(abs(taken[p] - given[p]) <= 9 for p in size)
+    order = lambda r: int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:15], 16)
+    for p in size:
+        copies = [r.copies for r in sorted((r for r in out if tuple(r.sources) == p and r.size), key=order)]
+        assert copies == sorted(copies, reverse=True)
 
 
 def test_language_id_on_a_fixture(spark):
@@ -285,6 +336,58 @@ def test_language_id_on_a_fixture(spark):
     assert all(out[i].lang_pred == ("en" if i % 2 else "de") for i in range(60)) and all(0 <= r.score <= 1 for r in out.values())
 
 
+def plain_features(text, bits, orders):
+    """Counts of hashed byte n-grams, one by one."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text)
+    total = [0] * (1 << bits)
+    for n in orders:
+        for i in range(len(folded) - n + 1):
+            code = int.from_bytes(folded[i : i + n], "big") ^ (n * 0x3C6EF372 & 0xFFFFFFFF)
+            total[(code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits)] += 1
+    return [(v / max(1, sum(total))) ** 0.5 for v in total]
+
+
+def test_language_id_against_plain_loops(spark):
+    """Predictions for every document of the smallest table, by sums over n-grams and bits; held-out accuracy."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs.filter("lang is not null and text is not null").filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    f, trust = langid.Features(), model.trust / model.trust.sum()
+    out = {r.doc_id: r for r in langid.language_id(docs).collect()}
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0)
+            continue
+        x = plain_features(r.text.encode(), f.bits, f.orders)
+        used = [i for i, v in enumerate(x) if v]
+        margins = [sum(x[i] * float(model.weights[i, bit]) for i in used) + float(model.bias[bit]) for bit in range(len(trust))]
+        loss = [sum(t * math.log1p(math.exp(-c * m)) for t, c, m in zip(trust, code, margins)) for code in model.code]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        score = 1 / sum(math.exp(-(v - loss[best]) * len(trust)) for v in loss)
+        assert out[r.doc_id].lang_pred == model.languages[best] and out[r.doc_id].score == pytest.approx(score, abs=1e-3)
+
+
+def test_language_id_accuracy_by_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.filter("lang is not null").collect()}
+    right, of = Counter(), Counter()
+    for r in langid.language_id(docs).filter("held_out and lang_pred != 'und'").collect():
+        if r.doc_id in truth:
+            of[truth[r.doc_id]] += 1
+            right[truth[r.doc_id]] += r.lang_pred == truth[r.doc_id]
+    assert len(of) >= 4 and all(right[k] >= 0.97 * of[k] for k in of)
+
+
+def test_language_id_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"text of language {i % 40} with words {i}", f"l{i % 40:02d}") for i in range(2000)]
+    sizes = []
+    fit = langid.Classifier.fit
+    monkeypatch.setattr(langid.Classifier, "fit", staticmethod(lambda x, y, names: sizes.append((len(x), len(names))) or fit(x, y, names, steps=2)))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=400)
+    assert sizes[0][1] == 40 and 200 < sizes[0][0] <= 400
+
+
 def test_language_id_without_labels(spark):
     rows = [(1, "some text", None), (2, None, None)]
     out = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
