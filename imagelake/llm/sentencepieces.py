@@ -13,7 +13,7 @@ backpointer:
 A later piece can start only within the last `longest piece` positions, so the paths that survive are those
 from these positions. Whenever all of them run through one boundary, the ids before it are final: they are
 committed and the window moves up. Where no piece holds a space after another character, such a boundary lies
-before every space; words are then encoded one by one, and those met before are looked up in a bounded table.
+before every space that follows one; ids of short stretches between two such boundaries are kept in a bounded table.
 
 Defined results: a null or empty text has no ids; all other texts encode as the reference implementation does
 with default options; U+2581 in a text is a space to the model, so it decodes as one; equal rows get equal
@@ -280,49 +280,89 @@ class Viterbi:
 
 
 class Encoder:
-    """Whole texts, word by word where no piece crosses into a word's leading space."""
+    """Ids of a text that arrives in parts of any size; `push` and `finish` return those that are final, packed as 32-bit
+    integers.
 
-    def __init__(self, model: Model, max_words: int = 500_000, max_word: int = 40):
-        self.m, self.viterbi = model, Viterbi(model)
+    Where no piece holds a space after another character, no path spans the boundary before a space: all that survive
+    run through it, so it is committed as soon as the space arrives. Ids between two committed boundaries depend on
+    what stands between them alone, so those of short stretches after one space are kept in a table of bounded size.
+    A stretch that grows beyond `max_word` goes to the lattice as it comes, and is committed where its paths meet.
+    What is retained is one short stretch or the lattice's window, never the text."""
+
+    def __init__(self, model: Model, max_words: int = 500_000, max_word: int = 40, part: int = 1 << 16):
+        self.m, self.viterbi, self.part = model, Viterbi(model), part
         self.max_words, self.max_word = max_words, max_word
-        self.by_word = model.dummy_prefix and not model.inner_space
+        self.by_space = model.dummy_prefix and not model.inner_space
         encoder = self
 
-        class Words(dict):
-            """Packed ids of words that follow one space."""
+        class Known(dict):
+            """Packed ids of stretches that begin with one space."""
 
             def __missing__(self, word: str) -> bytes:
-                packed = encoder.packed(SPACE + word)
+                packed = encoder.lattice(1, word)
                 if len(word) <= encoder.max_word:
                     if len(self) >= encoder.max_words:
                         self.clear()
                     self[word] = packed
                 return packed
 
-        self.words = Words()
+        self.known = Known()
+        self.reset()
 
-    def packed(self, normalised: str) -> bytes:
-        ids = self.viterbi.push(normalised) + self.viterbi.finish()
+    def reset(self) -> None:
+        # Spaces before the open stretch (the first is the prefix), its other characters, whether the lattice has begun it.
+        self.spaces, self.open, self.begun = 1, "", False
+
+    def lattice(self, spaces: int, rest: str, close: bool = True) -> bytes:
+        ids = []
+        for at in range(0, spaces, self.part):
+            ids += self.viterbi.push(SPACE * min(self.part, spaces - at))
+        ids += self.viterbi.push(rest)
+        if close:
+            ids += self.viterbi.finish()
         return np.array(ids, np.int32).tobytes()
 
+    def push(self, part: str) -> bytes:
+        if not self.by_space:
+            prefix = self.m.dummy_prefix and not self.begun
+            self.begun = True
+            return self.lattice(int(prefix), part.replace(" ", SPACE), False)
+        words = part.replace(SPACE, " ").split(" ")
+        words[0] = self.open + words[0]
+        self.open = words.pop()
+        if self.spaces == 1 and not self.begun and "" not in words:
+            out = b"".join(map(self.known.__getitem__, words))
+        else:
+            made = []
+            for w in words:
+                if self.begun:
+                    made.append(self.lattice(0, w))
+                    self.begun, self.spaces = False, 1
+                elif w:
+                    made.append(self.known[w] if self.spaces == 1 else self.lattice(self.spaces, w))
+                    self.spaces = 1
+                else:
+                    self.spaces += 1
+            out = b"".join(made)
+        if len(self.open) > self.max_word:
+            out += self.lattice(0 if self.begun else self.spaces, self.open, False)
+            self.open, self.begun = "", True
+        return out
+
+    def finish(self) -> bytes:
+        if self.begun:
+            out = self.lattice(0, self.open)
+        else:
+            out = self.known[self.open] if self.open and self.spaces == 1 else self.lattice(self.spaces, self.open)
+        self.reset()
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as packed 32-bit integers."""
         if not text:
             return b""
-        if not self.by_word:
-            return self.packed(self.m.normalise(text))
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return b"".join(map(self.words.__getitem__, words))
-        out, spaces = [], 0
-        for w in words:
-            spaces += 1
-            if w:
-                out.append(self.words[w] if spaces == 1 else self.packed(SPACE * spaces + w))
-                spaces = 0
-        if spaces:
-            out.append(self.packed(SPACE * spaces))
-        return b"".join(out)
+        if len(text) <= self.part:
+            return self.push(text) + self.finish()
+        return b"".join(self.push(text[at : at + self.part]) for at in range(0, len(text), self.part)) + self.finish()
 
 
 def load_model(spark, path: str) -> bytes:

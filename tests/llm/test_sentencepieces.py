@@ -42,6 +42,33 @@ def test_equals_the_library(model, library, every):
         assert model.decode(want) == library.decode(want)
 
 
+@pytest.mark.parametrize("max_word,part", [(0, 1), (3, 2), (40, 7)])
+def test_parts_of_any_size(model, library, max_word, part):
+    encoder = sp.Encoder(model, max_words=5, max_word=max_word, part=part)
+    rng = random.Random(part)
+    for t in TEXTS + random_texts():
+        assert np.frombuffer(encoder.encode(t), np.int32).tolist() == library.encode(t)
+        out, at = b"", 0
+        while at < len(t):
+            n = rng.randint(0, 12)
+            out += encoder.push(t[at : at + n])
+            at += n
+        assert np.frombuffer(out + (encoder.finish() if t else b""), np.int32).tolist() == library.encode(t)
+
+
+def test_stream_retains_little_and_commits_early(model, library):
+    """A stretch without spaces far longer than any window, then spaces, then words: ids come as the text does."""
+    text = ("日本語abc-=" * 30_000) + " " * 50_000 + "some words " * 2000
+    encoder, out, widest, late = sp.Encoder(model, part=512), 0, 0, 0
+    for at in range(0, len(text), 512):
+        out += len(encoder.push(text[at : at + 512])) // 4
+        widest = max(widest, len(encoder.open) + len(encoder.viterbi.text))
+        if at == 512 * 400:
+            late = out
+    rest = len(encoder.finish()) // 4
+    assert widest < 1000 and out + rest == len(library.encode(text)) and late > 50_000 and rest < 100
+
+
 def test_window_stays_small(model):
     viterbi, widest = sp.Viterbi(model, check_every=8), 0
     for _ in range(300):
