@@ -225,6 +225,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- comparisons within tasks
 
 
+#: Cells of a group, and the smallest block worth a cell.
+CELLS, _LEAST_BLOCK = 64, 64 << 10
+
+
 class Members:
     """A block of members with two indexes: their places by bucket, and their weights by element."""
 
@@ -285,12 +289,14 @@ def across(open_: DataFrame, sets: DataFrame, threshold: float, block_bytes: int
     """Links (a, b) between members outside their bucket's largest class and all others of the bucket.
 
     Buckets with the same largest class go together, so a member comes once for each of these with its places. A
-    group's outsiders and its members are dealt into blocks of about block_bytes, and each pair of blocks meets in
-    a cell: rows grow with the outsiders' share, pairs are no rows, and a cell's memory is bounded."""
+    group's outsiders and its members are dealt into blocks, and each pair of blocks meets in a cell: rows grow with the
+    outsiders' share, pairs are no rows, and a cell's memory is bounded. A group has about CELLS cells, so that its work
+    is shared; with more bytes than these hold in blocks of block_bytes, it has more."""
     rows = open_.groupBy("major", "node", "root").agg(F.collect_list(F.struct("bucket", "away", "miss")).alias("places"))
     held = F.octet_length("elements") + F.octet_length("counts") + 40 * F.size("places") + 64
     rows = table(rows.join(sets, "node").withColumns({"minor": F.col("root") != F.col("major"), "bytes": held.cast("long")}), "inside")
-    blocks = lambda size: F.ceil(F.sum(size) / block_bytes).cast("int")
+    bytes_ = F.least(F.lit(block_bytes), F.greatest(F.lit(_LEAST_BLOCK), F.sqrt(F.sum("m") * F.sum("o") / CELLS)))
+    blocks = lambda size: F.ceil(F.sum(size) / bytes_).cast("int")
     sized = spread_join(
         rows, "major", "node", [F.sum("bytes").alias("m"), F.sum(F.when(F.col("minor"), F.col("bytes")).otherwise(0)).alias("o")],
         [F.greatest(F.lit(1), blocks("m")).alias("m"), F.greatest(F.lit(1), blocks("o")).alias("o")],
