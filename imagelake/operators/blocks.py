@@ -6,9 +6,15 @@ an array) everything is higher-order functions within the row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from imagelake.sources import texture
+
 
 def to_blocks(pixels: DataFrame, image: str, value: str = "v") -> DataFrame:
     """(image, brow, bcol, texels): the sixteen values in row order."""
@@ -18,6 +24,51 @@ def to_blocks(pixels: DataFrame, image: str, value: str = "v") -> DataFrame:
     return pixels.groupBy(image, brow.alias("brow"), bcol.alias("bcol")).agg(texels.alias("texels"))
 
 
+def encode_blocks(pixels: DataFrame, image: str, kind: str, channels: list[str]) -> DataFrame:
+    """(image, y, x, channels 0..255) -> (image, brow, bcol, element): the bytes of each block. Texels beyond the image's
+    edge repeat the last row and column."""
+    brow, bcol = F.floor(F.col("y") / 4).cast("int"), F.floor(F.col("x") / 4).cast("int")
+    texel = F.struct((F.col("y") % 4 * 4 + F.col("x") % 4).cast("int").alias("i"), *(F.col(c).cast("int").alias(c) for c in channels))
+    grouped = pixels.groupBy(F.col(image), brow.alias("brow"), bcol.alias("bcol")).agg(F.collect_list(texel).alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, n = b.column("_t"), b.num_rows
+            flat = held.flatten()
+            row = np.repeat(np.arange(n), np.diff(held.offsets.to_numpy()))
+            at = flat.field(0).to_numpy()
+            t = np.zeros((n, 16, len(channels)), np.int32)
+            t[row, at] = np.stack([flat.field(1 + k).to_numpy() for k in range(len(channels))], 1)
+            last_x, last_y = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            np.maximum.at(last_x, row, at % 4)
+            np.maximum.at(last_y, row, at // 4)
+            slot = np.arange(16)
+            inside = np.minimum(slot // 4, last_y[:, None]) * 4 + np.minimum(slot % 4, last_x[:, None])
+            raw = texture.encode_texels(kind, np.take_along_axis(t, inside[:, :, None], 1).astype(np.uint8))
+            size = texture.SIZES[kind]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([raw[k * size : (k + 1) * size] for k in range(n)], pa.binary())], [image, "brow", "bcol", "element"])
+
+    return grouped.mapInArrow(run, f"`{image}` {dict(pixels.dtypes)[image]}, brow int, bcol int, element binary")
+
+
+def decode_blocks(elements: DataFrame, image: str, kind: str, channels: list[str], width: int, height: int) -> DataFrame:
+    """(image, brow, bcol, element) -> (image, y, x, channels), without the texels beyond the image's edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            t = texture.decode_texels(kind, b"".join(b.column("element").to_pylist()), n).reshape(n * 16, -1)
+            slot = np.tile(np.arange(16), n)
+            y = np.repeat(b.column("brow").to_numpy(), 16) * 4 + slot // 4
+            x = np.repeat(b.column("bcol").to_numpy(), 16) * 4 + slot % 4
+            keep = np.flatnonzero((y < height) & (x < width))
+            made = [pa.array(v[keep].astype(np.int32)) for v in (y, x, *(t[:, k] for k in range(len(channels))))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep // 16)), *made], [image, "y", "x", *channels])
+
+    ddl = f"`{image}` {dict(elements.dtypes)[image]}, y int, x int, " + ", ".join(f"`{c}` int" for c in channels)
+    return elements.select(image, F.col("brow").cast("int"), F.col("bcol").cast("int"), "element").mapInArrow(run, ddl)
+
+
 def idiv(a: Column, b: int) -> Column:
     return F.floor(a / b).cast("int")
 

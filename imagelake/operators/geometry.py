@@ -24,6 +24,11 @@ def crop(pixels: DataFrame, x0: int, y0: int, width: int, height: int) -> DataFr
     return pixels.filter(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
+def map_window(pixels: DataFrame, dx: int, dy: int) -> DataFrame:
+    """Moves the origin: a data window may lie anywhere, also at negative coordinates."""
+    return pixels.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
+
+
 def oriented(x: Column, y: Column, width: Column | int, height: Column | int, name: str) -> tuple[Column, Column]:
     """Where a stored pixel goes when its orientation becomes the identity."""
     swap, sx, sy = ORIENTATIONS[name]

@@ -56,18 +56,34 @@ def rank_with_ties(rows: DataFrame, group: list[str], by: Column) -> Column:
     return F.rank().over(Window.partitionBy(*group).orderBy(by))
 
 
-def banded_order(rows: list[tuple], tolerance: float) -> list[int]:
-    """Bands of rows (value, ...) by tolerance: each takes all within the tolerance of the best left. For the few
-    rows of a report."""
-    left, bands, k = sorted(range(len(rows)), key=lambda i: rows[i]), [0] * len(rows), 0
-    while left:
-        top = rows[left[0]][0] * (1 + tolerance)
-        band = [i for i in left if rows[i][0] <= top]
-        k += 1
-        for i in band:
-            bands[i] = k
-        left = [i for i in left if i not in band]
-    return bands
+def banded(points: DataFrame, group: str, first: str, tolerance: float) -> DataFrame:
+    """points with `band`: of a group, band 1 holds all within the tolerance of the best `first`, band 2 all within that
+    of the best left, and so on. A group's distinct values pass through one aggregate: meant for the rows of a report."""
+    values = points.groupBy(group).agg(F.array_sort(F.collect_set(F.col(first).cast("double"))).alias("_v"))
+    start = F.struct(F.lit(-1.0).alias("top"), F.lit(0).alias("band"), F.array().cast("array<struct<v:double,band:int>>").alias("out"))
+
+    def step(state: Column, v: Column) -> Column:
+        fresh = (state["band"] == 0) | (v > state["top"])
+        band = F.when(fresh, state["band"] + 1).otherwise(state["band"])
+        top = F.when(fresh, v * (1 + tolerance)).otherwise(state["top"])
+        return F.struct(top.alias("top"), band.alias("band"), F.array_append(state["out"], F.struct(v.alias("v"), band.alias("band"))).alias("out"))
+
+    bands = values.select(group, F.explode(F.aggregate("_v", start, step, lambda s: s["out"])).alias("_b"))
+    bands = bands.select(group, F.col("_b.v").alias("_first"), F.col("_b.band").alias("band"))
+    return points.join(bands, (points[group] == bands[group]) & (points[first].cast("double") == bands["_first"])).select(points["*"], "band")
+
+
+def metadata_report(entries: Column, size: str = "size", namespace: str = "ns") -> dict[str, Column]:
+    """Figures over an array of metadata entries: total and largest size, whether any or all belong to a namespace, the
+    namespaces once each, those besides text, and the first two by size."""
+    names = F.array_distinct(F.transform(entries, lambda e: e[namespace]))
+    text = lambda e: e[namespace] == "text"
+    largest = F.transform(F.slice(F.reverse(F.array_sort(F.transform(entries, lambda e: F.struct(e[size].alias("s"), e[namespace].alias("n"))))), 1, 2), lambda e: e["s"])
+    return {
+        "total": F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + e[size]), "largest": F.array_max(F.transform(entries, lambda e: e[size])),
+        "any_text": F.exists(entries, text), "all_text": F.forall(entries, text), "names": F.array_join(F.array_sort(names), ","),
+        "other_names": F.array_join(F.array_sort(F.array_except(names, F.array(F.lit("text")))), ","), "top_two": F.array_join(F.transform(largest, lambda v: v.cast("string")), ","),
+    }
 
 
 def violations(assets: DataFrame, limits: dict[str, int]) -> Column:
@@ -79,6 +95,7 @@ def violations(assets: DataFrame, limits: dict[str, int]) -> Column:
         "dimension": F.greatest("width", "height") > limits["dimension"],
         "pixels": pixels > F.lit(limits["pixels"]),
         "levels": F.col("levels") > limits["levels"],
+        "array_elements": F.col("elements") > limits["array_elements"],
         "metadata": F.col("metadata_bytes") > limits["metadata"],
     }
     return F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())))

@@ -31,5 +31,9 @@ class ImageFrame:
         return plan(self.description, Capabilities.of(codec), policy, encoding, self.size, self.box)
 
     def pixels(self, codec: Codec, policy: str = "preserve", encoding: str | None = None) -> DataFrame:
+        """Pixels as the codec takes them, or elements where they are encoded."""
+        return self.run(self.plan(codec, policy, encoding))
+
+    def run(self, plan: Plan) -> DataFrame:
         d = self.description
-        return lower(self.data, self.plan(codec, policy, encoding), d.channels, d.sample, self.palette)
+        return lower(self.data, plan, d.channels, d.sample, self.palette)

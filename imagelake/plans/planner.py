@@ -36,7 +36,8 @@ class Description:
     indexed: bool = False
     palette_bits: int = 8
     premultiplied: bool = False
-    subsampled: tuple[str, ...] = ()
+    subsampled: tuple = ()  # names of channels on a coarser grid, or that grid's steps where all channels stand on it
+    grid: tuple[int, int] = (2, 2)  # steps of the named ones
     parts: int = 1
     metadata: tuple[str, ...] = ()  # namespaces
 
@@ -71,9 +72,19 @@ class Plan:
     losses: list[Loss] = field(default_factory=list)
     policy: str = "preserve"
 
+    def text(self) -> str:
+        return "|".join(["1", self.policy, *map(str, self.steps)])
+
     def fingerprint(self) -> str:
-        return hashlib.sha256("|".join(["1", self.policy, *map(str, self.steps)]).encode()).hexdigest()
+        return hashlib.sha256(self.text().encode()).hexdigest()
+
+    def then(self, name: str, *args) -> Plan:
+        """The plan with a step that the planner itself never chooses: map_window, premultiply, color_transform, ..."""
+        return replace(self, steps=[*self.steps, Step(name, args)])
+
 
+#: Steps that are named in plans and refused: codecs do the one kind themselves, and nothing defines the other.
+REFUSED = ("remove_supercompression", "apply_supercompression", "translate_metadata")
 
 # Channels and staging samples of encoded targets.
 ENCODED = {
@@ -130,7 +141,7 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
         steps.append(Step("transcode", (source.encoding,)))
         return _finish(Plan(steps + _metadata(source, losses), replace(now, metadata=()), losses, policy))
     if source.encoding:
-        steps.append(Step("decode_elements", (source.encoding,)))
+        steps.append(Step("decode_elements", (source.encoding, source.width, source.height)))
         now = replace(now, encoding=None)
     if source.indexed:
         if source.palette_bits not in (8, 16):
@@ -138,7 +149,9 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
         steps.append(Step("expand_indexed"))
         now = replace(now, indexed=False, channels=("R", "G", "B", "A") if "A" in source.channels else ("R", "G", "B"))
     if source.subsampled:
-        steps.append(Step("change_grid", source.subsampled))
+        named = [c for c in source.subsampled if isinstance(c, str)]
+        step = source.grid if named else source.subsampled
+        steps.append(Step("change_grid", (*step, source.width, source.height, *(named or now.channels))))
         losses.append(Loss("sampling", "subsampled channels are replicated", semantic=False))
     now = _channels(now, target, encoding, steps, losses)
     supported = (ENCODED[encoding][1],) if encoding else target.samples

@@ -42,6 +42,7 @@ class Limits:
     dimension: int = 65_536
     pixels: int = 1 << 32
     decoded_bytes: int = 8 << 30
+    working_bytes: int = 2 << 30
     parts: int = 1024
     channels: int = 1024
     levels: int = 32
@@ -55,6 +56,37 @@ class Limits:
             raise FormatError("any", "LimitExceeded", f"{width} x {height} x {items}")
 
 
+class Budget:
+    """Working memory of one decode: what is reserved beyond the limit raises, before anything is allocated."""
+
+    def __init__(self, fmt: str, limit: int):
+        self.fmt, self.limit, self.used, self.peak = fmt, limit, 0, 0
+
+    def reserve(self, size: int) -> None:
+        if size < 0 or size > self.limit - self.used:
+            raise FormatError(self.fmt, "LimitExceeded", f"{self.used} + {size} bytes of working memory")
+        self.used += size
+        self.peak = max(self.peak, self.used)
+
+    def release(self, size: int) -> None:
+        self.used -= size
+
+
+@dataclass(frozen=True)
+class WriterContract:
+    """What a writer of a format asks of the rows that reach it. granularity: rows that must come together, 0 for a
+    whole image; order: of these groups."""
+
+    granularity: int = 1
+    order: str = "increasing"  # increasing, decreasing or arbitrary
+    random_access: bool = False
+    seekable: bool = False
+    incomplete_levels: bool = False
+    sparse: bool = False
+    descriptor_first: bool = True
+    extents_first: bool = True
+
+
 @dataclass(frozen=True)
 class Codec:
     """decode(bytes, Limits) -> Image; encode(Image, **options) -> bytes or None; probe(head) -> confidence 0 to 3."""
@@ -72,6 +104,7 @@ class Codec:
     orientation: bool = False
     indexed: bool = False
     big_endian: bool = False
+    contract: WriterContract = WriterContract()
 
 
 class Registry:

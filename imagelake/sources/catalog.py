@@ -12,17 +12,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from imagelake.sources import dds, exr, hdr, jpeg, png, webp
-from imagelake.sources.base import Codec, FormatError, Image, Limits, Registry
+from imagelake.sources.base import Codec, FormatError, Image, Limits, Registry, WriterContract
 
 REGISTRY = Registry()
 for _codec in (
-    Codec("png", ("png",), lambda h: 3 if h[:8] == png.SIGNATURE else 0, png.decode, png.encode, ("unorm1", "unorm2", "unorm4", "unorm8", "unorm16"), (1, 2, 3, 4), indexed=True, big_endian=True),
-    Codec("jpeg", ("jpg", "jpeg"), lambda h: 3 if h[:3] == b"\xff\xd8\xff" else 0, jpeg.decode, jpeg.encode, ("unorm8",), (1, 3), big_endian=True),
-    Codec("exr", ("exr",), lambda h: 3 if h[:4] == exr.MAGIC else 0, exr.decode, exr.encode, ("float16", "float32", "uint32"), None, arbitrary_names=True, multipart=True),
-    Codec("hdr", ("hdr", "pic"), lambda h: 3 if h[:10] == b"#?RADIANCE" else 2 if h[:6] == b"#?RGBE" else 0, hdr.decode, hdr.encode, ("float32",), (3,), ("rgbe",), orientation=True),
-    Codec("dds", ("dds",), lambda h: 3 if h[:4] == b"DDS " else 0, dds.decode_dds, dds.encode_dds, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6])),
-    Codec("ktx2", ("ktx2",), lambda h: 3 if h[:12] == dds.KTX2 else 0, dds.decode_ktx2, dds.encode_ktx2, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6] and v[1])),
-    Codec("webp", ("webp",), lambda h: 3 if h[:4] == b"RIFF" and h[8:12] == b"WEBP" else 0, webp.decode, webp.encode, ("unorm8",), (3, 4)),
+    Codec("png", ("png",), lambda h: 3 if h[:8] == png.SIGNATURE else 0, png.decode, png.encode, ("unorm1", "unorm2", "unorm4", "unorm8", "unorm16"), (1, 2, 3, 4), indexed=True, big_endian=True, contract=WriterContract(1)),
+    Codec("jpeg", ("jpg", "jpeg"), lambda h: 3 if h[:3] == b"\xff\xd8\xff" else 0, jpeg.decode, jpeg.encode, ("unorm8",), (1, 3), big_endian=True, contract=WriterContract(0)),
+    Codec("exr", ("exr",), lambda h: 3 if h[:4] == exr.MAGIC else 0, exr.decode, exr.encode, ("float16", "float32", "uint32"), None, arbitrary_names=True, multipart=True, contract=WriterContract(16, "arbitrary", seekable=True)),
+    Codec("hdr", ("hdr", "pic"), lambda h: 3 if h[:10] == b"#?RADIANCE" else 2 if h[:6] == b"#?RGBE" else 0, hdr.decode, hdr.encode, ("float32",), (3,), ("rgbe",), orientation=True, contract=WriterContract(1)),
+    Codec("dds", ("dds",), lambda h: 3 if h[:4] == b"DDS " else 0, dds.decode_dds, dds.encode_dds, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6]), contract=WriterContract(4)),
+    Codec("ktx2", ("ktx2",), lambda h: 3 if h[:12] == dds.KTX2 else 0, dds.decode_ktx2, dds.encode_ktx2, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6] and v[1]), contract=WriterContract(0, "arbitrary", seekable=True)),
+    Codec("webp", ("webp",), lambda h: 3 if h[:4] == b"RIFF" and h[8:12] == b"WEBP" else 0, webp.decode, webp.encode, ("unorm8",), (3, 4), contract=WriterContract(0)),
 ):
     REGISTRY.register(_codec)
 
@@ -38,6 +38,29 @@ def probe(content: Column) -> Column:
     return F.when(F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250")), F.lit("webp")).otherwise(out)
 
 
+def resolved(content: Column, extension: Column) -> Column:
+    """Format of a file: by its first bytes, else by its extension. The formats' first bytes exclude each other."""
+    named = F.lit(None).cast("string")
+    for codec in REGISTRY.codecs.values():
+        named = F.when(F.ltrim(F.lower(extension), F.lit(".")).isin(*codec.extensions), F.lit(codec.format)).otherwise(named)
+    return F.coalesce(probe(content), named)
+
+
+def outcome(error: Column) -> Column:
+    """What became of a decode: accepted, unsupported, resource_limit or rejected."""
+    code = error["code"]
+    return F.when(error.isNull(), "accepted").when(code == "LimitExceeded", "resource_limit").when(code.startswith("Unsupported."), "unsupported").otherwise("rejected")
+
+
+def compared(ours: Column, other: Column) -> Column:
+    """Two decoders' outcomes of one file; a null one was not asked."""
+    unsure = F.array(F.lit("unsupported"), F.lit("resource_limit"))
+    return (
+        F.when((ours == "crash") | F.coalesce(other == "crash", F.lit(False)), "failure").when(other.isNull(), "not_compared")
+        .when(F.array_contains(unsure, ours) | F.array_contains(unsure, other), "inconclusive").when(ours == other, "agreement").otherwise("acceptance_mismatch")
+    )
+
+
 IMAGE_SCHEMA = (
     "format string, width int, height int, channels array<string>, sample string, encoding string, orientation string, "
     "samples array<double>, error struct<format string, code string, message string, offset long>"
@@ -89,11 +112,12 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, bad = [], []
-            for r in b.to_pylist():
+            held = b.column("samples")
+            for i, r in enumerate(b.drop_columns(["samples"]).to_pylist()):  # samples stay in Arrow's buffers
                 try:
-                    if r["samples"] is None:
+                    if not held[i].is_valid:
                         raise FormatError(fmt, "NoImage")
-                    v = np.array(r["samples"]).reshape(r["height"], r["width"], len(r["channels"])).astype(kinds.get(r["sample"], np.uint8))
+                    v = held[i].values.to_numpy(zero_copy_only=False).reshape(r["height"], r["width"], len(r["channels"])).astype(kinds.get(r["sample"], np.uint8))
                     out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity"), **options))
                     bad.append(None)
                 except FormatError as e:
@@ -125,9 +149,9 @@ class _Band(InputPartition):
 
 
 class TextureReader(DataSourceReader):
-    """Rows (path, element, face, level, y, x, channel, value) of DDS and KTX2 files. The header says where each
-    subresource lies, so each is a partition of its own, and equality filters on element, face or level leave
-    partitions out."""
+    """Rows (path, element, face, level, y, x, channel, value) of DDS and KTX2 files: one, several divided by commas, or
+    all of a folder. The header says where each subresource lies, so each is a partition of its own, and equality
+    filters on element, face or level leave partitions out. The driver reads headers only."""
 
     def __init__(self, options: dict):
         self.path, self.wanted = options["path"], {}
@@ -139,15 +163,18 @@ class TextureReader(DataSourceReader):
             yield f  # Spark filters again; leaving partitions out is all that happens here
 
     def partitions(self):
-        from imagelake.sources.files import read_bytes
+        from imagelake.sources.files import listed, read_bytes
 
-        data = read_bytes(self.path)
-        layout = dds.dds_layout(data) if data[:4] == b"DDS " else dds.ktx2_layout(data)
         out = []
-        for key, (at, stored, packed) in layout.places.items():
-            place = dict(zip(("element", "face", "level"), key, strict=False))
-            if all(place[k] == v for k, v in self.wanted.items()):
-                out.append(_Band(self.path, key[2], at, stored, (layout.name, key, packed, *layout.size(key[2]), layout.bytes_of(key[2]))))
+        for path in (p for part in self.path.split(",") for p in listed(part.strip(), (".dds", ".ktx2"))):
+            data = read_bytes(path, 0, 4096)
+            if dds.header_bytes(data) > len(data):  # a KTX2 header holds metadata of any size
+                data = read_bytes(path, 0, dds.header_bytes(data))
+            layout = dds.dds_layout(data) if data[:4] == b"DDS " else dds.ktx2_layout(data)
+            for key, (at, stored, packed) in layout.places.items():
+                place = dict(zip(("element", "face", "level"), key, strict=False))
+                if all(place[k] == v for k, v in self.wanted.items()):
+                    out.append(_Band(path, key[2], at, stored, (layout.name, key, packed, *layout.size(key[2]), layout.bytes_of(key[2]))))
         return out
 
     def read(self, partition):

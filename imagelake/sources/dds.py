@@ -171,6 +171,15 @@ def encode_dds(image: Image, encoding: str | None = None) -> bytes:
 # ---------------------------------------------------------------- KTX2
 
 
+def header_bytes(data: bytes) -> int:
+    """How much of a file says where everything lies, from its first 80 bytes or more."""
+    if data[:12] != KTX2 or len(data) < 80:
+        return 148
+    levels = max(1, struct.unpack("<I", data[40:44])[0])
+    dfd_at, dfd_n, kv_at, kv_n = struct.unpack("<4I", data[48:64])
+    return max(80 + 24 * min(levels, 64), dfd_at + dfd_n, kv_at + kv_n)
+
+
 def ktx2_layout(data: bytes) -> Layout:
     if data[:12] != KTX2:
         raise FormatError("ktx2", "BadSignature", "", 0)

@@ -1,4 +1,4 @@
-"""Byte ranges of files, local or in any store that Arrow's file systems reach."""
+"""Files and byte ranges of them, local or in any store that Arrow's file systems reach."""
 
 from __future__ import annotations
 
@@ -7,9 +7,22 @@ import re
 import pyarrow.fs as pafs
 
 
-def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
+def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     m = re.match(r"file:/*(/.*)$", uri)
-    fs, path = (pafs.LocalFileSystem(), m[1]) if m else pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+    return (pafs.LocalFileSystem(), m[1]) if m else pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+
+
+def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
+    fs, path = _at(uri)
     with fs.open_input_file(path) as f:
         f.seek(offset)
         return f.read() if length is None else f.read(length)
+
+
+def listed(uri: str, endings: tuple[str, ...]) -> list[str]:
+    """The file itself, or the files of a folder with one of the endings, in order of their names."""
+    fs, path = _at(uri)
+    if fs.get_file_info(path).type != pafs.FileType.Directory:
+        return [uri]
+    found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
+    return [uri.rstrip("/") + f.path[len(path.rstrip("/")) :] for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and f.path.lower().endswith(endings)]

@@ -214,6 +214,9 @@ def _refine(bits: Bits, block: np.ndarray, i: int, last: int, low: int, table: T
                 else:
                     run -= 1
                 i += 1
+            else:
+                if value or run:
+                    raise FormatError("jpeg", "BadRefinement", "a run leaves the spectral band")
     if eob:
         while i <= last:
             if block[i]:
@@ -336,8 +339,18 @@ def _tokens(blocks: np.ndarray, previous: int) -> list[tuple[int, int, int, int]
     return out
 
 
-def encode(image: Image, quality: int = 90, subsampling: str = "420", progressive: bool = False) -> bytes:
-    """Baseline, or progressive by spectral selection; Huffman tables are fitted to the image."""
+def restart_interval(units: int, nonzero: int, segments: int) -> int:
+    """Units between restart markers, 0 for none: at least 4 units and 8,192 nonzero coefficients a segment, and no more
+    than `segments` of them. A parameter, not the machine's cores, decides, so that files don't depend on the machine."""
+    if units <= 4:
+        return 0
+    n = min(units // 4, segments, max(1, nonzero // 8192))
+    return 0 if n <= 1 else -(-units // n)
+
+
+def encode(image: Image, quality: int = 90, subsampling: str = "420", progressive: bool = False, restart: int | None = 0, segments: int = 16) -> bytes:
+    """Baseline, or progressive by spectral selection; Huffman tables are fitted to the image. restart: units between
+    restart markers of a baseline scan, None to choose by restart_interval."""
     if not 1 <= quality <= 100 or subsampling not in ("444", "422", "420"):
         raise FormatError("jpeg", "BadOption", f"{quality} {subsampling}")
     if image.sample != "unorm8" or image.samples.shape[2] not in (1, 3):
@@ -365,9 +378,19 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420", progressiv
         out += seg(0xDB, bytes([k]) + bytes(t[_ZIG].tolist()))
     frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((k + 1, fh << 4 | fv, min(k, 1))) for k, (fh, fv) in enumerate(factors))
     out += seg(0xC2 if progressive else 0xC0, frame)
-    stream, previous = [], [0] * n  # (table, class, symbol, value, bits) of all components, in the order of a shared scan
-    for my in range(padded.shape[0] // (8 * vs)):
-        for mx in range(padded.shape[1] // (8 * hs)):
+    across, down = padded.shape[1] // (8 * hs), padded.shape[0] // (8 * vs)
+    if restart is None:
+        restart = restart_interval(across * down, int(sum(np.count_nonzero(c) for c in coded)), segments)
+    if progressive:
+        restart = 0
+    if restart:
+        out += seg(0xDD, struct.pack(">H", restart))
+    stream, previous, resets = [], [0] * n, []  # (table, class, symbol, value, bits) of all components, in the order of a shared scan
+    for my in range(down):
+        for mx in range(across):
+            if restart and my * across + mx and (my * across + mx) % restart == 0:
+                resets.append(len(stream))
+                previous = [0] * n
             for k, (fh, fv) in enumerate(factors):
                 for j in range(fv):
                     for i in range(fh):
@@ -375,7 +398,7 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420", progressiv
                         tokens = _tokens(block, previous[k])
                         stream += [(min(k, 1), *t) for t in (tokens[:1] if progressive else tokens)]
                         previous[k] = int(block[0])
-    out += _scan_bytes(stream, list(range(n)), (0, 0 if progressive else 63))
+    out += _scan_bytes(stream, list(range(n)), (0, 0 if progressive else 63), resets)
     for k in range(n if progressive else 0):  # then the other coefficients of each component in a scan of its own
         fh, fv = factors[k]
         bw, bh = -(-(-(-w * fh // hs)) // 8), -(-(-(-h * fv // vs)) // 8)
@@ -384,8 +407,9 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420", progressiv
     return out + b"\xff\xd9"
 
 
-def _scan_bytes(stream: list[tuple], components: list[int], band: tuple[int, int]) -> bytes:
-    """Huffman tables fitted to the tokens, the scan's header, and its packed bits."""
+def _scan_bytes(stream: list[tuple], components: list[int], band: tuple[int, int], resets: list[int] = ()) -> bytes:
+    """Huffman tables fitted to the tokens, the scan's header, and its packed bits, with restart markers before the tokens
+    at `resets`."""
     counts: dict[tuple[int, int], dict[int, int]] = {}
     for k, kind, symbol, _, _ in stream:
         seen = counts.setdefault((kind, k), {})
@@ -393,7 +417,14 @@ def _scan_bytes(stream: list[tuple], components: list[int], band: tuple[int, int
     huff = {key: optimal(c) for key, c in counts.items()}
     word = used = 0
     packed = bytearray()
-    for k, kind, symbol, value, bits in stream:
+    marks = dict(zip(resets, range(len(resets))))
+    for at, (k, kind, symbol, value, bits) in enumerate(stream):
+        if at in marks:
+            if used:
+                byte = (word << (8 - used) | (1 << (8 - used)) - 1) & 255
+                packed += bytes((byte, 0)) if byte == 255 else bytes((byte,))
+            packed += bytes((255, 0xD0 + marks[at] % 8))
+            word = used = 0
         code, length = huff[kind, k].codes[symbol]
         word, used = (word << length | code) << bits | value, used + length + bits
         while used >= 8:

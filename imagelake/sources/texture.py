@@ -113,10 +113,10 @@ def _decode_single(raw: np.ndarray) -> np.ndarray:
     return np.take_along_axis(_alpha_palette(raw[:, 0], raw[:, 1]), picks.astype(np.int64), 1)
 
 
-def decode_image(kind: str, raw: bytes, w: int, h: int) -> np.ndarray:
-    n = -(-w // 4) * -(-h // 4)
+def decode_texels(kind: str, raw: bytes, n: int) -> np.ndarray:
+    """(blocks, 16, channels)."""
     if kind == "bc7":
-        return from_blocks(bc7.decode(raw, n), w, h)
+        return bc7.decode(raw, n)
     b = np.frombuffer(raw, np.uint8, n * SIZES[kind]).reshape(n, SIZES[kind])
     if kind == "bc1":
         out = _decode_color(b, False)
@@ -131,7 +131,12 @@ def decode_image(kind: str, raw: bytes, w: int, h: int) -> np.ndarray:
         out = _decode_single(b)[:, :, None]
     else:
         out = np.stack((_decode_single(b[:, :8]), _decode_single(b[:, 8:])), 2)
-    return from_blocks(out, w, h).astype(np.uint8)
+    return out
+
+
+def decode_image(kind: str, raw: bytes, w: int, h: int) -> np.ndarray:
+    n = -(-w // 4) * -(-h // 4)
+    return from_blocks(decode_texels(kind, raw, n), w, h).astype(np.uint8)
 
 
 _PAIRS = [(i, j) for i in range(16) for j in range(i + 1, 16)]
@@ -165,10 +170,10 @@ def _encode_single(v: np.ndarray) -> np.ndarray:
     return np.concatenate((np.stack((high, low), 1).astype(np.uint8), word.astype("<u8")[:, None].view(np.uint8)[:, :6]), 1)
 
 
-def encode_image(kind: str, image: np.ndarray) -> bytes:
+def encode_texels(kind: str, t: np.ndarray) -> bytes:
+    """Bytes of (blocks, 16, channels), one block after the other."""
     if kind == "bc7":
         raise FormatError("texture", "Unsupported.Bc7.Encoding", "decoding only")
-    t = to_blocks(image.astype(np.uint8))
     if kind == "bc1":
         out = _encode_color(t, False)
     elif kind == "bc2":
@@ -181,3 +186,7 @@ def encode_image(kind: str, image: np.ndarray) -> bytes:
     else:
         out = np.concatenate((_encode_single(t[:, :, 0]), _encode_single(t[:, :, 1])), 1)
     return np.ascontiguousarray(out).tobytes()
+
+
+def encode_image(kind: str, image: np.ndarray) -> bytes:
+    return encode_texels(kind, to_blocks(image.astype(np.uint8)))

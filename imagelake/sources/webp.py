@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 
-from imagelake.sources.base import FormatError, Image, Limits
+from imagelake.sources.base import Budget, FormatError, Image, Limits
 
 # The order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -208,6 +208,8 @@ def decode_lossless(data: bytes, limits: Limits) -> np.ndarray:
     if bits.take(3):
         raise FormatError("webp", "Unsupported.Webp.Version")
     limits.check(w, h)
+    budget = Budget("webp", limits.working_bytes)
+    budget.reserve(w * h * 40)  # packed pixels, and four channels of 64 bits
     transforms, width = [], w
     while bits.take(1):
         kind = bits.take(2)
@@ -248,6 +250,39 @@ def decode_lossless(data: bytes, limits: Limits) -> np.ndarray:
     return px
 
 
+def alpha_plane(chunk: bytes, width: int, height: int, limits: Limits = Limits()) -> np.ndarray:
+    """The alpha of a lossy image from its chunk: raw or lossless bytes, then the inverse of one of four filters."""
+    if not chunk:
+        raise FormatError("webp", "BadAlpha", "empty")
+    packing, kind, preprocessing = chunk[0] & 3, chunk[0] >> 2 & 3, chunk[0] >> 4
+    if packing > 1 or preprocessing > 1:
+        raise FormatError("webp", "BadAlpha", f"header {chunk[0]}")
+    limits.check(width, height, 1)
+    if packing:  # a lossless stream without its header; alpha stands in green
+        head = _Writer()
+        for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):
+            head.put(value, n)
+        out = decode_lossless(head.done() + chunk[1:], limits)[:, :, 2].astype(np.uint8)
+    else:
+        if len(chunk) - 1 < width * height:
+            raise FormatError("webp", "BadAlpha", "truncated")
+        out = np.frombuffer(chunk, np.uint8, width * height, 1).reshape(height, width).copy()
+    if kind == 0:
+        return out
+    out[0] = np.cumsum(out[0], dtype=np.uint8)
+    out[:, 0] = np.cumsum(out[:, 0], dtype=np.uint8)
+    if kind == 1:
+        return np.cumsum(out, axis=1, dtype=np.uint8) if height == 1 else np.concatenate((out[:1], np.cumsum(out[1:], axis=1, dtype=np.uint8)))
+    if kind == 2:
+        return np.concatenate((out[:, :1], np.cumsum(out[:, 1:], axis=0, dtype=np.uint8)), axis=1)
+    for y in range(1, height):
+        row, above = out[y].tolist(), out[y - 1].tolist()
+        for x in range(1, width):
+            row[x] = row[x] + min(255, max(0, row[x - 1] + above[x] - above[x - 1])) & 255
+        out[y] = row
+    return out
+
+
 def decode(data: bytes, limits: Limits = Limits()) -> Image:
     parts = chunks(data)
     kinds = [k for k, _ in parts]
@@ -351,33 +386,26 @@ def _prefix_of(v: int) -> tuple[int, int, int]:
     return 2 * top + (v >> extra & 1), extra, v & (1 << extra) - 1
 
 
-def encode(image: Image) -> bytes:
-    """Lossless: green subtracted, repeats of the pixels to the left or above, one code group."""
-    if image.sample != "unorm8" or image.samples.shape[2] not in (3, 4):
-        raise FormatError("webp", "Unsupported.Webp.Samples", f"{image.sample} {image.samples.shape[2]}")
-    v = image.samples.astype(np.int64)
-    h, w, n = v.shape
-    if max(h, w) > 16384:
-        raise FormatError("webp", "LimitExceeded", f"{w} x {h}")
-    alpha = v[:, :, 3] if n == 4 else np.full((h, w), 255)
-    r, b = (v[:, :, 0] - v[:, :, 1]) & 255, (v[:, :, 2] - v[:, :, 1]) & 255
-    argb = (alpha << 24 | r << 16 | v[:, :, 1] << 8 | b).ravel().tolist()
-    tokens, at, total = [], 0, h * w
-    codes = {1: NEAR.index((1, 0)) + 1, w: NEAR.index((0, 1)) + 1}
+def _tokens(argb: list[int], width: int, reach: list[tuple[int, int]]) -> list:
+    """Pixels, and (length, distance code) where at least three repeat what stands at one of the distances in `reach`."""
+    codes = {max(1, x + y * width): NEAR.index((x, y)) + 1 for x, y in reversed(reach)}
+    out, at, total = [], 0, len(argb)
     while at < total:
-        best, back = 0, 0
+        best = back = 0
         for d in codes:
             k = 0
             while d <= at and at + k < total and k < 4096 and argb[at + k] == argb[at + k - d]:
                 k += 1
             if k > best:
                 best, back = k, d
-        if best >= 3:
-            tokens.append((best, codes[back]))
-            at += best
-        else:
-            tokens.append(argb[at])
-            at += 1
+        out.append((best, codes[back]) if best >= 3 else argb[at])
+        at += best if best >= 3 else 1
+    return out
+
+
+def _put_image(out: _Writer, argb: np.ndarray, top: bool, reach: list[tuple[int, int]]) -> None:
+    """An entropy-coded image without a colour cache and with one group of codes."""
+    tokens = _tokens(argb.ravel().tolist(), argb.shape[1], reach)
     counts: list[dict[int, int]] = [{}, {}, {}, {}, {}]
     bump = lambda k, s: counts[k].__setitem__(s, counts[k].get(s, 0) + 1)
     for t in tokens:
@@ -387,17 +415,9 @@ def encode(image: Image) -> bytes:
         else:
             for k, s in enumerate((t >> 8 & 255, t >> 16 & 255, t & 255, t >> 24)):
                 bump(k, s)
-    out = _Writer()
-    out.put(0x2F, 8)
-    out.put(w - 1, 14)
-    out.put(h - 1, 14)
-    out.put(int(n == 4 and bool((alpha != 255).any())), 1)
-    out.put(0, 3)
-    out.put(1, 1)
-    out.put(2, 2)  # subtract green
-    out.put(0, 1)
     out.put(0, 1)  # no cache
-    out.put(0, 1)  # one group
+    if top:
+        out.put(0, 1)  # one group
     made = [_write_code(out, c, size) for c, size in zip(counts, (280, 256, 256, 256, 40), strict=True)]
     for t in tokens:
         if isinstance(t, tuple):
@@ -408,6 +428,123 @@ def encode(image: Image) -> bytes:
         else:
             for k, s in enumerate((t >> 8 & 255, t >> 16 & 255, t & 255, t >> 24)):
                 out.put(*made[k][s])
-    body = out.done()
+
+
+def _packed(px: np.ndarray) -> np.ndarray:
+    px = px.astype(np.int64)
+    return px[..., 0] << 24 | px[..., 1] << 16 | px[..., 2] << 8 | px[..., 3]
+
+
+def _guesses(px: np.ndarray, modes: tuple[int, ...]) -> np.ndarray:
+    """What each mode predicts for each pixel, (modes, height, width, ARGB); the first row and column have rules of their own."""
+    left, top, corner = np.zeros_like(px), np.zeros_like(px), np.zeros_like(px)
+    left[:, 1:], top[1:], corner[1:, 1:] = px[:, :-1], px[:-1], px[:-1, :-1]
+    right = np.zeros_like(px)
+    right[1:, :-1], right[1:, -1] = px[:-1, 1:], px[1:, 0]
+    half = lambda a, b: (a + b) >> 1
+    made = []
+    for mode in modes:
+        if mode == 11:
+            near = np.abs(top - corner).sum(-1) < np.abs(left - corner).sum(-1)
+            g = np.where(near[..., None], left, top)
+        elif mode in (12, 13):
+            g = _predicted(mode, left, top, right, corner)
+        elif mode == 0:
+            g = np.broadcast_to(np.array([255, 0, 0, 0]), px.shape)
+        else:
+            g = (None, left, top, right, corner, half(half(left, right), top), half(left, corner), half(left, top), half(corner, top), half(top, right), half(half(left, corner), half(top, right)))[mode]
+        g = g.copy()
+        g[0, 1:], g[1:, 0], g[0, 0] = left[0, 1:], top[1:, 0], (255, 0, 0, 0)
+        made.append(g)
+    return np.stack(made)
+
+
+def _cost(residual: np.ndarray) -> float:
+    """Bits by the entropy of each channel."""
+    total = 0.0
+    for c in range(4):
+        n = np.bincount(residual[..., c].ravel(), minlength=256)
+        n = n[n > 0]
+        total += float((n * np.log2(n.sum() / n)).sum())
+    return total
+
+
+#: Plans by effort: (subtract green, prediction: none, one mode for all tiles, or the best of a tile; palette; distances).
+_LEFT, _NEAREST = [(1, 0), (0, 1)], [(1, 0), (0, 1), (1, 1), (-1, 1), (2, 0), (0, 2), (3, 0), (4, 0)]
+PLANS = {
+    "fast": ((True, None, False, _LEFT),),
+    "balanced": ((True, None, False, _LEFT), (True, "one", False, _LEFT), (False, None, True, _LEFT)),
+    "best": ((True, None, False, _NEAREST), (False, None, False, _NEAREST), (True, "one", False, _NEAREST), (True, "tiles", False, _NEAREST), (False, "tiles", False, _NEAREST), (False, None, True, _NEAREST)),
+}
+_TILE = 4  # log2 of the tile's side
+
+
+def _planned(px: np.ndarray, alpha: bool, green: bool, prediction: str | None, palette: bool, reach: list[tuple[int, int]]) -> bytes | None:
+    h, w, _ = px.shape
+    out = _Writer()
+    out.put(0x2F, 8)
+    out.put(w - 1, 14)
+    out.put(h - 1, 14)
+    out.put(int(alpha), 1)
+    out.put(0, 3)
+    if palette:
+        table, index = np.unique(_packed(px), return_inverse=True)
+        n = len(table)
+        if n > 256:
+            return None
+        packing = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+        out.put(1, 1)
+        out.put(3, 2)
+        out.put(n - 1, 8)
+        steps = _split(table)
+        steps[1:] = (steps[1:] - steps[:-1]) & 255
+        _put_image(out, _packed(steps)[None, :], False, reach[:1])
+        index, per = index.reshape(h, w), 8 >> packing
+        index = np.pad(index, ((0, 0), (0, -w % (1 << packing)))).reshape(h, -1, 1 << packing)
+        index = (index << (per * np.arange(1 << packing))).sum(-1)
+        px = np.zeros((*index.shape, 4), np.int64)
+        px[..., 0], px[..., 2] = 255, index
+    if green:
+        out.put(1, 1)
+        out.put(2, 2)
+        px = px.copy()
+        px[..., 1], px[..., 3] = (px[..., 1] - px[..., 2]) & 255, (px[..., 3] - px[..., 2]) & 255
+    if prediction:
+        modes = tuple(range(14)) if prediction == "tiles" else (1, 2, 7, 11, 12)
+        residuals = (px[None] - _guesses(px, modes)) & 255
+        rows, columns = -(-h // (1 << _TILE)), -(-w // (1 << _TILE))
+        if prediction == "one":
+            chosen = np.full((rows, columns), min(range(len(modes)), key=lambda k: _cost(residuals[k])))
+        else:
+            far = np.minimum(residuals, 256 - residuals).sum(-1)
+            far = np.pad(far, ((0, 0), (0, -h % (1 << _TILE)), (0, -w % (1 << _TILE))))
+            chosen = far.reshape(len(modes), rows, 1 << _TILE, columns, 1 << _TILE).sum((2, 4)).argmin(0)
+        out.put(1, 1)
+        out.put(0, 2)
+        out.put(_TILE - 2, 3)
+        _put_image(out, 255 << 24 | np.array(modes)[chosen] << 8, False, reach[:1])
+        each = np.repeat(np.repeat(chosen, 1 << _TILE, 0), 1 << _TILE, 1)[:h, :w]
+        px = np.take_along_axis(residuals, each[None, :, :, None], 0)[0]
+    out.put(0, 1)
+    _put_image(out, _packed(px), True, reach)
+    return out.done()
+
+
+def encode(image: Image, effort: str = "balanced") -> bytes:
+    """Lossless: the smallest result of the effort's plans. More effort never gives a larger file than less."""
+    if image.sample != "unorm8" or image.samples.shape[2] not in (3, 4):
+        raise FormatError("webp", "Unsupported.Webp.Samples", f"{image.sample} {image.samples.shape[2]}")
+    if effort not in PLANS:
+        raise FormatError("webp", "BadOption", effort)
+    h, w, n = image.samples.shape
+    if max(h, w) > 16384:
+        raise FormatError("webp", "LimitExceeded", f"{w} x {h}")
+    px = np.full((h, w, 4), 255, np.int64)
+    px[:, :, 1:] = image.samples[:, :, :3]
+    if n == 4:
+        px[:, :, 0] = image.samples[:, :, 3]
+    alpha = bool((px[:, :, 0] != 255).any())
+    tried = [p for e in list(PLANS)[: list(PLANS).index(effort) + 1] for p in PLANS[e]]
+    body = min((b for p in tried if (b := _planned(px, alpha, *p)) is not None), key=len)
     body = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body

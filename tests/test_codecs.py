@@ -265,3 +265,132 @@ def test_limits():
     with pytest.raises(FormatError) as e:
         png.decode(PNG, Limits(dimension=8))
     assert e.value.code == "LimitExceeded"
+
+
+# ---------------------------------------------------------------- encoders' choices
+
+
+def test_webp_effort_never_grows_files():
+    from imagelake.sources import webp
+
+    rng = np.random.default_rng(2)
+    y, x = np.mgrid[0:37, 0:45]
+    images = [
+        np.stack((x * 5, y * 6, x + y, np.full_like(x, 255)), 2), rng.integers(0, 256, (20, 33, 4)), np.array([[1, 2, 3, 4], [250, 0, 0, 255]])[rng.integers(0, 2, (19, 23))],
+        np.repeat(rng.integers(0, 256, (5, 9, 3)), 4, 0), np.zeros((1, 1, 4)), rng.integers(0, 200, (40, 3))[rng.integers(0, 40, (17, 18))], np.stack((x * y % 256, x * y % 251, x * x % 256), 2),
+    ]
+    for v in images:
+        v = v.astype(np.uint8)
+        files = [webp.encode(Image("webp", list("RGBA")[: v.shape[2]], "unorm8", v), e) for e in ("fast", "balanced", "best")]
+        assert len(files[0]) >= len(files[1]) >= len(files[2])
+        for f in files:
+            assert (webp.decode(f).samples[:, :, : v.shape[2]] == v).all()
+
+
+def test_webp_alpha_planes():
+    from imagelake.sources import webp
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 256, (6, 9)).astype(np.uint8)
+
+    def filtered(kind):
+        out = a.astype(int).copy()
+        for y in range(6):
+            for x in range(9):
+                if kind and (x or y):
+                    left, top, corner = (int(a[y, x - 1]) if x else 0), (int(a[y - 1, x]) if y else 0), (int(a[y - 1, x - 1]) if x and y else 0)
+                    p = top if x == 0 else left if y == 0 else {1: left, 2: top, 3: min(255, max(0, left + top - corner))}[kind]
+                    out[y, x] -= p
+        return (out & 255).astype(np.uint8)
+
+    for kind in range(4):
+        assert (webp.alpha_plane(bytes([kind << 2]) + filtered(kind).tobytes(), 9, 6) == a).all()
+        px = np.zeros((6, 9, 3), np.uint8)
+        px[:, :, 1] = filtered(kind)
+        lossless = webp.chunks(webp.encode(Image("webp", list("RGB"), "unorm8", px)))[0][1]
+        # the stream without its 5 bytes of header
+        assert (webp.alpha_plane(bytes([kind << 2 | 1]) + lossless[5:], 9, 6) == a).all()
+    for bad in (b"", b"\x02" + bytes(54), b"\x20" + bytes(54), b"\x00" + bytes(53)):
+        with pytest.raises(FormatError):
+            webp.alpha_plane(bad, 9, 6)
+
+
+def test_png_efforts_and_filters():
+    from imagelake.sources import png
+
+    y, x = np.mgrid[0:300, 0:300]
+    smooth = np.stack((x, y, x + y), 2).astype(np.uint8)
+    noise = np.random.default_rng(1).integers(0, 256, (300, 300, 3)).astype(np.uint8)
+    size = {}
+    for name, v in (("smooth", smooth), ("noise", noise)):
+        for effort in png.LEVELS:
+            data = png.encode(Image("png", list("RGB"), "unorm8", v), effort=effort)
+            assert (png.decode(data).samples == v).all()
+            size[name, effort] = len(data)
+    assert size["smooth", "smallest"] <= size["smooth", "optimal"] <= size["smooth", "fast"] < size["smooth", "none"]
+    assert size["noise", "fast"] == size["noise", "none"]  # stored, as no filter helps
+    assert png.high_entropy(noise.reshape(300, -1), 3) and not png.high_entropy(smooth.reshape(300, -1), 3) and not png.high_entropy(noise[:200].reshape(200, -1), 3)
+    assert png.sampled_choice(smooth.reshape(300, -1), 3)[1] == "smallest" and png.sampled_choice(noise.reshape(300, -1), 3)[1] == "fast"
+    for kind in range(5):
+        assert (png.decode(png.encode(Image("png", list("RGB"), "unorm8", smooth), row_filter=kind)).samples == smooth).all()
+
+
+def test_jpeg_restart_markers():
+    from imagelake.sources import jpeg
+
+    assert [jpeg.restart_interval(*a) for a in ((4, 10**6, 8), (400, 100, 8), (400, 10**6, 8), (20, 10**6, 16), (401, 3 * 8192, 8))] == [0, 0, 50, 4, 134]
+    v = np.random.default_rng(6).integers(0, 256, (70, 90, 3)).astype(np.uint8)
+    plain = jpeg.decode(jpeg.encode(Image("jpeg", list("RGB"), "unorm8", v), 80)).samples
+    for restart in (1, 3, 7, None):
+        data = jpeg.encode(Image("jpeg", list("RGB"), "unorm8", v), 80, restart=restart)
+        assert (jpeg.decode(data).samples == plain).all() and (restart is None or data.count(b"\xff\xdd") == 1)
+
+
+def test_jpeg_refinement_stays_in_its_band():
+    from imagelake.sources import jpeg
+
+    class One:
+        def __init__(self, symbols):
+            self.symbols = symbols
+
+        def symbol(self, table):
+            return self.symbols.pop(0)
+
+        def take(self, n):
+            return 1
+
+    block = np.zeros(64, np.int64)
+    with pytest.raises(FormatError):
+        jpeg._refine(One([0xF0, 0x51]), block, 60, 63, 0, None, 0)
+
+
+def test_options():
+    from imagelake.sources import catalog
+    from imagelake.sources.options import OPTIONS, OptionError, parse
+
+    assert set(OPTIONS) == set(catalog.REGISTRY.codecs)
+    assert parse("jpeg", [("Quality", "75"), ("chroma-subsampling", "444")]) == {"quality": 75, "subsampling": "444"}
+    assert parse("png", [("filter", "Paeth"), ("compression", "FAST")]) == {"row_filter": 4, "effort": "fast"} and parse("dds", []) == {}
+    for fmt, pairs in (
+        ("jpeg", [("quality", "0")]), ("jpeg", [("quality", "x")]), ("jpeg", [("quality", "1"), ("QUALITY", "2")]), ("jpeg", [("effort", "best")]), ("dds", [("x", "y")]),
+        ("jpeg", [("progressive", "yes")]), ("jpeg", [("progressive", "true"), ("restart-interval", "4")]), ("webp", [("effort", "most")]),
+    ):
+        with pytest.raises(OptionError):
+            parse(fmt, pairs)
+
+
+def test_working_memory_is_bounded():
+    from imagelake.sources import webp
+    from imagelake.sources.base import Budget, Limits
+
+    b = Budget("webp", 100)
+    b.reserve(60)
+    b.reserve(40)
+    b.release(50)
+    assert (b.used, b.peak) == (50, 100)
+    for size in (51, -1):
+        with pytest.raises(FormatError):
+            b.reserve(size)
+    data = webp.encode(Image("webp", list("RGB"), "unorm8", np.zeros((50, 50, 3), np.uint8)))
+    with pytest.raises(FormatError):
+        webp.decode(data, Limits(working_bytes=10_000))

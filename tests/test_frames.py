@@ -102,6 +102,75 @@ def test_texture_source_prunes(spark, tmp_path):
         assert {(r.y, r.x, r.channel): r.value for r in small.collect()}[1, 1, "B"] == base[4, 4, 2]
 
 
+def test_texture_source_takes_folders_and_lists(spark, tmp_path):
+    for k, name in enumerate(("a.dds", "sub/b.ktx2", "c.dds", "readme.txt")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        im = Image("dds", list("RGBA"), "unorm8", np.full((4, 4, 4), k, np.uint8), metadata=[])
+        (tmp_path / name).write_bytes(dds.encode_ktx2(im) if "ktx2" in name else dds.encode_dds(im) if "dds" in name else b"text")
+    catalog.register(spark)
+    whole = spark.read.format("texture").load(str(tmp_path))
+    assert {(r.path.rsplit("/", 1)[1], r.value) for r in whole.collect()} == {("a.dds", 0), ("b.ktx2", 1), ("c.dds", 2)} and whole.rdd.getNumPartitions() == 3
+    two = spark.read.format("texture").load(f"{tmp_path}/a.dds, file://{tmp_path}/c.dds")
+    assert two.count() == 128 and two.select("path").distinct().count() == 2
+
+
+def test_unknown_steps_are_refused(spark):
+    frame = ImageFrame(wide(spark, np.zeros((2, 2, 3), int), "RGB"), Description(2, 2, ("R", "G", "B")))
+    p = frame.plan(catalog.REGISTRY.codecs["png"])
+    for step in ("sharpen", "translate_metadata", "apply_supercompression"):
+        with pytest.raises(PlanError):
+            frame.run(p.then(step))
+    assert frame.run(p.then("preserve_metadata", "exif")).count() == 4
+
+
+def test_subsampled_frames(spark):
+    stored = wide(spark, np.array([[[10], [20]], [[30], [40]]]), "L").withColumns({"x": F.col("x") * 2, "y": F.col("y") * 2})
+    frame = ImageFrame(stored, Description(5, 3, ("Y",), subsampled=(2, 2)))
+    assert names(frame.plan(catalog.REGISTRY.codecs["png"])) == ["change_grid"]
+    out = {(r.y, r.x): r.L for r in frame.pixels(catalog.REGISTRY.codecs["png"]).filter("x < 4").collect()}
+    assert out == {(y, x): 10 + x // 2 * 10 + y // 2 * 20 for y in range(3) for x in range(4)}
+    v = np.arange(16).reshape(4, 4)
+    px = wide(spark, np.stack([v, v, v], 2), "RGB").withColumn("B", F.when((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0), F.col("B")))
+    frame = ImageFrame(px, Description(4, 4, ("R", "G", "B"), subsampled=("B",)))
+    out = {(r.y, r.x): (r.R, r.B) for r in frame.pixels(catalog.REGISTRY.codecs["png"]).collect()}
+    assert out == {(y, x): (v[y, x], v[y - y % 2, x - x % 2]) for y in range(4) for x in range(4)}
+
+
+@pytest.mark.parametrize("encoding", ["bc1", "bc2", "bc3", "bc4", "bc5"])
+def test_frames_encode_and_decode_blocks(spark, encoding):
+    """As the image codec does, with edges that are no whole blocks."""
+    from imagelake.sources import texture
+
+    channels = {"bc4": ("R",), "bc5": ("R", "G")}.get(encoding, ("R", "G", "B", "A"))
+    v = np.random.default_rng(3).integers(0, 256, (6, 7, len(channels))).astype(np.uint8)
+    frame = ImageFrame(wide(spark, v, channels), Description(7, 6, channels))
+    coded = frame.pixels(catalog.REGISTRY.codecs["dds"], "preview", encoding)
+    raw = b"".join(bytes(r.element) for r in coded.orderBy("brow", "bcol").collect())
+    assert raw == texture.encode_image(encoding, v)
+    back = ImageFrame(coded, Description(7, 6, channels, encoding=encoding)).pixels(catalog.REGISTRY.codecs["webp" if len(channels) == 4 else "png"], "preview")
+    want = texture.decode_image(encoding, raw, 7, 6)
+    if encoding == "bc5":  # as grey: no such channels
+        want = want[:, :, :2]
+    got = {(r.y, r.x): tuple(r[c] for c in channels) for r in back.collect()} if set(channels) <= set(back.columns) else None
+    assert got is None or got == {(y, x): tuple(want[y, x]) for y in range(6) for x in range(7)}
+    same = ImageFrame(coded, Description(7, 6, channels, encoding=encoding)).pixels(catalog.REGISTRY.codecs["dds"], "strict")
+    assert same.columns == ["image", "brow", "bcol", "element"] and same.exceptAll(coded).count() == 0
+
+
+@pytest.mark.parametrize("encoding", ["b5g6r5", "b5g5r5a1", "r10g10b10a2", "r11g11b10f", "rgb9e5", "rgbe"])
+def test_frames_pack_and_unpack(spark, encoding):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 256, (3, 4, 4))
+    codec = catalog.REGISTRY.codecs["hdr" if encoding == "rgbe" else "dds"]
+    frame = ImageFrame(wide(spark, v, "RGBA"), Description(4, 3, ("R", "G", "B", "A")))
+    coded = frame.pixels(codec, "preview", encoding)
+    assert coded.columns == ["image", "y", "x", "element"] and coded.count() == 12
+    channels = ("R", "G", "B", "A") if encoding in ("b5g5r5a1", "r10g10b10a2") else ("R", "G", "B")
+    back = ImageFrame(coded, Description(4, 3, channels, "float32", encoding=encoding)).pixels(catalog.REGISTRY.codecs["exr"], "preview")
+    step = {"b5g6r5": 31, "b5g5r5a1": 31, "r10g10b10a2": 1023, "r11g11b10f": 32, "rgb9e5": 256, "rgbe": 128}[encoding]
+    assert all(abs(r[c] - v[r.y, r.x, "RGBA".index(c)] / 255) <= 1.01 / step for r in back.collect() for c in "RGB")
+
+
 def test_stream(spark, tmp_path):
     from imagelake.streaming.ingest import image_stream
 
