@@ -226,7 +226,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Cells of a group, and the smallest block worth a cell.
-CELLS, _LEAST_BLOCK = 64, 64 << 10
+CELLS, _LEAST_BLOCK = 256, 32 << 10
 
 
 class Members:
