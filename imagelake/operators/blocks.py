@@ -52,7 +52,9 @@ def encode_blocks(pixels: DataFrame, image: str, kind: str, channels: list[str])
 
 
 def decode_blocks(elements: DataFrame, image: str, kind: str, channels: list[str], width: int, height: int) -> DataFrame:
-    """(image, brow, bcol, element) -> (image, y, x, channels), without the texels beyond the image's edge."""
+    """(image, brow, bcol, element) -> (image, y, x, channels), without the texels beyond the image's edge. Values are 0..255,
+    or doubles for half-float blocks."""
+    kind_of, name = (np.float64, "double") if kind.startswith("bc6h") else (np.int32, "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,10 +64,10 @@ def decode_blocks(elements: DataFrame, image: str, kind: str, channels: list[str
             y = np.repeat(b.column("brow").to_numpy(), 16) * 4 + slot // 4
             x = np.repeat(b.column("bcol").to_numpy(), 16) * 4 + slot % 4
             keep = np.flatnonzero((y < height) & (x < width))
-            made = [pa.array(v[keep].astype(np.int32)) for v in (y, x, *(t[:, k] for k in range(len(channels))))]
+            made = [pa.array(v[keep].astype(np.int32)) for v in (y, x)] + [pa.array(t[keep, k].astype(kind_of)) for k in range(len(channels))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep // 16)), *made], [image, "y", "x", *channels])
 
-    ddl = f"`{image}` {dict(elements.dtypes)[image]}, y int, x int, " + ", ".join(f"`{c}` int" for c in channels)
+    ddl = f"`{image}` {dict(elements.dtypes)[image]}, y int, x int, " + ", ".join(f"`{c}` {name}" for c in channels)
     return elements.select(image, F.col("brow").cast("int"), F.col("bcol").cast("int"), "element").mapInArrow(run, ddl)
 
 

@@ -19,7 +19,7 @@ from imagelake.functions import grid, packed, samples
 from imagelake.operators import blocks, geometry
 from imagelake.plans.planner import REFUSED, Plan, PlanError, Step
 
-BLOCKS = ("bc1", "bc2", "bc3", "bc4", "bc5", "bc7")
+BLOCKS = ("bc1", "bc2", "bc3", "bc4", "bc5", "bc6h", "bc6h_signed", "bc7")
 
 
 def normalised(pixels: DataFrame, channels: list[str], sample: str) -> DataFrame:
@@ -60,9 +60,10 @@ def select_part(s: State, part: int) -> State:
     return s.with_rows(s.rows.filter(F.col("part") == part) if "part" in s.rows.columns else s.rows)
 
 
-def expand_indexed(s: State) -> State:
+def expand_indexed(s: State, bits: int) -> State:
     on = [s.image, "I"] if s.image in s.palette.columns else "I"
-    return s.with_rows(s.rows.join(s.palette, on), [c for c in "RGBA" if c in s.palette.columns])
+    names = [c for c in "RGBA" if c in s.palette.columns]
+    return s.with_rows(normalised(s.rows.join(s.palette, on), names, f"unorm{bits}"), names)
 
 
 def change_grid(s: State, step_x: int, step_y: int, width: int, height: int, *channels: str) -> State:
@@ -106,8 +107,9 @@ def color_transform(s: State, source: str, target: str) -> State:
 def decode_elements(s: State, encoding: str, width: int, height: int) -> State:
     word = F.col("element")
     if encoding in BLOCKS:
-        names = {"bc4": ["R"], "bc5": ["R", "G"]}.get(encoding, list("RGBA"))
-        return replace(s.with_rows(normalised(blocks.decode_blocks(s.rows, s.image, encoding, names, width, height), names, "unorm8"), names), encoded=None)
+        names = {"bc4": ["R"], "bc5": ["R", "G"], "bc6h": list("RGB"), "bc6h_signed": list("RGB")}.get(encoding, list("RGBA"))
+        texels = blocks.decode_blocks(s.rows, s.image, encoding, names, width, height)
+        return replace(s.with_rows(texels if encoding.startswith("bc6h") else normalised(texels, names, "unorm8"), names), encoded=None)
     if encoding == "rgbe":
         byte = lambda k: F.shiftright(word, 8 * k).bitwiseAND(255)
         made = {c: packed.rgbe_decode(byte(k), byte(3)) for k, c in enumerate("rgb")}
@@ -162,8 +164,8 @@ def apply(s: State, step: Step) -> State:
 
 def lower(pixels: DataFrame, plan: Plan, channels: tuple[str, ...], sample: str, palette: DataFrame | None = None, image: str = "image") -> DataFrame:
     """pixels (or elements, if the plan begins by decoding or passing them on) in, rows of the plan's target out."""
-    elements = any(step.name in ("decode_elements", "transcode") for step in plan.steps)
-    names = [] if elements else [column(c) for c in channels]
+    later = any(step.name in ("decode_elements", "transcode", "expand_indexed") for step in plan.steps)
+    names = [] if later else [column(c) for c in channels]
     s = State(normalised(pixels, names, sample), names, image, palette)
     for step in plan.steps:
         s = apply(s, step)

@@ -146,8 +146,8 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
     if source.indexed:
         if source.palette_bits not in (8, 16):
             raise PlanError("palette samples must have 8 or 16 bits")
-        steps.append(Step("expand_indexed"))
-        now = replace(now, indexed=False, channels=("R", "G", "B", "A") if "A" in source.channels else ("R", "G", "B"))
+        steps.append(Step("expand_indexed", (source.palette_bits,)))
+        now = replace(now, indexed=False, sample=f"unorm{source.palette_bits}", channels=("R", "G", "B", "A") if "A" in source.channels else ("R", "G", "B"))
     if source.subsampled:
         named = [c for c in source.subsampled if isinstance(c, str)]
         step = source.grid if named else source.subsampled

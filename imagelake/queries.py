@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imagelake.functions import grid, packed, predict, samples, video
-from imagelake.operators import blocks, dct, geometry, palette, stats
+from imagelake.operators import blocks, channels, dct, geometry, palette, stats
 from imagelake.query_base import ORACLES, PIXELS, QUERIES, RASTER, byte_raster, pixels, query, raster, read
 
 # ---------------------------------------------------------------- K: kernels
@@ -178,7 +178,8 @@ def mip_chain(spark, sf_dir):
 
 @query(f"WITH {PIXELS} SELECT id, n, g AS y, g AS red, g AS green, g AS blue, 255 AS alpha FROM px")
 def gray_to_rgb_with_alpha(spark, sf_dir):
-    return pixels(spark, sf_dir).select("id", "n", F.col("g").alias("y"), *(F.col("g").alias(c) for c in ("red", "green", "blue")), F.lit(255).alias("alpha"))
+    out = channels.expand_grey(pixels(spark, sf_dir).select("id", "n", F.col("g").alias("y")), "y", None, ("red", "green", "blue"))
+    return out.withColumnRenamed("A", "alpha")
 
 
 @query("""SELECT l_orderkey, l_linenumber, s_nationkey AS idx, n_name, n_regionkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""")
@@ -199,18 +200,30 @@ def palette_quantise(spark, sf_dir):
     return palette.quantise(pixels(spark, sf_dir), ["id"], ["r", "g", "b"]).select("id", "n", "idx")
 
 
-@query(f"WITH {RASTER}, s AS (SELECT vec_id, y, x, v FROM rs WHERE x % 2 = 0 AND y % 2 = 0) SELECT rs.vec_id, rs.y, rs.x, s.v FROM rs JOIN s ON s.vec_id = rs.vec_id AND s.x = rs.x - rs.x % 2 AND s.y = rs.y - rs.y % 2")
+@query("""SELECT vec_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(embedding[CAST((i // 8 - i // 8 % 2) * 8 + i % 8 - i % 2 AS INT) + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i)""")
 def subsample_replicate(spark, sf_dir):
-    full = raster(spark, sf_dir)
-    kept = full.filter(grid.on_grid(F.col("x"), 0, 2) & grid.on_grid(F.col("y"), 0, 2)).select("vec_id", F.col("y").alias("gy"), F.col("x").alias("gx"), "v")
-    at = full.select("vec_id", "y", "x", grid.clamp_to_sample(F.col("y"), F.lit(0), 0, 2).alias("gy"), grid.clamp_to_sample(F.col("x"), F.lit(0), 0, 2).alias("gx"))
-    return at.join(kept, ["vec_id", "gy", "gx"]).select("vec_id", "y", "x", "v")
+    """Every second row and column is kept, and stands for its cell."""
+    kept = raster(spark, sf_dir).filter(grid.on_grid(F.col("x"), 0, 2) & grid.on_grid(F.col("y"), 0, 2))
+    return grid.replicate(kept, 2, 2, 8, 8).select("vec_id", "y", "x", "v")
+
+
+@query("""SELECT vec_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) AS v,
+CAST(embedding[CAST((i // 8 - i // 8 % 4) * 8 + i % 8 - i % 2 AS INT) + 1] AS DOUBLE) AS coarse FROM embeddings, range(64) t(i)""")
+def subsample_fill(spark, sf_dir):
+    """A channel on a grid of steps 2 and 4 beside one on every pixel."""
+    on = grid.on_grid(F.col("x"), 0, 2) & grid.on_grid(F.col("y"), 0, 4)
+    return grid.fill(raster(spark, sf_dir).withColumn("coarse", F.when(on, F.col("v"))), "vec_id", ["coarse"], 2, 4)
 
 
 @query(f"WITH {RASTER} SELECT vec_id, y, x, c AS channel, CASE c WHEN 'p' THEN v ELSE -v END AS value FROM rs, (VALUES ('p'), ('q')) t(c)")
 def deinterleave(spark, sf_dir):
     wide = raster(spark, sf_dir).select("vec_id", "y", "x", F.col("v").alias("p"), (-F.col("v")).alias("q"))
-    return wide.unpivot(["vec_id", "y", "x"], ["p", "q"], "channel", "value")
+    return channels.deinterleave(wide, ["vec_id", "y", "x"], ["p", "q"])
+
+
+@query(f"WITH {RASTER} SELECT vec_id, y, x, v AS p, -v AS q, CAST(NULL AS DOUBLE) AS r FROM rs")
+def interleave(spark, sf_dir):
+    return channels.interleave(deinterleave(spark, sf_dir), ["vec_id", "y", "x"], ["p", "q", "r"])
 
 
 @query("""SELECT p_partkey, (p_size + 3) // 4 * ((p_partkey % 97 + 4) // 4) * 8 AS bc1_bytes, p_size * (p_partkey % 97 + 1) * 4 AS rgba_bytes,
@@ -446,9 +459,9 @@ def outcome_counters(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("outcomes"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""WITH c AS (SELECT p_partkey, q, p_size * 100 + q * (p_partkey % 37 + 1) AS bytes FROM part, range(0, 101, 10) t(q)) SELECT p_partkey, max(q) FILTER (WHERE bytes <= 4000) AS q FROM c GROUP BY p_partkey""")
+@query("""WITH c AS (SELECT p_partkey, q, p_size * 100 + q * (p_partkey % 37 + 1) AS bytes FROM part, range(0, 101) t(q)) SELECT p_partkey, max(q) FILTER (WHERE bytes <= 4000) AS q FROM c GROUP BY p_partkey""")
 def target_size_search(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(10).cast("long"))).alias("q"))
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"))).alias("q"))
     return stats.largest_that_fits(p.withColumn("bytes", F.col("p_size") * 100 + F.col("q") * (F.col("p_partkey") % 37 + 1)), ["p_partkey"], "q", "bytes", 4000)
 
 
@@ -460,13 +473,13 @@ def quality_gate(spark, sf_dir):
     return t.groupBy("n").agg(F.count_if(ok).alias("passed"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_size % 3 AS parts, p_size % 5 AS channels, p_size * 3000 AS width, p_partkey % 90000 AS height, p_size % 20 AS levels, p_partkey * 100 AS metadata_bytes FROM part)
+@query("""WITH a AS (SELECT p_partkey, p_size % 3 AS parts, p_size % 5 AS channels, p_size * 3000 AS width, p_partkey % 90000 AS height, p_size % 20 AS levels, p_partkey * 100 AS metadata_bytes, p_partkey % 11 AS elements FROM part)
 SELECT p_partkey, concat_ws(',', CASE WHEN parts > 1 THEN 'parts' END, CASE WHEN channels > 3 THEN 'channels' END, CASE WHEN greatest(width, height) > 65536 THEN 'dimension' END,
-CASE WHEN CAST(width AS HUGEINT) * height > 100000000 THEN 'pixels' END, CASE WHEN levels > 16 THEN 'levels' END, CASE WHEN metadata_bytes > 150000 THEN 'metadata' END) AS violations FROM a""")
+CASE WHEN CAST(width AS HUGEINT) * height > 100000000 THEN 'pixels' END, CASE WHEN levels > 16 THEN 'levels' END, CASE WHEN elements > 6 THEN 'array_elements' END, CASE WHEN metadata_bytes > 150000 THEN 'metadata' END) AS violations FROM a""")
 def limit_violations(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size").cast("long")
-    a = read(spark, sf_dir, "part").select("p_partkey", (s % 3).alias("parts"), (s % 5).alias("channels"), (s * 3000).alias("width"), (k % 90000).alias("height"), (s % 20).alias("levels"), (k * 100).alias("metadata_bytes"))
-    limits = {"parts": 1, "channels": 3, "dimension": 65536, "pixels": 100_000_000, "levels": 16, "metadata": 150_000}
+    a = read(spark, sf_dir, "part").select("p_partkey", (s % 3).alias("parts"), (s % 5).alias("channels"), (s * 3000).alias("width"), (k % 90000).alias("height"), (s % 20).alias("levels"), (k * 100).alias("metadata_bytes"), (k % 11).alias("elements"))
+    limits = {"parts": 1, "channels": 3, "dimension": 65536, "pixels": 100_000_000, "levels": 16, "array_elements": 6, "metadata": 150_000}
     return a.select("p_partkey", F.array_join(stats.violations(a, limits), ",").alias("violations"))
 
 
@@ -480,52 +493,38 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- S: codecs and catalogue
 
 
-def _codec(fmt: str, channels: str, sample: str, options: dict):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Each embedding as an image through encoder and decoder: its largest error."""
-        from imagelake.sources import catalog
-
-        scale = 1.0 if sample.startswith("float") else 255.0
-        v = F.when(F.col("v") < 0, -F.col("v")).otherwise(F.col("v")) * scale
-        v = F.least(F.floor(v), F.lit(255.0)) if scale > 1 else F.floor(v * 64) / 64
-        one = raster(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", v.alias("v")))).alias("t"))
-        images = one.select(
-            "vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(*map(F.lit, channels)).alias("channels"), F.lit(sample).alias("sample"),
-            F.lit("identity").alias("orientation"), F.flatten(F.transform("t", lambda p: F.array_repeat(p["v"], len(channels)))).alias("samples"),
-        )
-        files = catalog.encode_images(images, fmt, options, ("vec_id",))
-        back = catalog.decode_images(files, carry=("vec_id",)).select("vec_id", F.col("samples").alias("decoded"), F.col("error.code").alias("error"))
-        worst = F.array_max(F.zip_with("samples", "decoded", lambda a, b: F.abs(a - b)))
-        return images.join(back, "vec_id").select("vec_id", worst.alias("max_error"), "error")
-
-    run.__name__ = f"codec_{fmt}_roundtrip"
-    query()(run)
-
-
-for _fmt, _channels, _sample, _options in (
-    ("png", "RGB", "unorm8", {}), ("exr", "RGB", "float32", {"compression": "zip"}), ("hdr", "RGB", "float32", {}), ("dds", "RGBA", "unorm8", {}),
-    ("ktx2", "RGBA", "unorm8", {"compress": True}), ("jpeg", "RGB", "unorm8", {"quality": 95, "subsampling": "444"}),
-):
-    _codec(_fmt, _channels, _sample, _options)
-
-
-@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'dds' WHEN 3 THEN 'hdr' END AS format FROM nation""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 9 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'dds' WHEN 3 THEN 'hdr' WHEN 5 THEN 'exr' WHEN 6 THEN 'ktx2' WHEN 7 THEN 'webp' WHEN 8 THEN 'hdr' END AS format FROM nation""")
 def format_probe(spark, sf_dir):
     from imagelake.sources import catalog
 
-    heads = ["89504E470D0A1A0A0000", "FFD8FFE0", "444453207C000000", "233F52414449414E43450A", "00112233"]
-    content = F.get(F.array(*map(F.lit, heads)), (F.col("n_nationkey") % 5).cast("int"))
+    heads = [
+        "89504E470D0A1A0A0000", "FFD8FFE0", "444453207C000000", "233F52414449414E43450A", "00112233",
+        "762F310102000000", "AB4B5458203230BB0D0A1A0A00", "524946460000000057454250", "233F524742450A",
+    ]
+    content = F.get(F.array(*map(F.lit, heads)), (F.col("n_nationkey") % 9).cast("int"))
     return read(spark, sf_dir, "nation").select("n_nationkey", catalog.probe(F.unhex(content)).alias("format"))
 
 
-@query("SELECT * FROM (VALUES ('flat', 127, 127, 127), ('ramp', 85, 0, 42), ('stripes', 255, 0, 255), ('chroma', 255, 0, 0)) t(pattern, r, g, b)")
+@query("""WITH p AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(255 * x // 10 AS INT) AS h, CAST(255 * y // 4 AS INT) AS v FROM range(5) a(y), range(11) b(x)),
+n AS (SELECT y, x, c, ((x * 73856093) ^ (y * 19349663) ^ ((c * 83492791) ^ 2654435769)) & 4294967295 AS k0 FROM p, range(3) t(c)),
+n1 AS (SELECT y, x, c, CAST((CAST(xor(k0, k0 >> 16) AS HUGEINT) * 73244475) % 4294967296 AS BIGINT) AS k1 FROM n),
+n2 AS (SELECT y, x, c, CAST((CAST(xor(k1, k1 >> 15) AS HUGEINT) * 739982445) % 4294967296 AS BIGINT) >> 24 AS k FROM n1),
+w AS (SELECT y, x, CAST(max(k) FILTER (WHERE c = 0) AS INT) AS r, CAST(max(k) FILTER (WHERE c = 1) AS INT) AS g, CAST(max(k) FILTER (WHERE c = 2) AS INT) AS b FROM n2 GROUP BY y, x)
+SELECT 'flat' AS pattern, y, x, 127 AS r, 127 AS g, 127 AS b, 255 AS a FROM p
+UNION ALL SELECT 'ramp', y, x, h, v, (h + v) // 2, 255 FROM p
+UNION ALL SELECT 'checker', y, x, xor(x, y) % 2 * 255, xor(x, y) % 2 * 255, xor(x, y) % 2 * 255, 255 FROM p
+UNION ALL SELECT 'impulse', y, x, CASE WHEN x = 5 AND y = 2 THEN 255 ELSE 0 END, CASE WHEN x = 5 AND y = 2 THEN 255 ELSE 0 END, CASE WHEN x = 5 AND y = 2 THEN 255 ELSE 0 END, 255 FROM p
+UNION ALL SELECT 'stripes', y, x, x % 2 * 255, y % 2 * 255, (x + y) % 2 * 255, 255 FROM p
+UNION ALL SELECT 'chroma', y, x, CASE WHEN x // 8 % 2 = 0 THEN 255 ELSE 0 END, CASE WHEN x // 8 % 2 = 0 THEN 0 ELSE 128 END, CASE WHEN x // 8 % 2 = 0 THEN 0 ELSE 255 END, 255 FROM p
+UNION ALL SELECT 'alpha', y, x, h, v, 255 - h, h FROM p
+UNION ALL SELECT 'noise', y, x, r, g, b, 255 FROM w""".replace("((x * 73856093) ^ (y * 19349663) ^ ((c * 83492791) ^ 2654435769))", "xor(xor(x * 73856093::BIGINT, y * 19349663::BIGINT), xor(c * 83492791::BIGINT, 2654435769::BIGINT))"))
 def test_images(spark, sf_dir):
-    """One pixel, (1, 0), of generated 4 x 4 images."""
+    """All pixels of 11 x 5 images of every pattern."""
     from imagelake.operators import generate
 
     out = None
-    for name in ("flat", "ramp", "stripes", "chroma"):
-        one = generate.image(spark, name, 4, 4).filter("x = 1 and y = 0").select(F.lit(name).alias("pattern"), "r", "g", "b")
+    for name in generate.PATTERNS:
+        one = generate.image(spark, name, 11, 5).select(F.lit(name).alias("pattern"), F.col("y").cast("int"), F.col("x").cast("int"), "r", "g", "b", "a")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -587,21 +586,35 @@ def block_row_offsets(spark, sf_dir):
     """Byte offsets of rows where a channel stands in every second row only: a running sum."""
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
     size = F.col("p_size") * 2 + F.when(grid.on_grid(F.col("y"), 0, 2), grid.ceil_div(F.col("p_size"), 2) * 4).otherwise(0)
-    before = Window.partitionBy("p_partkey").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("p_partkey", "y", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long").alias("at"))
+    return grid.row_offsets(rows.withColumn("bytes", size), "p_partkey", "y", "bytes").select("p_partkey", "y", "at")
+
+
+@query("""SELECT p_partkey, CAST(c AS INT) AS channel, ((p_partkey % 7) * 50 + p_size) * 3 * 2 + c * 2 AS interleaved, (c * 9 + p_partkey % 7) * 50 * 2 + p_size * 2 AS planar FROM part, range(3) t(c)""")
+def sample_offsets(spark, sf_dir):
+    """Byte offsets of 16-bit samples of three channels in rows of 50, interleaved and in planes of 9 rows."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("x"), (F.col("p_partkey") % 7).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"))
+    x, y, c = F.col("x"), F.col("y"), F.col("channel")
+    return p.select("p_partkey", "channel", grid.sample_at(x, y, c, 50, 3, 2).alias("interleaved"), grid.sample_at(x, y, c, 50, 3, 2, 9).alias("planar"))
 
 
 @query("SELECT l_orderkey, l_partkey & 255 AS byte, CAST(i AS INT) AS i, (l_partkey & 255) >> CAST(6 - 2 * i AS INT) & 3 AS sample FROM lineitem, range(4) t(i)")
 def bit_unpack(spark, sf_dir):
     """2-bit samples of a byte, highest bits first."""
     b = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").bitwiseAND(255).alias("byte"))
-    parts = F.array(*(F.shiftright("byte", 6 - 2 * i).bitwiseAND(3) for i in range(4)))
-    return b.select("l_orderkey", "byte", F.posexplode(parts).alias("i", "sample"))
+    return b.select("l_orderkey", "byte", F.posexplode(grid.unpack_bits(F.col("byte"), 2)).alias("i", "sample"))
+
+
+@query("SELECT l_orderkey, l_partkey & 255 AS byte, CAST(b AS INT) AS bits, l_partkey & 255 AS packed FROM lineitem, (VALUES (1), (2), (4), (8)) t(b)")
+def bit_pack_roundtrip(spark, sf_dir):
+    """Bytes to samples of 1, 2, 4 and 8 bits and back."""
+    b = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").bitwiseAND(255).alias("byte"))
+    each = F.array(*(F.struct(F.lit(n).alias("bits"), grid.pack_bits(grid.unpack_bits(F.col("byte"), n), n).cast("long").alias("packed")) for n in (1, 2, 4, 8)))
+    return b.select("l_orderkey", "byte", F.inline(each))
 
 
 @query(f"WITH {RASTER} SELECT vec_id, y - 5 AS y, x + 10 AS x, v FROM rs")
 def map_window(spark, sf_dir):
-    return raster(spark, sf_dir).select("vec_id", (F.col("y") - 5).alias("y"), (F.col("x") + 10).alias("x"), "v")
+    return geometry.map_window(raster(spark, sf_dir), 10, -5)
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size AS w, p_partkey % 40 + 1 AS h, p_partkey % 3 + 1 AS n, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE 1 END AS f FROM part)
@@ -616,25 +629,17 @@ def subresource_bytes(spark, sf_dir):
     return p.select("p_partkey", "element", "face", "level", grid.encoded_bytes(w, h, F.lit(1), 4, 4, 1, 64).cast("long").alias("bytes"))
 
 
-_PROBES = "('png', 'png', 3), ('jpeg', 'jpg', 2), ('exr', 'exr', 3), ('raw', 'png', 3), ('hdr', 'hdr', 0)"
-
-
-@query(f"""WITH f AS (SELECT * FROM (VALUES {_PROBES}) t(format, ext, c)), a AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'exr' WHEN 2 THEN 'jpg' ELSE NULL END AS ext FROM nation),
-s AS (SELECT n_nationkey, format, CASE WHEN (n_nationkey + length(format)) % 2 = 0 THEN c ELSE 0 END AS c, coalesce(f.ext = a.ext, false) AS named FROM a, f),
-r AS (SELECT *, max(c) OVER (PARTITION BY n_nationkey) AS top FROM s), b AS (SELECT * FROM r WHERE c = top AND top > 0),
-k AS (SELECT n_nationkey, count(*) AS n, count(*) FILTER (WHERE named) AS m, min(format) AS one, min(format) FILTER (WHERE named) AS two FROM b GROUP BY n_nationkey)
-SELECT n_nationkey, CASE WHEN n = 1 THEN one WHEN m = 1 THEN two ELSE 'ambiguous' END AS format FROM k""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 10 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'dds' WHEN 3 THEN 'hdr' WHEN 4 THEN 'exr' WHEN 5 THEN 'ktx2' WHEN 6 THEN 'webp' WHEN 7 THEN 'hdr'
+WHEN 8 THEN CASE n_nationkey // 10 WHEN 0 THEN 'webp' WHEN 1 THEN 'jpeg' END END AS format FROM nation""")
 def registry_resolve(spark, sf_dir):
-    """Most confident format; an extension decides between equals. One aggregate per asset over the small format table."""
-    f = spark.createDataFrame([("png", "png", 3), ("jpeg", "jpg", 2), ("exr", "exr", 3), ("raw", "png", 3), ("hdr", "hdr", 0)], "format string, known string, c int")
-    a = read(spark, sf_dir, "nation").select("n_nationkey", F.get(F.array(F.lit("png"), F.lit("exr"), F.lit("jpg")), (F.col("n_nationkey") % 4).cast("int")).alias("ext"))
-    c = F.when((F.col("n_nationkey") + F.length("format")) % 2 == 0, F.col("c")).otherwise(0)
-    named = F.coalesce(F.col("known") == F.col("ext"), F.lit(False))
-    found = a.withColumn("_f", F.explode(F.array(*(F.struct(F.lit(r.format).alias("format"), F.lit(r.known).alias("known"), F.lit(r.c).alias("c")) for r in f.collect())))).select("n_nationkey", "ext", "_f.*")
-    best = found.select("n_nationkey", "format", named.alias("named"), c.alias("c")).groupBy("n_nationkey").agg(F.max("c").alias("top"), F.collect_list(F.struct("format", "named", "c")).alias("all"))
-    top = F.filter("all", lambda x: x["c"] == F.col("top"))
-    hinted = F.filter(top, lambda x: x["named"])
-    return best.filter("top > 0").select("n_nationkey", F.when(F.size(top) == 1, top[0]["format"]).when(F.size(hinted) == 1, hinted[0]["format"]).otherwise("ambiguous").alias("format"))
+    """The format of a file by its first bytes, which count more than its extension; without them by its extension."""
+    from imagelake.sources import catalog
+
+    heads = ["89504E470D0A1A0A0000", "FFD8FFE0", "444453207C000000", "233F52414449414E43450A", "762F310102000000", "AB4B5458203230BB0D0A1A0A00", "524946460000000057454250", "233F52474245", "00112233", "FF"]
+    names = ["jpg", ".JPEG", "", "png", "exr", "dds", "gif", "pic", None, "txt"]
+    at = (F.col("n_nationkey") % 10).cast("int")
+    name = F.when(at == 8, F.get(F.array(F.lit(".WEBP"), F.lit("jpg"), F.lit("bmp")), F.floor(F.col("n_nationkey") / 10).cast("int"))).otherwise(F.get(F.array(*map(F.lit, names)), at))
+    return read(spark, sf_dir, "nation").select("n_nationkey", catalog.resolved(F.unhex(F.get(F.array(*map(F.lit, heads)), at)), name).alias("format"))
 
 
 @query("""WITH p AS (SELECT p_partkey, list_filter(['A', 'Z', 'G', 'R', 'Y', 'B'], lambda c, i: (p_partkey >> (i - 1)) & 1 = 1) AS c FROM part)
@@ -642,22 +647,40 @@ SELECT p_partkey, array_to_string(list_filter(CASE WHEN len(list_filter(c, lambd
 def channel_canonical_order(spark, sf_dir):
     letters = F.array(*map(F.lit, "AZGRYB"))
     p = read(spark, sf_dir, "part").select("p_partkey", F.filter(letters, lambda c, i: F.getbit("p_partkey", i) == 1).alias("c"))
-    grey = F.size(F.array_except("c", F.array(F.lit("Y"), F.lit("A")))) == 0
-    order = F.when(grey, F.array(F.lit("Y"), F.lit("A"))).otherwise(F.array(*map(F.lit, "RGBAY")))
-    return p.select("p_partkey", F.array_join(F.slice(F.filter(order, lambda x: F.array_contains("c", x)), 1, 4), "").alias("channels"))
-
-
-@query("SELECT p_partkey, sha256('1|preserve|crop(' || p_size || ', 0, 8, 8)|orient(flip_y, 8, 8)') AS fingerprint FROM part")
-def plan_fingerprint(spark, sf_dir):
-    steps = F.concat_ws("|", F.lit("1"), F.lit("preserve"), F.format_string("crop(%d, 0, 8, 8)", "p_size"), F.lit("orient(flip_y, 8, 8)"))
-    return read(spark, sf_dir, "part").select("p_partkey", F.sha2(steps, 256).alias("fingerprint"))
+    return p.select("p_partkey", F.array_join(channels.canonical(F.col("c"), 4), "").alias("channels"))
 
 
 @query("SELECT p_partkey, p_size AS width, p_partkey % 3 AS faces, 'unorm8' AS sample FROM part WHERE p_partkey % 7 <> 3")
 def descriptor_json_roundtrip(spark, sf_dir):
     """Versioned descriptors to JSON and back; other versions are rejected."""
-    version = F.when(F.col("p_partkey") % 7 == 3, "imagelake.descriptor/0").otherwise("imagelake.descriptor/1")
-    doc = F.to_json(F.struct(version.alias("version"), F.col("p_partkey").alias("id"), F.struct(F.col("p_size").alias("width"), (F.col("p_partkey") % 3).alias("faces"), F.lit("unorm8").alias("sample")).alias("part")))
-    back = F.from_json(doc, "version string, id long, part struct<width int, faces long, sample string>")
-    rows = read(spark, sf_dir, "part").select(back.alias("d")).filter("d.version = 'imagelake.descriptor/1'")
-    return rows.select(F.col("d.id").alias("p_partkey"), "d.part.width", "d.part.faces", "d.part.sample")
+    from imagelake.sources import descriptor
+
+    version = F.when(F.col("p_partkey") % 7 == 3, "imagelake.descriptor/0").otherwise(descriptor.VERSION)
+    part = F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("width"), (F.col("p_partkey") % 3).alias("faces"), F.lit("unorm8").alias("sample"))
+    back = descriptor.from_document(descriptor.to_document(part, version), "id long, width int, faces long, sample string")
+    return read(spark, sf_dir, "part").select(back.alias("d")).filter("d is not null").select(F.col("d.id").alias("p_partkey"), "d.width", "d.faces", "d.sample")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey, p_partkey % 13 AS g, p_size * 1e0 AS v FROM part), m AS (SELECT DISTINCT g, v FROM p),
+b AS (SELECT g, 1 AS band, min(v) AS low FROM m GROUP BY g UNION ALL SELECT b.g, b.band + 1, (SELECT min(m.v) FROM m WHERE m.g = b.g AND m.v > b.low * (1 + 0.05e0)) FROM b
+  WHERE EXISTS (SELECT 1 FROM m WHERE m.g = b.g AND m.v > b.low * (1 + 0.05e0)))
+SELECT p.p_partkey, (SELECT max(b.band) FROM b WHERE b.g = p.g AND b.low <= p.v) AS band FROM p""")
+def tolerance_bands(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 13).alias("g"), (F.col("p_size") * 1.0).alias("v"))
+    return stats.banded(p, "g", "v", 0.05).select("p_partkey", "band")
+
+
+@query("""WITH m AS (SELECT n_nationkey, list_filter([{'ns': 'text', 'size': n_nationkey * 10 + 1}, {'ns': 'icc', 'size': n_nationkey * 7}, {'ns': 'text', 'size': 55}], lambda e, i: n_nationkey % 4 <> i) AS es FROM nation)
+SELECT n_nationkey, CAST(list_sum(list_transform(es, lambda e: e.size)) AS BIGINT) AS total, list_max(list_transform(es, lambda e: e.size)) AS largest,
+len(list_filter(es, lambda e: e.ns = 'text')) > 0 AS any_text, len(list_filter(es, lambda e: e.ns <> 'text')) = 0 AS all_text,
+array_to_string(list_sort(list_distinct(list_transform(es, lambda e: e.ns))), ',') AS names, array_to_string(list_sort(list_distinct(list_transform(list_filter(es, lambda e: e.ns <> 'text'), lambda e: e.ns))), ',') AS other_names,
+array_to_string(list_reverse_sort(list_transform(es, lambda e: e.size))[1:2], ',') AS top_two FROM m""")
+def metadata_figures(spark, sf_dir):
+    k = F.col("n_nationkey")
+    entry = lambda ns, size: F.struct(F.lit(ns).alias("ns"), size.cast("long").alias("size"))
+    entries = F.array(entry("text", k * 10 + 1), entry("icc", k * 7), entry("text", F.lit(55)))
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.filter(entries, lambda e, i: k % 4 != i + 1).alias("es"))
+    return n.select("n_nationkey", *(c.alias(name) for name, c in stats.metadata_report(F.col("es")).items()))
+
+
+from imagelake import queries_codecs, queries_plans  # noqa: E402, F401  they add theirs to the same registry

@@ -22,6 +22,7 @@ FORMATS = {
     "rgb9e5": (67, 123, "RGB", "packed", 1, 4, "rgb9e5"), "b5g6r5": (85, None, "RGB", "packed", 1, 2, "b5g6r5"), "b5g5r5a1": (86, None, "RGBA", "packed", 1, 2, "b5g5r5a1"),
     "bc1": (71, 133, "RGBA", "unorm8", 4, 8, "bc1"), "bc2": (74, 135, "RGBA", "unorm8", 4, 16, "bc2"), "bc3": (77, 137, "RGBA", "unorm8", 4, 16, "bc3"),
     "bc4": (80, 139, "R", "unorm8", 4, 8, "bc4"), "bc5": (83, 141, "RG", "unorm8", 4, 16, "bc5"),
+    "bc6h": (95, 143, "RGB", "float16", 4, 16, "bc6h"), "bc6h_signed": (96, 144, "RGB", "float16", 4, 16, "bc6h_signed"),
     "bc7": (98, 145, "RGBA", "unorm8", 4, 16, "bc7"),
 }
 _KIND = {"unorm8": np.uint8, "unorm16": "<u2", "float16": "<f2", "float32": "<f4"}
@@ -223,6 +224,8 @@ def _samples_of(name: str) -> list[tuple[int, int, int, int, int]]:
     _, _, channels, sample, block, size, kind = FORMATS[name]
     ids = {"R": 0, "G": 1, "B": 2, "A": 15}
     if block == 4:
+        if kind.startswith("bc6h"):
+            return [(0, 128, 0xC0, 0xBF800000, 0x3F800000) if kind.endswith("signed") else (0, 128, 0x80, 0, 0x3F800000)]
         parts = {"bc2": ((0, 64, 15), (64, 64, 0)), "bc3": ((0, 64, 15), (64, 64, 0)), "bc5": ((0, 64, 0), (64, 64, 1))}.get(kind, ((0, size * 8, 0),))
         return [(a, n, c, 0, 0xFFFFFFFF) for a, n, c in parts]
     if sample == "packed":
@@ -239,7 +242,7 @@ def _samples_of(name: str) -> list[tuple[int, int, int, int, int]]:
 
 def make_dfd(name: str) -> bytes:
     _, _, _, _, block, size, kind = FORMATS[name]
-    model = {"bc1": 128, "bc2": 129, "bc3": 130, "bc4": 131, "bc5": 132, "bc7": 134}.get(kind, 1)
+    model = {"bc1": 128, "bc2": 129, "bc3": 130, "bc4": 131, "bc5": 132, "bc6h": 133, "bc6h_signed": 133, "bc7": 134}.get(kind, 1)
     samples = _samples_of(name)
     n = 24 + 16 * len(samples)
     out = struct.pack("<IIHHBBBB4B8B", n + 4, 0, 2, n, model, 1, 1, 0, block - 1, block - 1, 0, 0, size, *[0] * 7)

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from imagelake.functions.packed import FIELDS
-from imagelake.sources import bc7
+from imagelake.sources import bc6h, bc7
 from imagelake.sources.base import FormatError
 
-SIZES = {"bc1": 8, "bc2": 16, "bc3": 16, "bc4": 8, "bc5": 16, "bc7": 16}
+SIZES = {"bc1": 8, "bc2": 16, "bc3": 16, "bc4": 8, "bc5": 16, "bc6h": 16, "bc6h_signed": 16, "bc7": 16}
 
 # ---------------------------------------------------------------- packed pixels
 
@@ -117,6 +117,8 @@ def decode_texels(kind: str, raw: bytes, n: int) -> np.ndarray:
     """(blocks, 16, channels)."""
     if kind == "bc7":
         return bc7.decode(raw, n)
+    if kind.startswith("bc6h"):
+        return bc6h.decode(raw, n, kind.endswith("signed"))
     b = np.frombuffer(raw, np.uint8, n * SIZES[kind]).reshape(n, SIZES[kind])
     if kind == "bc1":
         out = _decode_color(b, False)
@@ -136,7 +138,8 @@ def decode_texels(kind: str, raw: bytes, n: int) -> np.ndarray:
 
 def decode_image(kind: str, raw: bytes, w: int, h: int) -> np.ndarray:
     n = -(-w // 4) * -(-h // 4)
-    return from_blocks(decode_texels(kind, raw, n), w, h).astype(np.uint8)
+    out = from_blocks(decode_texels(kind, raw, n), w, h)
+    return out if kind.startswith("bc6h") else out.astype(np.uint8)
 
 
 _PAIRS = [(i, j) for i in range(16) for j in range(i + 1, 16)]
@@ -172,8 +175,8 @@ def _encode_single(v: np.ndarray) -> np.ndarray:
 
 def encode_texels(kind: str, t: np.ndarray) -> bytes:
     """Bytes of (blocks, 16, channels), one block after the other."""
-    if kind == "bc7":
-        raise FormatError("texture", "Unsupported.Bc7.Encoding", "decoding only")
+    if kind == "bc7" or kind.startswith("bc6h"):
+        raise FormatError("texture", "Unsupported.Encoding", f"{kind} is decoded only")
     if kind == "bc1":
         out = _encode_color(t, False)
     elif kind == "bc2":

@@ -394,3 +394,88 @@ def test_working_memory_is_bounded():
     data = webp.encode(Image("webp", list("RGB"), "unorm8", np.zeros((50, 50, 3), np.uint8)))
     with pytest.raises(FormatError):
         webp.decode(data, Limits(working_bytes=10_000))
+
+
+# ---------------------------------------------------------------- BC6H
+
+
+def test_bc6h_layouts_are_whole():
+    """Every endpoint bit stands in a layout once, and blocks are full."""
+    from collections import Counter
+
+    from imagelake.sources import bc6h
+
+    for mode, (first, others, delta, _) in bc6h.MODES.items():
+        bits = Counter(bc6h.LAYOUTS[mode])
+        two = ("d", 0) in bits
+        want = Counter((c + "w", k) for c in "rgb" for k in range(first))
+        want += Counter((c + e, k) for c, n in zip("rgb", others) for e in ("xyz" if two else "x") for k in range(n))
+        want += Counter(("d", k) for k in range(5 if two else 0))
+        assert bits == want, mode
+        assert (2 if mode < 2 else 5) + len(bc6h.LAYOUTS[mode]) + (46 if two else 63) == 128, mode
+        assert delta == (mode not in (3, 30))
+
+
+def put_bc6h(mode, values, indices):
+    """A block from its fields."""
+    from imagelake.sources import bc6h
+
+    word, at = mode, 2 if mode < 2 else 5
+    for name, bit in bc6h.LAYOUTS[mode]:
+        word |= (values[name] >> bit & 1) << at
+        at += 1
+    return (word | indices << at).to_bytes(16, "little")
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2, 6, 10, 14, 18, 22, 26, 30, 3, 7, 11, 15])
+@pytest.mark.parametrize("signed", [False, True])
+def test_bc6h_decoding(mode, signed):
+    """Against the rules worked out per texel: endpoints, deltas, subsets, weights."""
+    from imagelake.sources import bc6h, bc7
+
+    first, others, delta, _ = bc6h.MODES[mode]
+    two = ("d", 0) in bc6h.LAYOUTS[mode]
+    r = np.random.default_rng(mode)
+    extend = lambda v, n: v - (1 << n) if v >= 1 << (n - 1) else v
+    for _ in range(20):
+        values = {c + "w": int(r.integers(0, 1 << first)) for c in "rgb"} | {c + e: int(r.integers(0, 1 << n)) for c, n in zip("rgb", others) for e in "xyz"} | {"d": int(r.integers(0, 32))}
+        bits = 46 if two else 63
+        indices = int(r.integers(0, 1 << 62)) & (1 << bits) - 1
+        got = bc6h.decode_block(put_bc6h(mode, values, indices), signed)
+        stream = indices
+        for t in range(16):
+            subset = int(bc7.TWO[values["d"]][t]) if two else 0
+            anchor = t == 0 or two and t == bc7.ANCHOR_TWO[values["d"]]
+            n = (3 if two else 4) - anchor
+            w = bc7.WEIGHTS[3 if two else 4][stream & (1 << n) - 1]
+            stream >>= n
+            for k, c in enumerate("rgb"):
+                pair = []
+                for e in ("wx", "yz")[subset]:
+                    v = values[c + e]
+                    if delta and e != "w":
+                        v = (values[c + "w"] + extend(v, others[k])) % (1 << first)
+                    if signed:
+                        v = extend(v, first)
+                        m = abs(v)
+                        u = m if first >= 16 or m == 0 else 0x7FFF if m >= 2 ** (first - 1) - 1 else (m * 2**15 + 2**14) // 2 ** (first - 1)
+                        pair.append(-u if v < 0 else u)
+                    else:
+                        pair.append(v if first >= 15 or v == 0 else 0xFFFF if v == 2**first - 1 else (v * 2**15 + 2**14) // 2 ** (first - 1))
+                m = (pair[0] * (64 - w) + pair[1] * w + 32) >> 6
+                assert got[t][k] == ((0x8000 | (-m * 31 >> 5) if m < 0 and -m * 31 >> 5 else abs(m) * 31 >> 5) if signed else m * 31 >> 6)
+
+
+def test_bc6h_reserved_modes_and_containers():
+    from imagelake.sources import bc6h, texture
+
+    for mode in (19, 23, 27, 31):
+        assert bc6h.decode_block(bytes([mode]) + bytes(range(15)), False) == [(0, 0, 0)] * 16
+    blocks = b"".join(put_bc6h(3, {c + e: 300 + 40 * k for k, (c, e) in enumerate((c, e) for c in "rgb" for e in "wx")}, 0x123456789ABCDEF) for _ in range(4))
+    im = Image("dds", list("RGB"), "float16", np.zeros((8, 8, 3), np.float16))
+    with pytest.raises(FormatError):
+        dds.encode_dds(im, "bc6h")
+    head = dds.encode_dds(Image("dds", list("RGBA"), "unorm8", np.zeros((8, 8, 4), np.uint8)), "bc3")
+    data = head.replace(struct.pack("<I", 77), struct.pack("<I", 95), 1)[: len(head) - 64] + blocks
+    out = dds.decode_dds(data)
+    assert out.encoding == "bc6h" and out.sample == "float16" and (out.samples == texture.decode_image("bc6h", blocks, 8, 8)).all() and out.samples.max() > 0
