@@ -22,7 +22,9 @@ results; an empty table gives an empty result; columns other than those carried
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -211,9 +213,9 @@ class Viterbi:
         start = max(0, done - self.m.longest + 1)
         n = done  # positions known so far
         for end, (i, size) in self.matcher.iter(text, start) if start else self.matcher.iter(text):
-            end += 1
-            if end <= n:
+            if end < n:
                 continue
+            end += 1
             while n + 1 < end:  # a code point that no piece ends with
                 n += 1
                 back.append(n - 1)
@@ -244,6 +246,14 @@ class Viterbi:
             back.append(n - size)
             last.append(i)
 
+    def short(self, text: str) -> list[int]:
+        """Ids of a text that fits the window, of which nothing was pushed."""
+        self.text = text
+        (self.extend_bpe if self.m.bpe else self.extend_unigram)(0)
+        out = self.cut(len(text))
+        self.reset()
+        return out
+
     def commit(self) -> list[int]:
         """Ids up to the last boundary that all surviving paths share."""
         n = len(self.text)
@@ -314,13 +324,15 @@ class Encoder:
         self.spaces, self.open, self.begun = 1, "", False
 
     def lattice(self, spaces: int, rest: str, close: bool = True) -> bytes:
+        if close and not self.begun and spaces + len(rest) <= self.max_word:
+            return array("i", self.viterbi.short(SPACE * spaces + rest)).tobytes()
         ids = []
         for at in range(0, spaces, self.part):
             ids += self.viterbi.push(SPACE * min(self.part, spaces - at))
         ids += self.viterbi.push(rest)
         if close:
             ids += self.viterbi.finish()
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def push(self, part: str) -> bytes:
         if not self.by_space:
@@ -365,6 +377,21 @@ class Encoder:
         return b"".join(self.push(text[at : at + self.part]) for at in range(0, len(text), self.part)) + self.finish()
 
 
+_ready: dict[bytes, Encoder] = {}
+
+
+def ready(data: bytes) -> Encoder:
+    """The encoder of a model file's bytes. A worker process keeps its last one, with the stretches it knows, for the
+    tasks that it runs later."""
+    name = hashlib.blake2b(data).digest()
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Encoder(Model(data))
+    _ready[name].viterbi.reset()
+    _ready[name].reset()
+    return _ready[name]
+
+
 def load_model(spark, path: str) -> bytes:
     """The file's bytes, by Spark's reader or from the driver's own disk; a vocabulary is a few MB at most."""
     if "://" in path and not path.startswith("file:"):
@@ -378,8 +405,8 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     shared = docs.sparkSession.sparkContext.broadcast(load_model(docs.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value)
-        encoder = Encoder(m)
+        encoder = ready(shared.value)
+        m = encoder.m
         for b in batches:
             texts = b.column("_text").to_pylist()
             packed = [encoder.encode(t or "") for t in texts]
@@ -400,7 +427,7 @@ def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
     shared = rows.sparkSession.sparkContext.broadcast(load_model(rows.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value)
+        m = ready(shared.value).m
         for b in batches:
             texts = [None if ids is None else m.decode(ids) for ids in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(texts, pa.string())], [*carry, "text"])
