@@ -285,3 +285,51 @@ def alpha_filters_inverted(spark, sf_dir):
     back = restored_planes(filtered_planes(a, "vec_id"), "vec_id", 8, 8)
     both = back.join(a, ["vec_id", "y", "x"])
     return both.groupBy("vec_id", "y", "filter_kind").agg(F.bool_and(F.col("v") == F.col("restored")).alias("same"))
+
+
+# ---------------------------------------------------------------- levels and whole files
+
+
+@query(f"""WITH {RASTER}, m AS (SELECT vec_id, CAST(l AS INT) AS level, CAST(y >> l AS INT) AS y, CAST(x >> l AS INT) AS x, avg(floor(abs(v) * 64) / 64) AS v FROM rs, range(4) t(l) GROUP BY vec_id, l, y >> l, x >> l)
+SELECT vec_id, f AS format, level, CAST(8 >> level AS INT) AS width, round(sum(v * (y * 8 + x + 1)), 6) AS weighed FROM m, (VALUES ('exr'), ('dds'), ('ktx2')) t(f) GROUP BY vec_id, f, level""")
+def mip_containers(spark, sf_dir):
+    """Mip levels through the three containers that hold them: each level's extent, and a sum that tells its pixels apart."""
+    out = None
+    for fmt, options in (("exr", {"compression": "zip", "tile": (4, 4), "levels": 1}), ("dds", {}), ("ktx2", {"compress": True})):
+        files = catalog.encode_images(images(spark, sf_dir, "R", "float32"), fmt, options, ("vec_id",), with_mips=True)
+        levels = catalog.decode_levels(files, carry=("vec_id",))
+        place = lambda i: F.floor(i / F.col("width")) * 8 + i % F.col("width") + 1
+        weighed = F.aggregate(F.transform("samples", lambda v, i: v * place(i)), F.lit(0.0), lambda a, v: a + v)
+        one = levels.select("vec_id", F.lit(fmt).alias("format"), F.col("level_x").alias("level"), "width", F.round(weighed, 6).alias("weighed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {RASTER}, u AS (SELECT vec_id, y, x, CAST(least(floor(abs(v) * 255), 255) AS INT) AS v FROM rs)
+SELECT vec_id, CAST(y - 2 AS INT) AS y, CAST(x - 1 AS INT) AS x, v AS red, (v + 37) % 256 AS green, (v + 74) % 256 AS blue FROM u WHERE x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6""")
+def converted_files(spark, sf_dir):
+    """PNG files cropped and written as WebP, read back as pixels."""
+    from imagelake.plans.convert import Request, convert_files
+
+    made = convert_files(png_files(spark, sf_dir), Request("webp", crop=(1, 2, 4, 5)), carry=("vec_id",))
+    px = catalog.to_pixels(catalog.decode_images(made.select("vec_id", "content"), carry=("vec_id",)), "vec_id")
+    value = lambda c: F.max(F.when(F.col("channel") == c, F.col("value"))).cast("int")
+    return px.groupBy("vec_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(value("R").alias("red"), value("G").alias("green"), value("B").alias("blue"))
+
+
+@query("SELECT vec_id, true AS fits, true AS best FROM embeddings")
+def target_size_files(spark, sf_dir):
+    """JPEG files of at most 330 bytes where any quality gives one: the file fits or has the lowest quality, and the next
+    quality, if there is one, doesn't fit."""
+    from imagelake.plans.convert import Request, convert_files
+
+    source = png_files(spark, sf_dir)
+    made = convert_files(source, Request("jpeg", target_bytes=330), carry=("vec_id",)).select("vec_id", F.octet_length("content").alias("bytes"), "quality", "reached")
+    every = None
+    for q in range(10, 101, 10):  # the next of some qualities, for all files
+        one = convert_files(source, Request("jpeg", options=(("quality", str(q)),)), carry=("vec_id",)).select("vec_id", F.lit(q).alias("q"), F.octet_length("content").alias("size"))
+        every = one if every is None else every.unionByName(one)
+    fits = F.when(F.col("reached"), F.col("bytes") <= 330).otherwise(F.col("quality") == 1)
+    # Sizes grow with quality but for a few bytes, so qualities well above the chosen one are larger than the target.
+    above = every.join(made, "vec_id").filter("q > quality + 15").groupBy("vec_id").agg(F.bool_and(F.col("size") > 330).alias("above"))
+    return made.join(above, "vec_id", "left").select("vec_id", fits.alias("fits"), F.coalesce("above", F.lit(True)).alias("best"))

@@ -104,8 +104,44 @@ def decode_images(files: DataFrame, content: str = "content", extension: str | N
     return source.mapInArrow(run, ddl)
 
 
-def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carry: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Rows of IMAGE_SCHEMA -> carry..., content and error."""
+def mips(v: np.ndarray) -> list[np.ndarray]:
+    """Half sizes by means of 2 x 2, down to one pixel; odd extents repeat their last row or column."""
+    out = []
+    while max(v.shape[:2]) > 1:
+        h, w = v.shape[:2]
+        padded = np.pad(v, ((0, h % 2 if h > 1 else 1), (0, w % 2 if w > 1 else 1), (0, 0)), mode="edge").astype(np.float64)
+        mean = padded.reshape(padded.shape[0] // 2, 2, padded.shape[1] // 2, 2, -1).mean((1, 3))[: max(1, h // 2), : max(1, w // 2)]
+        v = (np.rint(mean) if v.dtype.kind == "u" else mean).astype(v.dtype)
+        out.append(v)
+    return out
+
+
+def decode_levels(files: DataFrame, content: str = "content", limits: Limits = Limits(), carry: tuple[str, ...] = ("path",)) -> DataFrame:
+    """carry..., part, element, face, level_x, level_y, width, height, channels, samples: a row for each subresource of files
+    that decode; others have none."""
+    kinds = [pa.int32()] * 7 + [pa.list_(pa.string()), pa.list_(pa.float64())]
+    names = ["part", "element", "face", "level_x", "level_y", "width", "height", "channels", "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                data = b.column("_content")[i].as_py() or b""
+                try:
+                    im = REGISTRY.resolve(data[:16]).decode(data, limits)
+                except (ValueError, IndexError, KeyError, OverflowError):
+                    continue
+                for (part, element, face, level), v in ({(0, 0, 0, 0): im.samples} | im.others).items():
+                    x, y = level if isinstance(level, tuple) else (level, level)
+                    row = part, element, face, x, y, v.shape[1], v.shape[0], im.channels, v.astype(np.float64).ravel()
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in carry), *(pa.array([c], k) for c, k in zip(row, kinds, strict=True))], [*carry, *names])
+
+    source = files.select(*carry, F.col(content).alias("_content"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{ddl}, part int, element int, face int, level_x int, level_y int, width int, height int, channels array<string>, samples array<double>")
+
+
+def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carry: tuple[str, ...] = ("path",), with_mips: bool = False) -> DataFrame:
+    """Rows of IMAGE_SCHEMA -> carry..., content and error; with all mip levels in formats that hold them."""
     codec, options = REGISTRY.codecs[fmt], options or {}
     kinds = {"float16": np.float16, "float32": np.float32, "uint32": np.uint32, "unorm16": np.uint16}
 
@@ -118,7 +154,8 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
                     if not held[i].is_valid:
                         raise FormatError(fmt, "NoImage")
                     v = held[i].values.to_numpy(zero_copy_only=False).reshape(r["height"], r["width"], len(r["channels"])).astype(kinds.get(r["sample"], np.uint8))
-                    out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity"), **options))
+                    others = {(0, 0, 0, k): m for k, m in enumerate(mips(v), 1)} if with_mips else {}
+                    out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity", others=others), **options))
                     bad.append(None)
                 except FormatError as e:
                     out.append(None)

@@ -177,8 +177,22 @@ def compress(kind: str, raw: bytes) -> bytes:
 
 
 
+def levels_of(w: int, h: int, mode: int) -> list[tuple[int, int, int, int]]:
+    """(x level, y level, width, height) of a tiled part in the order of its offset table. mode: 0 one level, 1 mips,
+    2 rips, plus 16 where extents round up."""
+    kind, up = mode & 15, mode >> 4
+    count = lambda e: (e - 1).bit_length() + 1 if up else e.bit_length()
+    size = lambda e, k: max(1, (e + (1 << k) - 1) >> k if up else e >> k)
+    if kind == 0:
+        return [(0, 0, w, h)]
+    if kind == 1:
+        return [(k, k, size(w, k), size(h, k)) for k in range(count(max(w, h)))]
+    return [(i, j, size(w, i), size(h, j)) for j in range(count(h)) for i in range(count(w))]
+
+
 def decode(data: bytes, limits: Limits = Limits()) -> Image:
-    """The first part; those after it stand in `others` by part number, their names and channels in the metadata."""
+    """The first part at full size. Those after it stand in `others` by part number, their names and channels in the
+    metadata; lower levels stand there by level, a number for mips and (x level, y level) for rips."""
     parts, version, at = headers(data)
     if len(parts) > limits.parts:
         raise FormatError("exr", "LimitExceeded", f"{len(parts)} parts")
@@ -188,7 +202,7 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
         if out is None:
             out = image
         else:
-            out.others[number, 0, 0, 0] = image.samples
+            out.others |= {(number, *k[1:]): v for k, v in image.others.items()} | {(number, 0, 0, 0): image.samples}
         if version & 0x1000:
             out.metadata.append(("exr.part", attributes["name"][1].decode("utf-8", "replace"), tuple(image.channels)))
     return out
@@ -203,18 +217,27 @@ def _part(data: bytes, attributes: dict, version: int, at: int, number: int, lim
     if w <= 0 or h <= 0 or not channels or kind is None:
         raise FormatError("exr", "BadHeader", "window, channels or compression")
     limits.check(w, h, 4 * len(channels))
-    planes = {c: np.zeros((-(-h // sy), -(-w // sx)), KINDS[k][1]) for c, k, sx, sy in channels}
+    mode, regions = 0, []  # (level, x, y, width, height)
     if tiled:
         tw, th, mode = struct.unpack("<IIB", attributes["tiles"][1])
-        if mode & 15:
-            raise FormatError("exr", "Unsupported.Exr.Levels", "mip and rip levels")
-        regions = [(tx * tw, ty * th, min(tw, w - tx * tw), min(th, h - ty * th)) for ty in range(-(-h // th)) for tx in range(-(-w // tw))]
+        if mode & 15 > 2 or mode >> 4 > 1 or not tw or not th:
+            raise FormatError("exr", "BadHeader", "tiles")
+        if mode & 15 and any((sx, sy) != (1, 1) for _, _, sx, sy in channels):
+            raise FormatError("exr", "Unsupported.Exr.Levels", "levels of subsampled channels")
+        found = levels_of(w, h, mode)
+        if max(max(v[:2]) for v in found) >= limits.levels:
+            raise FormatError("exr", "LimitExceeded", f"{len(found)} levels")
+        for i, j, lw, lh in found:
+            regions += [((i, j), tx * tw, ty * th, min(tw, lw - tx * tw), min(th, lh - ty * th)) for ty in range(-(-lh // th)) for tx in range(-(-lw // tw))]
     else:
-        regions = [(0, y, w, min(lines, h - y)) for y in range(0, h, lines)]
+        found = [(0, 0, w, h)]
+        regions = [((0, 0), 0, y, w, min(lines, h - y)) for y in range(0, h, lines)]
+    kept = {(i, j): {c: np.zeros((-(-lh // sy), -(-lw // sx)), KINDS[k][1]) for c, k, sx, sy in channels} for i, j, lw, lh in found}
     table = struct.unpack(f"<{len(regions)}Q", data[at : at + 8 * len(regions)]) if at + 8 * len(regions) <= len(data) else ()
     if len(table) != len(regions):
         raise FormatError("exr", "TruncatedHeader", "offset table", at)
-    for (rx, ry, rw, rh), place in zip(regions, table, strict=True):
+    for (level, rx, ry, rw, rh), place in zip(regions, table, strict=True):
+        planes = kept[level]
         lead = (20 if tiled else 8) + 4 * multi
         if place + lead > len(data):
             raise FormatError("exr", "BadChunkOffset", str(place))
@@ -222,6 +245,8 @@ def _part(data: bytes, attributes: dict, version: int, at: int, number: int, lim
             raise FormatError("exr", "BadChunkLeader", f"part {number}", place)
         if not tiled and struct.unpack("<i", data[place + 4 * multi : place + 4 * multi + 4])[0] != y0 + ry:
             raise FormatError("exr", "BadChunkLeader", f"row {ry}", place)
+        if tiled and struct.unpack("<4i", data[place + 4 * multi : place + 4 * multi + 16]) != (rx // tw, ry // th, *level):
+            raise FormatError("exr", "BadChunkLeader", f"tile at {rx}, {ry} of level {level}", place)
         (n,) = struct.unpack("<I", data[place + lead - 4 : place + lead])
         rows = [(c, k, y // sy, rx // sx, -(-rw // sx)) for y in range(ry, ry + rh) for c, k, sx, sy in channels if (y0 + y) % sy == 0]
         size = sum(count * np.dtype(KINDS[k][1]).itemsize for _, k, _, _, count in rows)
@@ -234,17 +259,19 @@ def _part(data: bytes, attributes: dict, version: int, at: int, number: int, lim
             used += count * np.dtype(KINDS[k][1]).itemsize
     kinds = {KINDS[k][0] for _, k, _, _ in channels}
     wide = np.float16 if kinds == {"float16"} else np.uint32 if kinds == {"uint32"} else np.float32
-    full = [np.repeat(np.repeat(planes[c], sy, 0), sx, 1)[:h, :w].astype(wide) for c, k, sx, sy in channels]
+    whole = lambda planes, lw, lh: np.stack([np.repeat(np.repeat(planes[c], sy, 0), sx, 1)[:lh, :lw].astype(wide) for c, k, sx, sy in channels], 2)
+    others = {(0, 0, 0, i if mode & 15 == 1 else (i, j)): whole(kept[i, j], lw, lh) for i, j, lw, lh in found[1:]}
     other = [("exr", name, value) for name, (_, value) in attributes.items() if name not in (*REQUIRED, "tiles", "name", "type", "chunkCount")]
-    return Image("exr", [c[0] for c in channels], np.dtype(wide).name, np.stack(full, 2), metadata=other, window=(x0, y0)), at + 8 * len(regions)
+    return Image("exr", [c[0] for c in channels], np.dtype(wide).name, whole(kept[0, 0], w, h), metadata=other, window=(x0, y0), others=others), at + 8 * len(regions)
 
 
-def encode(image: Image, compression: str = "zip", tile: tuple[int, int] | None = None) -> bytes:
-    return encode_parts([("", image)], compression, tile)
+def encode(image: Image, compression: str = "zip", tile: tuple[int, int] | None = None, levels: int = 0) -> bytes:
+    """levels: the mode of levels_of; lower ones stand in the image's `others`, as decode gives them."""
+    return encode_parts([("", image)], compression, tile, levels)
 
 
-def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile: tuple[int, int] | None = None) -> bytes:
-    """Named parts, each in scan lines or, with `tile`, in tiles of one level; more than one make a multi-part file."""
+def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile: tuple[int, int] | None = None, levels: int = 0) -> bytes:
+    """Named parts, each in scan lines or, with `tile`, in tiles; more than one make a multi-part file."""
     code, (_, lines) = next((k, v) for k, v in COMPRESSIONS.items() if v[0] == compression)
     multi, heads, bodies = len(parts) > 1, b"", []
     for number, (name, image) in enumerate(parts):
@@ -254,20 +281,26 @@ def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile:
         h, w, _ = image.samples.shape
         x0, y0 = image.window
         order = sorted(range(len(image.channels)), key=lambda i: image.channels[i])
-        planes = image.samples[:, :, order].astype(KINDS[kind][1])
-        step, across = (tile[1], tile[0]) if tile else (lines, w)
+        if levels and not tile:
+            raise FormatError("exr", "BadOption", "levels need tiles")
         chunks = []
-        for y in range(0, h, step):
-            for x in range(0, w, across):
-                part = planes[y : y + step, x : x + across]
-                raw = np.ascontiguousarray(part.swapaxes(1, 2)).tobytes()
-                if compression == "piz":
-                    made = make_piz(raw, [(image.channels[i], kind, yy, 0, part.shape[1]) for yy in range(part.shape[0]) for i in order])
-                    packed = made if len(made) < len(raw) else raw
-                else:
-                    packed = compress(compression, raw)
-                place = struct.pack("<4i", x // across, y // step, 0, 0) if tile else struct.pack("<i", y0 + y)
-                chunks.append((struct.pack("<i", number) if multi else b"") + place + struct.pack("<I", len(packed)) + packed)
+        for i, j, lw, lh in levels_of(w, h, levels):
+            held = image.samples if not i and not j else image.others.get((0, 0, 0, i if levels & 15 == 1 else (i, j)))
+            if held is None or held.shape[:2] != (lh, lw):
+                raise FormatError("exr", "MissingLevel", f"{i}, {j}: {lw} x {lh}")
+            planes = held[:, :, order].astype(KINDS[kind][1])
+            step, across = (tile[1], tile[0]) if tile else (lines, w)
+            for y in range(0, lh, step):
+                for x in range(0, lw, across):
+                    part = planes[y : y + step, x : x + across]
+                    raw = np.ascontiguousarray(part.swapaxes(1, 2)).tobytes()
+                    if compression == "piz":
+                        made = make_piz(raw, [(image.channels[c], kind, yy, 0, part.shape[1]) for yy in range(part.shape[0]) for c in order])
+                        packed = made if len(made) < len(raw) else raw
+                    else:
+                        packed = compress(compression, raw)
+                    place = struct.pack("<4i", x // across, y // step, i, j) if tile else struct.pack("<i", y0 + y)
+                    chunks.append((struct.pack("<i", number) if multi else b"") + place + struct.pack("<I", len(packed)) + packed)
         listed = b"".join(image.channels[i].encode() + b"\0" + struct.pack("<IB3xII", kind, 0, 1, 1) for i in order) + b"\0"
         box = struct.pack("<4i", x0, y0, x0 + w - 1, y0 + h - 1)
         attributes = [
@@ -275,7 +308,7 @@ def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile:
             ("lineOrder", "lineOrder", b"\0"), ("pixelAspectRatio", "float", struct.pack("<f", 1)), ("screenWindowCenter", "v2f", bytes(8)), ("screenWindowWidth", "float", struct.pack("<f", 1)),
         ]
         if tile:
-            attributes.append(("tiles", "tiledesc", struct.pack("<IIB", *tile, 0)))
+            attributes.append(("tiles", "tiledesc", struct.pack("<IIB", *tile, levels)))
         if multi:
             attributes += [("name", "string", name.encode()), ("type", "string", b"tiledimage" if tile else b"scanlineimage"), ("chunkCount", "int", struct.pack("<i", len(chunks)))]
         heads += b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<I", len(v)) + v for n, t, v in attributes) + b"\0"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow.fs as pafs
 
@@ -26,3 +27,19 @@ def listed(uri: str, endings: tuple[str, ...]) -> list[str]:
         return [uri]
     found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
     return [uri.rstrip("/") + f.path[len(path.rstrip("/")) :] for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and f.path.lower().endswith(endings)]
+
+
+def write_whole(uri: str, data: bytes) -> None:
+    """Under a temporary name beside its own first, so that no half file is ever seen."""
+    fs, path = _at(uri)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs.create_dir(path.rsplit("/", 1)[0])
+    try:
+        with fs.open_output_stream(temporary) as f:
+            f.write(data)
+        if fs.get_file_info(path).type == pafs.FileType.File:
+            fs.delete_file(path)
+        fs.move(temporary, path)
+    finally:
+        if fs.get_file_info(temporary).type == pafs.FileType.File:
+            fs.delete_file(temporary)

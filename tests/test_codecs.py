@@ -479,3 +479,43 @@ def test_bc6h_reserved_modes_and_containers():
     data = head.replace(struct.pack("<I", 77), struct.pack("<I", 95), 1)[: len(head) - 64] + blocks
     out = dds.decode_dds(data)
     assert out.encoding == "bc6h" and out.sample == "float16" and (out.samples == texture.decode_image("bc6h", blocks, 8, 8)).all() and out.samples.max() > 0
+
+
+# ---------------------------------------------------------------- EXR levels
+
+
+def with_levels(w, h, mode):
+    from imagelake.sources import exr
+
+    r = np.random.default_rng(w * h + mode)
+    made = {(i, j): r.normal(size=(lh, lw, 2)).astype(np.float16) for i, j, lw, lh in exr.levels_of(w, h, mode)}
+    others = {(0, 0, 0, i if mode & 15 == 1 else (i, j)): v for (i, j), v in made.items() if (i, j) != (0, 0)}
+    return Image("exr", ["A", "B"], "float16", made[0, 0], others=others)
+
+
+@pytest.mark.parametrize("mode", [1, 2, 17, 18])
+@pytest.mark.parametrize("size", [(13, 9), (8, 8), (1, 5), (16, 3)])
+@pytest.mark.parametrize("compression", ["none", "zip", "piz"])
+def test_exr_levels(mode, size, compression):
+    from imagelake.sources import exr
+
+    im = with_levels(*size, mode)
+    out = exr.decode(exr.encode(im, compression, (4, 3), mode))
+    assert (out.samples == im.samples).all() and set(out.others) == set(im.others)
+    assert all((out.others[k] == v).all() for k, v in im.others.items())
+
+
+def test_exr_level_counts():
+    from imagelake.sources import exr
+
+    assert [v[2:] for v in exr.levels_of(13, 5, 1)] == [(13, 5), (6, 2), (3, 1), (1, 1)]
+    assert [v[2:] for v in exr.levels_of(13, 5, 17)] == [(13, 5), (7, 3), (4, 2), (2, 1), (1, 1)]
+    assert exr.levels_of(4, 2, 2) == [(0, 0, 4, 2), (1, 0, 2, 2), (2, 0, 1, 2), (0, 1, 4, 1), (1, 1, 2, 1), (2, 1, 1, 1)]
+    data = bytearray(exr.encode(with_levels(8, 8, 1), "none", (4, 4), 1))
+    with pytest.raises(FormatError):
+        exr.decode(bytes(data), Limits(levels=2))
+    im = with_levels(8, 8, 1)
+    del im.others[0, 0, 0, 2]
+    for bad in (lambda: exr.encode(im, "zip", (4, 4), 1), lambda: exr.encode(with_levels(8, 8, 1), "zip", None, 1)):
+        with pytest.raises(FormatError):
+            bad()

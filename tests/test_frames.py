@@ -171,6 +171,64 @@ def test_frames_pack_and_unpack(spark, encoding):
     assert all(abs(r[c] - v[r.y, r.x, "RGBA".index(c)] / 255) <= 1.01 / step for r in back.collect() for c in "RGB")
 
 
+def test_convert_files(spark):
+    from imagelake.plans.convert import Request, convert_files
+    from imagelake.sources import webp
+    from imagelake.sources.options import OptionError
+
+    v = np.random.default_rng(2).integers(0, 256, (9, 12, 4)).astype(np.uint8)
+    noisy = png.encode(Image("png", list("RGBA"), "unorm8", v))
+    grey = png.encode(Image("png", ["Y"], "unorm16", (v[:, :, :1].astype(np.uint16) << 8)))
+    indexed = png.encode(Image("png", ["I"], "unorm8", v[:, :, :1] % 7, palette=np.arange(21).reshape(7, 3) * 10))
+    files = spark.createDataFrame([("a/n.png", bytearray(noisy)), ("a/g.png", bytearray(grey)), ("a/i.png", bytearray(indexed)), ("a/bad", bytearray(noisy[:60])), ("a/none", None)], "path string, content binary")
+    out = {r.path: r for r in convert_files(files, Request("webp", crop=(2, 1, 8, 6))).collect()}
+    assert (webp.decode(bytes(out["a/n.png"].content)).samples == v[1:7, 2:10]).all() and out["a/n.png"].steps == "crop(2, 1, 8, 6)"
+    assert (webp.decode(bytes(out["a/g.png"].content)).samples[:, :, 1] == np.rint(v[1:7, 2:10, 0].astype(int) * 256 / 65535 * 255)).all() and "numeric" in out["a/g.png"].losses
+    assert (webp.decode(bytes(out["a/i.png"].content)).samples[:, :, :3] == (np.arange(21).reshape(7, 3) * 10)[v[1:7, 2:10, 0] % 7]).all()
+    assert out["a/bad"].content is None and "png" in out["a/bad"].error and out["a/none"].error
+    assert {r.error is None for r in convert_files(files, Request("webp", policy="strict")).filter("path = 'a/n.png'").collect()} == {True}
+    assert "strict" in convert_files(files, Request("jpeg", policy="strict")).filter("path = 'a/n.png'").head().error
+    small = {r.path: r for r in convert_files(files.limit(2), Request("jpeg", target_bytes=900)).collect()}
+    assert all(len(r.content) <= 900 and r.reached and 1 <= r.quality <= 100 for r in small.values())
+    tiny = convert_files(files.limit(1), Request("jpeg", target_bytes=10)).head()
+    assert not tiny.reached and tiny.quality == 1
+    for bad in (Request("png", target_bytes=9), Request("jpeg", target_bytes=0), Request("gif"), Request("jpeg", options=(("x", "y"),)), Request("jpeg", options=(("quality", "3"),), target_bytes=9)):
+        with pytest.raises(OptionError):
+            convert_files(files, bad)
+
+
+def test_whole_file_steps_equal_frames(spark):
+    """Crop, resize, orientation and sample types: the same by rows of pixels and by whole images."""
+    from imagelake.plans import convert
+
+    v = np.random.default_rng(9).integers(0, 256, (7, 9, 3)).astype(np.uint8)
+    for orientation in ("identity", "rotate90", "flip_y", "transverse"):
+        d = Description(9, 7, ("R", "G", "B"), orientation=orientation)
+        p = plan(d, CAPS["png"], "preview", resize=(4, 5), crop=(1, 1, 7, 6))
+        whole = convert.carried_out(Image("png", list("RGB"), "unorm8", v, orientation=orientation), p).samples
+        rows = ImageFrame(wide(spark, v, "RGB"), d).run(p).collect()
+        assert len(rows) == whole.shape[0] * whole.shape[1] and all(abs(int(whole[r.y, r.x, k]) - r[c]) <= 1 for r in rows for k, c in enumerate("RGB"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from imagelake.__main__ import main
+
+    v = np.random.default_rng(3).integers(0, 256, (16, 16, 3)).astype(np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(png.encode(Image("png", list("RGB"), "unorm8", v)))
+    (tmp_path / "in" / "b.png").write_bytes(b"no image")
+    assert main(["--formats"]) == 0 and "quality: 1 to 100" in capsys.readouterr().out
+    assert main([f"{tmp_path}/in", f"{tmp_path}/out", "--to", "jpeg", "--resize", "8x4", "--target-size", "1K"]) == 1
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.jpg"] and "b.png" in capsys.readouterr().out
+    data = (tmp_path / "out" / "a.jpg").read_bytes()
+    assert len(data) <= 1024 and catalog.REGISTRY.codecs["jpeg"].decode(data).samples.shape == (4, 8, 3)
+    assert main([f"{tmp_path}/in/a.png", f"{tmp_path}/out", "--to", "png", "--option", "filter=sub", "--crop", "1,2,3,4"]) == 0
+    assert (png.decode((tmp_path / "out" / "a.png").read_bytes()).samples == v[2:6, 1:4]).all()
+    for bad in (["--crop", "1,2"], ["--resize", "8"], ["--option", "quality"], ["--option", "quality=0"], ["--target-size", "many"]):
+        assert main([f"{tmp_path}/in", f"{tmp_path}/out", "--to", "jpeg", *bad]) == 2
+    assert main([]) == 2
+
+
 def test_stream(spark, tmp_path):
     from imagelake.streaming.ingest import image_stream
 
