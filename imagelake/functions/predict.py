@@ -1,7 +1,7 @@
 """Byte prediction and reordering: one row per byte or sample, neighbours by windows.
 
-A row's neighbours are read with lag over (image, row) or (image, column), so a window never spans more than one
-image row or column; whole images never meet in one task.
+A row's neighbours are read with lag over (image, row) or (image, column) within bands of rows, so a window never spans
+more than an image row or a band's column; whole images never meet in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILTERS = ("none", "sub", "up", "average", "paeth")
+#: Rows of an image that go to one task together.
+BAND = 64
 
 
 def byte_delta(value: Column, previous: Column) -> Column:
@@ -43,10 +45,28 @@ def filtered(value: Column, left: Column, up: Column, corner: Column) -> dict[st
 
 
 def with_neighbours(samples: DataFrame, image: str, value: str = "v", step: int = 1) -> DataFrame:
-    """Adds left, up and corner to (image, y, x, value): `step` samples to the left, one row up."""
-    row, column = Window.partitionBy(image, "y").orderBy("x"), Window.partitionBy(image, "x").orderBy("y")
-    out = samples.withColumn("left", F.lag(value, step).over(row)).withColumn("up", F.lag(value).over(column))
-    return out.withColumn("corner", F.lag("up", step).over(row))
+    """Adds left, up and corner to (image, y, x, value): `step` samples to the left, one row up.
+
+    Images are dealt out once, by bands of BAND rows; a band's last row goes to the next band as well, where it is only
+    looked at. The three windows lie within a band, so they sort and don't shuffle."""
+    band = F.floor(F.col("y") / BAND).cast("int")
+    last = F.pmod(F.col("y"), F.lit(BAND)) == BAND - 1
+    dealt = samples.withColumn("_band", F.explode(F.when(last, F.array(band, band + 1)).otherwise(F.array(band)))).repartition(image, "_band")
+    row, column = Window.partitionBy(image, "_band", "y").orderBy("x"), Window.partitionBy(image, "_band", "x").orderBy("y")
+    out = dealt.withColumn("left", F.lag(value, step).over(row)).withColumn("up", F.lag(value).over(column))
+    return out.withColumn("corner", F.lag("up", step).over(row)).filter(F.col("_band") == band).drop("_band")
+
+
+def least_entropy(samples: DataFrame, image: str, value: str = "v") -> DataFrame:
+    """(image, entropy): over the rows of an image the mean of the least entropy, in bits, that a row filter leaves. High
+    figures mean that no filter helps, and that storing is as good as packing."""
+    near = with_neighbours(samples, image, value)
+    residuals = filtered(F.col(value), F.col("left"), F.col("up"), F.col("corner"))
+    each = near.select(image, "y", F.posexplode(F.array(*residuals.values())).alias("kind", "byte"))
+    counts = each.groupBy(image, "y", "kind", "byte").agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.groupBy(image, "y", "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    rows = sums.groupBy(image, "y").agg(F.min(F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
+    return rows.groupBy(image).agg(F.avg("entropy").alias("entropy"))
 
 
 def filter_scores(samples: DataFrame, image: str, value: str = "v") -> DataFrame:

@@ -28,3 +28,9 @@ def jpeg_step(base: Column, quality: Column) -> Column:
     """A quantisation step scaled by quality; integer divisions."""
     scale = F.when(quality < 50, F.floor(F.lit(5000) / quality)).otherwise(200 - 2 * quality)
     return F.least(F.greatest(F.floor((base * scale + 50) / 100), F.lit(1)), F.lit(255)).cast("int")
+
+
+def restart_interval(units: Column, nonzero: Column, segments: int) -> Column:
+    """Units between restart markers, 0 for none: at least 4 units and 8,192 nonzero coefficients a segment."""
+    n = F.least(F.floor(units / 4), F.lit(segments), F.greatest(F.lit(1), F.floor(nonzero / 8192)))
+    return F.when((units <= 4) | (n <= 1), F.lit(0)).otherwise(F.ceil(units / n)).cast("int")

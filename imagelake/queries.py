@@ -302,6 +302,16 @@ def png_filter_select(spark, sf_dir):
     return predict.best_filter(byte_raster(spark, sf_dir), "vec_id")
 
 
+@query(f"""WITH {_NEAR}, e AS (SELECT vec_id, y, unnest([f0, f1, f2, f3, f4]) AS b, generate_subscripts([0, 1, 2, 3, 4], 1) AS k FROM fl), c AS (SELECT vec_id, y, k, b, count(*) AS n FROM e GROUP BY ALL),
+h AS (SELECT vec_id, y, k, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM c GROUP BY vec_id, y, k), m AS (SELECT vec_id, y, min(h) AS h FROM h GROUP BY vec_id, y)
+SELECT vec_id, round(avg(h), 6) + 0e0 AS entropy, round(avg(h), 6) >= 2.5e0 AS stored FROM m GROUP BY vec_id""")
+def png_least_entropy(spark, sf_dir):
+    """Whether an image is better stored than packed; rows of eight bytes have three bits at most."""
+    out = predict.least_entropy(byte_raster(spark, sf_dir), "vec_id")
+    entropy = F.round("entropy", 6) + 0.0
+    return out.select("vec_id", entropy.alias("entropy"), (entropy >= 2.5).alias("stored"))
+
+
 @query(f"WITH {RASTER} SELECT vec_id, y, x, v FROM br")
 def png_unfilter_sub_up(spark, sf_dir):
     near = predict.with_neighbours(byte_raster(spark, sf_dir), "vec_id")
@@ -572,6 +582,13 @@ def quality_steps(spark, sf_dir):
     return spark.range(1, 101).select(F.col("id").cast("int").alias("quality")).select("quality", video.quantiser(q).alias("quantiser"), video.jpeg_step(F.lit(16), q).alias("step"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_partkey % 500 AS units, p_size * 5000 AS nonzero FROM part), s AS (SELECT *, least(units // 4, 16, greatest(1, nonzero // 8192)) AS n FROM p)
+SELECT p_partkey, CAST(CASE WHEN units <= 4 OR n <= 1 THEN 0 ELSE (units + n - 1) // n END AS INT) AS every FROM s""")
+def restart_intervals(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", video.restart_interval(F.col("p_partkey") % 500, F.col("p_size").cast("long") * 5000, 16).alias("every"))
+
+
 @query(f"WITH {_NEAR} SELECT vec_id, y, x, ((v - CASE WHEN x = 0 AND y = 0 THEN 0 WHEN x = 0 THEN u WHEN y = 0 THEN l ELSE least(greatest(l + u - c, 0), 255) END) % 256 + 256) % 256 AS residual FROM ps")
 def alpha_gradient_filter(spark, sf_dir):
     near = predict.with_neighbours(byte_raster(spark, sf_dir), "vec_id")

@@ -171,6 +171,21 @@ def test_frames_pack_and_unpack(spark, encoding):
     assert all(abs(r[c] - v[r.y, r.x, "RGBA".index(c)] / 255) <= 1.01 / step for r in back.collect() for c in "RGB")
 
 
+def test_neighbours_across_bands(spark, monkeypatch):
+    """One shuffle, and the same neighbours however images are cut into bands."""
+    from imagelake.functions import predict
+
+    v = np.random.default_rng(4).integers(0, 256, (23, 5))
+    px = wide(spark, v[:, :, None], "v")
+    at = lambda y, x: int(v[y, x]) if y >= 0 and x >= 0 else None
+    want = {(y, x): (at(y, x - 1), at(y - 1, x), at(y - 1, x - 1)) for y in range(23) for x in range(5)}
+    for band in (1, 2, 7, 64):
+        monkeypatch.setattr(predict, "BAND", band)
+        near = predict.with_neighbours(px, "image")
+        assert near._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {(r.y, r.x): (r.left, r.up, r.corner) for r in near.collect()} == want
+
+
 def test_convert_files(spark):
     from imagelake.plans.convert import Request, convert_files
     from imagelake.sources import webp
