@@ -207,11 +207,36 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
+# Every pair that shares a shingle, and the smallest id that links reach.
+ORACLES["op8_minhash_near_dedup"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_AZ.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, hash(g) AS g, count(*) AS n FROM s GROUP BY doc_id, hash(g)),
+t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS n FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT i.a, i.b FROM i JOIN t x ON x.doc_id = i.a JOIN t y ON y.doc_id = i.b WHERE i.n >= 0.8e0 * (x.n + y.n - i.n) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b),
+m AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS lead FROM m
+"""
+
+
 @query
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
 
 
+# For pages whose article stands in one article element, as those of the test tables; other layouts have tests.
+ORACLES["op9_html_text"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h[1-6]|br|li|ul|ol|div|section|blockquote|pre)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(regexp_replace(t, '&quot;?', '"', 'g'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), texts=False)

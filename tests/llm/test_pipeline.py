@@ -108,3 +108,27 @@ def test_each_stage_keeps_whole_rows(steps):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
     got = Counter((r.doc_id, r.lang, r.source, tuple(r.ids), r.n_ids) for r in ids.itertuples())
     assert got == Counter((r.doc_id, r.lang, r.source, tuple(e := library.encode(r.text)), len(e)) for r in mixed.itertuples())
+
+
+def test_stages_take_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0, name
+        assert name == "sentencepiece" or out.columns == list(corpus_pipeline.COLUMNS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    """Each query that has SQL, on the smallest tables."""
+    from imagelake.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    made = QUERIES[name](spark, SF)
+    assert sorted(made.columns) == sorted(columns)
+    same = lambda v: "" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    assert Counter(tuple(map(same, r)) for r in made.select(*columns).collect()) == Counter(tuple(map(same, r)) for r in want.fetchall())
