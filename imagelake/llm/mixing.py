@@ -122,9 +122,10 @@ def narrowed(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     return plan.drop("cut", "before").join(found, "pattern")
 
 
-def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_repeats: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_repeats: int = 3, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs with doc_id and text -> one row per row: doc_id, sources, size, source_size,
-    target, copies, taken, and text_key, the hash of the text that tells rows with one doc_id apart.
+    target, copies, taken, text_key, the hash of the text that tells rows with one doc_id apart, and the columns in
+    `carry`, which go along with their row and are never shuffled.
 
     sources: an array column with each document's sources; default: array(source). source_size and target are
     those of the document's first source. copies: how often the mix takes the document, 0 to max_repeats.
@@ -144,6 +145,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("order"),
         F.xxhash64("text").alias("text_key"),
+        *carry,
     )
     sized = table(sized.withColumn("pattern", F.to_json("sources", {"ignoreNullFields": "false"})), "sized")
     patterns, key = {}, {}
@@ -167,16 +169,16 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
     )
     plan = table(plan, "plan")
     for level in range(1, LEVELS + 1):
-        plan = table(narrowed(sized, plan, level), "plan")
+        plan = table(narrowed(sized.select("pattern", "order", "size"), plan, level), "plan")
     rows = sized.join(plan, "pattern").withColumn("bucket", leading(LEVELS))
     # Only rows of the buckets where a part ends are sorted.
     within = Window.partitionBy("pattern").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter("bucket = cut").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")))
     other = rows.filter("bucket != cut").withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("bucket") < F.col("cut")))
-    columns = ["doc_id", "text_key", "sources", "size", "source_size", "target", "passes", "extra"]
+    columns = ["doc_id", "text_key", "sources", "size", "source_size", "target", "passes", "extra", *carry]
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("long")).otherwise(0)
     return (
         other.select(columns).unionByName(last.select(columns))
-        .select("doc_id", "text_key", "sources", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+        .select("doc_id", "text_key", "sources", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
     )
