@@ -7,7 +7,7 @@ part of the mix have no short SQL form; tests/llm holds the stages against brute
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagelake.llm.common import table
@@ -29,40 +29,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    dropped = exact_dedup(docs, keep="last").filter("not kept")
-    return _without(docs, dropped)
+    return _only(docs, exact_dedup(docs, keep="last").filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one document stays: the one with the smallest doc_id."""
-    dropped = near_duplicates(docs).filter("not lead")
-    return _without(docs, dropped)
+    return _only(docs, near_duplicates(docs).filter("lead"))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Adds _id, doc_id without nulls; with text_key it names a row's id and text."""
-    return df.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
-
-
-def _numbered(docs: DataFrame, figures: DataFrame) -> DataFrame:
-    """docs with the figures of their (_id, text_key), and _nth, a number among rows that share both."""
-    d = _keyed(docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text")))
-    rows = Window.partitionBy("_id", "text_key").orderBy("lang", "source", "n_chars")  # as the join has dealt and sorted them
-    return d.join(figures, ["_id", "text_key"], "left").withColumn("_nth", F.row_number().over(rows))
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the dropped rows. Of rows that repeat both id and text as many go as were dropped."""
-    gone = table(_keyed(dropped).groupBy("_id", "text_key").agg(F.count(F.lit(1)).alias("_gone")), "dropped")
-    return _numbered(docs, gone).filter("_gone is null or _nth > _gone").select(*COLUMNS)
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs whose doc_id and text are among the kept ones; of rows that repeat both, the one with the smallest other
+    columns. Rows are folded before they move, so a group of copies, with or without ids, doesn't meet in one task."""
+    d = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    rows = d.groupBy("doc_id", "text_key").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.first("text").alias("text")).alias("d")
+    k = table(kept.select("doc_id", "text_key").distinct(), "kept").alias("k")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
+    return rows.join(k, same, "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    taken = _keyed(mix(docs)).groupBy("_id", "text_key").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    rows = _numbered(docs, table(taken.filter("_sum > 0"), "copies")).filter("_sum is not null")
-    copies = F.floor(F.col("_sum") / F.col("_n")) + (F.col("_nth") <= F.col("_sum") % F.col("_n")).cast("long")
-    return rows.withColumn("_copies", copies).filter("_copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    taken = mix(docs, carry=("text", "lang", "source", "n_chars")).filter("copies > 0")
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
