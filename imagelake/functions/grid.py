@@ -81,3 +81,8 @@ def pack_bits(samples: Column, bits: int) -> Column:
     for q in parts[1:]:
         out = out + q
     return out
+
+
+def chunk_of(row: Column, first: int, lines: int) -> Column:
+    """Number of the chunk that holds a row, where a chunk holds so many rows of a window that begins anywhere."""
+    return F.floor((row - first) / lines).cast("int")

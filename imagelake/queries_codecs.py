@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imagelake.functions import grid
 from imagelake.query_base import RASTER, byte_raster, query, raster, read
 from imagelake.sources import bc6h, catalog, dds
 
@@ -333,3 +334,48 @@ def target_size_files(spark, sf_dir):
     # Sizes grow with quality but for a few bytes, so qualities well above the chosen one are larger than the target.
     above = every.join(made, "vec_id").filter("q > quality + 15").groupBy("vec_id").agg(F.bool_and(F.col("size") > 330).alias("above"))
     return made.join(above, "vec_id", "left").select("vec_id", fits.alias("fits"), F.coalesce("above", F.lit(True)).alias("best"))
+
+
+@query("""SELECT vec_id, 'png' AS namespace, 'gamma' AS key, '0.45455' AS value FROM embeddings UNION ALL SELECT vec_id, 'png', 'chromaticities', '0.3127 0.329 0.64 0.33 0.3 0.6 0.15 0.06' FROM embeddings
+UNION ALL SELECT vec_id, 'png.text', 'Title', 'vector ' || vec_id || ' é' FROM embeddings UNION ALL SELECT vec_id, 'png.text', 'Ort', 'Köln ' || vec_id FROM embeddings""")
+def png_metadata_chunks(spark, sf_dir):
+    """Gamma, chromaticities, Latin-1 and UTF-8 texts that were put into files."""
+    k = F.col("vec_id").cast("string")
+
+    def chunk(kind: str, payload: Column) -> Column:
+        body = F.concat(F.hex(F.lit(kind).cast("binary")), F.hex(payload))
+        return F.concat(F.lpad(F.hex(F.octet_length(payload)), 8, "0"), body, F.lpad(F.hex(F.crc32(F.unhex(body))), 8, "0"))
+
+    word = lambda *values: F.unhex(F.lit("".join(f"{v:08x}" for v in values)))
+    nul = F.unhex(F.lit("00"))
+    made = F.concat(
+        chunk("gAMA", word(45455)), chunk("cHRM", word(31270, 32900, 64000, 33000, 30000, 60000, 15000, 6000)),
+        chunk("tEXt", F.concat(F.lit("Title").cast("binary"), nul, F.encode(F.concat(F.lit("vector "), k, F.lit(" é")), "ISO-8859-1"))),
+        chunk("iTXt", F.concat(F.lit("Ort").cast("binary"), F.unhex(F.lit("0000000000")), F.encode(F.concat(F.lit("Köln "), k), "UTF-8"))),
+    )
+    whole = F.unhex(F.concat(F.substring(F.hex("content"), 1, 66), made, F.expr("substring(hex(content), 67)")))
+    return catalog.png_metadata(png_files(spark, sf_dir).select("vec_id", whole.alias("content")), carry=("vec_id",))
+
+
+@query("""SELECT c AS compression, CAST(y AS INT) AS y, CAST((y + 7) // n AS INT) AS chunk FROM (VALUES ('none', 1), ('rle', 1), ('zips', 1), ('zip', 16), ('piz', 32)) t(c, n), range(-7, 93) r(y)""")
+def exr_chunks(spark, sf_dir):
+    """Rows of a window that begins at -7, by the chunk that holds them, for each compression."""
+    from imagelake.sources.exr import COMPRESSIONS
+
+    rows = spark.range(-7, 93).select(F.col("id").cast("int").alias("y"))
+    known = [(name, lines) for name, lines in COMPRESSIONS.values() if name in ("none", "rle", "zips", "zip", "piz")]
+    each = F.array(*(F.struct(F.lit(name).alias("compression"), grid.chunk_of(F.col("y"), -7, lines).alias("chunk")) for name, lines in known))
+    return rows.select("y", F.inline(each)).select("compression", "y", "chunk")
+
+
+_FIELDS = "('r10g10b10a2', 'r', 0, 10), ('r10g10b10a2', 'g', 10, 10), ('r10g10b10a2', 'b', 20, 10), ('r10g10b10a2', 'a', 30, 2), ('b5g6r5', 'b', 0, 5), ('b5g6r5', 'g', 5, 6), ('b5g6r5', 'r', 11, 5), ('b5g5r5a1', 'b', 0, 5), ('b5g5r5a1', 'g', 5, 5), ('b5g5r5a1', 'r', 10, 5), ('b5g5r5a1', 'a', 15, 1), ('r11g11b10f', 'r', 0, 11), ('r11g11b10f', 'g', 11, 11), ('r11g11b10f', 'b', 22, 10), ('rgb9e5', 'r', 0, 9), ('rgb9e5', 'g', 9, 9), ('rgb9e5', 'b', 18, 9), ('rgb9e5', 'e', 27, 5)"
+
+
+@query(f"SELECT p_partkey, f AS format, c AS field, (p_partkey * 2654435761 % 4294967296) >> b & ((1 << n) - 1) AS value FROM part, (VALUES {_FIELDS}) t(f, c, b, n)")
+def packed_fields(spark, sf_dir):
+    """Every field of every packed format, taken from words of all bits."""
+    from imagelake.functions.packed import FIELDS, field
+
+    word = F.pmod(F.col("p_partkey") * 2654435761, F.lit(4294967296))
+    each = F.array(*(F.struct(F.lit(f).alias("format"), F.lit(c).alias("field"), field(word, at, n).alias("value")) for f, fields in FIELDS.items() for c, at, n in fields))
+    return read(spark, sf_dir, "part").select("p_partkey", F.inline(each))
