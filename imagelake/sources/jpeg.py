@@ -31,6 +31,12 @@ class Table:
             if code > 1 << length:
                 raise FormatError("jpeg", "BadHuffman", "over-subscribed")
             code <<= 1
+        # By the next 9 bits: (symbol, length) of the code that they begin with, if it is no longer.
+        self.short: list[tuple[int, int] | None] = [None] * 512
+        for (length, code), s in self.lookup.items():
+            if length <= 9:
+                span = 1 << (9 - length)
+                self.short[code * span : (code + 1) * span] = [(s, length)] * span
 
 
 def optimal(counts: dict[int, int]) -> Table:
@@ -81,8 +87,14 @@ class Bits:
         return self.word >> self.n & ((1 << n) - 1)
 
     def symbol(self, table: Table) -> int:
-        code, lookup = 0, table.lookup
-        for length in range(1, 17):
+        if self.n < 9:
+            self.need(9)
+        found = table.short[self.word >> (self.n - 9) & 511]
+        if found is not None:
+            self.n -= found[1]
+            return found[0]
+        code, lookup = self.take(9), table.lookup
+        for length in range(10, 17):
             code = code << 1 | self.take(1)
             s = lookup.get((length, code))
             if s is not None:

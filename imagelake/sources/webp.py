@@ -50,6 +50,14 @@ class _Bits:
         self.n -= n
         return out
 
+    def peek(self, n: int) -> int:
+        """The next bits, zeros beyond the end."""
+        if self.n < n:
+            part = self.data[self.at : self.at + 8]
+            self.word |= int.from_bytes(part, "little") << self.n
+            self.at, self.n = self.at + len(part), self.n + 8 * len(part)
+        return self.word & ((1 << n) - 1)
+
 
 class _Code:
     def __init__(self, lengths: list[int]):
@@ -63,10 +71,20 @@ class _Code:
             code, last, space = code + 1, n, space + (1 << (15 - n))
         if not used or (self.single is None and space != 1 << 15):
             raise FormatError("webp", "BadHuffman", "incomplete code")
+        # By the next 8 bits: (symbol, length) of the code that they begin with, if it is no longer.
+        self.short: list[tuple[int, int] | None] = [None] * 256
+        for (n, code), s in self.lookup.items():
+            if n <= 8:
+                for k in range(int(f"{code:0{n}b}"[::-1], 2), 256, 1 << n):
+                    self.short[k] = (s, n)
 
     def read(self, bits: _Bits) -> int:
         if self.single is not None:
             return self.single
+        found = self.short[bits.peek(8)]
+        if found is not None:
+            bits.take(found[1])
+            return found[0]
         code = 0
         for n in range(1, 16):
             code = code << 1 | bits.take(1)
@@ -181,17 +199,58 @@ def _predicted(mode: int, left, top, right, corner):
     )[mode] if mode <= 10 else np.array([255, 0, 0, 0])
 
 
+def _along(mode: int, row: list[int], above: list[int], first: int, last: int) -> None:
+    """Undoes a prediction that looks to the left, for one channel of a row's part."""
+    for x in range(first, last):
+        left, top, corner = row[x - 1], above[x], above[x - 1]
+        if mode == 1:
+            p = left
+        elif mode == 5:
+            p = (((left + above[x + 1]) >> 1) + top) >> 1
+        elif mode == 6:
+            p = (left + corner) >> 1
+        elif mode == 7:
+            p = (left + top) >> 1
+        elif mode == 10:
+            p = (((left + corner) >> 1) + ((top + above[x + 1]) >> 1)) >> 1
+        elif mode == 12:
+            p = min(255, max(0, left + top - corner))
+        else:
+            m = (left + top) >> 1
+            d = m - corner
+            p = min(255, max(0, m + (d // 2 if d >= 0 else -(-d // 2))))
+        row[x] = (row[x] + p) & 255
+
+
 def _unpredict(px: np.ndarray, modes: np.ndarray, bits: int) -> None:
+    """Rows in order. What a mode takes from the row above is added at once; what it takes from the left, step by step."""
     h, w, _ = px.shape
     px[0, 0] = (px[0, 0] + [255, 0, 0, 0]) & 255
-    for x in range(1, w):
-        px[0, x] = (px[0, x] + px[0, x - 1]) & 255
+    px[0] = np.cumsum(px[0], axis=0) & 255
     for y in range(1, h):
         px[y, 0] = (px[y, 0] + px[y - 1, 0]) & 255
-        for x in range(1, w):
-            right = px[y - 1, x + 1] if x + 1 < w else px[y, 0]
-            p = _predicted(int(modes[y >> bits, x >> bits]), px[y, x - 1], px[y - 1, x], right, px[y - 1, x - 1])
-            px[y, x] = (px[y, x] + p) & 255
+        above = np.concatenate((px[y - 1], px[y, :1]))  # to the right of the last pixel stands the row's first one
+        for at in range(0, w, 1 << bits):
+            mode, first, last = int(modes[y >> bits, at >> bits]), max(1, at), min(w, at + (1 << bits))
+            if first >= last:
+                continue
+            top, corner, right = above[first:last], above[first - 1 : last - 1], above[first + 1 : last + 1]
+            if mode in (0, 2, 3, 4, 8, 9) or mode > 13:
+                p = {2: top, 3: right, 4: corner, 8: (corner + top) >> 1, 9: (top + right) >> 1}.get(mode, np.array([255, 0, 0, 0]))
+                px[y, first:last] = (px[y, first:last] + p) & 255
+            elif mode == 11:
+                row, over = px[y, first - 1 : last].tolist(), above[first - 1 : last].tolist()
+                for k in range(1, len(row)):
+                    left, here, back = row[k - 1], over[k], over[k - 1]
+                    to_left = sum(abs(a - b) for a, b in zip(here, back))
+                    to_top = sum(abs(a - b) for a, b in zip(left, back))
+                    row[k] = [(v + p) & 255 for v, p in zip(row[k], left if to_left < to_top else here)]
+                px[y, first:last] = row[1:]
+            else:
+                for c in range(4):
+                    row, over = px[y, first - 1 : last, c].tolist(), above[first - 1 : last + 1, c].tolist()
+                    _along(mode, row, over, 1, len(row))
+                    px[y, first:last, c] = row[1:]
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
