@@ -1,7 +1,8 @@
 """python -m imagelake INPUT... FOLDER --to FORMAT [options]: converts image files, or folders of them, by a Spark job.
 
 --crop x,y,w,h  --resize WxH  --target-size 10K  --policy strict|preserve|preview|explicit  --encoding NAME
---option name=value (as often as needed)  --formats: lists formats and their options"""
+--option name=value (as often as needed)  --formats: lists formats and their options
+--webp-tables PATH: the text of RFC 6386, whose tables lossy WebP needs"""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import sys
 
 from imagelake.plans.convert import Request, convert_files, write_files
 from imagelake.plans.planner import POLICIES
+from imagelake.sources.base import FormatError
 from imagelake.sources.catalog import REGISTRY
 from imagelake.sources.options import OPTIONS, OptionError
 
@@ -46,9 +48,15 @@ def request_of(args: argparse.Namespace) -> Request:
         if not is_:
             raise OptionError(f"{text!r} is not of the form name=value")
         pairs.append((name, value))
+    tables = None
+    if args.webp_tables:
+        from imagelake.sources.files import read_bytes
+        from imagelake.sources.vp8 import tables_of
+
+        tables = tables_of(read_bytes(args.webp_tables).decode("utf-8", "replace"))
     made = Request(
         args.to, numbers(args.crop, "x,y,w,h", ",") if args.crop else None, numbers(args.resize, "wxh", "x") if args.resize else None, args.policy, args.encoding, tuple(pairs),
-        size(args.target_size) if args.target_size else None,
+        size(args.target_size) if args.target_size else None, tables,
     )
     made.check()
     return made
@@ -57,7 +65,7 @@ def request_of(args: argparse.Namespace) -> Request:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="imagelake", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("places", nargs="*")
-    for name in ("to", "crop", "resize", "target-size", "encoding"):
+    for name in ("to", "crop", "resize", "target-size", "encoding", "webp-tables"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--policy", choices=POLICIES, default="preview")
     parser.add_argument("--option", action="append")
@@ -71,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     try:
         request = request_of(args)
-    except OptionError as e:
+    except (OptionError, FormatError) as e:
         print(e, file=sys.stderr)
         return 2
     from pyspark.sql import SparkSession

@@ -18,6 +18,7 @@ from imagelake.plans.planner import Capabilities, Description, Plan, PlanError,
 from imagelake.sources.base import FormatError, Image, Limits
 from imagelake.sources.catalog import REGISTRY
 from imagelake.sources.options import OPTIONS, OptionError, parse
+from imagelake.sources.vp8 import Tables
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class Request:
     encoding: str | None = None
     options: tuple[tuple[str, str], ...] = ()
     target_bytes: int | None = None
+    tables: Tables | None = None  # of lossy WebP
 
     def check(self) -> None:
         """Raises where no file could be converted as asked."""
@@ -117,12 +119,16 @@ def carried_out(image: Image, p: Plan) -> Image:
 
 
 def converted(data: bytes, request: Request, extension: str | None = None, limits: Limits = Limits()) -> Converted:
-    source = REGISTRY.resolve(data[:16], extension).decode(data, limits)
-    codec = REGISTRY.codecs[request.to]
+    reader, codec = REGISTRY.resolve(data[:16], extension), REGISTRY.codecs[request.to]
+    source = reader.decode(data, limits, **({"tables": request.tables} if reader.format == "webp" else {}))
     p = plan(describe(source), Capabilities.of(codec), request.policy, request.encoding, request.resize, request.crop)
     image, options = carried_out(source, p), parse(request.to, request.options)
     if request.encoding:
         options["encoding"] = request.encoding
+    if request.to == "webp":
+        options["tables"] = request.tables
+        if request.target_bytes is not None:
+            options["lossless"] = False
     if request.target_bytes is None:
         return Converted(codec.encode(image, **options), p)
     scale = next(o for o in OPTIONS[request.to] if o.name == "quality")

@@ -67,11 +67,11 @@ IMAGE_SCHEMA = (
 )
 
 
-def image_row(content: bytes | None, extension: str | None, limits: Limits) -> tuple:
-    """A row of IMAGE_SCHEMA; broken images give an error struct in place of samples."""
+def image_row(content: bytes | None, extension: str | None, limits: Limits, options: dict | None = None) -> tuple:
+    """A row of IMAGE_SCHEMA; broken images give an error struct in place of samples. options: of decoders, by format."""
     try:
         codec = REGISTRY.resolve((content or b"")[:16], extension)
-        im = codec.decode(content, limits)
+        im = codec.decode(content, limits, **(options or {}).get(codec.format, {}))
         h, w, _ = im.samples.shape
         return im.format, w, h, im.channels, im.sample, im.encoding, im.orientation, im.samples.astype(np.float64).ravel().tolist(), None
     except FormatError as e:
@@ -84,8 +84,9 @@ def image_row(content: bytes | None, extension: str | None, limits: Limits) -> t
         return None, None, None, None, None, None, None, None, ("any", "MalformedData", str(e)[:200], None)
 
 
-def decode_images(files: DataFrame, content: str = "content", extension: str | None = None, limits: Limits = Limits(), carry: tuple[str, ...] = ("path",)) -> DataFrame:
-    """files (carry..., content) -> carry... and IMAGE_SCHEMA. A task holds one batch of files and one image."""
+def decode_images(files: DataFrame, content: str = "content", extension: str | None = None, limits: Limits = Limits(), carry: tuple[str, ...] = ("path",), options: dict | None = None) -> DataFrame:
+    """files (carry..., content) -> carry... and IMAGE_SCHEMA. A task holds one batch of files and one image. options: of
+    decoders, by format, as {"webp": {"tables": ...}}."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -95,7 +96,7 @@ def decode_images(files: DataFrame, content: str = "content", extension: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, data in enumerate(b.column("_content").to_pylist()):
-                row = image_row(data, extension, limits)
+                row = image_row(data, extension, limits, options)
                 made = [pa.array([v], f.type) if not isinstance(v, tuple) else pa.array([dict(zip(("format", "code", "message", "offset"), v, strict=True))], f.type) for v, f in zip(row, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in carry), *made], [*carry, *(f.name for f in arrow)])
 

@@ -47,7 +47,11 @@ OPTIONS: dict[str, tuple[Option, ...]] = {
         Option("progressive", "boolean", "false", argument="progressive"),
         Option("restart-interval", "integer", "0", 0, 65535, needs=("progressive", "false"), argument="restart"),
     ),
-    "webp": (Option("effort", "choice", "balanced", choices=tuple((k, k) for k in ("fast", "balanced", "best")), argument="effort"),),
+    "webp": (
+        Option("lossless", "boolean", "true", argument="lossless"),
+        Option("quality", "integer", "75", 0, 100, needs=("lossless", "false"), argument="quality"),
+        Option("effort", "choice", "balanced", choices=tuple((k, k) for k in ("fast", "balanced", "best")), argument="effort"),
+    ),
     "exr": (Option("compression", "choice", "zip", choices=tuple((k, k) for k in ("none", "rle", "zips", "zip", "piz")), argument="compression"),),
     "ktx2": (Option("compression", "choice", "none", choices=(("none", False), ("zlib", True)), argument="compress"),),
     "dds": (),

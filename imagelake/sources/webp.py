@@ -1,4 +1,5 @@
-"""WebP: the container and lossless images. Lossy frames and animations are recognised but not decoded."""
+"""WebP: the container, lossless images, and lossy ones where the tables of their format are given (see vp8.py).
+Animations are recognised but not decoded."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import struct
 
 import numpy as np
 
+from imagelake.sources import vp8
 from imagelake.sources.base import Budget, FormatError, Image, Limits
 
 # The order in which the lengths of the code-length code are stored.
@@ -342,17 +344,23 @@ def alpha_plane(chunk: bytes, width: int, height: int, limits: Limits = Limits()
     return out
 
 
-def decode(data: bytes, limits: Limits = Limits()) -> Image:
+def decode(data: bytes, limits: Limits = Limits(), tables: vp8.Tables | None = None) -> Image:
     parts = chunks(data)
     kinds = [k for k, _ in parts]
     metadata = [("webp", k, v) for k, v in parts if k in ("ICCP", "EXIF", "XMP ")]
     if "ANIM" in kinds or "ANMF" in kinds:
         raise FormatError("webp", "Unsupported.Webp.Animation")
-    if "VP8 " in kinds:
-        raise FormatError("webp", "Unsupported.Webp.Lossy", "lossy frames are not decoded")
-    if kinds.count("VP8L") != 1:
+    if kinds.count("VP8L") + kinds.count("VP8 ") != 1:
         raise FormatError("webp", "MissingImage", ",".join(kinds))
-    px = decode_lossless(dict(parts)["VP8L"], limits)
+    if "VP8 " in kinds:
+        if tables is None:
+            raise FormatError("webp", "Unsupported.Webp.Lossy", "lossy frames need the tables of RFC 6386")
+        rgb = vp8.decode(dict(parts)["VP8 "], limits, tables)
+        h, w, _ = rgb.shape
+        alpha = alpha_plane(dict(parts)["ALPH"], w, h, limits) if "ALPH" in kinds else np.full((h, w), 255, np.uint8)
+        px = np.concatenate((alpha[:, :, None], rgb), 2)
+    else:
+        px = decode_lossless(dict(parts)["VP8L"], limits)
     if "VP8X" in kinds:
         head = dict(parts)["VP8X"]
         size = int.from_bytes(head[4:7], "little") + 1, int.from_bytes(head[7:10], "little") + 1
@@ -589,8 +597,18 @@ def _planned(px: np.ndarray, alpha: bool, green: bool, prediction: str | None, p
     return out.done()
 
 
-def encode(image: Image, effort: str = "balanced") -> bytes:
-    """Lossless: the smallest result of the effort's plans. More effort never gives a larger file than less."""
+#: Prediction modes that a lossy encoder tries.
+LOSSY_MODES = {"fast": 1, "balanced": 2, "best": 4}
+
+
+def _container(parts: list[tuple[bytes, bytes]]) -> bytes:
+    body = b"".join(kind + struct.pack("<I", len(data)) + data + bytes(len(data) % 2) for kind, data in parts)
+    return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+
+
+def encode(image: Image, effort: str = "balanced", lossless: bool = True, quality: int = 75, tables: vp8.Tables | None = None) -> bytes:
+    """Lossless: the smallest result of the effort's plans; more effort never gives a larger file than less. Lossy: colour by
+    quality, alpha whole."""
     if image.sample != "unorm8" or image.samples.shape[2] not in (3, 4):
         raise FormatError("webp", "Unsupported.Webp.Samples", f"{image.sample} {image.samples.shape[2]}")
     if effort not in PLANS:
@@ -598,6 +616,14 @@ def encode(image: Image, effort: str = "balanced") -> bytes:
     h, w, n = image.samples.shape
     if max(h, w) > 16384:
         raise FormatError("webp", "LimitExceeded", f"{w} x {h}")
+    if not lossless:
+        if tables is None:
+            raise FormatError("webp", "Unsupported.Webp.Lossy", "lossy frames need the tables of RFC 6386")
+        frame = b"VP8 ", vp8.encode(image.samples[:, :, :3], quality, tables, LOSSY_MODES[effort])
+        if n == 3 or (image.samples[:, :, 3] == 255).all():
+            return _container([frame])
+        canvas = bytes([16, 0, 0, 0]) + (w - 1).to_bytes(3, "little") + (h - 1).to_bytes(3, "little")
+        return _container([(b"VP8X", canvas), (b"ALPH", b"\0" + image.samples[:, :, 3].astype(np.uint8).tobytes()), frame])
     px = np.full((h, w, 4), 255, np.int64)
     px[:, :, 1:] = image.samples[:, :, :3]
     if n == 4:
@@ -605,5 +631,4 @@ def encode(image: Image, effort: str = "balanced") -> bytes:
     alpha = bool((px[:, :, 0] != 255).any())
     tried = [p for e in list(PLANS)[: list(PLANS).index(effort) + 1] for p in PLANS[e]]
     body = min((b for p in tried if (b := _planned(px, alpha, *p)) is not None), key=len)
-    body = b"VP8L" + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
-    return b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    return _container([(b"VP8L", body)])

@@ -519,3 +519,264 @@ def test_exr_level_counts():
     for bad in (lambda: exr.encode(im, "zip", (4, 4), 1), lambda: exr.encode(with_levels(8, 8, 1), "zip", None, 1)):
         with pytest.raises(FormatError):
             bad()
+
+
+# ---------------------------------------------------------------- lossy frames
+
+
+def rfc_like(t):
+    """The tables as they stand in the text, with comments and page feet."""
+    def braces(v):
+        return "{" + ", ".join(braces(x) if isinstance(x, tuple) else str(x) for x in v) + "}"
+
+    foot = "\nBankoski, et al.              Informational                    [Page 73]\n\x0c\nRFC 6386                   VP8 Data Format and Decoding Guide      November 2011\n"
+    return (
+        "   text\n const Prob default_coeff_probs [BLOCK_TYPES] [8] [3][11] =\n /* block 1 */ " + braces(t.coefficients).replace("}, {", "},\n /* 3 */ {") + ";\n more\n"
+        "const Prob coeff_update_probs [4] [8] [3] [11] = " + braces(t.updates).replace("}}, {{", "}}, // 12\n" + foot + "{{", 1) + ";\n const Prob kf_bmode_probs [num_intra_bmodes] [num_intra_bmodes]\n [num_intra_bmodes-1] = " + braces(t.modes) + ";"
+    )
+
+
+def random_tables(seed):
+    from imagelake.sources import vp8
+
+    r = np.random.default_rng(seed)
+    made = lambda *shape: vp8.tuple_of(r.integers(1, 256, shape))
+    return vp8.Tables(made(4, 8, 3, 11), made(4, 8, 3, 11), made(10, 10, 9))
+
+
+def test_vp8_tables_from_text():
+    from imagelake.sources import vp8
+
+    t = random_tables(1)
+    assert vp8.tables_of(rfc_like(t)) == t
+    for bad in ("", rfc_like(t).replace("kf_bmode_probs", "x"), rfc_like(t).replace("[num_intra_bmodes-1] = {{{", "[num_intra_bmodes-1] = {{{7, ")):
+        with pytest.raises(FormatError):
+            vp8.tables_of(bad)
+
+
+def test_vp8_arithmetic_coder():
+    from imagelake.sources import vp8
+
+    r = np.random.default_rng(2)
+    for n in (1, 50, 5000):
+        probabilities = r.integers(1, 256, n).tolist()
+        bits = [int(r.random() >= p / 256) if r.random() < 0.9 else int(r.integers(0, 2)) for p in probabilities]
+        w = vp8.Writer()
+        for b, p in zip(bits, probabilities):
+            w.bit(b, p)
+        reader = vp8.Reader(w.done())
+        assert [reader.bit(p) for p in probabilities] == bits
+    w = vp8.Writer()
+    for mode in range(10):
+        w.tree(vp8.B_TREE, [77] * 9, mode)
+    reader = vp8.Reader(w.done())
+    assert [reader.tree(vp8.B_TREE, [77] * 9) for _ in range(10)] == list(range(10))
+
+
+def test_vp8_transforms():
+    from imagelake.sources import vp8
+
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        x = r.integers(-255, 256, (4, 4))
+        assert np.abs(vp8.inverse(vp8.forward(x)) - x).max() <= 1 and np.abs(vp8.inverse_wht(vp8.forward_wht(x * 8)) - x * 8).max() <= 1
+        i = r.integers(-2000, 2001, (4, 4)).tolist()
+        t = [[0] * 4 for _ in range(4)]
+        for c in range(4):  # columns, then rows, one number at a time
+            a, b = i[0][c] + i[2][c], i[0][c] - i[2][c]
+            low = (i[1][c] * 35468 >> 16) - (i[3][c] + (i[3][c] * 20091 >> 16))
+            high = (i[1][c] + (i[1][c] * 20091 >> 16)) + (i[3][c] * 35468 >> 16)
+            t[0][c], t[3][c], t[1][c], t[2][c] = a + high, a - high, b + low, b - low
+        out = [[0] * 4 for _ in range(4)]
+        for k in range(4):
+            a, b = t[k][0] + t[k][2], t[k][0] - t[k][2]
+            low = (t[k][1] * 35468 >> 16) - (t[k][3] + (t[k][3] * 20091 >> 16))
+            high = (t[k][1] + (t[k][1] * 20091 >> 16)) + (t[k][3] * 35468 >> 16)
+            out[k] = [(a + high + 4) >> 3, (b + low + 4) >> 3, (b - low + 4) >> 3, (a - high + 4) >> 3]
+        assert vp8.inverse(np.array(i)).tolist() == out
+
+
+def test_vp8_small_prediction():
+    """The directional modes as the format lists them, texel by texel."""
+    from imagelake.sources import vp8
+
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        a, left, p = r.integers(0, 256, 8).tolist(), r.integers(0, 256, 4).tolist(), int(r.integers(0, 256))
+        e = [left[3], left[2], left[1], left[0], p, *a]
+        two, three = (lambda x, y: (x + y + 1) >> 1), (lambda x, y, z: (x + 2 * y + z + 2) >> 2)
+        e2, e3 = (lambda i: two(e[i], e[i + 1])), (lambda i: three(e[i - 1], e[i], e[i + 1]))
+        a2, a3 = (lambda i: two(a[i], a[i + 1])), (lambda i: three(a[i - 1], a[i], a[i + 1]))
+        want = {
+            vp8.B_VR: [[e2(4), e2(5), e2(6), e2(7)], [e3(4), e3(5), e3(6), e3(7)], [e3(3), e2(4), e2(5), e2(6)], [e3(2), e3(4), e3(5), e3(6)]],
+            vp8.B_VL: [[a2(0), a2(1), a2(2), a2(3)], [a3(1), a3(2), a3(3), a3(4)], [a2(1), a2(2), a2(3), a3(5)], [a3(2), a3(3), a3(4), a3(6)]],
+            vp8.B_HD: [[e2(3), e3(4), e3(5), e3(6)], [e2(2), e3(3), e2(3), e3(4)], [e2(1), e3(2), e2(2), e3(3)], [e2(0), e3(1), e2(1), e3(2)]],
+            vp8.B_HU: [[two(left[0], left[1]), three(*left[:3]), two(left[1], left[2]), three(*left[1:])], [two(left[1], left[2]), three(*left[1:]), two(left[2], left[3]), three(left[2], left[3], left[3])],
+                       [two(left[2], left[3]), three(left[2], left[3], left[3]), left[3], left[3]], [left[3]] * 4],
+            vp8.B_LD: [[three(a[r + c], a[r + c + 1], a[min(7, r + c + 2)]) for c in range(4)] for r in range(4)],
+            vp8.B_RD: [[e3(4 - r + c) for c in range(4)] for r in range(4)],
+            vp8.B_VE: [[three(p, a[0], a[1]), a3(1), a3(2), a3(3)]] * 4,
+            vp8.B_HE: [[v] * 4 for v in (three(p, left[0], left[1]), three(*left[:3]), three(*left[1:]), three(left[2], left[3], left[3]))],
+            vp8.B_DC: [[(sum(a[:4]) + sum(left) + 4) >> 3] * 4] * 4,
+            vp8.B_TM: [[min(255, max(0, left[r] + a[c] - p)) for c in range(4)] for r in range(4)],
+        }
+        for mode, block in want.items():
+            assert vp8.small(mode, a, left, p).tolist() == block, mode
+
+
+def test_vp8_loop_filter():
+    """Lines across an edge, one by one."""
+    from imagelake.sources import vp8
+
+    c = lambda v: max(-128, min(127, v))
+
+    def line(v, simple, big, edge, inner, steep):
+        p3, p2, p1, p0, q0, q1, q2, q3 = v
+        if abs(p0 - q0) * 2 + abs(p1 - q1) // 2 > edge:
+            return v
+        if not simple and max(abs(p3 - p2), abs(p2 - p1), abs(p1 - p0), abs(q1 - q0), abs(q2 - q1), abs(q3 - q2)) > inner:
+            return v
+        high = abs(p1 - p0) > steep or abs(q1 - q0) > steep
+        p2, p1, p0, q0, q1, q2 = (x - 128 for x in (p2, p1, p0, q0, q1, q2))
+
+        def common(outer):
+            a = c((c(p1 - q1) if outer else 0) + 3 * (q0 - p0))
+            return c(p0 + (c(a + 3) >> 3)), c(q0 - (c(a + 4) >> 3)), c(a + 4) >> 3
+
+        if simple or (big and high):
+            p0, q0, _ = common(True)
+        elif big:
+            w = c(c(p1 - q1) + 3 * (q0 - p0))
+            a, b, d = (c((n * w + 63) >> 7) for n in (27, 18, 9))
+            p0, q0, p1, q1, p2, q2 = c(p0 + a), c(q0 - a), c(p1 + b), c(q1 - b), c(p2 + d), c(q2 - d)
+        else:
+            p0, q0, a = common(high)
+            if not high:
+                a = (a + 1) >> 1
+                p1, q1 = c(p1 + a), c(q1 - a)
+        return [v[0], p2 + 128, p1 + 128, p0 + 128, q0 + 128, q1 + 128, q2 + 128, v[7]]
+
+    r = np.random.default_rng(5)
+    for simple in (True, False):
+        for big in (True, False):
+            lines = np.clip(r.integers(0, 256, (400, 1)) + r.integers(-12, 13, (400, 8)), 0, 255)
+            edge, inner, steep = 30, 9, 3
+            want = [line(v, simple, big, edge, inner, steep) for v in lines.tolist()]
+            vp8.smooth(lines, simple, big, edge, inner, steep)
+            assert lines.tolist() == want
+
+
+@pytest.mark.parametrize("seed", [None, 7])
+def test_vp8_round_trip(seed):
+    from imagelake.sources import vp8
+
+    tables = vp8.even_tables() if seed is None else random_tables(seed)
+    y, x = np.mgrid[0:45, 0:70]
+    smooth_ = np.stack((x * 3 % 256, y * 5 % 256, (x + y) * 2 % 256), 2).astype(np.uint8)
+    noise = np.random.default_rng(3).integers(0, 256, (33, 17, 1)).repeat(3, 2).astype(np.uint8)
+    for v in (smooth_, noise, np.zeros((1, 1, 3), np.uint8), np.full((16, 16, 3), 255, np.uint8)):
+        error = []
+        for quality in (0, 50, 100):
+            out = vp8.decode(vp8.encode(v, quality, tables), Limits(), tables)
+            assert out.shape == v.shape
+            error.append(float(((out.astype(int) - v) ** 2).mean()))
+        assert error[2] <= error[0] and error[2] < 8
+    for modes in (1, 2, 4):
+        assert ((vp8.decode(vp8.encode(smooth_, 90, tables, modes), Limits(), tables).astype(int) - smooth_) ** 2).mean() < 40
+
+
+def test_vp8_frames_with_small_blocks_segments_and_filters():
+    """A frame of 4 x 4 modes without coefficients, in two segments and two partitions: its pixels follow from prediction
+    alone, and its modes from their neighbours' contexts."""
+    from imagelake.sources import vp8
+
+    tables, r = random_tables(8), np.random.default_rng(9)
+    rows, columns = 3, 2
+    modes = r.integers(0, 10, (rows * 4, columns * 4))
+    w = vp8.Writer()
+    w.number(0, 2)
+    for value, bits in ((1, 1), (1, 1), (1, 1), (1, 1)):  # segments, a map, values, absolute ones
+        w.number(value, bits)
+    for value in (20, 60, 0, 0):
+        w.bit(int(value > 0))
+        if value:
+            w.number(value, 7)
+            w.bit(0)
+    for value in (0, 63, 0, 0):
+        w.bit(int(value > 0))
+        if value:
+            w.number(value, 6)
+            w.bit(0)
+    for _ in range(3):
+        w.bit(1)
+        w.number(128, 8)
+    w.number(0, 1)
+    w.number(1, 6)  # a level, which segments replace
+    w.number(0, 3)
+    w.bit(0)
+    w.number(1, 2)
+    w.number(50, 7)
+    w.number(0, 5)
+    w.bit(0)
+    for kind in tables.updates:
+        for band in kind:
+            for context in band:
+                for p in context:
+                    w.bit(0, p)
+    w.bit(1)
+    w.number(200, 8)
+    for my in range(rows):
+        for mx in range(columns):
+            w.tree(vp8.SEGMENT_TREE, [128] * 3, (my + mx) % 2)
+            w.bit(1, 200)
+            w.tree(vp8.Y_TREE, vp8.Y_PROBS, vp8.B)
+            for k in range(16):
+                y, x = my * 4 + k // 4, mx * 4 + k % 4
+                above, left = int(modes[y - 1, x]) if y else vp8.B_DC, int(modes[y, x - 1]) if x else vp8.B_DC
+                w.tree(vp8.B_TREE, tables.modes[above][left], int(modes[y, x]))
+            w.tree(vp8.UV_TREE, vp8.UV_PROBS, vp8.TM)
+    first = w.done()
+    data = (len(first) << 5 | 16).to_bytes(3, "little") + b"\x9d\x01\x2a" + (32).to_bytes(2, "little") + (48).to_bytes(2, "little") + first + (4).to_bytes(3, "little") + bytes(8)
+    plain = {}
+    for level in (False, True):
+        frame = bytearray(data)
+        h, _, _ = vp8.read_header(bytes(frame), Limits(), tables)
+        assert (h.width, h.height, h.partitions, h.quantisers, h.levels, h.level, h.skipping) == (32, 48, 2, [20, 60, 0, 0], [0, 63, 0, 0], 1, 200)
+        soften = vp8.soften
+        if not level:
+            vp8.soften = lambda *a: None
+        try:
+            plain[level] = vp8.decode_frame(bytes(frame), Limits(), tables)[0]
+        finally:
+            vp8.soften = soften
+    at = lambda y, x: 127 if y < 0 else 129 if x < 0 else int(got[y, x])
+    got = np.zeros((48, 32), int)
+    for my in range(rows):
+        for mx in range(columns):
+            for k in range(16):
+                y, x = my * 16 + k // 4 * 4, mx * 16 + k % 4 * 4
+                over = my * 16 - 1 if k % 4 == 3 else y - 1
+                right = [at(over, c) if c < 32 else at(over, 31) for c in range(x + 4, x + 8)]
+                above = [at(y - 1, c) for c in range(x, x + 4)] + right
+                got[y : y + 4, x : x + 4] = vp8.small(int(modes[y // 4, x // 4]), above, [at(c, x - 1) for c in range(y, y + 4)], at(y - 1, x - 1))
+    assert (plain[False] == got).all() and (plain[True] != got).any()
+
+
+def test_webp_lossy_files():
+    from imagelake.sources import vp8, webp
+
+    tables = vp8.even_tables()
+    v = np.random.default_rng(6).integers(0, 256, (20, 30, 4)).astype(np.uint8)
+    v[:, :, :3] = 90
+    data = webp.encode(Image("webp", list("RGBA"), "unorm8", v), lossless=False, quality=90, tables=tables)
+    assert [k for k, _ in webp.chunks(data)] == ["VP8X", "ALPH", "VP8 "]
+    out = webp.decode(data, Limits(), tables).samples
+    assert (out[:, :, 3] == v[:, :, 3]).all() and np.abs(out[:, :, :3].astype(int) - 90).max() <= 3
+    assert [k for k, _ in webp.chunks(webp.encode(Image("webp", list("RGB"), "unorm8", v[:, :, :3]), lossless=False, tables=tables))] == ["VP8 "]
+    for bad in (lambda: webp.decode(data), lambda: webp.encode(Image("webp", list("RGBA"), "unorm8", v), lossless=False), lambda: webp.decode(data[:60], Limits(), tables)):
+        with pytest.raises(FormatError):
+            bad()
+    frame = dict(webp.chunks(data))["VP8 "]
+    for cut in (5, 9, 12):
+        with pytest.raises(FormatError):
+            vp8.decode(frame[:cut], Limits(), tables)
