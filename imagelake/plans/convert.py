@@ -115,7 +115,9 @@ def carried_out(image: Image, p: Plan) -> Image:
             raise PlanError(f"{s} isn't carried out on whole files")
     if not p.steps:
         return replace(image, others={}, metadata=[])
-    return Image(image.format, names, p.target.sample, stored(v, p.target.sample), orientation=p.target.orientation)
+    # Writers pack elements from values of 0..1, and blocks from bytes.
+    sample = "float32" if p.target.encoding and not p.target.encoding.startswith("bc") else p.target.sample
+    return Image(image.format, names, sample, stored(v, sample), orientation=p.target.orientation)
 
 
 def converted(data: bytes, request: Request, extension: str | None = None, limits: Limits = Limits()) -> Converted:

@@ -12,17 +12,33 @@ from dataclasses import dataclass, field, replace
 POLICIES = ("strict", "preserve", "preview", "explicit")
 
 
+#: Kinds of loss. What keeps the meaning of an image is no semantic loss: replication, turning, a crop that was asked for.
+CATEGORIES = ("numeric", "channel", "colorimetric", "dynamic_range", "spatial", "orientation", "sampling", "topology", "metadata", "compression", "transcode")
+
+
 class PlanError(ValueError):
-    """No plan exists, or the policy forbids it."""
+    """No plan exists, or the policy forbids it; category: of the reason."""
+
+    def __init__(self, message: str, category: str = "transcode"):
+        super().__init__(message)
+        self.category = category
 
 
 @dataclass(frozen=True)
 class Loss:
-    category: str  # numeric, dynamic_range, channels, sampling, metadata, parts, alpha, encoding, spatial, transcode
+    category: str  # one of CATEGORIES
     message: str
     semantic: bool = True
 
 
+def gate(policy: str, losses: list[Loss]) -> list[Loss]:
+    """The losses, if the policy lets them pass: strict none, preserve none that is semantic, the others all."""
+    bad = losses if policy == "strict" else [x for x in losses if x.semantic] if policy == "preserve" else []
+    if bad:
+        raise PlanError(f"{policy}: " + "; ".join(x.message for x in bad), bad[0].category)
+    return losses
+
+
 @dataclass(frozen=True)
 class Description:
     """One part: extent, channel names, sample type, and what else a codec reports."""
@@ -86,11 +102,11 @@ class Plan:
 #: Steps that are named in plans and refused: codecs do the one kind themselves, and nothing defines the other.
 REFUSED = ("remove_supercompression", "apply_supercompression", "translate_metadata")
 
-# Channels and staging samples of encoded targets.
+# Channels of encoded targets, and the samples that their colours are brought to first.
 ENCODED = {
     "bc1": (("R", "G", "B", "A"), "unorm8"), "bc2": (("R", "G", "B", "A"), "unorm8"), "bc3": (("R", "G", "B", "A"), "unorm8"),
-    "bc4": (("R",), "unorm8"), "bc5": (("R", "G"), "unorm8"), "rgbe": (("R", "G", "B"), "float32"), "b5g6r5": (("R", "G", "B"), "float32"),
-    "b5g5r5a1": (("R", "G", "B", "A"), "float32"), "r10g10b10a2": (("R", "G", "B", "A"), "float32"), "r11g11b10f": (("R", "G", "B"), "float32"), "rgb9e5": (("R", "G", "B"), "float32"),
+    "bc4": (("R",), "unorm8"), "bc5": (("R", "G"), "unorm8"), "rgbe": (("R", "G", "B"), "float32"), "b5g6r5": (("R", "G", "B"), "unorm8"),
+    "b5g5r5a1": (("R", "G", "B", "A"), "unorm8"), "r10g10b10a2": (("R", "G", "B", "A"), "unorm16"), "r11g11b10f": (("R", "G", "B"), "float16"), "rgb9e5": (("R", "G", "B"), "float16"),
 }
 NO_ENCODER = ("bc6h", "bc6h_signed", "bc7")
 
@@ -114,17 +130,20 @@ def replacement(sample: str, supported: tuple[str, ...]) -> tuple[str, Loss | No
         to = "float32"
     else:
         to = supported[0]
-    exact = to == "float32" and sample in ("unorm8", "unorm16", "float16")
-    return to, Loss("dynamic_range" if floating and to.startswith("unorm") else "numeric", f"{sample} to {to}", semantic=not exact)
+    return to, converted(sample, to)
+
+
+def converted(sample: str, to: str) -> Loss:
+    return Loss("dynamic_range" if sample.startswith("float") and not to.startswith("float") else "numeric", f"{sample} to {to}")
 
 
 def plan(source: Description, target: Capabilities, policy: str = "preserve", encoding: str | None = None, resize: tuple[int, int] | None = None, crop: tuple[int, int, int, int] | None = None) -> Plan:
     if policy not in POLICIES:
         raise PlanError(f"unknown policy {policy}")
     if resize and min(resize) <= 0 or crop and (min(crop[2:]) <= 0 or min(crop[:2]) < 0):
-        raise PlanError("extents must be positive")
+        raise PlanError("extents must be positive", "topology")
     if crop and (crop[0] + crop[2] > source.width or crop[1] + crop[3] > source.height):
-        raise PlanError("the crop lies outside")
+        raise PlanError("the crop lies outside", "topology")
     if encoding in NO_ENCODER:
         raise PlanError(f"no encoder for {encoding}")
     if encoding and encoding not in target.encodings:
@@ -134,12 +153,14 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
     steps, losses, now = [], [], source
     if source.parts > 1 and not target.multipart:
         steps.append(Step("select_part", (0,)))
-        losses.append(Loss("parts", f"{source.parts - 1} parts dropped"))
+        losses.append(Loss("topology", f"{source.parts - 1} parts dropped"))
         now = replace(now, parts=1)
     fixed = source.orientation == "identity" or target.orientation
     if source.encoding and source.encoding == (encoding or source.encoding) and source.encoding in target.encodings and not resize and not crop and fixed:
         steps.append(Step("transcode", (source.encoding,)))
-        return _finish(Plan(steps + _metadata(source, losses), replace(now, metadata=()), losses, policy))
+        dropped: list[Loss] = []
+        steps += _metadata(source, dropped)
+        return _finish(Plan(steps, replace(now, metadata=()), losses + gate(policy, dropped), policy))
     if source.encoding:
         steps.append(Step("decode_elements", (source.encoding, source.width, source.height)))
         now = replace(now, encoding=None)
@@ -152,36 +173,40 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
         named = [c for c in source.subsampled if isinstance(c, str)]
         step = source.grid if named else source.subsampled
         steps.append(Step("change_grid", (*step, source.width, source.height, *(named or now.channels))))
-        losses.append(Loss("sampling", "subsampled channels are replicated", semantic=False))
-    now = _channels(now, target, encoding, steps, losses)
-    supported = (ENCODED[encoding][1],) if encoding else target.samples
-    to, loss = replacement(now.sample, supported)
+        losses += gate(policy, [Loss("sampling", "subsampled channels are replicated", semantic=False)])
+    dropped = []
+    now = _channels(now, target, encoding, steps, dropped)
+    losses += gate(policy, dropped)
+    to, loss = replacement(now.sample, target.samples)
+    if encoding:
+        to = ENCODED[encoding][1]
+        loss = converted(now.sample, to) if to != now.sample else None
     if to != now.sample:
         if now.sample == "uint32":
             raise PlanError("uint32 channels can't be converted")
         steps.append(Step("convert_sample", (now.sample, to)))
-        losses += [loss] if loss else []
+        losses += gate(policy, [loss])
         now = replace(now, sample=to)
     if source.premultiplied:
         steps.append(Step("unpremultiply"))
-        losses.append(Loss("alpha", "colour under zero alpha is lost", semantic=False))
         now = replace(now, premultiplied=False)
     if crop and crop != (0, 0, now.width, now.height):
         steps.append(Step("crop", crop))
-        losses.append(Loss("spatial", f"cropped to {crop[2]} x {crop[3]}"))
+        losses.append(Loss("topology", f"cropped to {crop[2]} x {crop[3]}", semantic=False))
         now = replace(now, width=crop[2], height=crop[3])
     if resize and resize != (now.width, now.height):
         steps.append(Step("resample", (now.width, now.height, *resize)))
-        losses.append(Loss("spatial", f"resized to {resize[0]} x {resize[1]}"))
+        losses.append(Loss("topology", f"resized to {resize[0]} x {resize[1]}", semantic=False))
         now = replace(now, width=resize[0], height=resize[1])
     if not fixed:
         steps.append(Step("orient", (source.orientation, now.width, now.height)))
+        losses += gate(policy, [Loss("orientation", "pixels are turned, as the target has no orientation", semantic=False)])
         swap = source.orientation in ("transpose", "rotate90", "rotate270", "transverse")
         now = replace(now, orientation="identity", width=now.height if swap else now.width, height=now.width if swap else now.height)
     steps += _metadata(source, losses)
     if encoding:
         steps.append(Step("encode_elements", (encoding,)))
-        losses.append(Loss("encoding", f"encoded as {encoding}"))
+        losses += gate(policy, [Loss("compression", f"encoded as {encoding}")])
         now = replace(now, encoding=encoding)
     return _finish(Plan(steps, replace(now, metadata=()), losses, policy))
 
@@ -202,7 +227,7 @@ def _channels(now: Description, target: Capabilities, encoding: str | None, step
         have = [c for c in wanted if c in now.channels]
         missing = [c for c in wanted if c not in now.channels and c != "A"]
         if missing and not source:
-            raise PlanError(f"{encoding} needs {missing}")
+            raise PlanError(f"{encoding} needs {missing}", "channel")
         if source:
             steps.append(Step("map_channels", ("Y", "R")))
             have = ["R"]
@@ -214,19 +239,16 @@ def _channels(now: Description, target: Capabilities, encoding: str | None, step
     else:
         kept, dropped = canonical(now.channels, max(counts) if counts else None)
         if not kept:
-            raise PlanError("no channel is known to the target")
+            raise PlanError("no channel is known to the target", "channel")
         if counts and len(kept) not in counts:
             if len(kept) + 1 in counts and "A" not in kept:
                 steps.append(Step("synthesize", ("A", 1.0)))
                 kept = kept + ["A"]
-            elif any(n < len(kept) for n in counts):
-                n = max(n for n in counts if n < len(kept))
-                kept, dropped = kept[:n], dropped + kept[n:]
             else:
-                raise PlanError(f"{len(kept)} channels are not supported")
+                raise PlanError(f"{len(kept)} channels are not supported", "channel")
         now_names = tuple(kept)
     if dropped:
-        losses.append(Loss("channels", f"dropped {', '.join(dropped)}"))
+        losses.append(Loss("channel", f"dropped {', '.join(dropped)}"))
     if now_names != now.channels:
         steps.append(Step("select_channels", now_names))
     return replace(now, channels=now_names)
@@ -234,12 +256,12 @@ def _channels(now: Description, target: Capabilities, encoding: str | None, step
 
 def _metadata(source: Description, losses: list[Loss]) -> list[Step]:
     names = sorted(set(source.metadata))
-    losses += [Loss("metadata", f"namespace {n} dropped", semantic=False) for n in names]
+    losses += [Loss("metadata", f"namespace {n} dropped") for n in names]
     return [Step("drop_metadata", (n,)) for n in names]
 
 
 def _finish(p: Plan) -> Plan:
-    bad = p.losses if p.policy == "strict" else [x for x in p.losses if x.semantic and x.category not in ("spatial", "encoding")] if p.policy == "preserve" else []
-    if bad:
-        raise PlanError(f"{p.policy}: " + "; ".join(x.message for x in bad))
+    """Losses that no step is refused for count at the end, and there in strict plans only."""
+    if p.policy == "strict":
+        gate(p.policy, p.losses)
     return p

@@ -235,11 +235,11 @@ RGB, RGBA = ("R", "G", "B"), ("R", "G", "B", "A")
 CASES = (
     ("same", Description(8, 6, RGB), "png", {}, ("", "RGB", "unorm8", "", "8x6 ")),
     ("whole crop", Description(8, 6, RGB), "png", {"crop": (0, 0, 8, 6), "resize": (8, 6)}, ("", "RGB", "unorm8", "", "8x6 ")),
-    ("crop", Description(8, 6, RGB), "png", {"crop": (1, 1, 4, 5)}, ("crop", "RGB", "unorm8", "", "4x5 spatial")),
-    ("resize", Description(8, 6, RGB), "png", {"resize": (4, 3)}, ("resample", "RGB", "unorm8", "", "4x3 spatial")),
-    ("both", Description(8, 6, RGB), "png", {"crop": (2, 2, 4, 4), "resize": (2, 2)}, ("crop resample", "RGB", "unorm8", "", "2x2 spatial")),
-    ("rotated", Description(8, 6, RGB, orientation="rotate90"), "png", {}, ("orient", "RGB", "unorm8", "", "6x8 ")),
-    ("rotated and kept", Description(8, 6, RGB, "float32", orientation="rotate90"), "hdr", {}, ("encode_elements", "RGB", "float32", "rgbe", "8x6 encoding")),
+    ("crop", Description(8, 6, RGB), "png", {"crop": (1, 1, 4, 5)}, ("crop", "RGB", "unorm8", "", "4x5 topology*")),
+    ("resize", Description(8, 6, RGB), "png", {"resize": (4, 3)}, ("resample", "RGB", "unorm8", "", "4x3 topology*")),
+    ("both", Description(8, 6, RGB), "png", {"crop": (2, 2, 4, 4), "resize": (2, 2)}, ("crop resample", "RGB", "unorm8", "", "2x2 topology*")),
+    ("rotated", Description(8, 6, RGB, orientation="rotate90"), "png", {}, ("orient", "RGB", "unorm8", "", "6x8 orientation*")),
+    ("rotated and kept", Description(8, 6, RGB, "float32", orientation="rotate90"), "hdr", {}, ("encode_elements", "RGB", "float32", "rgbe", "8x6 compression")),
     ("no width", Description(8, 6, RGB), "png", {"resize": (0, 3)}, ("none", "", "", "", "")),
     ("crop outside", Description(8, 6, RGB), "png", {"crop": (5, 0, 4, 1)}, ("none", "", "", "", "")),
     ("negative crop", Description(8, 6, RGB), "png", {"crop": (-1, 0, 4, 1)}, ("none", "", "", "", "")),
@@ -250,32 +250,37 @@ CASES = (
     ("grey kept", Description(8, 6, ("Y",)), "jpeg", {}, ("", "Y", "unorm8", "", "8x6 ")),
     ("padded", Description(8, 6, RGB), "dds", {}, ("synthesize select_channels", "RGBA", "unorm8", "", "8x6 ")),
     ("unordered", Description(8, 6, ("B", "R", "A", "G")), "png", {}, ("select_channels", "RGBA", "unorm8", "", "8x6 ")),
-    ("dropped", Description(8, 6, ("R", "G", "B", "Z")), "png", {}, ("select_channels", "RGB", "unorm8", "", "8x6 channels")),
+    ("dropped", Description(8, 6, ("R", "G", "B", "Z")), "png", {}, ("select_channels", "RGB", "unorm8", "", "8x6 channel")),
     ("only unknown", Description(8, 6, ("Z",)), "png", {}, ("none", "", "", "", "")),
     ("any names", Description(8, 6, ("Z", "diffuse.R"), "float32"), "exr", {}, ("", "Zdiffuse.R", "float32", "", "8x6 ")),
     ("float to 16 bits", Description(8, 6, RGB, "float16"), "png", {}, ("convert_sample", "RGB", "unorm16", "", "8x6 dynamic_range")),
     ("float to 8 bits", Description(8, 6, RGB, "float32"), "jpeg", {}, ("convert_sample", "RGB", "unorm8", "", "8x6 dynamic_range")),
     ("16 to 8 bits", Description(8, 6, RGB, "unorm16"), "webp", {}, ("convert_sample", "RGB", "unorm8", "", "8x6 numeric")),
-    ("8 bits to float", Description(8, 6, RGB, "unorm8"), "exr", {}, ("convert_sample", "RGB", "float32", "", "8x6 numeric*")),
+    ("8 bits to float", Description(8, 6, RGB, "unorm8"), "exr", {}, ("convert_sample", "RGB", "float32", "", "8x6 numeric")),
     ("words", Description(8, 6, RGB, "uint32"), "png", {}, ("none", "", "", "", "")),
-    ("parts", Description(8, 6, RGB, parts=3), "png", {}, ("select_part", "RGB", "unorm8", "", "8x6 parts")),
+    ("parts", Description(8, 6, RGB, parts=3), "png", {}, ("select_part", "RGB", "unorm8", "", "8x6 topology")),
     ("parts kept", Description(8, 6, RGB, "float16", parts=3), "exr", {}, ("", "RGB", "float16", "", "8x6 ")),
     ("subsampled", Description(8, 6, RGB, subsampled=("B",)), "png", {}, ("change_grid", "RGB", "unorm8", "", "8x6 sampling*")),
-    ("premultiplied", Description(8, 6, RGBA, premultiplied=True), "png", {}, ("unpremultiply", "RGBA", "unorm8", "", "8x6 alpha*")),
-    ("metadata", Description(8, 6, RGB, metadata=("b", "a", "b")), "png", {}, ("drop_metadata drop_metadata", "RGB", "unorm8", "", "8x6 metadata*")),
+    ("premultiplied", Description(8, 6, RGBA, premultiplied=True), "png", {}, ("unpremultiply", "RGBA", "unorm8", "", "8x6 ")),
+    ("metadata", Description(8, 6, RGB, metadata=("b", "a", "b")), "png", {}, ("drop_metadata drop_metadata", "RGB", "unorm8", "", "8x6 metadata")),
     ("indexed", Description(8, 6, ("I",), indexed=True), "png", {}, ("expand_indexed", "RGB", "unorm8", "", "8x6 ")),
     ("indexed with odd palette", Description(8, 6, ("I",), indexed=True, palette_bits=4), "png", {}, ("none", "", "", "", "")),
     ("same blocks", Description(8, 6, RGBA, encoding="bc3"), "dds", {}, ("transcode", "RGBA", "unorm8", "bc3", "8x6 ")),
-    ("other blocks", Description(8, 6, RGBA, encoding="bc3"), "dds", {"encoding": "bc1"}, ("decode_elements encode_elements", "RGBA", "unorm8", "bc1", "8x6 encoding")),
-    ("cropped blocks", Description(8, 6, RGBA, encoding="bc3"), "dds", {"crop": (0, 0, 4, 4)}, ("decode_elements crop", "RGBA", "unorm8", "", "4x4 spatial")),
+    ("other blocks", Description(8, 6, RGBA, encoding="bc3"), "dds", {"encoding": "bc1"}, ("decode_elements encode_elements", "RGBA", "unorm8", "bc1", "8x6 compression")),
+    ("cropped blocks", Description(8, 6, RGBA, encoding="bc3"), "dds", {"crop": (0, 0, 4, 4)}, ("decode_elements crop", "RGBA", "unorm8", "", "4x4 topology*")),
     ("blocks to files", Description(8, 6, RGBA, encoding="bc7"), "png", {}, ("decode_elements", "RGBA", "unorm8", "", "8x6 ")),
-    ("one channel of blocks", Description(8, 6, RGB), "dds", {"encoding": "bc4"}, ("select_channels encode_elements", "R", "unorm8", "bc4", "8x6 channels,encoding")),
-    ("grey in blocks", Description(8, 6, ("Y",)), "dds", {"encoding": "bc4"}, ("map_channels select_channels encode_elements", "R", "unorm8", "bc4", "8x6 encoding")),
-    ("two channels of blocks", Description(8, 6, RGB), "dds", {"encoding": "bc5"}, ("select_channels encode_elements", "RG", "unorm8", "bc5", "8x6 channels,encoding")),
-    ("blocks with alpha", Description(8, 6, RGB), "dds", {"encoding": "bc3"}, ("synthesize select_channels encode_elements", "RGBA", "unorm8", "bc3", "8x6 encoding")),
-    ("packed", Description(8, 6, RGBA), "dds", {"encoding": "b5g6r5"}, ("select_channels convert_sample encode_elements", "RGB", "float32", "b5g6r5", "8x6 channels,encoding,numeric*")),
+    ("one channel of blocks", Description(8, 6, RGB), "dds", {"encoding": "bc4"}, ("select_channels encode_elements", "R", "unorm8", "bc4", "8x6 channel,compression")),
+    ("grey in blocks", Description(8, 6, ("Y",)), "dds", {"encoding": "bc4"}, ("map_channels select_channels encode_elements", "R", "unorm8", "bc4", "8x6 compression")),
+    ("two channels of blocks", Description(8, 6, RGB), "dds", {"encoding": "bc5"}, ("select_channels encode_elements", "RG", "unorm8", "bc5", "8x6 channel,compression")),
+    ("blocks with alpha", Description(8, 6, RGB), "dds", {"encoding": "bc3"}, ("synthesize select_channels encode_elements", "RGBA", "unorm8", "bc3", "8x6 compression")),
+    ("packed", Description(8, 6, RGBA), "dds", {"encoding": "b5g6r5"}, ("select_channels encode_elements", "RGB", "unorm8", "b5g6r5", "8x6 channel,compression")),
+    ("packed with 16 bits", Description(8, 6, RGBA), "dds", {"encoding": "r10g10b10a2"}, ("convert_sample encode_elements", "RGBA", "unorm16", "r10g10b10a2", "8x6 compression,numeric")),
+    ("packed halves", Description(8, 6, RGB, "float32"), "dds", {"encoding": "rgb9e5"}, ("convert_sample encode_elements", "RGB", "float16", "rgb9e5", "8x6 compression,numeric")),
+    ("two channels for three", Description(8, 6, ("R", "G")), "webp", {}, ("synthesize select_channels", "RGA", "unorm8", "", "8x6 ")),
+    ("two channels for one or three", Description(8, 6, ("Y", "A")), "jpeg", {}, ("map_channels select_channels", "RGB", "unorm8", "", "8x6 channel")),
+    ("no count fits", Description(8, 6, ("R",)), Capabilities(("unorm8",), (4,)), {}, ("none", "", "", "", "")),
     ("missing colours", Description(8, 6, ("R",)), "dds", {"encoding": "b5g6r5"}, ("none", "", "", "", "")),
-    ("shared exponents", Description(8, 6, RGB), "hdr", {}, ("convert_sample encode_elements", "RGB", "float32", "rgbe", "8x6 encoding,numeric*")),
+    ("shared exponents", Description(8, 6, RGB), "hdr", {}, ("convert_sample encode_elements", "RGB", "float32", "rgbe", "8x6 compression,numeric")),
 )
 
 
@@ -290,12 +295,17 @@ def plan_rules(spark, sf_dir):
 GATES = (
     ("nothing", Description(8, 8, RGB), "png", {}, "strict,preserve,preview,explicit"),
     ("metadata", Description(8, 8, RGB, metadata=("x",)), "png", {}, "preserve,preview,explicit"),
+    ("metadata of blocks that pass", Description(8, 8, RGBA, encoding="bc3", metadata=("x",)), "dds", {}, "preview,explicit"),
     ("sampling", Description(8, 8, RGB, subsampled=("B",)), "png", {}, "preserve,preview,explicit"),
-    ("exact samples", Description(8, 8, RGB), "exr", {}, "preserve,preview,explicit"),
+    ("turned pixels", Description(8, 8, RGB, orientation="flip_x"), "png", {}, "preserve,preview,explicit"),
+    ("wider samples", Description(8, 8, RGB), "exr", {}, "preview,explicit"),
     ("samples", Description(8, 8, RGB, "unorm16"), "jpeg", {}, "preview,explicit"),
     ("dynamic range", Description(8, 8, RGB, "float32"), "png", {}, "preview,explicit"),
     ("channels", Description(8, 8, RGBA), "jpeg", {}, "preview,explicit"),
-    ("parts", Description(8, 8, RGB, parts=2), "png", {}, "preview,explicit"),
+    ("parts", Description(8, 8, RGB, parts=2), "png", {}, "preserve,preview,explicit"),
+    ("blocks", Description(8, 8, RGBA), "dds", {"encoding": "bc1"}, "preview,explicit"),
+    ("shared exponents", Description(8, 8, RGB, "float32"), "hdr", {}, "preview,explicit"),
+    ("blocks that pass", Description(8, 8, RGBA, encoding="bc3"), "dds", {}, "strict,preserve,preview,explicit"),
     ("a crop that was asked for", Description(8, 8, RGB), "png", {"crop": (0, 0, 4, 4)}, "preserve,preview,explicit"),
 )
 
@@ -320,3 +330,30 @@ def plan_identity(spark, sf_dir):
     """A plan without steps returns what was stored."""
     px = pixels(spark, sf_dir).select(F.col("id").alias("image"), F.col("n").alias("y"), F.lit(0).alias("x"), F.col("r").alias("L"))
     return ImageFrame(px, Description(1, 7, ("Y",))).pixels(CODECS["png"], "strict").select(F.col("image").alias("id"), F.col("y").alias("n"), F.col("L").alias("red"))
+
+
+#: Why there is no plan.
+REFUSALS = (
+    ("width 0", Description(8, 8, RGB), "png", {"resize": (0, 4)}, "topology"), ("crop outside", Description(8, 8, RGB), "png", {"crop": (4, 4, 8, 8)}, "topology"),
+    ("encoding unknown to the target", Description(8, 8, RGB), "png", {"encoding": "bc1"}, "transcode"), ("no encoder", Description(8, 8, RGBA), "dds", {"encoding": "bc7"}, "transcode"),
+    ("no known channel", Description(8, 8, ("Z",)), "png", {}, "channel"), ("colours missing", Description(8, 8, ("R",)), "dds", {"encoding": "bc1"}, "channel"),
+    ("no layout for one channel", Description(8, 8, ("R",)), Capabilities(("unorm8",), (4,)), {}, "channel"), ("palette of 4 bits", Description(8, 8, ("I",), indexed=True, palette_bits=4), "png", {}, "transcode"),
+    ("strict metadata", Description(8, 8, RGB, metadata=("x",)), "png", {"policy": "strict"}, "metadata"), ("strict crop", Description(8, 8, RGB), "png", {"policy": "strict", "crop": (0, 0, 2, 2)}, "topology"),
+    ("preserved samples", Description(8, 8, RGB, "float32"), "png", {"policy": "preserve"}, "dynamic_range"), ("preserved blocks", Description(8, 8, RGBA), "dds", {"policy": "preserve", "encoding": "bc3"}, "compression"),
+    ("preserved channels", Description(8, 8, RGBA), "jpeg", {"policy": "preserve"}, "channel"), ("strict orientation", Description(8, 8, RGB, orientation="flip_y"), "png", {"policy": "strict"}, "orientation"),
+    ("strict sampling", Description(8, 8, RGB, subsampled=("B",)), "png", {"policy": "strict"}, "sampling"), ("preserved numbers", Description(8, 8, RGB, "unorm16"), "webp", {"policy": "preserve"}, "numeric"),
+)
+
+
+@query(_values([(name, want) for name, _, _, _, want in REFUSALS], "name, category"))
+def plan_refusals(spark, sf_dir):
+    """The kind of reason for which a plan is refused."""
+
+    def why(source, target, what) -> str:
+        try:
+            plan(source, target if isinstance(target, Capabilities) else Capabilities.of(CODECS[target]), **{"policy": "preview"} | what)
+        except PlanError as e:
+            return e.category
+        return "none"
+
+    return spark.createDataFrame([(name, why(source, target, what)) for name, source, target, what, _ in REFUSALS], "name string, category string")

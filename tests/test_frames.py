@@ -26,7 +26,7 @@ def test_order_and_losses():
     d = Description(8, 6, ("R", "G", "B", "A"), "float32", orientation="flip_y", parts=2, metadata=("x", "x", "y"), subsampled=("B",))
     p = plan(d, CAPS["jpeg"], "preview", crop=(1, 1, 4, 4), resize=(2, 2))
     assert names(p) == ["select_part", "change_grid", "select_channels", "convert_sample", "crop", "resample", "orient", "drop_metadata", "drop_metadata"]
-    assert {x.category for x in p.losses} == {"parts", "sampling", "channels", "dynamic_range", "spatial", "metadata"}
+    assert {x.category for x in p.losses} == {"topology", "sampling", "channel", "dynamic_range", "orientation", "metadata"}
     with pytest.raises(PlanError):
         plan(d, CAPS["jpeg"], "preserve")
     assert p.fingerprint() == plan(d, CAPS["jpeg"], "preview", crop=(1, 1, 4, 4), resize=(2, 2)).fingerprint()
@@ -36,7 +36,7 @@ def test_rules():
     assert names(plan(Description(4, 4, ("R", "G", "B", "A"), encoding="bc7"), Capabilities(("unorm8",), (4,), ("bc7",)))) == ["transcode"]
     assert plan(Description(4, 4, ("Y",)), Capabilities(("unorm8",), (3, 4))).target.channels == ("R", "G", "B")
     assert plan(Description(4, 4, ("R", "G", "B")), CAPS["dds"]).target.channels == ("R", "G", "B", "A")
-    assert plan(Description(4, 4, ("R", "G", "B"), "float32"), CAPS["hdr"]).target.encoding == "rgbe"
+    assert plan(Description(4, 4, ("R", "G", "B"), "float32"), CAPS["hdr"], "preview").target.encoding == "rgbe"
     assert plan(Description(4, 4, ("Y",)), CAPS["hdr"], "preview").target.channels == ("R", "G", "B")
     assert plan(Description(4, 4, ("R",), "float16"), CAPS["png"], "preview").target.sample == "unorm16"
     for bad in (dict(resize=(0, 1)), dict(crop=(0, 0, 9, 1)), dict(encoding="bc7"), dict(policy="none")):
