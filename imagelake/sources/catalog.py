@@ -73,7 +73,7 @@ def image_row(content: bytes | None, extension: str | None, limits: Limits, opti
         codec = REGISTRY.resolve((content or b"")[:16], extension)
         im = codec.decode(content, limits, **(options or {}).get(codec.format, {}))
         h, w, _ = im.samples.shape
-        return im.format, w, h, im.channels, im.sample, im.encoding, im.orientation, im.samples.astype(np.float64).ravel().tolist(), None
+        return im.format, w, h, im.channels, im.sample, im.encoding, im.orientation, im.samples.astype(np.float64).ravel(), None
     except FormatError as e:
         return None, None, None, None, None, None, None, None, (e.fmt, e.code, e.message, e.offset)
     except (ValueError, IndexError, KeyError, TypeError, OverflowError) as e:
@@ -181,6 +181,10 @@ def to_pixels(images: DataFrame, key: str = "path") -> DataFrame:
 # ---------------------------------------------------------------- data source
 
 
+#: Texels of a batch that the data source hands on.
+TEXELS = 1 << 15
+
+
 class _Band(InputPartition):
     def __init__(self, path: str, level: int, at: int, stored: int, inner: tuple):
         self.path, self.level, self.at, self.stored, self.inner = path, level, at, stored, inner
@@ -225,8 +229,14 @@ class TextureReader(DataSourceReader):
         if packed:
             raw = zlib.decompress(raw)[key[3] :][:size]
         samples = dds.elements_to_samples(name, raw, w, h, d)
-        for (y, x, c), v in np.ndenumerate(samples):
-            yield partition.path, key[0], key[1], key[2], y, x, dds.FORMATS[name][2][c], float(v)
+        rows, width, n = samples.shape
+        channels, per = np.array(list(dds.FORMATS[name][2])), max(1, TEXELS // width)
+        for first in range(0, rows, per):  # batches of some rows, so that a large subresource isn't held twice
+            part = samples[first : first + per]
+            y, x, c = (v.ravel() for v in np.indices(part.shape, np.int32))
+            fixed = [pa.array([v] * len(y), kind) for v, kind in ((partition.path, pa.string()), (key[0], pa.int32()), (key[1], pa.int32()), (key[2], pa.int32()))]
+            made = [pa.array(y + np.int32(first)), pa.array(x), pa.array(channels[c].tolist(), pa.string()), pa.array(part.astype(np.float64).ravel())]
+            yield pa.RecordBatch.from_arrays([*fixed, *made], ["path", "element", "face", "level", "y", "x", "channel", "value"])
 
 
 class TextureSource(DataSource):
