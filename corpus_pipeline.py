@@ -37,14 +37,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, near_duplicates(docs).filter("lead"))
 
 
+#: A row's name, without nulls: rows grouped by it lie as a join on it wants them, so texts move once.
+KEY = ("_missing", "_id", "text_key")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_missing": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """docs whose doc_id and text are among the kept ones; of rows that repeat both, the one with the smallest other
     columns. Rows are folded before they move, so a group of copies, with or without ids, doesn't meet in one task."""
-    d = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
-    rows = d.groupBy("doc_id", "text_key").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.first("text").alias("text")).alias("d")
-    k = table(kept.select("doc_id", "text_key").distinct(), "kept").alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
-    return rows.join(k, same, "left_semi").select("doc_id", "text", "rest.*").select(*COLUMNS)
+    d = _named(docs.select(*COLUMNS).withColumn("text_key", F.xxhash64("text")))
+    rows = d.groupBy(*KEY).agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"), F.first("text").alias("text"))
+    rows = rows.join(table(_named(kept).select(*KEY).distinct(), "kept"), list(KEY), "left_semi")
+    return rows.select(F.when(~F.col("_missing"), F.col("_id")).alias("doc_id"), "text", "rest.*").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
