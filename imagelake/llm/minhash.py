@@ -240,9 +240,9 @@ class Members:
         self.bucket, self.who, self.away, self.miss = bucket[order], who[order], away[order], miss[order]
         sets = [unpacked(r[3], r[4]) for r in rows]
         elements, weight = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
-        owner = np.repeat(np.arange(len(rows)), [len(e) for e, _ in sets])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(e) for e, _ in sets])
         order = np.argsort(elements, kind="stable")
-        self.elements, self.weight, self.owner = elements[order], weight[order], owner[order]
+        self.elements, self.weight, self.owner = elements[order], weight[order].astype(np.int32), owner[order]
         self.total = np.array([int(w.sum()) for _, w in sets])
 
     def candidates(self, places: list[dict], far: float) -> np.ndarray:
@@ -398,7 +398,7 @@ def partners(open_: DataFrame, most: int, threshold: float, slots: int = 8) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, draws: int = 8, block_bytes: int = 4 << 20,
+    docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 4, draws: int = 8, block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size (rows), lead (one row of each class: that with
     class_id), and text_key, a hash of the text.
