@@ -135,20 +135,21 @@ def huffman_encode(values: np.ndarray) -> bytes:
         for s in x + y:
             lengths[s] += 1
         heapq.heappush(heap, (a + b, x + y))
-    table, s = _Writer(), low
-    while s <= run:
-        zeros = 0
-        while zeros < LONGEST and s + zeros <= run and s + zeros not in lengths:
-            zeros += 1
-        if zeros >= SHORTEST_LONG:
-            table.put(LONG_RUN, 6)
-            table.put(zeros - SHORTEST_LONG, 8)
-        elif zeros >= 2:
-            table.put(SHORT_RUN + zeros - 2, 6)
-        else:
-            zeros = 1
-            table.put(lengths.get(s, 0), 6)
-        s += zeros
+    table, last = _Writer(), low - 1
+    for s in sorted(lengths):  # the symbols between two used ones have no code: runs of zeros
+        zeros = s - last - 1
+        while zeros:
+            n = min(zeros, LONGEST)
+            if n >= SHORTEST_LONG:
+                table.put(LONG_RUN, 6)
+                table.put(n - SHORTEST_LONG, 8)
+            elif n >= 2:
+                table.put(SHORT_RUN + n - 2, 6)
+            else:
+                table.put(0, 6)
+            zeros -= n
+        table.put(lengths[s], 6)
+        last = s
     codes, body = _codes(lengths), _Writer()
     edges = np.flatnonzero(np.diff(values)) + 1
     for a, b in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(values)])), strict=True):
