@@ -13,8 +13,11 @@ from imagelake.llm.linededup import line_dedup
 from imagelake.llm.minhash import near_duplicates
 from imagelake.llm.mixing import mix
 from imagelake.llm.quality import quality
+from imagelake.llm.recordfiles import record_round_trip
 from imagelake.llm.sentencepieces import encode
+from imagelake.llm.turntrie import conversation_trie, encoded, rebuilt
 from imagelake.llm.urlfilter import HOST, PATH, host_of, url_filter
+from imagelake.llm.variants import spelling_variants, word_counts
 from imagelake.llm.warc import archive_round_trip
 
 QUERIES = {}
@@ -273,3 +276,74 @@ z AS (SELECT *, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.m
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars - lost >= {_RULES.min_kept}e0 * word_chars AS kept, n_removed_lines, word_chars - lost AS kept_chars FROM z
 """
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(encoded(*rebuilt(read(spark, sf_dir, "conversations"))))
+
+
+#: The 256 steps of CRC-32, and the checksum of a string by them (`tab` must be among the tables).
+_CRC_TAB = """tab AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)))"""
+
+
+def _crc(s: str) -> str:
+    octets = f"list_transform(range(1, octet_length(encode({s})) + 1), lambda i: ('0x' || substr(hex(encode({s})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLES["op11_conversation_trie"] = rf"""
+WITH {_CRC_TAB},
+t0 AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+t1 AS (SELECT *, sha256(octet_length(encode(r)) || ':' || r || x) AS g, len(regexp_extract_all(x, '[^ 	-]+')) AS w FROM t0),
+t AS (SELECT c, g, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, g) - 1 AS pos FROM t1),
+ids AS (SELECT c, {_crc("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t0), tab),
+s AS (SELECT ids.c, t.pos, t.g, t.w FROM ids JOIN t ON t.c = ids.c AND t.pos >= h
+      UNION ALL SELECT ids.c, t.pos, t.g, t.w FROM ids JOIN t ON t.c = ids.c - ids.c % 20 AND t.pos < h),
+q AS (SELECT ids.c, coalesce(list(g ORDER BY pos) FILTER (g IS NOT NULL), []) AS g, coalesce(list(w ORDER BY pos) FILTER (g IS NOT NULL), []) AS w
+      FROM ids LEFT JOIN s ON s.c = ids.c GROUP BY ids.c),
+m0 AS (SELECT c, g, w, len(g) AS n, unnest(range(0, len(g) + 1)) AS d FROM q),
+m AS (SELECT c, n, d, sha256(d || ':' || array_to_string(g[1:d], ',')) AS k, CASE WHEN d > 0 THEN sha256((d - 1) || ':' || array_to_string(g[1:d - 1], ',')) END AS up,
+             CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w FROM m0),
+node AS (SELECT k, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(w) AS w, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM m GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS kids FROM node WHERE up IS NOT NULL GROUP BY up),
+full_node AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kids USING (k)),
+under AS (SELECT m.k, count(*) FILTER (f.kids = 0) AS leaves, sum((f.n - 1) * f.w) AS saved FROM full_node f JOIN m ON m.c = f.conv_id AND m.d <= f.d GROUP BY m.k)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN under u ON u.k = f.k LEFT JOIN node p ON p.k = f.up
+"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(read(spark, sf_dir, "documents"), min_chars=6, min_count=5, every=199), factor=5, min_chars=6)
+
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TAB},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, {_AZ.format("unnest(regexp_extract_all(text, '[A-Za-z" + chr(0xC0) + "-" + chr(0xFF) + "]+'))")} AS w FROM documents),
+d AS (SELECT doc, w, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT *, {_crc("doc || ':' || w")} AS h FROM d, tab),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n
+          FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+          UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+      FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root FROM words UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n
+FROM f JOIN up ON up.word = f.word JOIN f AS e ON e.word = up.root AND e.form IS NULL
+"""
+
+
+@query
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return record_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
