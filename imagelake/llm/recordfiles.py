@@ -3,7 +3,7 @@
 A record is a frame around its data: the data's length (8 bytes), a masked checksum of the length (4), the data, and
 a masked checksum of the data (4), all little-endian. Checksums are CRC-32C; a masked one is rotated and shifted by a
 constant, so that data which holds checksums itself doesn't weaken them. The data of a document is one byte of flags
-(1: it has an id), its id (8 bytes), and its token ids (4 bytes each). The index of `x.rec` is `x.rec.idx`: one entry
+(1: it has an id; 2: wide tokens), its id (8 bytes), and its token ids (2 bytes each, or 4 where one needs more). The index of `x.rec` is `x.rec.idx`: one entry
 of 24 bytes per record (place, tokens before it in the file, tokens), so any record can be read by itself.
 
 Texts go by ranges of doc_id to as many tasks as there are shuffle partitions; each sorts its range (with spill),
@@ -145,6 +145,18 @@ def frames(data: list[bytes]) -> list[bytes]:
     return [b"".join((n, struct.pack("<I", a), x, struct.pack("<I", b))) for n, a, x, b in zip(lengths, of_length, data, of_data, strict=True)]
 
 
+def serialized(doc_id: int | None, ids: np.ndarray) -> bytes:
+    wide = len(ids) > 0 and int(ids.max()) >> 16 > 0
+    return struct.pack("<Bq", (doc_id is not None) + 2 * wide, doc_id or 0) + (ids if wide else ids.astype("<u2")).tobytes()
+
+
+def parsed(data: bytes) -> tuple[int | None, bytes]:
+    """The id of a document, and its token ids as 32-bit words."""
+    flags, doc_id = struct.unpack_from("<Bq", data)
+    tokens = data[OWN:] if flags & 2 else np.frombuffer(data, "<u2", offset=OWN).astype("<u4").tobytes()
+    return doc_id if flags & 1 else None, tokens
+
+
 def unframed(block: bytes, where: str) -> list[bytes]:
     """The data of all records of a block of whole frames; a frame that doesn't fit its checksums raises ValueError."""
     at, lengths, data, sums = 0, [], [], []
@@ -317,9 +329,10 @@ def write_records(docs: DataFrame, where: str, vocabulary: str, end_id: int | No
             ids, texts = b.column(0).to_pylist(), b.column(1)
             for first, last in _bounded(pc.binary_length(texts).fill_null(0).to_numpy(), SPAN):
                 packed = encoder.encode([t or "" for t in texts.slice(first, last - first).to_pylist()])
-                data = [struct.pack("<Bq", i is not None, i or 0) + p + end for i, p in zip(ids[first:last], packed, strict=True)]
+                packed = [p + end for p in packed]
+                data = [serialized(i, np.frombuffer(p, "<u4")) for i, p in zip(ids[first:last], packed, strict=True)]
                 entries = np.empty(len(data), _ENTRY)
-                entries["tokens"] = n = np.array([(len(x) - OWN) // 4 for x in data])
+                entries["tokens"] = n = np.array([len(p) // 4 for p in packed])
                 entries["before"] = tokens + np.cumsum(n) - n
                 sizes = np.array([len(x) + FRAME for x in data])
                 entries["at"] = out.size + np.cumsum(sizes) - sizes
@@ -384,12 +397,11 @@ def read_records(wanted: DataFrame, seed: int | None = None, ids: bool = False)
                 if len(block) != size:
                     raise ValueError(f"{path} at {at}: the file is cut")
                 data = unframed(block, f"{path} at {at}")
-                tokens = [x[OWN:] for x in data]
+                heads, tokens = zip(*map(parsed, data), strict=True)
                 n = np.array([len(x) // 4 for x in tokens], np.int64)
-                heads = [struct.unpack_from("<Bq", x) for x in data]
                 columns = [
                     pa.array([path] * len(data), pa.string()), pa.array(np.arange(first, first + len(data))),
-                    pa.array([v if has else None for has, v in heads], pa.int64()), pa.array(before + np.cumsum(n) - n), pa.array(n),
+                    pa.array(heads, pa.int64()), pa.array(before + np.cumsum(n) - n), pa.array(n),
                     pa.array([zlib.crc32(x) for x in tokens], pa.int64()),
                 ]
                 names = ["path", "record", "doc_id", "tokens_before", "n_tokens", "ids_crc32"]
