@@ -212,7 +212,7 @@ def _agreed(a: str, b: str) -> Column:
     return F.when(first == 0, F.size(same).cast("long")).otherwise(first - 1)
 
 
-def conversation_trie(convs: DataFrame, rows: int = 4096, turns: int = 1 << 20) -> DataFrame:
+def conversation_trie(convs: DataFrame, rows: int = 256, turns: int = 1 << 18) -> DataFrame:
     """The nodes of convs (conv_id, turns: array of (id, words); conv_id distinct): conv_id (the smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens (over its subtree, words of each node's last turn times
     its members but one), ends_sha256 (of the sorted members that end here). Buckets of more than `rows` entries or
