@@ -9,8 +9,12 @@ article named a comment after another article is one). Blocks too short to judge
 ambiguous; the second pass gives them the label of the nearest decided block, within the article if they stand
 in one. The good blocks in page order are the text.
 
-Defined results: a null or empty html gives an empty text; so does a page without a good block; markup that is
-never closed ends with the page, and an unclosed container ends where an article begins; equal pages give equal
+A page with hardly any stop word is in another language: there length and links alone decide. In an article links
+speak against lists and short blocks without a tag of their own only.
+
+Defined results: a null or empty html gives an empty text; so does a page without a good block; a comment or script
+that is never closed ends with the page, a button with the next block, other elements hold nothing, and an unclosed
+container ends where an article begins; equal pages give equal
 texts; other columns are not read.
 """
 
@@ -41,8 +45,11 @@ STOP_WORDS = frozenset(
     "el los las y del al con por para una uno como más pero sus lo le se su es no ya o si ".split()
 )
 
-#: Elements whose content is never text.
-RAW = "script|style|noscript|template|iframe|svg|canvas|object|title|textarea|select|button|head"
+#: Elements whose content is never text. Those of the first kind end with their end tag or the page; those of the second
+#: with their end tag, and where there is none they hold nothing; those of the third also with the next block.
+RAW_TEXT = frozenset("script style iframe title textarea".split())
+RAW_PARTS = frozenset("noscript template svg canvas object".split())
+RAW_INLINE = frozenset("select button".split())
 #: Elements that hold other blocks.
 CONTAINERS = frozenset("div section article main nav header footer aside form ul ol dl table tbody tr body html figure details dialog fieldset blockquote".split())
 #: Elements that start a block.
@@ -69,11 +76,11 @@ OUTER = frozenset("html body main article".split())
 # A name ends at white space, a slash or the tag's end: <title-card> is no <title>. A tag without its end stops before
 # the next one, so no part of a page is read more than a few times.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*+)>?|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 # A name with its value, so that no value is read as a name; or a stray quoted string.
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW_TEXT | RAW_PARTS}
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -87,6 +94,7 @@ class Rules:
     links: float = 0.4  # share of characters in links from which a block is bad
     stop_low: float = 0.15
     stop_high: float = 0.25
+    stop_none: float = 0.03
 
 
 @dataclass
@@ -97,6 +105,7 @@ class Block:
     article: int  # 0: outside; else the article's number
     bad: bool  # by its place
     soft: int  # the innermost element above whose names its text may refute; 0: none
+    tag: str = ""  # of a block that holds no others
     label: str = ""
 
 
@@ -130,6 +139,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     linked = links = articles = 0
     leaf_bad = leaf_heading = False
     leaf_soft = 0
+    leaf_tag = skipped = ""  # skipped: the open element of RAW_INLINE
+    unended: set[str] = set()  # elements of which the rest of the page has no end tag
 
     def state() -> tuple[bool, int, int]:
         return (stack[-1][1], stack[-1][3], stack[-1][4]) if stack else (False, 0, 0)
@@ -140,13 +151,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             text = _WHITE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
                 bad, article, soft = state()
-                out.append(Block(text, linked, leaf_heading, article, (bad and not (leaf_heading and article and stack[-1][0] == "header")) or leaf_bad, leaf_soft or soft))
+                out.append(Block(text, linked, leaf_heading, article, (bad and not (leaf_heading and article and stack[-1][0] == "header")) or leaf_bad, leaf_soft or soft, leaf_tag))
             parts.clear()
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at and not skipped:
             piece = page[at : m.start()]
             parts.append(piece)
             if links:
@@ -156,6 +167,17 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _RAW_ENDS and not m["end"] and tag not in unended and not m[0].endswith("/>"):
+            if end := _RAW_ENDS[tag].search(page, at):
+                at = end.end()
+            elif tag in RAW_TEXT:
+                at = len(page)
+            else:
+                unended.add(tag)
+            continue
+        if tag in RAW_INLINE:
+            skipped = "" if m["end"] or m[0].endswith("/>") else tag
+            continue
         if tag == "a":
             links = max(0, links + (-1 if m["end"] else 1))
         elif tag == "br":
@@ -163,7 +185,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if tag not in BLOCKS:
             continue
         close()
-        links, leaf_bad, leaf_heading, leaf_soft = 0, False, False, 0
+        skipped = ""
+        links, leaf_bad, leaf_heading, leaf_soft, leaf_tag = 0, False, False, 0, ""
         if m["end"]:
             if open_[tag]:
                 last = ""
@@ -171,8 +194,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                     last = stack.pop()[0]
                     open_[last] -= 1
             continue
-        # The id of a heading is an anchor of its section.
-        bad, hard, comment, soft = names_of(m["attrs"], tag not in HEADINGS) if m["attrs"] else (False, False, False, False)
+        # The id of a heading, or of a section of an article, is an anchor.
+        ids = tag not in HEADINGS and not (tag == "section" and state()[1])
+        bad, hard, comment, soft = names_of(m["attrs"], ids) if m["attrs"] else (False, False, False, False)
         if tag in OUTER:
             hard = comment = comment and tag == "article" and articles > 0
             soft = False
@@ -192,11 +216,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             stack.append((tag, bad or above_bad, comment or above_comment, article, within))
             open_[tag] += 1
         else:
-            leaf_bad, leaf_heading = bad or hard, tag in HEADINGS
+            leaf_bad, leaf_heading, leaf_tag = bad or hard, tag in HEADINGS, tag
             if soft and not leaf_heading:
                 above.append(within)
                 leaf_soft = len(above) - 1
-    if at < len(page):
+    if at < len(page) and not skipped:
         parts.append(page[at:])
     close()
     return out, above
@@ -233,15 +257,32 @@ def condemn(blocks: list[Block], above: list[int], rules: Rules) -> None:
         b.bad |= not keeps[b.soft]
 
 
+#: Blocks of an article whose links don't speak against them.
+PROSE = HEADINGS | {"p", "blockquote", "pre", "figcaption", "caption"}
+_DENSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+def strange(blocks: list[Block], rules: Rules) -> bool:
+    """Whether a page's running text has hardly any stop word: it is in none of the supported languages."""
+    text = [b.text for b in blocks if not b.bad and b.linked <= rules.links * len(b.text)]
+    words = sum(len(_WORD.findall(t)) for t in text)
+    return words > 0 and sum(stops(t) * len(_WORD.findall(t)) for t in text) < rules.stop_none * words
+
+
 def first_pass(blocks: list[Block], rules: Rules) -> None:
     within = any(b.article and not b.bad for b in blocks)
+    # Where stop words can't tell, length and links do; a letter of a script without spaces stands for three.
+    foreign = strange(blocks, rules)
     for b in blocks:
         n = len(b.text)
         density = b.linked / n
-        if b.bad or (within and not b.article) or density > rules.links or (not b.article and n < rules.long and b.text.startswith("©")):
+        linked = density > rules.links and not (b.article and (b.tag in PROSE or (n >= rules.long and b.tag != "li")))
+        if b.bad or (within and not b.article) or linked or (not b.article and n < rules.long and b.text.startswith("©")):
             b.label = "bad"
             continue
         stop = stops(b.text)
+        if foreign:
+            stop, n = rules.stop_high, n + 2 * len(_DENSE.findall(b.text))
         if b.article:
             b.label = "good" if stop >= rules.stop_low and n >= rules.short else "ambiguous"
         elif n < rules.short or b.heading:

@@ -137,7 +137,8 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
     sources = F.when(F.coalesce(F.size(sources), F.lit(0)) > 0, F.array_sort(F.array_distinct(sources))).otherwise(
         F.array(F.lit(None).cast("string"))
     )
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     order = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -172,7 +173,7 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         plan = table(narrowed(sized.select("pattern", "order", "size"), plan, level), "plan")
     rows = sized.join(plan, "pattern").withColumn("bucket", leading(LEVELS))
     # Only rows of the buckets where a part ends are sorted.
-    within = Window.partitionBy("pattern").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("pattern").orderBy("order", "doc_id", "text_key", *carry).rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter("bucket = cut").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")))
     other = rows.filter("bucket != cut").withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("bucket") < F.col("cut")))

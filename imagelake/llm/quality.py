@@ -5,7 +5,8 @@ Each line with a word is held against three kinds of rule:
 * punctuation: it does not end in a terminal mark (closing quotes and brackets after it allowed), or more
   than `max_marked` of its words carry two symbols in a row (`!!`, `###`, `%%%`);
 * navigation: more than `max_separators` of its words are menu separators (`|`, `>`, `»`, `/`, ...);
-* boilerplate: it is short and holds a stock phrase (licence, cookie, log-in, copyright lines) of one of four languages.
+* boilerplate: it is short, holds a stock phrase (licence, cookie, log-in, copyright lines) of one of four languages, and
+  has a second sign of one: the phrase's place in the line, another phrase, a copyright sign, a year or a version.
 
 A document is rejected when the lines that stay hold less than `min_kept` of its word characters, or when a
 base rule fails (fewer than `min_words` words, or too many words in repeated five-word windows).
@@ -31,20 +32,36 @@ from imagelake.llm.common import row_bytes, shingles, word_hashes
 TERMINAL = ".!?:;…。！？"
 CLOSING = "\"')]}”’»«"
 SEPARATORS = ("|", ">", "<", "»", "«", "›", "‹", "•", "·", "/", "\\", "-", "–", "*")
-#: Stock phrases by language; a line is held against those of all, as its language isn't known.
-STOCK = {
-    "en": ("all rights reserved", "licensed under", "released under the", "general public license", "terms of use", "terms of service", "privacy policy", "use cookies", "cookie policy",
-           "enable javascript", "lorem ipsum", "subscribe to", "sign in", "log in", "copyright", "click here", "read more", "powered by"),
-    "de": ("alle rechte vorbehalten", "lizenziert unter", "steht unter der lizenz", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "verwenden cookies", "javascript aktivieren",
-           "newsletter abonnieren", "melden sie sich an", "impressum", "hier klicken", "klicken sie hier", "weiterlesen", "mehr lesen"),
-    "fr": ("tous droits réservés", "sous licence", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies", "utilisons des cookies", "activer javascript",
-           "abonnez-vous", "connectez-vous", "se connecter", "cliquez ici", "lire la suite", "en savoir plus"),
-    "es": ("todos los derechos reservados", "bajo licencia", "bajo la licencia", "condiciones de uso", "términos de uso", "aviso legal", "política de privacidad", "utiliza cookies", "utilizamos cookies",
-           "activar javascript", "suscríbete", "suscríbase", "iniciar sesión", "inicia sesión", "haga clic aquí", "haz clic aquí", "leer más"),
+#: Stock phrases by language; a line is held against those of all, as its language isn't known. Formulas seldom stand in
+#: prose; calls are also ordinary words.
+FORMULAS = {
+    "en": ("all rights reserved", "licensed under", "released under the", "general public license", "terms of use", "terms of service", "privacy policy", "use cookies", "uses cookies", "cookie policy", "enable javascript", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "lizenziert unter", "steht unter der lizenz", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "verwenden cookies", "javascript aktivieren"),
+    "fr": ("tous droits réservés", "sous licence", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies", "utilisons des cookies", "activer javascript"),
+    "es": ("todos los derechos reservados", "bajo licencia", "bajo la licencia", "condiciones de uso", "términos de uso", "aviso legal", "política de privacidad", "utiliza cookies", "utilizamos cookies", "activar javascript"),
 }
-PHRASES = tuple(p for phrases in STOCK.values() for p in phrases)
+CALLS = {
+    "en": ("subscribe to", "sign in", "log in", "copyright", "click here", "read more", "powered by"),
+    "de": ("newsletter abonnieren", "melden sie sich an", "impressum", "hier klicken", "klicken sie hier", "weiterlesen", "mehr lesen"),
+    "fr": ("abonnez-vous", "connectez-vous", "se connecter", "cliquez ici", "lire la suite", "en savoir plus"),
+    "es": ("suscríbete", "suscríbase", "iniciar sesión", "inicia sesión", "haga clic aquí", "haz clic aquí", "leer más"),
+}
+
+
+def _any(*kinds: dict) -> str:
+    return "(?:" + "|".join(re.escape(p).replace("\\ ", " ").replace("\\-", "-") for kind in kinds for phrases in kind.values() for p in phrases) + ")"
+
+
+_GAP, _TEXT, _PLAIN = r"[ \t-\r]", r"[^ \t-\r]", r"[\x01-\x40\x5b-\x60\x7b-\x7f]"
+#: A phrase alone doesn't condemn a line. The second sign is where it stands (a formula after three words at most, a call at
+#: the line's beginning), a second phrase, or with a formula a copyright sign, a year, a version or a licence's name.
+BOILERPLATE = "|".join((
+    f"^{_GAP}*(?:{_TEXT}+{_GAP}+){{0,3}}{_PLAIN}*{_any(FORMULAS)}", f"^{_PLAIN}*{_any(CALLS)}", f"{_any(FORMULAS, CALLS)}.*{_any(FORMULAS, CALLS)}",
+    *(f"{x}.*{y}" for a, b in ((_any(FORMULAS), r"(?:©|\(c\)|(?:19|20)[0-9][0-9]|[0-9]\.[0-9]|cc.by|cc0|creative commons|gnu|apache)"),) for x, y in ((a, b), (b, a))),
+))
 _MARKED = re.compile(rb"[!?.,;:#*$%&|<>~=_+^@-]{2}")
-_PHRASE = re.compile("|".join(map(re.escape, PHRASES)).encode())
+_BOILERPLATE = re.compile(BOILERPLATE.encode())
+_PHRASE = re.compile(_any(FORMULAS, CALLS).encode())
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
 _TERMINAL = frozenset(TERMINAL)
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -77,7 +94,7 @@ def line_fails(line: bytes, words: list[bytes], rules: QualityRules) -> str | No
         return "punctuation"
     if sum(map(_SEPARATORS.__contains__, words)) > rules.max_separators * n:
         return "navigation"
-    if n <= rules.boilerplate_words and _PHRASE.search(line.lower()):
+    if n <= rules.boilerplate_words and _PHRASE.search(low := line.lower()) and _BOILERPLATE.search(low):
         return "boilerplate"
     return None
 

@@ -265,7 +265,7 @@ v AS (SELECT doc_id, pos, line, list_sum(list_transform(ws, lambda x: length(x))
         NOT right(rtrim(bare, {_quoted([rules.CLOSING])}), 1) IN ({_quoted(rules.TERMINAL)})
         OR len(list_filter(ws, lambda x: regexp_matches(x, '{_MARKED}'))) > {_RULES.max_marked}e0 * len(ws)
         OR len(list_filter(ws, lambda x: x IN ({_quoted(rules.SEPARATORS)}))) > {_RULES.max_separators}e0 * len(ws)
-        OR (len(ws) <= {_RULES.boilerplate_words} AND regexp_matches({_AZ.format("line")}, {_quoted(["|".join(rules.PHRASES)])})) AS gone
+        OR (len(ws) <= {_RULES.boilerplate_words} AND regexp_matches({_AZ.format("bare")}, {_quoted([rules.BOILERPLATE])})) AS gone
       FROM b WHERE len(ws) > 0),
 q AS (SELECT doc_id, count(*) FILTER (WHERE again) AS dup, count(*) FILTER (WHERE gone) AS removed, coalesce(sum(chars) FILTER (WHERE gone), 0) AS lost FROM v GROUP BY doc_id),
 a AS (SELECT w.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
@@ -297,7 +297,8 @@ def _crc(s: str) -> str:
 ORACLES["op11_conversation_trie"] = rf"""
 WITH {_CRC_TAB},
 t0 AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
-t1 AS (SELECT *, sha256(octet_length(encode(r)) || ':' || r || x) AS g, len(regexp_extract_all(x, '[^ 	-]+')) AS w FROM t0),
+t1 AS (SELECT *, sha256(octet_length(encode(r)) || ':' || r || x) AS g, len(regexp_extract_all(x, '[^ 	-
+]+')) AS w FROM t0),
 t AS (SELECT c, g, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, g) - 1 AS pos FROM t1),
 ids AS (SELECT c, {_crc("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t0), tab),
 s AS (SELECT ids.c, t.pos, t.g, t.w FROM ids JOIN t ON t.c = ids.c AND t.pos >= h

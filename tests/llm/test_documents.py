@@ -144,7 +144,10 @@ def test_quality_base_figures(docs):
         ("Home | News | Sport | About .", "navigation"), ("Copyright 2020. All rights reserved.", "boilerplate"), ("Released under the MIT License.", "boilerplate"),
         ("Dieses Werk ist lizenziert unter CC BY-SA 4.0.", "boilerplate"), ("Alle Rechte vorbehalten.", "boilerplate"), ("Tous droits réservés.", "boilerplate"),
         ("Cette œuvre est mise à disposition sous licence CC BY.", "boilerplate"), ("Todos los derechos reservados.", "boilerplate"), ("Publicado bajo la licencia MIT.", "boilerplate"),
-        ("Ce site utilise des cookies.", "boilerplate"), ("Die Rechte der Bürger sind wichtig.", None), ("Les droits de tous sont importants.", None), ("Los derechos son de todos.", None),
+        ("Ce site utilise des cookies.", "boilerplate"), ("We use cookies to make this site better.", "boilerplate"), ("Diese Website verwendet Cookies.", "boilerplate"), ("Este sitio utiliza cookies.", "boilerplate"),
+        ("Log in to read on.", "boilerplate"), ("Impressum und Datenschutzerklärung.", "boilerplate"), ("Some notes by the team, all rights reserved 2021.", "boilerplate"),
+        ("The court held that the copyright had expired in 1950.", None), ("I do not subscribe to that view.", None), ("She had to log in again before noon.", None),
+        ("You can read more about the war in his diary.", None), ("Das Impressum fehlt auf dieser Seite.", None), ("The old firm kept all its papers and held all rights reserved to it.", None), ("Die Rechte der Bürger sind wichtig.", None), ("Les droits de tous sont importants.", None), ("Los derechos son de todos.", None),
     ],
 )
 def test_line_rules(line, verdict):
@@ -257,6 +260,17 @@ def test_mixing(spark, docs):
     assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
+@pytest.mark.parametrize("ids", ["repeated", "missing"])
+def test_mixing_is_the_same_in_any_layout(spark, ids):
+    rows = [(None if ids == "missing" else i % 7, "w " * (i % 23 + 1) + str(i % 150), "ab"[i % 2], i) for i in range(400)]
+    found = set()
+    for order, parts in ((1, 1), (-1, 5), (7, 3)):
+        df = spark.createDataFrame(sorted(rows, key=lambda r: r[3] * order % 401), "doc_id long, text string, source string, n int").repartition(parts)
+        out = mixing.mix(df).select("doc_id", "text_key", "sources", "taken", "copies").collect()
+        found.add(tuple(sorted(map(str, out))))
+    assert len(found) == 1
+
+
 def test_targets_stop_at_three_times():
     goal = mixing.targets({"a": 1000, "b": 10, "c": 1000, None: 5})
     assert goal["b"] == 30 and goal[None] == 15 and sum(goal.values()) == pytest.approx(2015)

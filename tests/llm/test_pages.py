@@ -267,3 +267,28 @@ def test_url_filter_long_urls_and_addresses(spark):
     listed = spark.createDataFrame(entries, "pattern string, category string, entry_date date, action string")
     out = sorted((r.page_id, r.verdict, r.n_active) for r in urlfilter.url_filter(captures, listed).select("page_id", "verdict", "n_active").collect())
     assert out == [(i, *c[1:]) for i, c in enumerate(cases)]
+
+
+PROSE = "It was the best of times and it was the worst of times, and there was nothing in it for us but to go on with the work that we had begun. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<html><head><title>t</title><meta charset=utf-8><body><article><p>{PROSE}</p></article></body></html>", PROSE),
+        (f"<html><head><title>t</title><style>p {{}}</style><article><p>{PROSE}</p></article>", PROSE),
+        (f"<article><button>Share<p>{PROSE}</p></article>", PROSE),
+        (f"<article><div><button>Share</div><p>{PROSE}</p><select><option>a</article>", PROSE),
+        (f"<article><noscript><p>{PROSE}</p></article>", PROSE),
+        (f"<article><noscript><p>Enable scripts.</p></noscript><p>{PROSE}</p><svg><text>x</text></svg></article>", PROSE),
+        (f"<article><p>{PROSE}</p><section id=reply><h2>Reply</h2><p>{PROSE}</p></section></article>", PROSE + "Reply " + PROSE),
+        (f"<article><p>{PROSE}</p><p><a href=x>A paragraph that is wholly one link, as some of them are in this paper.</a></p></article>", PROSE + "A paragraph that is wholly one link, as some of them are in this paper."),
+        (f"<article><p>{PROSE}</p><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", PROSE),
+        (f"<article><p>{PROSE}</p><div id=comments><p>{PROSE}</p></div></article>", PROSE),
+        ("<nav><a href=x>首页</a></nav><div><p>" + "他在那里住了很多年,后来又回到了故乡,写下了这本关于战争与和平的书。" * 12 + "</p></div>", "他在那里住了很多年,后来又回到了故乡,写下了这本关于战争与和平的书。" * 12),
+        ("<ul><li><a href=x>Главная</a></li></ul><div><p>" + "Он жил там много лет, а потом вернулся домой и написал эту книгу. " * 8 + "</p></div>", "Он жил там много лет, а потом вернулся домой и написал эту книгу. " * 8),
+        ("<p>a<script>var x = '<p>", ""), ("<p>" + "<button>" * 2000, ""), ("<noscript>" * 3000, ""),
+    ],
+)
+def test_extraction_of_loose_markup(page, want):
+    assert htmltext.main_text(page) == want.strip()

@@ -66,8 +66,8 @@ def fails(line):
     marked = sum(bool(re.search(r"[!?.,;:#*$%&|<>~=_+^@-]{2}", w)) for w in words)
     between = sum(w in quality.SEPARATORS for w in words)
     lower = "".join(c.lower() if c.isascii() else c for c in line)
-    stock = len(words) <= 25 and any(p in lower for p in quality.PHRASES)
-    return bool(words) and (not bare.endswith(tuple(quality.TERMINAL)) or marked > 0.3 * len(words) or between > 0.2 * len(words) or stock)
+    stock = len(words) <= 25 and re.search(quality.BOILERPLATE, lower.strip(" \t\n\x0b\x0c\r"))
+    return bool(words) and (not bare.endswith(tuple(quality.TERMINAL)) or marked > 0.3 * len(words) or between > 0.2 * len(words) or bool(stock))
 
 
 def test_each_stage_keeps_whole_rows(steps):
