@@ -226,9 +226,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     return out, above
 
 
-def stops(text: str) -> float:
+def stopped_of(text: str) -> tuple[int, int]:
+    """Stop words, and all words."""
     words = _WORD.findall(text.lower())
-    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+def stops(text: str) -> float:
+    k, n = stopped_of(text)
+    return k / max(1, n)
 
 
 def condemn(blocks: list[Block], above: list[int], rules: Rules) -> None:
@@ -262,25 +268,28 @@ PROSE = HEADINGS | {"p", "blockquote", "pre", "figcaption", "caption"}
 _DENSE = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
-def strange(blocks: list[Block], rules: Rules) -> bool:
+def strange(blocks: list[Block], stopped: list[tuple[int, int]], rules: Rules) -> bool:
     """Whether a page's running text has hardly any stop word: it is in none of the supported languages."""
-    text = [b.text for b in blocks if not b.bad and b.linked <= rules.links * len(b.text)]
-    words = sum(len(_WORD.findall(t)) for t in text)
-    return words > 0 and sum(stops(t) * len(_WORD.findall(t)) for t in text) < rules.stop_none * words
+    stop = words = 0
+    for b, (k, n) in zip(blocks, stopped, strict=True):
+        if not b.bad and b.linked <= rules.links * len(b.text):
+            stop, words = stop + k, words + n
+    return words > 0 and stop < rules.stop_none * words
 
 
 def first_pass(blocks: list[Block], rules: Rules) -> None:
     within = any(b.article and not b.bad for b in blocks)
     # Where stop words can't tell, length and links do; a letter of a script without spaces stands for three.
-    foreign = strange(blocks, rules)
-    for b in blocks:
+    stopped = [(0, 0) if b.bad or (within and not b.article) else stopped_of(b.text) for b in blocks]
+    foreign = strange(blocks, stopped, rules)
+    for b, (k, words) in zip(blocks, stopped, strict=True):
         n = len(b.text)
         density = b.linked / n
         linked = density > rules.links and not (b.article and (b.tag in PROSE or (n >= rules.long and b.tag != "li")))
         if b.bad or (within and not b.article) or linked or (not b.article and n < rules.long and b.text.startswith("©")):
             b.label = "bad"
             continue
-        stop = stops(b.text)
+        stop = k / max(1, words)
         if foreign:
             stop, n = rules.stop_high, n + 2 * len(_DENSE.findall(b.text))
         if b.article:
