@@ -10,7 +10,7 @@ import argparse
 import re
 import sys
 
-from imagelake.plans.convert import Request, convert_files, write_files
+from imagelake.plans.convert import Request, convert_folder
 from imagelake.plans.planner import POLICIES
 from imagelake.sources.base import FormatError
 from imagelake.sources.catalog import REGISTRY
@@ -87,7 +87,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("imagelake").getOrCreate()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.places[:-1]).select("path", "content")
     failed = 0
-    for r in write_files(convert_files(files, request), args.places[-1], REGISTRY.codecs[args.to].extensions[0]).toLocalIterator():
+    try:
+        written = convert_folder(files, request, args.places[-1])
+    except FileExistsError as e:
+        print(e, file=sys.stderr)
+        return 2
+    for r in written.toLocalIterator():
         failed += r.error is not None
         print(f"{r.path}: {r.error or f'{r.place}, {r.bytes} bytes'}")
     return 1 if failed else 0

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from imagelake.operators.geometry import ORIENTATIONS, taps
 from imagelake.plans.planner import Capabilities, Description, Plan, PlanError, plan
-from imagelake.sources.base import FormatError, Image, Limits
+from imagelake.sources.base import BROKEN, Image, Limits, described
 from imagelake.sources.catalog import REGISTRY
 from imagelake.sources.options import OPTIONS, OptionError, parse
 from imagelake.sources.vp8 import Tables
@@ -163,10 +163,10 @@ def convert_files(files: DataFrame, request: Request, carry: tuple[str, ...] = (
                 try:
                     c = converted(b.column("_content")[i].as_py() or b"", request)
                     row = c.content, "|".join(map(str, c.plan.steps)), ",".join(x.category for x in c.plan.losses), c.quality, c.reached, None
-                except (FormatError, PlanError) as e:
+                except PlanError as e:
                     row = None, None, None, None, None, str(e)
-                except (ValueError, IndexError, KeyError, OverflowError) as e:
-                    row = None, None, None, None, None, f"any: MalformedData: {e}"
+                except BROKEN as e:
+                    row = None, None, None, None, None, str(described(e))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in carry), *(pa.array([v], k) for v, k in zip(row, kinds, strict=True))], [*carry, "content", "steps", "losses", "quality", "reached", "error"])
 
     source = files.select(*carry, F.col(content).alias("_content"))
@@ -174,22 +174,46 @@ def convert_files(files: DataFrame, request: Request, carry: tuple[str, ...] = (
     return source.mapInArrow(run, f"{ddl}, {_DDL}")
 
 
-def write_files(made: DataFrame, folder: str, extension: str) -> DataFrame:
-    """Writes each content below the folder under its path's name; returns path, the new place, its bytes, and the error.
-    A file appears under its name when it is whole."""
+def placed(files: DataFrame, folder: str, extension: str) -> DataFrame:
+    """files (path, ...) with place: the path below the files' common folder, below `folder`, with the new extension.
+    Raises FileExistsError, before anything is written, where two files would take one place."""
+    # All paths share what the smallest and the largest of them share.
+    low, high = files.agg(F.min("path"), F.max("path")).head()
+    shared = 0 if low is None else next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    root = "" if low is None else low[:shared].rpartition("/")[0] + "/"
+    below = F.regexp_replace(F.expr(f"substring(path, {len(root) + 1})"), r"(?<=[^/])\.[^./]*$", "")
+    out = files.withColumn("place", F.concat(F.lit(folder.rstrip("/") + "/"), below, F.lit(f".{extension}")))
+    twice = out.groupBy("place").agg(F.min("path").alias("a"), F.max("path").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").head(1)
+    if twice:
+        raise FileExistsError(f"{twice[0].a} and {twice[0].b} would both become {twice[0].place}")
+    return out
+
+
+def write_files(made: DataFrame) -> DataFrame:
+    """Writes each content (path, place, content, error) at its place; returns path, place, bytes and the error. A file
+    appears under its name when it is whole, and an older one stays until then; a place that can't be written is an error
+    of its row."""
     from imagelake.sources.files import write_whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, sizes = [], []
-            for path, data in zip(b.column(0), b.column(1), strict=True):
+            places, sizes, errors = [], [], []
+            for place, data, error in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = data.as_py()
-                name = path.as_py().rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                place = None if data is None else f"{folder.rstrip('/')}/{name}.{extension}"
-                if place:
-                    write_whole(place, data)
-                places.append(place)
+                if data is not None:
+                    try:
+                        write_whole(place, data)
+                    except OSError as e:
+                        data, error = None, f"any: NotWritten: {e}"
+                places.append(None if data is None else place)
                 sizes.append(None if data is None else len(data))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.string()), pa.array(sizes, pa.int64()), b.column(2)], ["path", "place", "bytes", "error"])
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.string()), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], ["path", "place", "bytes", "error"])
 
-    return made.select("path", "content", "error").mapInArrow(run, "path string, place string, bytes long, error string")
+    return made.select("path", "place", "content", "error").mapInArrow(run, "path string, place string, bytes long, error string")
+
+
+def convert_folder(files: DataFrame, request: Request, folder: str) -> DataFrame:
+    """files (path, content) converted and written below `folder`, their folders kept: path, place, bytes, error."""
+    where = placed(files, folder, REGISTRY.codecs[request.to].extensions[0])
+    return write_files(convert_files(where, request, ("path", "place")))

@@ -700,4 +700,4 @@ def metadata_figures(spark, sf_dir):
     return n.select("n_nationkey", *(c.alias(name) for name, c in stats.metadata_report(F.col("es")).items()))
 
 
-from imagelake import queries_codecs, queries_plans  # noqa: E402, F401  they add theirs to the same registry
+from imagelake import queries_codecs, queries_files, queries_plans  # noqa: E402, F401  they add theirs to the same registry

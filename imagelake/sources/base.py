@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,7 +15,19 @@ class FormatError(ValueError):
 
     def __init__(self, fmt: str, code: str, message: str = "", offset: int | None = None):
         super().__init__(f"{fmt}: {code}: {message}" + (f" at {offset}" if offset is not None else ""))
-        self.fmt, self.code, self.message, self.offset = fmt, code, message, offset
+        # A damaged file can name places that no column of longs holds.
+        self.fmt, self.code, self.message, self.offset = fmt, code, message, offset if offset is not None and -(1 << 63) <= offset < 1 << 63 else None
+
+
+#: What damaged data make a decoder raise. StopIteration is among them: within a generator it would end the task.
+BROKEN = (ValueError, LookupError, TypeError, ArithmeticError, AttributeError, EOFError, MemoryError, RecursionError, StopIteration, struct.error, zlib.error)
+
+
+def described(e: Exception) -> FormatError:
+    """An error of BROKEN as a structured one."""
+    if isinstance(e, FormatError):
+        return e
+    return FormatError("any", "LimitExceeded" if isinstance(e, MemoryError) else "MalformedData", f"{type(e).__name__}: {e}"[:200])
 
 
 class AmbiguousFormat(ValueError):

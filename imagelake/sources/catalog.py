@@ -12,7 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from imagelake.sources import dds, exr, hdr, jpeg, png, webp
-from imagelake.sources.base import Codec, FormatError, Image, Limits, Registry, WriterContract
+from imagelake.sources.base import BROKEN, Codec, FormatError, Image, Limits, Registry, WriterContract, described
 
 REGISTRY = Registry()
 for _codec in (
@@ -74,14 +74,9 @@ def image_row(content: bytes | None, extension: str | None, limits: Limits, opti
         im = codec.decode(content, limits, **(options or {}).get(codec.format, {}))
         h, w, _ = im.samples.shape
         return im.format, w, h, im.channels, im.sample, im.encoding, im.orientation, im.samples.astype(np.float64).ravel(), None
-    except FormatError as e:
+    except BROKEN as e:
+        e = described(e)
         return None, None, None, None, None, None, None, None, (e.fmt, e.code, e.message, e.offset)
-    except (ValueError, IndexError, KeyError, TypeError, OverflowError) as e:
-        return None, None, None, None, None, None, None, None, ("any", "MalformedData", str(e)[:200], None)
-    except Exception as e:  # struct and zlib raise errors of their own for cut-off data
-        if type(e).__name__ != "error":
-            raise
-        return None, None, None, None, None, None, None, None, ("any", "MalformedData", str(e)[:200], None)
 
 
 def decode_images(files: DataFrame, content: str = "content", extension: str | None = None, limits: Limits = Limits(), carry: tuple[str, ...] = ("path",), options: dict | None = None) -> DataFrame:
@@ -129,7 +124,7 @@ def decode_levels(files: DataFrame, content: str = "content", limits: Limits = L
                 data = b.column("_content")[i].as_py() or b""
                 try:
                     im = REGISTRY.resolve(data[:16]).decode(data, limits)
-                except (ValueError, IndexError, KeyError, OverflowError):
+                except BROKEN:
                     continue
                 for (part, element, face, level), v in ({(0, 0, 0, 0): im.samples} | im.others).items():
                     x, y = level if isinstance(level, tuple) else (level, level)
@@ -158,9 +153,9 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
                     others = {(0, 0, 0, k): m for k, m in enumerate(mips(v), 1)} if with_mips else {}
                     out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity", others=others), **options))
                     bad.append(None)
-                except FormatError as e:
+                except BROKEN as e:
                     out.append(None)
-                    bad.append(str(e))
+                    bad.append(str(described(e)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(out, pa.binary()), pa.array(bad, pa.string())], [*carry, "content", "error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields if f.name in carry)
@@ -254,8 +249,13 @@ class TextureSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources `texture` and `exr` and the sink `imagelake` known."""
+    from imagelake.sources.exrsource import ExrSource
+    from imagelake.sources.sink import ImageSink
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(TextureSource)
+    for source in (TextureSource, ExrSource, ImageSink):
+        spark.dataSource.register(source)
 
 
 def png_chunks(files: DataFrame, carry: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -292,11 +292,7 @@ def png_metadata(files: DataFrame, carry: tuple[str, ...] = ("path",)) -> DataFr
             for i, data in enumerate(b.column("_content")):
                 try:
                     found = png.document(data.as_py() or b"", Limits()).metadata
-                except (ValueError, IndexError):
-                    continue
-                except Exception as e:  # struct and zlib raise errors of their own
-                    if type(e).__name__ != "error":
-                        raise
+                except BROKEN:
                     continue
                 where += [i] * len(found)
                 rows += [(space, key, shown(value)) for space, key, value in found]

@@ -112,6 +112,8 @@ def dds_layout(data: bytes) -> Layout:
         depth = depth if dimension == 4 else 1
         if not elements:
             raise FormatError("dds", "BadHeader", "array size", 140)
+        if elements > Limits().array_elements:
+            raise FormatError("dds", "LimitExceeded", f"{elements} array elements")
     elif pf_flags & 4:
         name = _FOURCC.get(fourcc)
     else:
@@ -195,6 +197,8 @@ def ktx2_layout(data: bytes) -> Layout:
         raise FormatError("ktx2", "Unsupported.Ktx2.Supercompression", str(scheme))
     if not w or faces not in (1, 6) or dfd_n < 44 or dfd_at + dfd_n > len(data) or kv_at + kv_n > len(data):
         raise FormatError("ktx2", "BadHeader", "extent, faces or ranges")
+    if elements > Limits().array_elements or levels > Limits().levels:
+        raise FormatError("ktx2", "LimitExceeded", f"{elements} array elements, {levels} levels")
     layout = Layout(name, w, max(1, h), max(1, d), max(1, elements), faces, max(1, levels))
     check_dfd(data[dfd_at : dfd_at + dfd_n], name)
     at = kv_at

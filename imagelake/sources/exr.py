@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -208,23 +210,46 @@ def decode(data: bytes, limits: Limits = Limits()) -> Image:
     return out
 
 
-def _part(data: bytes, attributes: dict, version: int, at: int, number: int, limits: Limits) -> tuple[Image, int]:
-    """One part, and where the offset table of the next one begins."""
-    multi, tiled = bool(version & 0x1000), "tiles" in attributes and (version & 0x200 or attributes.get("type", ("", b""))[1] == b"tiledimage")
+@dataclass(frozen=True)
+class Plan:
+    """How a part's samples lie in its chunks. levels: those of levels_of; regions: (level, x, y, width, height) of each
+    chunk, in the order of the offset table."""
+
+    kind: str
+    window: tuple[int, int]
+    width: int
+    height: int
+    channels: tuple[tuple[str, int, int, int], ...]
+    tile: tuple[int, int] | None
+    mode: int
+    levels: tuple
+    regions: tuple
+
+    def rows(self, region: tuple) -> list[tuple]:
+        """(channel, kind, y, x, count) of each run of samples of a chunk, in the grid of its channel."""
+        _, rx, ry, rw, rh = region
+        return [(c, k, y // sy, rx // sx, -(-rw // sx)) for y in range(ry, ry + rh) for c, k, sx, sy in self.channels if (self.window[1] + y) % sy == 0]
+
+    def size_of(self, region: tuple) -> int:
+        return sum(count * np.dtype(KINDS[k][1]).itemsize for _, k, _, _, count in self.rows(region))
+
+
+def plan_of(attributes: dict, version: int, limits: Limits) -> Plan:
+    tiled = "tiles" in attributes and (version & 0x200 or attributes.get("type", ("", b""))[1] == b"tiledimage")
     kind, lines = COMPRESSIONS.get(attributes["compression"][1][0], (None, 0))
     x0, y0, x1, y1 = struct.unpack("<4i", attributes["dataWindow"][1])
     w, h, channels = x1 - x0 + 1, y1 - y0 + 1, channels_of(attributes["channels"][1])
     if w <= 0 or h <= 0 or not channels or kind is None:
         raise FormatError("exr", "BadHeader", "window, channels or compression")
     limits.check(w, h, 4 * len(channels))
-    mode, regions = 0, []  # (level, x, y, width, height)
+    mode, regions, tile = 0, [], None
     if tiled:
         tw, th, mode = struct.unpack("<IIB", attributes["tiles"][1])
         if mode & 15 > 2 or mode >> 4 > 1 or not tw or not th:
             raise FormatError("exr", "BadHeader", "tiles")
         if mode & 15 and any((sx, sy) != (1, 1) for _, _, sx, sy in channels):
             raise FormatError("exr", "Unsupported.Exr.Levels", "levels of subsampled channels")
-        found = levels_of(w, h, mode)
+        found, tile = levels_of(w, h, mode), (tw, th)
         if max(max(v[:2]) for v in found) >= limits.levels:
             raise FormatError("exr", "LimitExceeded", f"{len(found)} levels")
         for i, j, lw, lh in found:
@@ -232,31 +257,48 @@ def _part(data: bytes, attributes: dict, version: int, at: int, number: int, lim
     else:
         found = [(0, 0, w, h)]
         regions = [((0, 0), 0, y, w, min(lines, h - y)) for y in range(0, h, lines)]
+    return Plan(kind, (x0, y0), w, h, tuple(channels), tile, mode, tuple(found), tuple(regions))
+
+
+def chunk_rows(data: bytes, place: int, plan: Plan, number: int, multi: bool, region: tuple) -> Iterator[tuple[str, int, int, int, np.ndarray]]:
+    """(channel, y, x, step, samples) of each run of a chunk's samples, in pixels of its level; the chunk stands at `place`
+    of data, which needn't be the whole file."""
+    level, rx, ry, _, _ = region
+    lead = (20 if plan.tile else 8) + 4 * multi
+    if place < 0 or place + lead > len(data):
+        raise FormatError("exr", "BadChunkOffset", str(place))
+    if multi and struct.unpack("<i", data[place : place + 4])[0] != number:
+        raise FormatError("exr", "BadChunkLeader", f"part {number}", place)
+    if not plan.tile and struct.unpack("<i", data[place + 4 * multi : place + 4 * multi + 4])[0] != plan.window[1] + ry:
+        raise FormatError("exr", "BadChunkLeader", f"row {ry}", place)
+    if plan.tile and struct.unpack("<4i", data[place + 4 * multi : place + 4 * multi + 16]) != (rx // plan.tile[0], ry // plan.tile[1], *level):
+        raise FormatError("exr", "BadChunkLeader", f"tile at {rx}, {ry} of level {level}", place)
+    (n,) = struct.unpack("<I", data[place + lead - 4 : place + lead])
+    rows, size = plan.rows(region), plan.size_of(region)
+    if n > size or place + lead + n > len(data):
+        raise FormatError("exr", "BadChunkSize", str(n), place)
+    body, used = data[place + lead : place + lead + n], 0
+    raw = unpiz(body, rows) if plan.kind == "piz" and n < size else decompress("none" if plan.kind == "piz" else plan.kind, body, size)
+    steps = {c: (sx, sy) for c, _, sx, sy in plan.channels}
+    for c, k, y, x, count in rows:
+        sx, sy = steps[c]
+        yield c, y * sy, x * sx, sx, np.frombuffer(raw, KINDS[k][1], count, used)
+        used += count * np.dtype(KINDS[k][1]).itemsize
+
+
+def _part(data: bytes, attributes: dict, version: int, at: int, number: int, limits: Limits) -> tuple[Image, int]:
+    """One part, and where the offset table of the next one begins."""
+    plan = plan_of(attributes, version, limits)
+    (x0, y0), w, h, channels, mode, found, regions = plan.window, plan.width, plan.height, plan.channels, plan.mode, plan.levels, plan.regions
     kept = {(i, j): {c: np.zeros((-(-lh // sy), -(-lw // sx)), KINDS[k][1]) for c, k, sx, sy in channels} for i, j, lw, lh in found}
     table = struct.unpack(f"<{len(regions)}Q", data[at : at + 8 * len(regions)]) if at + 8 * len(regions) <= len(data) else ()
     if len(table) != len(regions):
         raise FormatError("exr", "TruncatedHeader", "offset table", at)
-    for (level, rx, ry, rw, rh), place in zip(regions, table, strict=True):
-        planes = kept[level]
-        lead = (20 if tiled else 8) + 4 * multi
-        if place + lead > len(data):
-            raise FormatError("exr", "BadChunkOffset", str(place))
-        if multi and struct.unpack("<i", data[place : place + 4])[0] != number:
-            raise FormatError("exr", "BadChunkLeader", f"part {number}", place)
-        if not tiled and struct.unpack("<i", data[place + 4 * multi : place + 4 * multi + 4])[0] != y0 + ry:
-            raise FormatError("exr", "BadChunkLeader", f"row {ry}", place)
-        if tiled and struct.unpack("<4i", data[place + 4 * multi : place + 4 * multi + 16]) != (rx // tw, ry // th, *level):
-            raise FormatError("exr", "BadChunkLeader", f"tile at {rx}, {ry} of level {level}", place)
-        (n,) = struct.unpack("<I", data[place + lead - 4 : place + lead])
-        rows = [(c, k, y // sy, rx // sx, -(-rw // sx)) for y in range(ry, ry + rh) for c, k, sx, sy in channels if (y0 + y) % sy == 0]
-        size = sum(count * np.dtype(KINDS[k][1]).itemsize for _, k, _, _, count in rows)
-        if n > size or place + lead + n > len(data):
-            raise FormatError("exr", "BadChunkSize", str(n), place)
-        body, used = data[place + lead : place + lead + n], 0
-        raw = unpiz(body, rows) if kind == "piz" and n < size else decompress("none" if kind == "piz" else kind, body, size)
-        for c, k, y, x, count in rows:
-            planes[c][y, x : x + count] = np.frombuffer(raw, KINDS[k][1], count, used)
-            used += count * np.dtype(KINDS[k][1]).itemsize
+    steps = {c: (sx, sy) for c, _, sx, sy in channels}
+    for region, place in zip(regions, table, strict=True):
+        planes = kept[region[0]]
+        for c, y, x, sx, values in chunk_rows(data, place, plan, number, bool(version & 0x1000), region):
+            planes[c][y // steps[c][1], x // sx : x // sx + len(values)] = values
     kinds = {KINDS[k][0] for _, k, _, _ in channels}
     wide = np.float16 if kinds == {"float16"} else np.uint32 if kinds == {"uint32"} else np.float32
     whole = lambda planes, lw, lh: np.stack([np.repeat(np.repeat(planes[c], sy, 0), sx, 1)[:lh, :lw].astype(wide) for c, k, sx, sy in channels], 2)

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import tempfile
 import uuid
 
 import pyarrow.fs as pafs
+from pyspark.sql import SparkSession
 
 
-def _at(uri: str) -> tuple[pafs.FileSystem, str]:
+def at(uri: str) -> tuple[pafs.FileSystem, str]:
     m = re.match(r"file:/*(/.*)$", uri)
     return (pafs.LocalFileSystem(), m[1]) if m else pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+def exists(fs: pafs.FileSystem, path: str) -> bool:
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
 def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
-    fs, path = _at(uri)
+    fs, path = at(uri)
     with fs.open_input_file(path) as f:
         f.seek(offset)
         return f.read() if length is None else f.read(length)
@@ -22,24 +29,63 @@ def read_bytes(uri: str, offset: int = 0, length: int | None = None) -> bytes:
 
 def listed(uri: str, endings: tuple[str, ...]) -> list[str]:
     """The file itself, or the files of a folder with one of the endings, in order of their names."""
-    fs, path = _at(uri)
+    fs, path = at(uri)
     if fs.get_file_info(path).type != pafs.FileType.Directory:
         return [uri]
     found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
     return [uri.rstrip("/") + f.path[len(path.rstrip("/")) :] for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and f.path.lower().endswith(endings)]
 
 
+def replace_file(fs: pafs.FileSystem, temporary: str, path: str) -> None:
+    """Moves a whole file to its place. Most stores put it over an older one in one step; where one refuses, the older
+    file is set aside first, and comes back if the move fails."""
+    try:
+        fs.move(temporary, path)
+    except OSError:
+        if not exists(fs, path) or not exists(fs, temporary):
+            raise
+        aside = f"{path}.{uuid.uuid4().hex}.old"
+        fs.move(path, aside)
+        try:
+            fs.move(temporary, path)
+        except OSError:
+            fs.move(aside, path)
+            raise
+        fs.delete_file(aside)
+
+
 def write_whole(uri: str, data: bytes) -> None:
-    """Under a temporary name beside its own first, so that no half file is ever seen."""
-    fs, path = _at(uri)
+    """Under a temporary name beside its own first, so that no half file is ever seen, and an older one stays till then."""
+    fs, path = at(uri)
     temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     fs.create_dir(path.rsplit("/", 1)[0])
     try:
         with fs.open_output_stream(temporary) as f:
             f.write(data)
-        if fs.get_file_info(path).type == pafs.FileType.File:
-            fs.delete_file(path)
-        fs.move(temporary, path)
+        replace_file(fs, temporary, path)
     finally:
-        if fs.get_file_info(temporary).type == pafs.FileType.File:
+        if exists(fs, temporary):
             fs.delete_file(temporary)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may have gone first
+        return
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share, removed when the driver ends. Where that is
+    unset, a session whose executors run on the driver's machine gets a folder of its own; any other is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="imagelake-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path

@@ -17,6 +17,11 @@ _ZIG = np.array(zigzag())
 _C = np.array([[(math.sqrt(0.125) if k == 0 else 0.5) * math.cos((2 * n + 1) * k * math.pi / 16) for n in range(8)] for k in range(8)])
 
 
+#: Samples that a byte can stand for at most: every block takes one bit of a scan at least, and there are 64 samples in
+#: it, or 256 pixels of a halved component.
+MOST_PER_BYTE = 8 * 256 * 3
+
+
 class Table:
     """A canonical Huffman code."""
 
@@ -264,6 +269,8 @@ def decode(data: bytes, limits: Limits = Limits(), interpolate: bool = True) ->
             if depth != 8 or n not in (1, 3) or not h or not w or frame:
                 raise FormatError("jpeg", "Unsupported.Jpeg.Frame", f"{depth} bits, {n} components")
             limits.check(w, h, n)
+            if w * h * n > MOST_PER_BYTE * len(data) + (1 << 20):
+                raise FormatError("jpeg", "LimitExceeded", f"{w} x {h} in {len(data)} bytes")
             comps = [_Component(p[6 + 3 * i], p[7 + 3 * i] >> 4, p[7 + 3 * i] & 15, p[8 + 3 * i]) for i in range(n)]
             if any(not 1 <= v <= 4 for c in comps for v in (c.h, c.v)):
                 raise FormatError("jpeg", "BadSampling")
@@ -285,7 +292,12 @@ def decode(data: bytes, limits: Limits = Limits(), interpolate: bool = True) ->
             if not frame:
                 raise FormatError("jpeg", "BadOrder", "scan before frame")
             n = p[0]
-            chosen = [(next(c for c in frame["comps"] if c.name == p[1 + 2 * i]), p[2 + 2 * i] >> 4, p[2 + 2 * i] & 15) for i in range(n)]
+            if len(p) < 4 + 2 * n or not n:
+                raise FormatError("jpeg", "TruncatedSegment", "SOS")
+            named = {c.name: c for c in frame["comps"]}
+            if any(p[1 + 2 * i] not in named for i in range(n)):
+                raise FormatError("jpeg", "BadComponent", "a scan names a component that the frame hasn't")
+            chosen = [(named[p[1 + 2 * i]], p[2 + 2 * i] >> 4, p[2 + 2 * i] & 15) for i in range(n)]
             first, last, approx = p[1 + 2 * n : 4 + 2 * n]
             spec = (first, last, approx >> 4, approx & 15) if frame["progressive"] else (0, 63, 0, 0)
             if spec[0] > spec[1] or spec[1] > 63 or (frame["progressive"] and spec[0] == 0 and spec[1]):

@@ -239,7 +239,7 @@ def encode(image: Image, level: int | None = None, row_filter: int | None = None
         raise FormatError("png", "Unsupported.Png.Samples", f"{names} {image.sample}")
     h, w, n = image.samples.shape
     if depth == 16:
-        rows = image.samples.astype(">u2").view(np.uint8).reshape(h, -1)
+        rows = np.ascontiguousarray(image.samples, ">u2").view(np.uint8).reshape(h, -1)
     elif depth == 8:
         rows = image.samples.astype(np.uint8).reshape(h, -1)
     else:
