@@ -73,6 +73,13 @@ def banded(points: DataFrame, group: str, first: str, tolerance: float) -> DataF
     return points.join(bands, (points[group] == bands[group]) & (points[first].cast("double") == bands["_first"])).select(points["*"], "band")
 
 
+def tradeoff_order(points: DataFrame, group: str, first: str, second: str, tolerance: float, names: list[str]) -> DataFrame:
+    """points with `band` of their `first` and `place` in their group: bands in order, within one the best `second`, then
+    the best `first`, then the smallest names."""
+    order = Window.partitionBy(group).orderBy("band", second, first, *names)
+    return banded(points, group, first, tolerance).withColumn("place", F.row_number().over(order))
+
+
 def metadata_report(entries: Column, size: str = "size", namespace: str = "ns") -> dict[str, Column]:
     """Figures over an array of metadata entries: total and largest size, whether any or all belong to a namespace, the
     namespaces once each, those besides text, and the first two by size."""

@@ -32,21 +32,25 @@ def unorm16_roundtrip(spark, sf_dir):
     return t.withColumn("v2", samples.float_to_unorm(samples.unorm_to_float(F.col("v"), 16), 16))
 
 
-@query("""WITH w AS (SELECT CAST(i AS INT) AS w FROM range(65536) t(i)),
-p AS (SELECT w, CASE WHEN w & 32768 <> 0 THEN -1.0 ELSE 1.0 END AS s, (w >> 10) & 31 AS e, w & 1023 AS m FROM w)
-SELECT w, CASE WHEN e = 0 THEN s * m * pow(2.0, -24) ELSE s * (1 + m / 1024.0) * pow(2.0, e - 15) END AS v, w & 32767 <> 0 OR w = 0 AS plain
+_HALVES = "w AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST((l_orderkey * 40503 + l_partkey) % 65536 AS INT) AS w FROM lineitem)"
+
+
+def _halves(spark, sf_dir):
+    """lineitem's keys as words of half floats, but for infinities and what isn't a number."""
+    w = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), ((F.col("l_orderkey") * 40503 + F.col("l_partkey")) % 65536).cast("int").alias("w"))
+    return w.filter(F.shiftright("w", 10).bitwiseAND(31) < 31)
+
+
+@query(f"""WITH {_HALVES}, p AS (SELECT *, CASE WHEN w & 32768 <> 0 THEN -1.0 ELSE 1.0 END AS s, (w >> 10) & 31 AS e, w & 1023 AS m FROM w)
+SELECT k, n, w, CASE WHEN e = 0 THEN s * m * pow(2.0, -24) ELSE s * (1 + m / 1024.0) * pow(2.0, e - 15) END AS v, w & 32767 <> 0 OR w = 0 AS plain
 FROM p WHERE e < 31""")
 def half_decode(spark, sf_dir):
-    w = spark.range(65536).select(F.col("id").cast("int").alias("w"))
-    finite = w.filter(F.shiftright("w", 10).bitwiseAND(31) < 31)
-    return finite.select("w", samples.half_to_float(F.col("w")).alias("v"), ((F.col("w").bitwiseAND(32767) != 0) | (F.col("w") == 0)).alias("plain"))
+    return _halves(spark, sf_dir).select("k", "n", "w", samples.half_to_float(F.col("w")).alias("v"), ((F.col("w").bitwiseAND(32767) != 0) | (F.col("w") == 0)).alias("plain"))
 
 
-@query("SELECT CAST(i AS INT) AS w, CAST(i AS INT) AS w2 FROM range(65536) t(i) WHERE (i >> 10) & 31 < 31 AND i <> 32768")
+@query(f"WITH {_HALVES} SELECT k, n, w, w AS w2 FROM w WHERE (w >> 10) & 31 < 31 AND w <> 32768")
 def half_roundtrip(spark, sf_dir):
-    w = spark.range(65536).select(F.col("id").cast("int").alias("w"))
-    finite = w.filter((F.shiftright("w", 10).bitwiseAND(31) < 31) & (F.col("w") != 32768))
-    return finite.select("w", samples.float_to_half(samples.half_to_float(F.col("w"))).alias("w2"))
+    return _halves(spark, sf_dir).filter("w != 32768").select("k", "n", "w", samples.float_to_half(samples.half_to_float(F.col("w"))).alias("w2"))
 
 
 @query("SELECT l_orderkey, l_partkey, ((l_partkey & 255) << 24) | ((l_partkey >> 8 & 255) << 16) | ((l_partkey >> 16 & 255) << 8) | (l_partkey >> 24 & 255) AS swapped FROM lineitem")
@@ -130,10 +134,12 @@ def rgb9e5_decode(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_partkey", F.round(packed.rgb9e5_decode(word)["r"], 12).alias("v"))
 
 
-@query("SELECT CAST(i AS INT) AS w, CAST(i AS BIGINT) AS w6 FROM range(1984) t(i)")
+@query("SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_partkey * 7 % 1984 AS INT) AS w, CAST(l_partkey * 7 % 1984 AS BIGINT) AS w6, CAST(l_partkey * 5 % 992 AS BIGINT) AS w5 FROM lineitem")
 def small_float_roundtrip(spark, sf_dir):
-    w = spark.range(1984).select(F.col("id").cast("int").alias("w"))
-    return w.select("w", packed.small_float_encode(packed.small_float_decode(F.col("w"), 6), 6).alias("w6"))
+    """Words of floats with six and five bits of mantissa, decoded and encoded again."""
+    w, five = (F.col("l_partkey") * 7 % 1984).cast("int"), (F.col("l_partkey") * 5 % 992).cast("int")
+    back = lambda c, bits: packed.small_float_encode(packed.small_float_decode(c, bits), bits)
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), w.alias("w"), back(w, 6).alias("w6"), back(five, 5).alias("w5"))
 
 
 # ---------------------------------------------------------------- P: plan operators on pixels
@@ -356,9 +362,12 @@ def text_digests(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT '123456789' AS text, 3421780262 AS crc")
+@query("""WITH tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+s AS (SELECT p_partkey, p_partkey || ':' || p_size AS s FROM part)
+SELECT p_partkey, xor(list_reduce([4294967295] || list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM s, tab""")
 def crc32_check_value(spark, sf_dir):
-    return spark.range(1).select(F.lit("123456789").alias("text"), F.crc32(F.lit("123456789").cast("binary")).alias("crc"))
+    """Checksums of the parts' keys and sizes, against the table of the polynomial."""
+    return read(spark, sf_dir, "part").select("p_partkey", F.crc32(F.concat_ws(":", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")).cast("binary")).alias("crc"))
 
 
 # ---------------------------------------------------------------- C, J: blocks and transforms
@@ -515,7 +524,7 @@ def format_probe(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", catalog.probe(F.unhex(content)).alias("format"))
 
 
-@query("""WITH p AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(255 * x // 10 AS INT) AS h, CAST(255 * y // 4 AS INT) AS v FROM range(5) a(y), range(11) b(x)),
+@query("""WITH p AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(255 * x // 10 AS INT) AS h, CAST(255 * y // 4 AS INT) AS v FROM (SELECT DISTINCT p_partkey % 55 // 11 AS y, p_partkey % 11 AS x FROM part)),
 n AS (SELECT y, x, c, ((x * 73856093) ^ (y * 19349663) ^ ((c * 83492791) ^ 2654435769)) & 4294967295 AS k0 FROM p, range(3) t(c)),
 n1 AS (SELECT y, x, c, CAST((CAST(xor(k0, k0 >> 16) AS HUGEINT) * 73244475) % 4294967296 AS BIGINT) AS k1 FROM n),
 n2 AS (SELECT y, x, c, CAST((CAST(xor(k1, k1 >> 15) AS HUGEINT) * 739982445) % 4294967296 AS BIGINT) >> 24 AS k FROM n1),
@@ -529,12 +538,13 @@ UNION ALL SELECT 'chroma', y, x, CASE WHEN x // 8 % 2 = 0 THEN 255 ELSE 0 END, C
 UNION ALL SELECT 'alpha', y, x, h, v, 255 - h, h FROM p
 UNION ALL SELECT 'noise', y, x, r, g, b, 255 FROM w""".replace("((x * 73856093) ^ (y * 19349663) ^ ((c * 83492791) ^ 2654435769))", "xor(xor(x * 73856093::BIGINT, y * 19349663::BIGINT), xor(c * 83492791::BIGINT, 2654435769::BIGINT))"))
 def test_images(spark, sf_dir):
-    """All pixels of 11 x 5 images of every pattern."""
+    """Pixels of 11 x 5 images of every pattern, those that the parts' keys name."""
     from imagelake.operators import generate
 
-    out = None
+    k, out = F.col("p_partkey"), None
+    named = read(spark, sf_dir, "part").select(F.floor(k % 55 / 11).cast("long").alias("y"), (k % 11).cast("long").alias("x")).distinct()
     for name in generate.PATTERNS:
-        one = generate.image(spark, name, 11, 5).select(F.lit(name).alias("pattern"), F.col("y").cast("int"), F.col("x").cast("int"), "r", "g", "b", "a")
+        one = named.join(generate.image(spark, name, 11, 5), ["y", "x"]).select(F.lit(name).alias("pattern"), F.col("y").cast("int"), F.col("x").cast("int"), "r", "g", "b", "a")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -576,10 +586,10 @@ def rgb_to_yuv_fixed(spark, sf_dir):
     return pixels(spark, sf_dir).select("id", "n", video.luma(F.col("r"), F.col("g"), F.col("b")).alias("y"), u.alias("u"), v.alias("v"))
 
 
-@query("SELECT CAST(q AS INT) AS quality, CAST((127 * (100 - q) + 50) // 100 AS INT) AS quantiser, CAST(least(255, greatest(1, (16 * CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END + 50) // 100)) AS INT) AS step FROM range(1, 101) t(q)")
+@query("SELECT p_partkey, CAST(q AS INT) AS quality, CAST((127 * (100 - q) + 50) // 100 AS INT) AS quantiser, CAST(least(255, greatest(1, (p_size * CASE WHEN q < 50 THEN 5000 // q ELSE 200 - 2 * q END + 50) // 100)) AS INT) AS step FROM (SELECT p_partkey, p_size, p_partkey % 100 + 1 AS q FROM part)")
 def quality_steps(spark, sf_dir):
     q = F.col("quality")
-    return spark.range(1, 101).select(F.col("id").cast("int").alias("quality")).select("quality", video.quantiser(q).alias("quantiser"), video.jpeg_step(F.lit(16), q).alias("step"))
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 100 + 1).cast("int").alias("quality")).select("p_partkey", "quality", video.quantiser(q).alias("quantiser"), video.jpeg_step(F.col("p_size"), q).alias("step"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_partkey % 500 AS units, p_size * 5000 AS nonzero FROM part), s AS (SELECT *, least(units // 4, 16, greatest(1, nonzero // 8192)) AS n FROM p)
@@ -687,6 +697,18 @@ def tolerance_bands(spark, sf_dir):
     return stats.banded(p, "g", "v", 0.05).select("p_partkey", "band")
 
 
+@query("""WITH RECURSIVE p AS (SELECT p_partkey, p_partkey % 13 AS g, p_size * 1e0 AS v, p_partkey * 37 % 101 * 1e0 AS w FROM part), m AS (SELECT DISTINCT g, v FROM p),
+b AS (SELECT g, 1 AS band, min(v) AS low FROM m GROUP BY g UNION ALL SELECT b.g, b.band + 1, (SELECT min(m.v) FROM m WHERE m.g = b.g AND m.v > b.low * (1 + 0.05e0)) FROM b
+  WHERE EXISTS (SELECT 1 FROM m WHERE m.g = b.g AND m.v > b.low * (1 + 0.05e0))),
+x AS (SELECT p.*, (SELECT max(b.band) FROM b WHERE b.g = p.g AND b.low <= p.v) AS band FROM p)
+SELECT p_partkey, band, row_number() OVER (PARTITION BY g ORDER BY band, w, v, p_partkey) AS place FROM x""")
+def tradeoff_order(spark, sf_dir):
+    """Bands of near sizes, the best time first within a band."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", (k % 13).alias("g"), (F.col("p_size") * 1.0).alias("v"), (k * 37 % 101 * 1.0).alias("w"))
+    return stats.tradeoff_order(p, "g", "v", "w", 0.05, ["p_partkey"]).select("p_partkey", "band", F.col("place").cast("long").alias("place"))
+
+
 @query("""WITH m AS (SELECT n_nationkey, list_filter([{'ns': 'text', 'size': n_nationkey * 10 + 1}, {'ns': 'icc', 'size': n_nationkey * 7}, {'ns': 'text', 'size': 55}], lambda e, i: n_nationkey % 4 <> i) AS es FROM nation)
 SELECT n_nationkey, CAST(list_sum(list_transform(es, lambda e: e.size)) AS BIGINT) AS total, list_max(list_transform(es, lambda e: e.size)) AS largest,
 len(list_filter(es, lambda e: e.ns = 'text')) > 0 AS any_text, len(list_filter(es, lambda e: e.ns <> 'text')) = 0 AS all_text,
@@ -700,4 +722,4 @@ def metadata_figures(spark, sf_dir):
     return n.select("n_nationkey", *(c.alias(name) for name, c in stats.metadata_report(F.col("es")).items()))
 
 
-from imagelake import queries_codecs, queries_files, queries_plans  # noqa: E402, F401  they add theirs to the same registry
+from imagelake import queries_blocks, queries_codecs, queries_files, queries_plans  # noqa: E402, F401  they add theirs to the same registry

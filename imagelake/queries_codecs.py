@@ -269,27 +269,35 @@ def texture_pitches(spark, sf_dir):
     return read(spark, sf_dir, "part").crossJoin(table).select("p_partkey", "format", (blocks(w) * F.col("s")).alias("row_bytes"), (blocks(w) * F.col("s") * blocks(h)).alias("slice_bytes"))
 
 
-@query("""SELECT * FROM (VALUES ('png', 'unorm1,unorm16,unorm2,unorm4,unorm8', '1,2,3,4', false, false, 1, 'increasing', false), ('jpeg', 'unorm8', '1,3', false, false, 0, 'increasing', false),
+def _picked(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str) -> DataFrame:
+    """Each part with one of some rows, by its key; a catalogue has a fixed, small number of them."""
+    listed = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_k long, {names}")
+    return read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(rows)).alias("_k")).join(F.broadcast(listed), "_k").drop("_k")
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES ('png', 'unorm1,unorm16,unorm2,unorm4,unorm8', '1,2,3,4', false, false, 1, 'increasing', false), ('jpeg', 'unorm8', '1,3', false, false, 0, 'increasing', false),
 ('exr', 'float16,float32,uint32', NULL, true, true, 16, 'arbitrary', true), ('hdr', 'float32', '3', false, false, 1, 'increasing', false), ('dds', 'float16,float32,unorm16,unorm8', '1,2,4', false, false, 4, 'increasing', false),
-('ktx2', 'float16,float32,unorm16,unorm8', '1,2,4', false, false, 0, 'arbitrary', true), ('webp', 'unorm8', '3,4', false, false, 0, 'increasing', false)) t(format, samples, channel_counts, names, parts, granularity, write_order, seekable)""")
+('ktx2', 'float16,float32,unorm16,unorm8', '1,2,4', false, false, 0, 'arbitrary', true), ('webp', 'unorm8', '3,4', false, false, 0, 'increasing', false)) t(format, samples, channel_counts, names, parts, granularity, write_order, seekable))
+SELECT p_partkey, c.* EXCLUDE (k) FROM part JOIN c ON k = p_partkey % 7""")
 def format_catalogue(spark, sf_dir):
-    """Capabilities and writers' contracts of the registered codecs."""
+    """Capabilities and writers' contracts of the registered codecs, one for each part."""
     rows = [
         (c.format, ",".join(sorted(c.samples)), ",".join(map(str, c.channel_counts)) if c.channel_counts else None, c.arbitrary_names, c.multipart, c.contract.granularity, c.contract.order, c.contract.seekable)
         for c in catalog.REGISTRY.codecs.values()
     ]
-    return spark.createDataFrame(rows, "format string, samples string, channel_counts string, names boolean, parts boolean, granularity int, write_order string, seekable boolean")
+    return _picked(spark, sf_dir, rows, "format string, samples string, channel_counts string, names boolean, parts boolean, granularity int, write_order string, seekable boolean")
 
 
-@query("""SELECT * FROM (VALUES ('png', 'compression', 'choice', 'smallest', 'none,fast,optimal,smallest'), ('png', 'filter', 'choice', 'adaptive', 'adaptive,none,sub,up,average,paeth'), ('jpeg', 'quality', 'integer', '90', '1..100'),
+@query("""WITH c AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES ('png', 'compression', 'choice', 'smallest', 'none,fast,optimal,smallest'), ('png', 'filter', 'choice', 'adaptive', 'adaptive,none,sub,up,average,paeth'), ('jpeg', 'quality', 'integer', '90', '1..100'),
 ('jpeg', 'chroma-subsampling', 'choice', '420', '444,422,420'), ('jpeg', 'progressive', 'boolean', 'false', 'true,false'), ('jpeg', 'restart-interval', 'integer', '0', '0..65535'), ('webp', 'lossless', 'boolean', 'true', 'true,false'), ('webp', 'quality', 'integer', '75', '0..100'), ('webp', 'effort', 'choice', 'balanced', 'fast,balanced,best'),
-('exr', 'compression', 'choice', 'zip', 'none,rle,zips,zip,piz'), ('ktx2', 'compression', 'choice', 'none', 'none,zlib')) t(format, option, kind, preset, allowed)""")
+('exr', 'compression', 'choice', 'zip', 'none,rle,zips,zip,piz'), ('ktx2', 'compression', 'choice', 'none', 'none,zlib')) t(format, option, kind, preset, allowed))
+SELECT p_partkey, c.* EXCLUDE (k) FROM part JOIN c ON k = p_partkey % 11""")
 def option_catalogue(spark, sf_dir):
     from imagelake.sources.options import OPTIONS
 
     allowed = lambda o: f"{o.low}..{o.high}" if o.kind == "integer" else "true,false" if o.kind == "boolean" else ",".join(k for k, _ in o.choices)
     rows = [(f, o.name, o.kind, o.default, allowed(o)) for f, options in OPTIONS.items() for o in options]
-    return spark.createDataFrame(rows, "format string, option string, kind string, preset string, allowed string")
+    return _picked(spark, sf_dir, rows, "format string, option string, kind string, preset string, allowed string")
 
 
 @query(f"WITH {RASTER}, r AS (SELECT vec_id, y, CASE y % 4 WHEN 3 THEN y * 36 ELSE v END AS v FROM br) SELECT vec_id, y, CAST(k AS INT) AS filter_kind, true AS same FROM r, range(4) t(k) GROUP BY vec_id, y, k")
@@ -372,15 +380,15 @@ def png_metadata_chunks(spark, sf_dir):
     return catalog.png_metadata(png_files(spark, sf_dir).select("vec_id", whole.alias("content")), carry=("vec_id",))
 
 
-@query("""SELECT c AS compression, CAST(y AS INT) AS y, CAST((y + 7) // n AS INT) AS chunk FROM (VALUES ('none', 1), ('rle', 1), ('zips', 1), ('zip', 16), ('piz', 32)) t(c, n), range(-7, 93) r(y)""")
+@query("""SELECT p_partkey, c AS compression, CAST(p_partkey % 500 - 7 AS INT) AS y, CAST((p_partkey % 500) // n AS INT) AS chunk FROM part, (VALUES ('none', 1), ('rle', 1), ('zips', 1), ('zip', 16), ('piz', 32)) t(c, n)""")
 def exr_chunks(spark, sf_dir):
     """Rows of a window that begins at -7, by the chunk that holds them, for each compression."""
     from imagelake.sources.exr import COMPRESSIONS
 
-    rows = spark.range(-7, 93).select(F.col("id").cast("int").alias("y"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 500 - 7).cast("int").alias("y"))
     known = [(name, lines) for name, lines in COMPRESSIONS.values() if name in ("none", "rle", "zips", "zip", "piz")]
     each = F.array(*(F.struct(F.lit(name).alias("compression"), grid.chunk_of(F.col("y"), -7, lines).alias("chunk")) for name, lines in known))
-    return rows.select("y", F.inline(each)).select("compression", "y", "chunk")
+    return rows.select("p_partkey", "y", F.inline(each)).select("p_partkey", "compression", "y", "chunk")
 
 
 _FIELDS = "('r10g10b10a2', 'r', 0, 10), ('r10g10b10a2', 'g', 10, 10), ('r10g10b10a2', 'b', 20, 10), ('r10g10b10a2', 'a', 30, 2), ('b5g6r5', 'b', 0, 5), ('b5g6r5', 'g', 5, 6), ('b5g6r5', 'r', 11, 5), ('b5g5r5a1', 'b', 0, 5), ('b5g5r5a1', 'g', 5, 5), ('b5g5r5a1', 'r', 10, 5), ('b5g5r5a1', 'a', 15, 1), ('r11g11b10f', 'r', 0, 11), ('r11g11b10f', 'g', 11, 11), ('r11g11b10f', 'b', 22, 10), ('rgb9e5', 'r', 0, 9), ('rgb9e5', 'g', 9, 9), ('rgb9e5', 'b', 18, 9), ('rgb9e5', 'e', 27, 5)"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,11 @@ def plan_subsampled(spark, sf_dir):
     return ImageFrame(f.data.filter("x % 2 = 0 and y % 2 = 0"), f.description).pixels(CODECS["png"])
 
 
-@query(f"WITH {_FRAME}, k AS (SELECT image, y AS gy, x AS gx, B AS kb FROM fr WHERE y % 2 = 0 AND x % 2 = 0) SELECT fr.image, fr.y, fr.x, R, G, kb AS B FROM fr JOIN k ON k.image = fr.image AND gy = fr.y - fr.y % 2 AND gx = fr.x - fr.x % 2")
+_COARSE = "CAST(least(greatest(floor(CAST(embedding[CAST((i // 8 - i // 8 % 2) * 8 + i % 8 - i % 2 AS INT) + 1] AS DOUBLE) * 256) + 128, 0), 255) AS INT)"
+_FINE = "CAST(least(greatest(floor(CAST(embedding[CAST(i AS INT) + 1] AS DOUBLE) * 256) + 128, 0), 255) AS INT)"
+
+
+@query(f"WITH v AS (SELECT vec_id AS image, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, {_FINE} AS v, {_COARSE} AS c FROM embeddings, range(64) t(i)) SELECT image, y, x, v AS R, (v * 7 + 3) % 256 AS G, 255 - c AS B FROM v")
 def plan_subsampled_channel(spark, sf_dir):
     """One channel of three on a coarser grid."""
     f = frame(spark, sf_dir, subsampled=("B",))
@@ -214,8 +219,23 @@ def plan_block_round_trip(spark, sf_dir):
 
 
 def _values(rows: list[tuple], names: str) -> str:
+    """SQL: each part with one of some rows, by its key."""
     quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({names})"
+    listed = ", ".join(f"({k}, " + ", ".join(map(quoted, r)) + ")" for k, r in enumerate(rows))
+    return f"SELECT p_partkey, {names} FROM part JOIN (VALUES {listed}) t(k, {names}) ON k = p_partkey % {len(rows)}"
+
+
+def _planned(spark: SparkSession, sf_dir: str, cases: int, made: Callable[[int], tuple], names: str) -> DataFrame:
+    """Each part with what the planner makes, in tasks, of the case that its key names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            columns = list(zip(*(made(k % cases) for k in keys), strict=True)) or [()] * len(names.split(","))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in columns)], ["p_partkey", *(n.strip() for n in names.split(","))])
+
+    ddl = ", ".join(f"{n.strip()} string" for n in names.split(","))
+    return read(spark, sf_dir, "part").select("p_partkey").mapInArrow(run, f"p_partkey long, {ddl}")
 
 
 def outcome(source: Description, target, policy: str = "preview", **what) -> tuple[str, str, str, str, str]:
@@ -287,8 +307,12 @@ CASES = (
 @query(_values([(name, *want) for name, _, _, _, want in CASES], "name, steps, channels, sample, encoding, result"))
 def plan_rules(spark, sf_dir):
     """The planner's choices by case: order of steps, channels, samples, encodings, extents and losses."""
-    rows = [(name, *outcome(source, target, **what)) for name, source, target, what, _ in CASES]
-    return spark.createDataFrame(rows, "name string, steps string, channels string, sample string, encoding string, result string")
+
+    def made(i: int) -> tuple:
+        name, source, target, what, _ = CASES[i]
+        return name, *outcome(source, target, **what)
+
+    return _planned(spark, sf_dir, len(CASES), made, "name, steps, channels, sample, encoding, result")
 
 
 #: Which policies let which losses pass.
@@ -312,17 +336,21 @@ GATES = (
 
 @query(_values([(name, want) for name, _, _, _, want in GATES], "name, allowed_by"))
 def policy_gates(spark, sf_dir):
-    def allowed(source, target, what) -> str:
-        return ",".join(p for p in ("strict", "preserve", "preview", "explicit") if outcome(source, target, p, **what)[0] != "none")
+    def made(i: int) -> tuple:
+        name, source, target, what, _ = GATES[i]
+        return name, ",".join(p for p in ("strict", "preserve", "preview", "explicit") if outcome(source, target, p, **what)[0] != "none")
 
-    return spark.createDataFrame([(name, allowed(source, target, what)) for name, source, target, what, _ in GATES], "name string, allowed_by string")
+    return _planned(spark, sf_dir, len(GATES), made, "name, allowed_by")
 
 
-@query("SELECT DISTINCT p_partkey % 50 + 1 AS width, sha256('1|preserve|crop(0, 0, ' || (p_partkey % 50 + 1) || ', 8)|orient(flip_y, ' || (p_partkey % 50 + 1) || ', 8)') AS fingerprint FROM part")
+@query("SELECT p_partkey, p_partkey % 50 + 1 AS width, sha256('1|preserve|crop(0, 0, ' || (p_partkey % 50 + 1) || ', 8)|orient(flip_y, ' || (p_partkey % 50 + 1) || ', 8)') AS fingerprint FROM part")
 def plan_fingerprint(spark, sf_dir):
     """Of the plans that crop to widths 1 to 50 and flip."""
-    made = [(w, plan(Description(60, 8, RGB, orientation="flip_y"), Capabilities.of(CODECS["png"]), crop=(0, 0, w, 8)).fingerprint()) for w in range(1, 51)]
-    return spark.createDataFrame(made, "width long, fingerprint string")
+
+    def made(i: int) -> tuple:
+        return str(i + 1), plan(Description(60, 8, RGB, orientation="flip_y"), Capabilities.of(CODECS["png"]), crop=(0, 0, i + 1, 8)).fingerprint()
+
+    return _planned(spark, sf_dir, 50, made, "width, fingerprint").withColumn("width", F.col("width").cast("long"))
 
 
 @query(f"WITH {PIXELS} SELECT id, n, CAST(r AS INT) AS red FROM px")
@@ -349,11 +377,12 @@ REFUSALS = (
 def plan_refusals(spark, sf_dir):
     """The kind of reason for which a plan is refused."""
 
-    def why(source, target, what) -> str:
+    def made(i: int) -> tuple:
+        name, source, target, what, _ = REFUSALS[i]
         try:
             plan(source, target if isinstance(target, Capabilities) else Capabilities.of(CODECS[target]), **{"policy": "preview"} | what)
         except PlanError as e:
-            return e.category
-        return "none"
+            return name, e.category
+        return name, "none"
 
-    return spark.createDataFrame([(name, why(source, target, what)) for name, source, target, what, _ in REFUSALS], "name string, category string")
+    return _planned(spark, sf_dir, len(REFUSALS), made, "name, category")

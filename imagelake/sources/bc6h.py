@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.sources.bc7 import ANCHOR_TWO, WEIGHTS, subset_of
+from imagelake.sources.bc7 import ANCHORS, SUBSETS, WEIGHTS, Words
 
 # Of each mode number: bits of the first endpoint, bits of the others (red, green, blue), whether they are
 # deltas, and the fields behind the mode number, lowest bit of the block first. A field is a colour (r, g, b) with an
@@ -48,64 +48,64 @@ def _bits(text: str) -> list[tuple[str, int]]:
 LAYOUTS = {mode: _bits(text) for mode, (*_, text) in MODES.items()}
 
 
-def _signed(v: int, bits: int) -> int:
-    return v - (1 << bits) if v >> (bits - 1) & 1 else v
+def _signed(v: np.ndarray, bits: int) -> np.ndarray:
+    return v - ((v >> (bits - 1) & 1) << bits)
 
 
-def _whole(v: int, bits: int, signed: bool) -> int:
-    """An endpoint of so many bits on the scale of 16."""
-    if not signed:
-        return v if bits >= 15 or v == 0 else 0xFFFF if v == (1 << bits) - 1 else ((v << 16) + 0x8000) >> bits
-    if bits >= 16 or v == 0:
+def _whole(v: np.ndarray, bits: int, signed: bool) -> np.ndarray:
+    """Endpoints of so many bits on the scale of 16."""
+    if bits >= (16 if signed else 15):
         return v
-    m = abs(v)
-    m = 0x7FFF if m >= (1 << (bits - 1)) - 1 else ((m << 15) + 0x4000) >> (bits - 1)
-    return -m if v < 0 else m
+    if not signed:
+        return np.where(v == 0, 0, np.where(v == (1 << bits) - 1, 0xFFFF, ((v << 16) + 0x8000) >> bits))
+    m = np.abs(v)
+    m = np.where(m >= (1 << (bits - 1)) - 1, 0x7FFF, ((m << 15) + 0x4000) >> (bits - 1))
+    return np.where(v == 0, 0, np.where(v < 0, -m, m))
 
 
-def decode_block(block: bytes, signed: bool) -> list[tuple[int, int, int]]:
-    """Half-float words of sixteen texels; a reserved mode gives black."""
-    word = int.from_bytes(block, "little")
-    mode, at = (word & 3, 2) if word & 3 < 2 else (word & 31, 5)
-    if mode not in MODES:
-        return [(0, 0, 0)] * 16
+def _of_mode(mode: int, raw: np.ndarray, signed: bool) -> np.ndarray:
     first, others, delta, _ = MODES[mode]
-    fields: dict[str, int] = {}
+    words, fields = Words(raw, 2 if mode < 2 else 5), {}
     for name, bit in LAYOUTS[mode]:
-        fields[name] = fields.get(name, 0) | (word >> at & 1) << bit
-        at += 1
-    subsets = 2 if "d" in fields else 1
-    partition = fields.get("d", 0)
-    ends = []  # of each endpoint its three colours
-    for name in "wxyz"[: 2 * subsets]:
-        colour = []
-        for c, bits in zip("rgb", others, strict=True):
-            v, base = fields[c + name], fields[c + "w"]
-            if name != "w" and delta:
-                v = base + _signed(v, bits) & (1 << first) - 1
-            colour.append(_whole(_signed(v, first) if signed else v, first, signed))
-        ends.append(colour)
+        fields[name] = fields.get(name, 0) | words.take(1) << bit
+    n, subsets = len(raw), 2 if "d" in fields else 1
+    partition = fields.get("d", np.zeros(n, np.int64))
+    ends = np.empty((n, subsets, 2, 3), np.int64)
+    for k, name in enumerate("wxyz"[: 2 * subsets]):
+        for c, bits in enumerate(others):
+            v = fields["rgb"[c] + name]
+            if k and delta:
+                v = fields["rgb"[c] + "w"] + _signed(v, bits) & (1 << first) - 1
+            ends[:, k // 2, k % 2, c] = _whole(_signed(v, first) if signed else v, first, signed)
     size = 3 if subsets == 2 else 4
-    anchors = {0, ANCHOR_TWO[partition]} if subsets == 2 else {0}
-    out = []
-    for texel in range(16):
-        n = size - (texel in anchors)
-        w = WEIGHTS[size][word >> at & (1 << n) - 1]
-        at += n
-        low, high = ends[2 * subset_of(subsets, partition, texel) :][:2]
-        mixed = [(a * (64 - w) + b * w + 32) >> 6 for a, b in zip(low, high, strict=True)]
-        if signed:
-            sized = [(abs(v) * 31 >> 5, v < 0) for v in mixed]
-            out.append(tuple(m | 0x8000 if negative and m else m for m, negative in sized))
-        else:
-            out.append(tuple(v * 31 >> 6 for v in mixed))
+    w = np.array(WEIGHTS[size])[words.indices(size, ANCHORS[subsets][partition])][:, :, None]
+    rows, subset = np.arange(n)[:, None], SUBSETS[subsets][partition]
+    mixed = (ends[rows, subset, 0] * (64 - w) + ends[rows, subset, 1] * w + 32) >> 6
+    if not signed:
+        return mixed * 31 >> 6
+    m = np.abs(mixed) * 31 >> 5
+    return np.where((mixed < 0) & (m > 0), m | 0x8000, m)
+
+
+def decoded(raw: bytes, blocks: int, signed: bool = False) -> np.ndarray:
+    """(blocks, 16, RGB) of half-float words, all blocks of a mode at once; a reserved mode is black."""
+    words = np.frombuffer(raw, "<u8", 2 * blocks).reshape(blocks, 2)
+    low = (words[:, 0] & np.uint64(31)).astype(np.int64)
+    number, out = np.where(low & 3 < 2, low & 3, low), np.zeros((blocks, 16, 3), np.uint16)
+    for mode in MODES:
+        own = np.flatnonzero(number == mode)
+        if len(own):
+            out[own] = _of_mode(mode, words[own], signed)
     return out
 
 
+def decode_block(block: bytes, signed: bool) -> list[tuple[int, int, int]]:
+    return [tuple(px) for px in decoded(block, 1, signed)[0].tolist()]
+
+
 def decode(raw: bytes, blocks: int, signed: bool = False) -> np.ndarray:
     """(blocks, 16, RGB) of float16."""
-    words = [decode_block(raw[16 * k : 16 * k + 16], signed) for k in range(blocks)]
-    return np.array(words, np.uint16).reshape(blocks, 16, 3).view(np.float16)
+    return decoded(raw, blocks, signed).view(np.float16)
 
 
 def decode_words(elements: DataFrame, key: str, signed: bool = False) -> DataFrame:

@@ -65,55 +65,79 @@ def anchors_of(subsets: int, partition: int) -> set[int]:
     return {0} | ({ANCHOR_TWO[partition]} if subsets == 2 else {ANCHOR_SECOND[partition], ANCHOR_THIRD[partition]} if subsets == 3 else set())
 
 
-def decode_block(block: bytes) -> list[tuple[int, int, int, int]]:
-    word, at = int.from_bytes(block, "little"), 0
+#: By number of subsets, of each partition: the texels' subsets, and whether their indices lack the top bit.
+SUBSETS = {n: np.array([[subset_of(n, p, t) for t in range(16)] for p in range(64)]) for n in (1, 2, 3)}
+ANCHORS = {n: np.array([[t in anchors_of(n, p) for t in range(16)] for p in range(64)]) for n in (1, 2, 3)}
+
+
+class Words:
+    """Fields of many blocks of 128 bits side by side, taken from the lowest bit on."""
+
+    def __init__(self, raw: np.ndarray, at: int):
+        self.low, self.high, self.at = raw[:, 0], raw[:, 1], at
+
+    def take(self, n: int) -> np.ndarray:
+        at = self.at
+        self.at += n
+        if at >= 64:
+            v = self.high >> np.uint64(at - 64)
+        else:
+            v = self.low >> np.uint64(at) | (self.high << np.uint64(64 - at) if at else np.uint64(0))
+        return (v & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    def indices(self, bits: int, lacking: np.ndarray) -> np.ndarray:
+        """(blocks, 16) fields of `bits` each, one less where a texel is lacking one."""
+        if (lacking == lacking[:1]).all():
+            return np.stack([self.take(bits - int(short)) for short in lacking[0]], 1) if len(lacking) else np.empty((0, 16), np.int64)
+        width = bits - lacking.astype(np.int64)  # of several subsets: these stand in the high word
+        place = self.at - 64 + np.cumsum(width, 1) - width
+        self.at += int(width[0].sum())
+        return (self.high[:, None] >> place.astype(np.uint64)).astype(np.int64) & ((1 << width) - 1)
 
-    def take(n: int) -> int:
-        nonlocal at
-        at += n
-        return word >> (at - n) & ((1 << n) - 1)
 
-    mode = next((m for m in range(8) if word >> m & 1), None)
-    if mode is None:
-        return [(0, 0, 0, 255)] * 16  # reserved
-    at = mode + 1
+def _of_mode(mode: int, raw: np.ndarray) -> np.ndarray:
     subsets, pb, rb, sb, cb, ab, per_end, per_subset, ib, ib2 = MODES[mode]
-    partition, rotation, selection = take(pb), take(rb), take(sb)
-    ends = [[[take(cb) for _ in range(2)] for _ in range(subsets)] for _ in range(3)]
-    ends.append([[take(ab) for _ in range(2)] for _ in range(subsets)] if ab else [[255, 255] for _ in range(subsets)])
-    extra = [[take(1), take(1)] for _ in range(subsets)] if per_end else [[b, b] for b in (take(1) for _ in range(subsets))] if per_subset else None
+    words, n = Words(raw, mode + 1), len(raw)
+    partition, rotation, selection = words.take(pb), words.take(rb), words.take(sb)
+    ends = np.full((n, subsets, 2, 4), 255, np.int64)
+    each = [(s, e) for s in range(subsets) for e in range(2)]
     for c, bits in enumerate((cb, cb, cb, ab)):
-        if not bits:
-            continue
-        for s in range(subsets):
-            for e in range(2):
-                v, n = ends[c][s][e], bits
-                if extra:
-                    v, n = v << 1 | extra[s][e], n + 1
-                ends[c][s][e] = v << (8 - n) | v >> (2 * n - 8)
-    anchors = anchors_of(subsets, partition)
-    first = [take(ib - (t in anchors)) for t in range(16)]
-    second = [take(ib2 - (t == 0)) for t in range(16)] if ib2 else None
-    out = []
-    for t in range(16):
-        color, alpha = (first[t], ib), (second[t], ib2) if second else (first[t], ib)
-        if selection:
-            color, alpha = alpha, color
-        s = subset_of(subsets, partition, t)
-        px = [(64 - w) * ends[c][s][0] + w * ends[c][s][1] + 32 >> 6 for c, w in ((c, WEIGHTS[n][k]) for c, (k, n) in zip(range(4), (color, color, color, alpha), strict=True))]
-        if rotation:
-            px[3], px[rotation - 1] = px[rotation - 1], px[3]
-        out.append(tuple(px))
-    return out
+        for s, e in each if bits else ():
+            ends[:, s, e, c] = words.take(bits)
+    extra = None
+    if per_end or per_subset:
+        extra = np.stack([words.take(1) for _ in range(2 * subsets if per_end else subsets)], 1).reshape(n, subsets, -1)
+    for c, bits in enumerate((cb, cb, cb, ab)):
+        if bits:
+            v = ends[:, :, :, c] if extra is None else ends[:, :, :, c] << 1 | extra
+            wide = bits + (extra is not None)
+            ends[:, :, :, c] = v << (8 - wide) | v >> (2 * wide - 8)
+    colour = alpha = np.array(WEIGHTS[ib])[words.indices(ib, ANCHORS[subsets][partition])]
+    if ib2:
+        second = np.array(WEIGHTS[ib2])[words.indices(ib2, ANCHORS[1][partition])]
+        swapped = selection[:, None] == 1
+        colour, alpha = np.where(swapped, second, colour), np.where(swapped, colour, second)
+    w = np.stack((colour, colour, colour, alpha), 2)
+    rows, subset = np.arange(n)[:, None], SUBSETS[subsets][partition]
+    px = ((64 - w) * ends[rows, subset, 0] + w * ends[rows, subset, 1] + 32) >> 6
+    for r in (1, 2, 3) if rb else ():
+        own = np.flatnonzero(rotation == r)
+        px[own[:, None], :, [3, r - 1]] = px[own[:, None], :, [r - 1, 3]]
+    return px
 
 
 def decode(raw: bytes, blocks: int) -> np.ndarray:
-    """(blocks, 16, RGBA)."""
-    known: dict[bytes, list] = {}
+    """(blocks, 16, RGBA), all blocks of a mode at once; a reserved mode is opaque black."""
+    words = np.frombuffer(raw, "<u8", 2 * blocks).reshape(blocks, 2)
     out = np.empty((blocks, 16, 4), np.uint8)
-    for k in range(blocks):
-        b = raw[16 * k : 16 * k + 16]
-        if b not in known:
-            known[b] = decode_block(b)
-        out[k] = known[b]
+    out[:] = (0, 0, 0, 255)
+    low = (words[:, 0] & np.uint64(255)).astype(np.int64)
+    for mode in range(8):
+        own = np.flatnonzero(low & ((2 << mode) - 1) == 1 << mode)
+        if len(own):
+            out[own] = _of_mode(mode, words[own])
     return out
+
+
+def decode_block(block: bytes) -> list[tuple[int, int, int, int]]:
+    return [tuple(px) for px in decode(block, 1)[0].tolist()]

@@ -136,7 +136,8 @@ def huffman_encode(values: np.ndarray) -> bytes:
             lengths[s] += 1
         heapq.heappush(heap, (a + b, x + y))
     table, last = _Writer(), low - 1
-    for s in sorted(lengths):  # the symbols between two used ones have no code: runs of zeros
+    # Only symbols with a code are visited, not all 65,537; those between two of them have none and are runs of zeros.
+    for s in sorted(lengths):
         zeros = s - last - 1
         while zeros:
             n = min(zeros, LONGEST)
