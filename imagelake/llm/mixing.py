@@ -173,7 +173,8 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: int = 3, max_re
         plan = table(narrowed(sized.select("pattern", "order", "size"), plan, level), "plan")
     rows = sized.join(plan, "pattern").withColumn("bucket", leading(LEVELS))
     # Only rows of the buckets where a part ends are sorted.
-    within = Window.partitionBy("pattern").orderBy("order", "doc_id", "text_key", *carry).rowsBetween(Window.unboundedPreceding, -1)
+    ties = F.xxhash64(*carry) if carry else F.lit(0)
+    within = Window.partitionBy("pattern").orderBy("order", "doc_id", "text_key", ties).rowsBetween(Window.unboundedPreceding, -1)
     last = rows.filter("bucket = cut").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = last.withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (2 * F.col("ahead") + F.col("size") <= 2 * F.col("rest")))
     other = rows.filter("bucket != cut").withColumn("extra", (F.col("size") > 0) & (F.col("rest") > 0) & (F.col("bucket") < F.col("cut")))

@@ -299,7 +299,7 @@ class Encoder:
     A stretch that grows beyond `max_word` goes to the lattice as it comes, and is committed where its paths meet.
     What is retained is one short stretch or the lattice's window, never the text."""
 
-    def __init__(self, model: Model, max_words: int = 500_000, max_word: int = 40, part: int = 1 << 16):
+    def __init__(self, model: Model, max_words: int = 250_000, max_word: int = 40, part: int = 1 << 16):
         self.m, self.viterbi, self.part = model, Viterbi(model), part
         self.max_words, self.max_word = max_words, max_word
         self.by_space = model.dummy_prefix and not model.inner_space
