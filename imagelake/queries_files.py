@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from imagelake.operators.mutate import mutants
 from imagelake.plans.convert import Request, convert_files
 from imagelake.queries_codecs import images
-from imagelake.query_base import RASTER, query, raster
+from imagelake.query_base import RASTER, byte_raster, query, raster
 from imagelake.sources import catalog
 from imagelake.sources.files import scratch_folder
 
@@ -78,6 +78,37 @@ def exr_window(spark, sf_dir):
     return window.select(F.regexp_extract("path", r"mosaic-(\d+)\.exr$", 1).cast("long").alias("image"), "y", "x", "value")
 
 
+@query("SELECT vec_id // 1024 AS image, CAST(65536 AS BIGINT) AS pixels, CAST(16 AS BIGINT) AS segments, true AS same FROM embeddings GROUP BY vec_id // 1024")
+def jpeg_restart_pixels(spark, sf_dir):
+    """Large images whose restart segments are decoded apart, against the decoder of whole files."""
+    from imagelake.sources.jpegparts import decode_restarts, restart_index
+
+    bands = mosaics(spark, sf_dir).withColumn("samples", F.transform("samples", lambda x: F.floor(x * 255)))
+    whole = bands.groupBy("path", "width", "height", "channels").agg(F.array_sort(F.collect_list(F.struct("y", "samples"))).alias("b"))
+    whole = whole.select("path", "width", "height", "channels", F.lit("unorm8").alias("sample"), F.lit("identity").alias("orientation"), F.flatten(F.transform("b", lambda s: s["samples"])).alias("samples"))
+    files = catalog.encode_images(whole, "jpeg", {"quality": 80, "restart": 64}).select("path", "content")
+    own = decode_restarts(files).select("path", "y", "x", "value")
+    want = catalog.to_pixels(catalog.decode_images(files)).select("path", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").alias("want"))
+    same = own.join(want, ["path", "y", "x"], "full").groupBy("path").agg(F.count(F.lit(1)).alias("pixels"), F.bool_and(F.coalesce(F.col("value") == F.col("want"), F.lit(False))).alias("same"))
+    n = restart_index(files).groupBy("path").agg(F.count(F.lit(1)).alias("segments"))
+    return same.join(n, "path").select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("image"), "pixels", "segments", "same")
+
+
+@query("SELECT vec_id, true AS few, true AS better FROM embeddings")
+def palette_adaptive(spark, sf_dir):
+    """Palettes of eight colours made for each image, against eight that are the same for all: the error is less."""
+    from imagelake.operators import palette
+
+    v, rgb = F.col("v"), ["r", "g", "b"]
+    px = byte_raster(spark, sf_dir).select("vec_id", "y", "x", v.alias("r"), (v * 7 % 256).alias("g"), (255 - v).alias("b"))
+    made, places = palette.adaptive(px, ["vec_id"], rgb, 8, bits=8)
+    own = palette.indexed(px, places, ["vec_id"], rgb, bits=8).join(made, "vec_id").withColumn("p", F.get("palette", F.col("idx")))
+    squared = lambda other: sum(((F.col(c) - other(c)) * (F.col(c) - other(c)) for c in rgb), F.lit(0.0))
+    fixed = lambda c: F.floor(F.col(c) / 128) * 128 + 64
+    out = own.groupBy("vec_id").agg(F.max(F.size("palette")).alias("n"), F.sum(squared(lambda c: F.col(f"p.{c}"))).alias("own"), F.sum(squared(fixed)).alias("uniform"))
+    return out.select("vec_id", (F.col("n") <= 8).alias("few"), (F.col("own") < F.col("uniform")).alias("better"))
+
+
 @query("SELECT f AS format, count(*) AS files, 2 * count(*) AS decoded, 2 * count(*) AS converted, CAST(0 AS BIGINT) AS crashed FROM embeddings, (VALUES ('png'), ('jpeg'), ('webp'), ('exr'), ('hdr'), ('dds'), ('ktx2')) t(f) GROUP BY f")
 def mutated_formats(spark, sf_dir):
     """Two mutants of every file of seven formats go through decoder and converter: each is accepted or gives an error,
