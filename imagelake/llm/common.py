@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -98,6 +100,21 @@ def row_bytes(array: pa.Array) -> list[bytes | None]:
     return array.cast(pa.binary() if pa.types.is_string(array.type) else pa.large_binary()).to_pylist()
 
 
+def released(run):
+    """run (of mapInArrow), which gives freed memory back when it is done: worker processes live on, and their allocators
+    would keep it for batches to come."""
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 # ---------------------------------------------------------------- bounded filters
 
 #: Bits of an id filter: 2^26 bits are 8 MB on the driver and in each worker, at any input size.

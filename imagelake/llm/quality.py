@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imagelake.llm.common import row_bytes, shingles, word_hashes
+from imagelake.llm.common import released, row_bytes, shingles, word_hashes
 
 #: Terminal marks, and what may follow one at the end of a line.
 TERMINAL = ".!?:;…。！？"
@@ -176,4 +176,4 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), texts: bool =
 
     source = docs.select(*names, F.col("text").alias("_text"))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), _DDL] + ["clean_text string"] * texts)
-    return source.mapInArrow(run, ddl)
+    return source.mapInArrow(released(run), ddl)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imagelake.llm.common import released
+
 SPACE = "▁"
 _NEVER = float("-inf")
 #: Default vocabulary file; a parameter everywhere.
@@ -419,7 +421,7 @@ def encode(docs: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
 
     source = docs.select(*carry, F.col("text").alias("_text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{ddl}, ids array<int>, n_ids long, round_trip boolean")
+    return source.mapInArrow(released(run), f"{ddl}, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -434,4 +436,4 @@ def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ("doc_i
 
     source = rows.select(*carry, F.col("ids").alias("_ids"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{ddl}, text string")
+    return source.mapInArrow(released(run), f"{ddl}, text string")
