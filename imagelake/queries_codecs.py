@@ -94,6 +94,22 @@ def codec_webp_lossy_roundtrip(spark, sf_dir):
     return flat.join(back, "vec_id").select("vec_id", near.alias("within"), "error")
 
 
+@query("SELECT vec_id // 128 AS strip, count(*) AS n_images, 0e0 AS max_error, true AS no_larger, CAST(NULL AS VARCHAR) AS error FROM embeddings GROUP BY ALL")
+def codec_webp_strips(spark, sf_dir):
+    """128 embeddings a picture, one below the other, in runs of whole bytes, few colours and flat ones: the lossless
+    encoder's groups of codes, its cache and its copies come back unchanged, in a file no larger than one without them."""
+    kind, v = F.floor(F.col("vec_id") / 16) % 4, F.col("samples")
+    some = F.transform(v, lambda v: F.when(kind < 2, v).when(kind == 2, F.floor(v / 64) * 64).otherwise(F.floor(v / 256)))
+    squares = F.array_sort(F.collect_list(F.struct("vec_id", some.alias("v"))))
+    strips = images(spark, sf_dir, "RGB", "unorm8").groupBy(F.floor(F.col("vec_id") / 128).alias("strip"), "width", "channels", "sample", "orientation").agg(F.count(F.lit(1)).alias("n_images"), F.flatten(squares["v"]).alias("samples"))
+    strips = strips.withColumns({"height": (F.col("n_images") * 8).cast("int"), "given": F.col("samples")})
+    size = catalog.encode_images(strips, "webp", {"effort": "balanced"}, ("strip",)).select("strip", F.length("content").alias("without"))
+    files = catalog.encode_images(strips, "webp", {"effort": "best"}, ("strip", "n_images", "given")).drop("error").withColumn("bytes", F.length("content"))
+    back = catalog.decode_images(files, carry=("strip", "n_images", "given", "bytes"))
+    worst = F.array_max(F.transform("given", lambda v, i: F.abs(v - F.get("samples", (F.floor(i / 3) * 4 + i % 3).cast("int")))))
+    return back.join(size, "strip").select("strip", "n_images", worst.alias("max_error"), (F.col("bytes") <= F.col("without")).alias("no_larger"), F.col("error.code").alias("error"))
+
+
 def png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.encode_images(images(spark, sf_dir, "RGB", "unorm8"), "png", {"effort": "optimal"}, ("vec_id",)).select("vec_id", "content")
 

@@ -7,7 +7,7 @@ import struct
 
 import numpy as np
 
-from imagelake.sources import vp8
+from imagelake.sources import vp8, vp8lgroups
 from imagelake.sources.base import Budget, FormatError, Image, Limits
 
 # The order in which the lengths of the code-length code are stored.
@@ -417,6 +417,26 @@ def _canonical(length: dict[int, int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+def _folded(listed: list[int]) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra bits, their value): 16 repeats the last one 3 to 6 times, 17 and 18 are zeros."""
+    out, at = [], 0
+    while at < len(listed):
+        n, run = listed[at], 1
+        while at + run < len(listed) and listed[at + run] == n:
+            run += 1
+        at += run
+        if n:
+            out.append((n, 0, 0))
+            run -= 1
+        kinds = ((16, 3, 6, 2),) if n else ((18, 11, 138, 7), (17, 3, 10, 3))
+        while run:
+            symbol, least, most, extra = next((k for k in kinds if run >= k[1]), (n, 1, 1, 0))
+            took = min(run, most)
+            out.append((symbol, extra, took - least))
+            run -= took
+    return out
+
+
 def _write_code(w: _Writer, counts: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
     used = sorted(counts) or [0]
     if len(used) <= 2 and max(used) < 256:
@@ -429,8 +449,9 @@ def _write_code(w: _Writer, counts: dict[int, int], size: int) -> dict[int, tupl
     if len(used) == 1:  # a single symbol beyond 255 needs a partner
         counts = counts | {0: 1}
     length = _lengths(counts, 15)
-    listed = [length.get(s, 0) for s in range(size)]
-    small = _lengths({n: listed.count(n) for n in set(listed)} | ({} if len(set(listed)) > 1 else {0: 1}), 7)
+    listed = _folded([length.get(s, 0) for s in range(size)])
+    symbols = [s for s, _, _ in listed]
+    small = _lengths({s: symbols.count(s) for s in set(symbols)} | ({} if len(set(symbols)) > 1 else {0: 1}), 7)
     w.put(0, 1)
     last = max(k for k, s in enumerate(LENGTH_ORDER) if small.get(s)) + 1
     w.put(max(last, 4) - 4, 4)
@@ -438,8 +459,9 @@ def _write_code(w: _Writer, counts: dict[int, int], size: int) -> dict[int, tupl
         w.put(small.get(s, 0), 3)
     w.put(0, 1)
     codes = _canonical(small)
-    for n in listed:
-        w.put(*codes[n])
+    for s, extra, rest in listed:
+        w.put(*codes[s])
+        w.put(rest, extra)
     return _canonical(length)
 
 
@@ -497,6 +519,34 @@ def _put_image(out: _Writer, argb: np.ndarray, top: bool, reach: list[tuple[int,
                 out.put(*made[k][s])
 
 
+def _put_grouped(out: _Writer, argb: np.ndarray, reach: list[tuple[int, int]]) -> None:
+    """An entropy-coded image with copies from anywhere, and the cache and the groups of codes that pay."""
+    h, w = argb.shape
+    codes = {max(1, x + y * w): NEAR.index((x, y)) + 1 for x, y in reversed(reach)}
+    t = vp8lgroups.tokens(argb.ravel(), codes)
+    shift = vp8lgroups.tile_shift(w, h)
+    meta = vp8lgroups.grouped(t, w, h, shift)
+    groups = int(meta.max()) + 1
+    out.put(int(t.cache > 0), 1)
+    if t.cache:
+        out.put(t.cache, 4)
+    out.put(int(groups > 1), 1)
+    if groups > 1:
+        out.put(shift - 2, 3)
+        _put_image(out, 255 << 24 | meta.astype(np.int64) << 8, False, reach[:1])
+    of = meta[t.start // w >> shift, t.start % w >> shift]
+    made = []
+    for g in range(groups):
+        mine = t.symbols[:, of == g]
+        counts = [np.unique(s[s >= 0], return_counts=True) for s in mine]
+        made.append([_write_code(out, dict(zip(*(c.tolist() for c in pair), strict=True)), size) for pair, size in zip(counts, t.sizes, strict=True)])
+    for g, symbols, extra, value in zip(of.tolist(), t.symbols.T.tolist(), t.extra.T.tolist(), t.value.T.tolist(), strict=True):
+        for k, s in enumerate(symbols):
+            if s >= 0:
+                out.put(*made[g][k][s])
+                out.put(value[k], extra[k])
+
+
 def _packed(px: np.ndarray) -> np.ndarray:
     px = px.astype(np.int64)
     return px[..., 0] << 24 | px[..., 1] << 16 | px[..., 2] << 8 | px[..., 3]
@@ -536,17 +586,22 @@ def _cost(residual: np.ndarray) -> float:
     return total
 
 
-#: Plans by effort: (subtract green, prediction: none, one mode for all tiles, or the best of a tile; palette; distances).
+#: Plans by effort: (subtract green, prediction: none, one mode for all tiles, or the best of a tile; palette; distances;
+#: whether codes are grouped by tile, with a colour cache and copies from anywhere).
 _LEFT, _NEAREST = [(1, 0), (0, 1)], [(1, 0), (0, 1), (1, 1), (-1, 1), (2, 0), (0, 2), (3, 0), (4, 0)]
 PLANS = {
-    "fast": ((True, None, False, _LEFT),),
-    "balanced": ((True, None, False, _LEFT), (True, "one", False, _LEFT), (False, None, True, _LEFT)),
-    "best": ((True, None, False, _NEAREST), (False, None, False, _NEAREST), (True, "one", False, _NEAREST), (True, "tiles", False, _NEAREST), (False, "tiles", False, _NEAREST), (False, None, True, _NEAREST)),
-}
+    "fast": ((True, None, False, _LEFT, False),),
+    "balanced": ((True, None, False, _LEFT, False), (True, "one", False, _LEFT, False), (False, None, True, _LEFT, False)),
+    "best": (
+        (True, None, False, _NEAREST, False), (False, None, False, _NEAREST, False), (True, "one", False, _NEAREST, False), (True, "tiles", False, _NEAREST, False),
+        (False, "tiles", False, _NEAREST, False), (False, None, True, _NEAREST, False),
+        (False, None, False, _NEAREST, True), (True, None, False, _NEAREST, True), (True, "tiles", False, _NEAREST, True), (False, None, True, _NEAREST, True),
+    ),
+}
 _TILE = 4  # log2 of the tile's side
 
 
-def _planned(px: np.ndarray, alpha: bool, green: bool, prediction: str | None, palette: bool, reach: list[tuple[int, int]]) -> bytes | None:
+def _planned(px: np.ndarray, alpha: bool, green: bool, prediction: str | None, palette: bool, reach: list[tuple[int, int]], grouped: bool) -> bytes | None:
     h, w, _ = px.shape
     out = _Writer()
     out.put(0x2F, 8)
@@ -593,7 +648,10 @@ def _planned(px: np.ndarray, alpha: bool, green: bool, prediction: str | None, p
         each = np.repeat(np.repeat(chosen, 1 << _TILE, 0), 1 << _TILE, 1)[:h, :w]
         px = np.take_along_axis(residuals, each[None, :, :, None], 0)[0]
     out.put(0, 1)
-    _put_image(out, _packed(px), True, reach)
+    if grouped:
+        _put_grouped(out, _packed(px), reach)
+    else:
+        _put_image(out, _packed(px), True, reach)
     return out.done()
 
 

@@ -287,6 +287,53 @@ def test_webp_effort_never_grows_files():
             assert (webp.decode(f).samples[:, :, : v.shape[2]] == v).all()
 
 
+def mixed(side: int = 96) -> np.ndarray:
+    """A pattern, grey noise, a noisy ramp and a few scattered colours, a quarter each."""
+    y, x = np.mgrid[:side, :side]
+    rng, half = np.random.default_rng(5), side // 2
+    v = np.stack([x, y, x + y], -1) + rng.integers(0, 4, (side, side, 3))
+    v[:half, :half] = ((x // 9 + y // 7) % 5 * 50)[:half, :half, None]
+    v[:half, half:] = rng.integers(0, 256, (half, half, 1))
+    v[half:, :half] = rng.integers(0, 256, (40, 3))[rng.integers(0, 40, (half, half))]
+    return v.astype(np.uint8)
+
+
+def test_webp_groups_of_codes():
+    from imagelake.sources import vp8lgroups
+
+    px = np.full((96, 96, 4), 255, np.int64)
+    px[:, :, 1:] = mixed()
+    for green, prediction in ((False, None), (True, None), (True, "tiles")):
+        plain, rich = (webp._planned(px, False, green, prediction, False, webp._NEAREST, grouped) for grouped in (False, True))
+        assert (webp.decode_lossless(rich, Limits()) == px).all()
+        assert len(rich) < 0.9 * len(plain)
+    t = vp8lgroups.tokens(webp._packed(px).ravel(), {1: 2, 96: 1})
+    assert t.cache and len(np.unique(vp8lgroups.grouped(t, 96, 96, vp8lgroups.tile_shift(96, 96)))) > 1
+    flat = vp8lgroups.tokens(np.zeros(5000, np.int64), {1: 2})  # a pixel, and copies of at most 4096
+    assert flat.start.tolist() == [0, 1, 4097] and not flat.cache
+
+
+def test_webp_copies_from_anywhere():
+    from imagelake.sources import vp8lgroups
+
+    rng = np.random.default_rng(6)
+    block = rng.integers(0, 1 << 24, 700)
+    start, length, code = vp8lgroups.walked(np.concatenate((block, rng.integers(0, 1 << 24, 50), block)), {1: 2})
+    assert length.max() == 700 and code[length.argmax()] == 750 + 120 and length.sum() == 1450
+    for v in (1, 2, 4, 5, 8, 9, 120, 121, 4096, 1 << 19):
+        assert [int(a[0]) for a in vp8lgroups.prefixes(np.array([v]))] == list(webp._prefix_of(v))
+
+
+@pytest.mark.parametrize("h, w", [(1, 1), (1, 300), (300, 1), (2, 2), (33, 17), (5, 700)])
+def test_webp_grouped_shapes(h, w):
+    rng = np.random.default_rng(h * 1000 + w)
+    for v in (np.zeros((h, w, 4)), rng.integers(0, 256, (h, w, 4)), rng.integers(0, 2, (h, w, 4)) * 255, np.broadcast_to(np.arange(w)[None, :, None] // 3 % 256, (h, w, 4))):
+        v = v.astype(np.int64)
+        for plan in (p for p in webp.PLANS["best"] if p[-1]):
+            body = webp._planned(v, True, *plan)
+            assert body is None or (webp.decode_lossless(body, Limits()) == v).all()
+
+
 def test_webp_alpha_planes():
     from imagelake.sources import webp
 
