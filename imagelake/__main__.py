@@ -1,6 +1,7 @@
 """python -m imagelake INPUT... FOLDER --to FORMAT [options]: converts image files, or folders of them, by a Spark job.
 
 --crop x,y,w,h  --resize WxH  --target-size 10K  --policy strict|preserve|preview|explicit  --encoding NAME
+--metadata keep|drop (dropped if not given)
 --option name=value (as often as needed)  --formats: lists formats and their options
 --webp-tables PATH: the text of RFC 6386, whose tables lossy WebP needs"""
 
@@ -56,7 +57,7 @@ def request_of(args: argparse.Namespace) -> Request:
         tables = tables_of(read_bytes(args.webp_tables).decode("utf-8", "replace"))
     made = Request(
         args.to, numbers(args.crop, "x,y,w,h", ",") if args.crop else None, numbers(args.resize, "wxh", "x") if args.resize else None, args.policy, args.encoding, tuple(pairs),
-        size(args.target_size) if args.target_size else None, tables,
+        size(args.target_size) if args.target_size else None, tables, args.metadata,
     )
     made.check()
     return made
@@ -68,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("to", "crop", "resize", "target-size", "encoding", "webp-tables"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--policy", choices=POLICIES, default="preview")
+    parser.add_argument("--metadata", choices=("drop", "keep"), default="drop")
     parser.add_argument("--option", action="append")
     parser.add_argument("--formats", action="store_true")
     args = parser.parse_args(argv)

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imagelake.operators.geometry import ORIENTATIONS, taps
-from imagelake.plans.planner import Capabilities, Description, Plan, PlanError, plan
+from imagelake.plans.planner import Capabilities, Description, Plan, PlanError, gate, plan
 from imagelake.sources.base import BROKEN, Image, Limits, described
 from imagelake.sources.catalog import REGISTRY
+from imagelake.sources.metadata import translated
 from imagelake.sources.options import OPTIONS, OptionError, parse
 from imagelake.sources.vp8 import Tables
 
@@ -33,6 +34,7 @@ class Request:
     options: tuple[tuple[str, str], ...] = ()
     target_bytes: int | None = None
     tables: Tables | None = None  # of lossy WebP
+    metadata: str = "drop"  # or keep: as the target's writer can say them
 
     def check(self) -> None:
         """Raises where no file could be converted as asked."""
@@ -111,7 +113,7 @@ def carried_out(image: Image, p: Plan) -> Image:
             v = resized(v, *s.args[2:])
         elif s.name == "orient":
             v = oriented(v, s.args[0])
-        elif s.name not in ("select_part", "convert_sample", "drop_metadata", "preserve_metadata", "encode_elements"):
+        elif s.name not in ("select_part", "convert_sample", "drop_metadata", "preserve_metadata", "translate_metadata", "encode_elements"):
             raise PlanError(f"{s} isn't carried out on whole files")
     if not p.steps:
         return replace(image, others={}, metadata=[])
@@ -123,8 +125,13 @@ def carried_out(image: Image, p: Plan) -> Image:
 def converted(data: bytes, request: Request, extension: str | None = None, limits: Limits = Limits()) -> Converted:
     reader, codec = REGISTRY.resolve(data[:16], extension), REGISTRY.codecs[request.to]
     source = reader.decode(data, limits, **({"tables": request.tables} if reader.format == "webp" else {}))
-    p = plan(describe(source), Capabilities.of(codec), request.policy, request.encoding, request.resize, request.crop)
+    p = plan(describe(source), Capabilities.of(codec), request.policy, request.encoding, request.resize, request.crop, request.metadata)
     image, options = carried_out(source, p), parse(request.to, request.options)
+    if request.metadata == "keep":
+        gone = {s.args[0] for s in p.steps if s.name == "drop_metadata"}
+        kept, losses = translated([e for e in source.metadata if e[0] not in gone], request.to)
+        p = replace(p, losses=p.losses + gate(request.policy, losses))
+        image = replace(image, metadata=kept)
     if request.encoding:
         options["encoding"] = request.encoding
     if request.to == "webp":

@@ -66,10 +66,11 @@ class Capabilities:
     arbitrary_names: bool = False
     multipart: bool = False
     orientation: bool = False
+    metadata: tuple[str, ...] = ()
 
     @staticmethod
     def of(codec) -> Capabilities:
-        return Capabilities(codec.samples, codec.channel_counts, codec.encodings, codec.arbitrary_names, codec.multipart, codec.orientation)
+        return Capabilities(codec.samples, codec.channel_counts, codec.encodings, codec.arbitrary_names, codec.multipart, codec.orientation, codec.metadata)
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,10 @@ class Plan:
         return replace(self, steps=[*self.steps, Step(name, args)])
 
 
-#: Steps that are named in plans and refused: codecs do the one kind themselves, and nothing defines the other.
+#: Steps that frames of pixels refuse: codecs do the one kind themselves, and pixels carry no metadata.
 REFUSED = ("remove_supercompression", "apply_supercompression", "translate_metadata")
+#: Namespaces whose entries other formats can say.
+TRANSLATABLE = ("png", "png.text", "exr", "ktx2", "hdr", "jpeg")
 
 # Channels of encoded targets, and the samples that their colours are brought to first.
 ENCODED = {
@@ -137,9 +140,11 @@ def converted(sample: str, to: str) -> Loss:
     return Loss("dynamic_range" if sample.startswith("float") and not to.startswith("float") else "numeric", f"{sample} to {to}")
 
 
-def plan(source: Description, target: Capabilities, policy: str = "preserve", encoding: str | None = None, resize: tuple[int, int] | None = None, crop: tuple[int, int, int, int] | None = None) -> Plan:
+def plan(source: Description, target: Capabilities, policy: str = "preserve", encoding: str | None = None, resize: tuple[int, int] | None = None, crop: tuple[int, int, int, int] | None = None, metadata: str = "drop") -> Plan:
     if policy not in POLICIES:
         raise PlanError(f"unknown policy {policy}")
+    if metadata not in ("drop", "keep"):
+        raise PlanError(f"metadata can be dropped or kept, not {metadata}", "metadata")
     if resize and min(resize) <= 0 or crop and (min(crop[2:]) <= 0 or min(crop[:2]) < 0):
         raise PlanError("extents must be positive", "topology")
     if crop and (crop[0] + crop[2] > source.width or crop[1] + crop[3] > source.height):
@@ -159,7 +164,7 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
     if source.encoding and source.encoding == (encoding or source.encoding) and source.encoding in target.encodings and not resize and not crop and fixed:
         steps.append(Step("transcode", (source.encoding,)))
         dropped: list[Loss] = []
-        steps += _metadata(source, dropped)
+        steps += _metadata(source, dropped, target, metadata)
         return _finish(Plan(steps, replace(now, metadata=()), losses + gate(policy, dropped), policy))
     if source.encoding:
         steps.append(Step("decode_elements", (source.encoding, source.width, source.height)))
@@ -203,7 +208,7 @@ def plan(source: Description, target: Capabilities, policy: str = "preserve", en
         losses += gate(policy, [Loss("orientation", "pixels are turned, as the target has no orientation", semantic=False)])
         swap = source.orientation in ("transpose", "rotate90", "rotate270", "transverse")
         now = replace(now, orientation="identity", width=now.height if swap else now.width, height=now.width if swap else now.height)
-    steps += _metadata(source, losses)
+    steps += _metadata(source, losses, target, metadata)
     if encoding:
         steps.append(Step("encode_elements", (encoding,)))
         losses += gate(policy, [Loss("compression", f"encoded as {encoding}")])
@@ -254,10 +259,18 @@ def _channels(now: Description, target: Capabilities, encoding: str | None, step
     return replace(now, channels=now_names)
 
 
-def _metadata(source: Description, losses: list[Loss]) -> list[Step]:
-    names = sorted(set(source.metadata))
-    losses += [Loss("metadata", f"namespace {n} dropped") for n in names]
-    return [Step("drop_metadata", (n,)) for n in names]
+def _metadata(source: Description, losses: list[Loss], target: Capabilities, metadata: str) -> list[Step]:
+    """A step for each namespace. What kept ones lose depends on their entries, and is reported where these are at hand."""
+    steps, family = [], lambda n: n.partition(".")[0]
+    for n in sorted(set(source.metadata)):
+        if metadata == "keep" and family(n) in map(family, target.metadata) and n != "exr.part":
+            steps.append(Step("preserve_metadata", (n,)))
+        elif metadata == "keep" and target.metadata and n in TRANSLATABLE:
+            steps.append(Step("translate_metadata", (n, target.metadata[-1])))
+        else:
+            steps.append(Step("drop_metadata", (n,)))
+            losses.append(Loss("metadata", f"namespace {n} dropped"))
+    return steps
 
 
 def _finish(p: Plan) -> Plan:

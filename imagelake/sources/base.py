@@ -119,6 +119,7 @@ class Codec:
     indexed: bool = False
     big_endian: bool = False
     contract: WriterContract = WriterContract()
+    metadata: tuple[str, ...] = ()  # namespaces that the writer emits, the one of texts last
 
 
 class Registry:

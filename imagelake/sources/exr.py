@@ -12,12 +12,15 @@ import numpy as np
 
 from imagelake.sources import piz
 from imagelake.sources.base import FormatError, Image, Limits
+from imagelake.sources.metadata import exr_attribute, exr_value
 
 MAGIC = b"\x76\x2f\x31\x01"
 # Lines per chunk by compression.
 COMPRESSIONS = {0: ("none", 1), 1: ("rle", 1), 2: ("zips", 1), 3: ("zip", 16), 4: ("piz", 32), 5: ("pxr24", 16), 6: ("b44", 32), 7: ("b44a", 32), 8: ("dwaa", 32), 9: ("dwab", 256)}
 KINDS = {0: ("uint32", "<u4"), 1: ("float16", "<f2"), 2: ("float32", "<f4")}
 REQUIRED = ("channels", "compression", "dataWindow", "displayWindow", "lineOrder", "pixelAspectRatio", "screenWindowCenter", "screenWindowWidth")
+#: Attributes that a writer makes itself.
+RESERVED = (*REQUIRED, "tiles", "name", "type", "chunkCount")
 
 
 def _string(data: bytes, at: int) -> tuple[str, int]:
@@ -303,7 +306,7 @@ def _part(data: bytes, attributes: dict, version: int, at: int, number: int, lim
     wide = np.float16 if kinds == {"float16"} else np.uint32 if kinds == {"uint32"} else np.float32
     whole = lambda planes, lw, lh: np.stack([np.repeat(np.repeat(planes[c], sy, 0), sx, 1)[:lh, :lw].astype(wide) for c, k, sx, sy in channels], 2)
     others = {(0, 0, 0, i if mode & 15 == 1 else (i, j)): whole(kept[i, j], lw, lh) for i, j, lw, lh in found[1:]}
-    other = [("exr", name, value) for name, (_, value) in attributes.items() if name not in (*REQUIRED, "tiles", "name", "type", "chunkCount")]
+    other = [("exr", name, exr_value(*held)) for name, held in attributes.items() if name not in RESERVED]
     return Image("exr", [c[0] for c in channels], np.dtype(wide).name, whole(kept[0, 0], w, h), metadata=other, window=(x0, y0), others=others), at + 8 * len(regions)
 
 
@@ -315,7 +318,7 @@ def encode(image: Image, compression: str = "zip", tile: tuple[int, int] | None
 def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile: tuple[int, int] | None = None, levels: int = 0) -> bytes:
     """Named parts, each in scan lines or, with `tile`, in tiles; more than one make a multi-part file."""
     code, (_, lines) = next((k, v) for k, v in COMPRESSIONS.items() if v[0] == compression)
-    multi, heads, bodies = len(parts) > 1, b"", []
+    multi, heads, bodies, long_names = len(parts) > 1, b"", [], False
     for number, (name, image) in enumerate(parts):
         kind = {"uint32": 0, "float16": 1, "float32": 2}.get(image.sample)
         if kind is None:
@@ -353,9 +356,11 @@ def encode_parts(parts: list[tuple[str, Image]], compression: str = "zip", tile:
             attributes.append(("tiles", "tiledesc", struct.pack("<IIB", *tile, levels)))
         if multi:
             attributes += [("name", "string", name.encode()), ("type", "string", b"tiledimage" if tile else b"scanlineimage"), ("chunkCount", "int", struct.pack("<i", len(chunks)))]
+        attributes += [(key, *exr_attribute(value)) for space, key, value in image.metadata if space == "exr" and key not in RESERVED]
+        long_names |= any(len(n.encode()) > 31 for n, _, _ in attributes)
         heads += b"".join(n.encode() + b"\0" + t.encode() + b"\0" + struct.pack("<I", len(v)) + v for n, t, v in attributes) + b"\0"
         bodies.append(chunks)
-    out = MAGIC + struct.pack("<I", 2 | 0x1000 * multi | 0x200 * (tile is not None and not multi)) + heads + (b"\0" if multi else b"")
+    out = MAGIC + struct.pack("<I", 2 | 0x1000 * multi | 0x200 * (tile is not None and not multi) | 0x400 * long_names) + heads + (b"\0" if multi else b"")
     at, tables = len(out) + 8 * sum(map(len, bodies)), []
     for chunks in bodies:
         for c in chunks:

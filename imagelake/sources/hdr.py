@@ -121,7 +121,8 @@ def encode(image: Image) -> bytes:
     h, w, _ = image.samples.shape
     rgbe = encode_rgbe(image.samples[..., :3])
     signs = {"identity": "-Y {h} +X {w}", "flip_x": "-Y {h} -X {w}", "flip_y": "+Y {h} +X {w}", "rotate180": "+Y {h} -X {w}"}
-    out = bytearray(b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n" + signs[image.orientation].format(h=h, w=w).encode() + b"\n")
+    lines = "".join(f"{key}={value}\n" for space, key, value in image.metadata if space == "hdr").encode("latin-1")
+    out = bytearray(b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n" + lines + b"\n" + signs[image.orientation].format(h=h, w=w).encode() + b"\n")
     if not 8 <= w <= 32767:
         return bytes(out) + rgbe.tobytes()
     for y in range(h):

@@ -398,6 +398,7 @@ def encode(image: Image, quality: int = 90, subsampling: str = "420", progressiv
     factors = [(hs, vs), (1, 1), (1, 1)][:n]
     seg = lambda m, p: b"\xff" + bytes([m]) + struct.pack(">H", len(p) + 2) + p
     out = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
+    out += b"".join(seg(0xFE, value) for space, key, value in image.metadata if (space, key) == ("jpeg", "comment"))
     for k, t in enumerate(tables):
         out += seg(0xDB, bytes([k]) + bytes(t[_ZIG].tolist()))
     frame = struct.pack(">BHHB", 8, h, w, n) + b"".join(bytes((k + 1, fh << 4 | fv, min(k, 1))) for k, (fh, fv) in enumerate(factors))

@@ -228,6 +228,27 @@ def high_entropy(rows: np.ndarray, bpp: int, least: float = 5.0) -> bool:
     return sum(entropies) / len(entropies) >= least
 
 
+def _described(metadata: list) -> list[tuple[bytes, bytes]]:
+    """Chunks of an image's metadata. Texts beyond Latin-1 are international ones."""
+    out = []
+    for space, key, value in metadata:
+        if space == "png.text":
+            head = key.encode("latin-1") + b"\0"
+            try:
+                out.append((b"tEXt", head + value.encode("latin-1")))
+            except UnicodeEncodeError:
+                out.append((b"iTXt", head + bytes(4) + value.encode()))
+        elif space == "png" and key == "gamma":
+            out.append((b"gAMA", struct.pack(">I", round(value * 100000))))
+        elif space == "png" and key == "chromaticities":
+            out.append((b"cHRM", struct.pack(">8I", *(round(v * 100000) for v in value))))
+        elif space == "png" and key == "sRGB":
+            out.append((b"sRGB", bytes([value])))
+        elif space == "png" and key.startswith("icc:"):
+            out.append((b"iCCP", key[4:].encode("latin-1") + b"\0\0" + zlib.compress(value)))
+    return out
+
+
 def encode(image: Image, level: int | None = None, row_filter: int | None = None, effort: str = "smallest") -> bytes:
     """8 or 16 bits, one to four channels or an index with a palette. Without a level or filter the effort decides:
     `smallest` tries filters on a sample, `fast` stores what no filter makes smaller; else a filter per row by least
@@ -269,6 +290,7 @@ def encode(image: Image, level: int | None = None, row_filter: int | None = None
         return struct.pack(">I", len(payload)) + kind + payload + struct.pack(">I", zlib.crc32(kind + payload))
 
     out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, 0))
+    out += b"".join(chunk(*c) for c in _described(image.metadata))
     if color == 3:
         out += chunk(b"PLTE", image.palette.astype(np.uint8).tobytes())
     return out + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
