@@ -418,3 +418,28 @@ def packed_fields(spark, sf_dir):
     word = F.pmod(F.col("p_partkey") * 2654435761, F.lit(4294967296))
     each = F.array(*(F.struct(F.lit(f).alias("format"), F.lit(c).alias("field"), field(word, at, n).alias("value")) for f, fields in FIELDS.items() for c, at, n in fields))
     return read(spark, sf_dir, "part").select("p_partkey", F.inline(each))
+
+
+_TEXTS = """t AS (SELECT p_partkey, unnest([struct_pack(k := 'Title', v := p_name), struct_pack(k := 'Author', v := p_brand), struct_pack(k := 'Comment', v := p_type), struct_pack(k := 'Stock Size', v := CAST(p_size AS VARCHAR))], recursive := true) FROM part)"""
+
+
+@query(f"""WITH {_TEXTS} SELECT p_partkey, 'exr' AS format, 'exr' AS namespace, CASE k WHEN 'Comment' THEN 'comments' ELSE k END AS key, v AS value FROM t
+UNION ALL SELECT p_partkey, 'ktx2', 'ktx2', k, v FROM t UNION ALL SELECT p_partkey, 'png', 'png.text', k, v FROM t""")
+def metadata_translated(spark, sf_dir):
+    """Each part's texts in a small PNG, through an EXR and a KTX2 file and back: what every file says, under its own names."""
+    from imagelake.plans.convert import Request, convert_files
+    from imagelake.sources.metadata import file_metadata
+
+    texts = F.create_map(F.lit("Title"), "p_name", F.lit("Author"), "p_brand", F.lit("Comment"), "p_type", F.lit("Stock Size"), F.col("p_size").cast("string"))
+    samples = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: ((F.col("p_partkey") + 7 * i) % 256).cast("double"))
+    parts = read(spark, sf_dir, "part").select(
+        "p_partkey", F.lit(4).alias("width"), F.lit(4).alias("height"), F.array(*map(F.lit, "RGB")).alias("channels"), F.lit("unorm8").alias("sample"), F.lit("identity").alias("orientation"),
+        samples.alias("samples"), texts.alias("texts"),
+    )
+    files, made = catalog.encode_images(parts, "png", carry=("p_partkey",), texts="texts"), []
+    for to in ("exr", "ktx2", "png"):  # each file is made once, from the one before
+        files = convert_files(files.select("p_partkey", *made, "content"), Request(to, metadata="keep"), carry=("p_partkey", *made))
+        made.append(f"as_{to}")
+        files = files.withColumn(made[-1], F.col("content"))
+    each = F.explode(F.array(*(F.struct(F.lit(m[3:]).alias("format"), F.col(m).alias("content")) for m in made))).alias("file")
+    return file_metadata(files.select("p_partkey", each).select("p_partkey", "file.*"), ("p_partkey", "format")).drop("ordinal")

@@ -136,8 +136,11 @@ def decode_levels(files: DataFrame, content: str = "content", limits: Limits = L
     return source.mapInArrow(run, f"{ddl}, part int, element int, face int, level_x int, level_y int, width int, height int, channels array<string>, samples array<double>")
 
 
-def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carry: tuple[str, ...] = ("path",), with_mips: bool = False) -> DataFrame:
-    """Rows of IMAGE_SCHEMA -> carry..., content and error; with all mip levels in formats that hold them."""
+def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carry: tuple[str, ...] = ("path",), with_mips: bool = False, texts: str | None = None) -> DataFrame:
+    """Rows of IMAGE_SCHEMA -> carry..., content and error; with all mip levels in formats that hold them. texts: a column
+    with a map of names, as PNG has them, to texts; one that the format can't hold is an error of its row."""
+    from imagelake.sources.metadata import translated
+
     codec, options = REGISTRY.codecs[fmt], options or {}
     kinds = {"float16": np.float16, "float32": np.float32, "uint32": np.uint32, "unorm16": np.uint16}
 
@@ -151,7 +154,11 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
                         raise FormatError(fmt, "NoImage")
                     v = held[i].values.to_numpy(zero_copy_only=False).reshape(r["height"], r["width"], len(r["channels"])).astype(kinds.get(r["sample"], np.uint8))
                     others = {(0, 0, 0, k): m for k, m in enumerate(mips(v), 1)} if with_mips else {}
-                    out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity", others=others), **options))
+                    said, lost = translated([("png.text", k, t) for k, t in r[texts] or () if t is not None], fmt) if texts else ([], [])
+                    for x in lost:
+                        if x.semantic:
+                            raise FormatError(fmt, "Unsupported.Metadata", x.message)
+                    out.append(codec.encode(Image(fmt, r["channels"], r["sample"], v, orientation=r["orientation"] or "identity", others=others, metadata=said), **options))
                     bad.append(None)
                 except BROKEN as e:
                     out.append(None)
@@ -159,7 +166,7 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(out, pa.binary()), pa.array(bad, pa.string())], [*carry, "content", "error"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema.fields if f.name in carry)
-    needed = images.select(*carry, "width", "height", "channels", "sample", "orientation", "samples")
+    needed = images.select(*carry, "width", "height", "channels", "sample", "orientation", "samples", *([texts] if texts else []))
     return needed.mapInArrow(run, f"{ddl}, content binary, error string")
 
 

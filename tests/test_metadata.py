@@ -115,3 +115,17 @@ def test_rows_of_files(spark):
     assert found[4, "ktx2", "raw"] == "0102" and found[4, "ktx2", "KTXwriter"] == "me" and {k[0] for k in found} == {1, 4}
     made = {r.path: r for r in convert_files(files, Request("exr", metadata="keep")).collect()}
     assert "translate_metadata(png.text, exr)" in made[1].steps and made[1].losses.count("metadata") == 2 and made[2].error and made[3].error
+
+
+def test_texts_of_image_rows(spark):
+    from imagelake.sources.catalog import IMAGE_SCHEMA, encode_images
+
+    row = lambda k, texts: (k, "png", 1, 1, ["R", "G", "B"], "unorm8", None, "identity", [1.0, 2.0, 3.0], None, texts)
+    rows = [row(1, {"Title": "a", "Author": None}), row(2, None), row(3, {}), row(4, {"x\0": "b"})]
+    images = spark.createDataFrame(rows, f"path int, {IMAGE_SCHEMA}, texts map<string, string>")
+    for fmt, name in (("png", "png.text"), ("jpeg", None)):
+        made = {r.path: r for r in encode_images(images, fmt, texts="texts").collect()}
+        if name:
+            assert [held(made[k].content) for k in (1, 2, 3)] == [[(name, "Title", "a")], [], []] and "no keyword" in made[4].error
+        else:
+            assert made[1].content is None and "no counterpart" in made[1].error and made[2].content
