@@ -154,7 +154,7 @@ def encode_images(images: DataFrame, fmt: str, options: dict | None = None, carr
                         raise FormatError(fmt, "NoImage")
                     v = held[i].values.to_numpy(zero_copy_only=False).reshape(r["height"], r["width"], len(r["channels"])).astype(kinds.get(r["sample"], np.uint8))
                     others = {(0, 0, 0, k): m for k, m in enumerate(mips(v), 1)} if with_mips else {}
-                    said, lost = translated([("png.text", k, t) for k, t in r[texts] or () if t is not None], fmt) if texts else ([], [])
+                    said, lost = translated([("text", k, t) for k, t in r[texts] or () if t is not None], fmt) if texts else ([], [])
                     for x in lost:
                         if x.semantic:
                             raise FormatError(fmt, "Unsupported.Metadata", x.message)
