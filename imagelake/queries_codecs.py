@@ -359,19 +359,18 @@ def converted_files(spark, sf_dir):
 
 @query("SELECT vec_id, true AS fits, true AS best FROM embeddings")
 def target_size_files(spark, sf_dir):
-    """JPEG files of at most 330 bytes where any quality gives one: the file fits or has the lowest quality, and the next
-    quality, if there is one, doesn't fit."""
+    """JPEG files of at most 330 bytes where any quality gives one: the file fits or has the lowest quality, and of the
+    tenth qualities none above it fits."""
     from imagelake.plans.convert import Request, convert_files
 
     source = png_files(spark, sf_dir)
     made = convert_files(source, Request("jpeg", target_bytes=330), carry=("vec_id",)).select("vec_id", F.octet_length("content").alias("bytes"), "quality", "reached")
     every = None
-    for q in range(10, 101, 10):  # the next of some qualities, for all files
+    for q in range(10, 101, 10):
         one = convert_files(source, Request("jpeg", options=(("quality", str(q)),)), carry=("vec_id",)).select("vec_id", F.lit(q).alias("q"), F.octet_length("content").alias("size"))
         every = one if every is None else every.unionByName(one)
     fits = F.when(F.col("reached"), F.col("bytes") <= 330).otherwise(F.col("quality") == 1)
-    # Sizes grow with quality but for a few bytes, so qualities well above the chosen one are larger than the target.
-    above = every.join(made, "vec_id").filter("q > quality + 15").groupBy("vec_id").agg(F.bool_and(F.col("size") > 330).alias("above"))
+    above = every.join(made, "vec_id").filter("q > quality").groupBy("vec_id").agg(F.bool_and(F.col("size") > 330).alias("above"))
     return made.join(above, "vec_id", "left").select("vec_id", fits.alias("fits"), F.coalesce("above", F.lit(True)).alias("best"))
 
 

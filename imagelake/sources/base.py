@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -103,7 +103,8 @@ class WriterContract:
 
 @dataclass(frozen=True)
 class Codec:
-    """decode(bytes, Limits) -> Image; encode(Image, **options) -> bytes or None; probe(head) -> confidence 0 to 3."""
+    """decode(bytes, Limits) -> Image; encode(Image, **options) -> bytes or None; probe(head) -> confidence 0 to 3;
+    least(Image, qualities, **options) -> for each quality, bytes that the encoded file has at least."""
 
     format: str
     extensions: tuple[str, ...]
@@ -120,6 +121,7 @@ class Codec:
     big_endian: bool = False
     contract: WriterContract = WriterContract()
     metadata: tuple[str, ...] = ()  # namespaces that the writer emits, the one of texts last
+    least: Callable[..., Iterator[int]] | None = None
 
 
 class Registry:

@@ -17,7 +17,7 @@ from imagelake.sources.base import BROKEN, Codec, FormatError, Image, Limits, Re
 REGISTRY = Registry()
 for _codec in (
     Codec("png", ("png",), lambda h: 3 if h[:8] == png.SIGNATURE else 0, png.decode, png.encode, ("unorm1", "unorm2", "unorm4", "unorm8", "unorm16"), (1, 2, 3, 4), indexed=True, big_endian=True, contract=WriterContract(1), metadata=("png", "png.text")),
-    Codec("jpeg", ("jpg", "jpeg"), lambda h: 3 if h[:3] == b"\xff\xd8\xff" else 0, jpeg.decode, jpeg.encode, ("unorm8",), (1, 3), big_endian=True, contract=WriterContract(0), metadata=("jpeg",)),
+    Codec("jpeg", ("jpg", "jpeg"), lambda h: 3 if h[:3] == b"\xff\xd8\xff" else 0, jpeg.decode, jpeg.encode, ("unorm8",), (1, 3), big_endian=True, contract=WriterContract(0), metadata=("jpeg",), least=jpeg.least_sizes),
     Codec("exr", ("exr",), lambda h: 3 if h[:4] == exr.MAGIC else 0, exr.decode, exr.encode, ("float16", "float32", "uint32"), None, arbitrary_names=True, multipart=True, contract=WriterContract(16, "arbitrary", seekable=True), metadata=("exr",)),
     Codec("hdr", ("hdr", "pic"), lambda h: 3 if h[:10] == b"#?RADIANCE" else 2 if h[:6] == b"#?RGBE" else 0, hdr.decode, hdr.encode, ("float32",), (3,), ("rgbe",), orientation=True, contract=WriterContract(1), metadata=("hdr",)),
     Codec("dds", ("dds",), lambda h: 3 if h[:4] == b"DDS " else 0, dds.decode_dds, dds.encode_dds, ("unorm8", "unorm16", "float16", "float32"), (1, 2, 4), tuple(k for k, v in dds.FORMATS.items() if v[6]), contract=WriterContract(4)),

@@ -252,3 +252,23 @@ def test_stream(spark, tmp_path):
     q = image_stream(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("images").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.format, r.width, r.height) for r in spark.table("images").collect()] == [("png", 2, 3)]
+
+
+def test_target_size_takes_the_best_of_all_qualities():
+    """Sizes that fall where quality rises don't mislead the search, and bounds of sizes hold."""
+    from imagelake.plans.convert import Request, converted
+    from imagelake.sources import jpeg
+
+    rng, dips = np.random.default_rng(3), 0
+    for k in range(24):
+        image = Image("png", list("RGB"), "unorm8", rng.integers(0, 256, (8, 8, 3) if k % 2 else (9, 7, 3)).astype(np.uint8))
+        sizes = [len(jpeg.encode(image, quality=q)) for q in range(1, 101)]
+        least = list(jpeg.least_sizes(image, range(1, 101)))
+        assert all(a <= b for a, b in zip(least, sizes, strict=True)) and sum(sizes) - sum(least) < 400
+        dips += sum(a > b for a, b in zip(sizes, sizes[1:]))
+        for target in (sizes[0] - 1, sizes[30], sizes[60], sizes[80]):
+            fits = [q for q, size in enumerate(sizes, 1) if size <= target]
+            made = converted(png.encode(image), Request("jpeg", target_bytes=target))
+            assert (made.quality, made.reached) == ((fits[-1], True) if fits else (1, False))
+            assert len(made.content) == sizes[made.quality - 1]
+    assert dips
