@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imagelake.functions import grid
-from imagelake.query_base import RASTER, byte_raster, query, raster, read
+from imagelake.query_base import RASTER, byte_raster, query, raster, read, spread
 from imagelake.sources import bc6h, catalog, dds
 
 LOSSLESS = "SELECT vec_id, 0e0 AS max_error, CAST(NULL AS VARCHAR) AS error FROM embeddings"
@@ -426,19 +426,16 @@ _TEXTS = """t AS (SELECT p_partkey, unnest([struct_pack(k := 'Title', v := p_nam
 UNION ALL SELECT p_partkey, 'ktx2', 'ktx2', k, v FROM t UNION ALL SELECT p_partkey, 'png', 'png.text', k, v FROM t""")
 def metadata_translated(spark, sf_dir):
     """Each part's texts in a small PNG, through an EXR and a KTX2 file and back: what every file says, under its own names."""
-    from imagelake.plans.convert import Request, convert_files
+    from imagelake.plans.convert import Request, convert_chain
     from imagelake.sources.metadata import file_metadata
 
     texts = F.create_map(F.lit("Title"), "p_name", F.lit("Author"), "p_brand", F.lit("Comment"), "p_type", F.lit("Stock Size"), F.col("p_size").cast("string"))
     samples = F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: ((F.col("p_partkey") + 7 * i) % 256).cast("double"))
-    parts = read(spark, sf_dir, "part").select(
+    parts = spread(read(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", F.lit(4).alias("width"), F.lit(4).alias("height"), F.array(*map(F.lit, "RGB")).alias("channels"), F.lit("unorm8").alias("sample"), F.lit("identity").alias("orientation"),
         samples.alias("samples"), texts.alias("texts"),
     )
-    files, made = catalog.encode_images(parts, "png", carry=("p_partkey",), texts="texts"), []
-    for to in ("exr", "ktx2", "png"):  # each file is made once, from the one before
-        files = convert_files(files.select("p_partkey", *made, "content"), Request(to, metadata="keep"), carry=("p_partkey", *made))
-        made.append(f"as_{to}")
-        files = files.withColumn(made[-1], F.col("content"))
-    each = F.explode(F.array(*(F.struct(F.lit(m[3:]).alias("format"), F.col(m).alias("content")) for m in made))).alias("file")
-    return file_metadata(files.select("p_partkey", each).select("p_partkey", "file.*"), ("p_partkey", "format")).drop("ordinal")
+    files, formats = catalog.encode_images(parts, "png", carry=("p_partkey",), texts="texts"), ("exr", "ktx2", "png")
+    made = convert_chain(files, [Request(to, metadata="keep") for to in formats], carry=("p_partkey",))  # each file of the one before
+    named = made.select("p_partkey", F.get(F.array(*map(F.lit, formats)), "step").alias("format"), "content")
+    return file_metadata(named, ("p_partkey", "format")).drop("ordinal")

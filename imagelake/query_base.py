@@ -23,6 +23,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that makes files of rows.
+ROWS_PER_TASK = 5000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in as many partitions as their number asks for: small rows that stand for long work come in few files."""
+    n = rows.select(key).count()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK)), key)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as 8-bit pixels; (id, n) names them, though not uniquely."""
     i = lambda c: F.round(c).cast("int")

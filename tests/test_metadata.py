@@ -129,3 +129,32 @@ def test_texts_of_image_rows(spark):
             assert [held(made[k].content) for k in (1, 2, 3)] == [[(name, "Title", "a")], [], []] and "no keyword" in made[4].error
         else:
             assert made[1].content is None and "no counterpart" in made[1].error and made[2].content
+
+
+def test_rows_of_one_file_are_dealt_out_by_their_number(spark, monkeypatch):
+    from imagelake import query_base
+    from imagelake.queries import QUERIES
+
+    monkeypatch.setattr(query_base, "ROWS_PER_TASK", 10)
+    made = QUERIES["metadata_translated"](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/part.parquet").count() // 10)
+
+
+def test_chain_makes_each_file_of_the_one_before(spark, monkeypatch):
+    from imagelake.plans import convert
+    from imagelake.sources import png
+
+    image = Image("png", list("RGB"), "unorm8", np.arange(48, dtype=np.uint8).reshape(4, 4, 3), metadata=[("png.text", "Comment", "a b")])
+    files = spark.createDataFrame([(k, bytearray(png.encode(image)) if k else bytearray(b"?")) for k in range(5)], "k int, content binary").coalesce(1)
+    requests = [convert.Request(to, metadata="keep") for to in ("exr", "ktx2", "png")]
+    want, rest = {}, files
+    for step, r in enumerate(requests):
+        rest = convert.convert_files(rest.select("k", "content"), r, ("k",))
+        want |= {(x.k, step): x for x in rest.collect()}
+    for size in (convert.HANDED_ON, 1):
+        monkeypatch.setattr(convert, "HANDED_ON", size)
+        made = convert.convert_chain(files, requests, ("k",)).collect()
+        assert len(made) == len(want) == 15
+        for r in made:
+            assert (r.content, r.steps, r.losses, r.error) == (lambda w: (w.content, w.steps, w.losses, w.error))(want[r.k, r.step])
+            assert (r.error is None) == (r.k > 0)
