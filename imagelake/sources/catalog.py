@@ -79,9 +79,13 @@ def image_row(content: bytes | None, extension: str | None, limits: Limits, opti
         return None, None, None, None, None, None, None, None, (e.fmt, e.code, e.message, e.offset)
 
 
+#: Samples of decoded images after which a batch is handed on.
+HANDED_ON = 1 << 17
+
+
 def decode_images(files: DataFrame, content: str = "content", extension: str | None = None, limits: Limits = Limits(), carry: tuple[str, ...] = ("path",), options: dict | None = None) -> DataFrame:
-    """files (carry..., content) -> carry... and IMAGE_SCHEMA. A task holds one batch of files and one image. options: of
-    decoders, by format, as {"webp": {"tables": ...}}."""
+    """files (carry..., content) -> carry... and IMAGE_SCHEMA. A task holds one batch of files, and one image besides some
+    small ones. options: of decoders, by format, as {"webp": {"tables": ...}}."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
@@ -90,10 +94,16 @@ def decode_images(files: DataFrame, content: str = "content", extension: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, data in enumerate(b.column("_content").to_pylist()):
-                row = image_row(data, extension, limits, options)
-                made = [pa.array([v], f.type) if not isinstance(v, tuple) else pa.array([dict(zip(("format", "code", "message", "offset"), v, strict=True))], f.type) for v, f in zip(row, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in carry), *made], [*carry, *(f.name for f in arrow)])
+            where, rows, held = [], [], 0
+            for i in range(b.num_rows):
+                rows.append(image_row(b.column("_content")[i].as_py(), extension, limits, options))
+                where.append(i)
+                held += 0 if rows[-1][7] is None else len(rows[-1][7])
+                if held >= HANDED_ON or i + 1 == b.num_rows:
+                    columns = [[v if not isinstance(v, tuple) else dict(zip(("format", "code", "message", "offset"), v, strict=True)) for v in c] for c in zip(*rows, strict=True)]
+                    at = pa.array(where, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in carry), *(pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True))], [*carry, *(f.name for f in arrow)])
+                    where, rows, held = [], [], 0
 
     source = files.select(*carry, F.col(content).alias("_content"))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), IMAGE_SCHEMA])
@@ -215,7 +225,7 @@ class TextureReader(DataSourceReader):
             if dds.header_bytes(data) > len(data):  # a KTX2 header holds metadata of any size
                 data = read_bytes(path, 0, dds.header_bytes(data))
             layout = dds.dds_layout(data) if data[:4] == b"DDS " else dds.ktx2_layout(data)
-            for key, (at, stored, packed) in layout.places.items():
+            for key, (at, stored, packed) in layout.places():
                 place = dict(zip(("element", "face", "level"), key, strict=False))
                 if all(place[k] == v for k, v in self.wanted.items()):
                     out.append(_Band(path, key[2], at, stored, (layout.name, key, packed, *layout.size(key[2]), layout.bytes_of(key[2]))))

@@ -202,3 +202,32 @@ def test_exr_source_of_parts_and_damaged_chunks(spark, tmp_path):
     assert out.filter("part = 0").count() == 320
     with pytest.raises(Exception, match="BadChunk"):
         out.filter("part = 1").count()
+
+
+def test_headers_that_name_millions_of_subresources_take_no_memory():
+    import struct
+    import tracemalloc
+
+    from imagelake.sources import dds
+    from imagelake.sources.base import FormatError, Image
+
+    data = bytearray(dds.encode_dds(Image("dds", list("RGBA"), "unorm8", np.zeros((8, 8, 4), np.uint8))))
+    data[28:32], data[136:144] = struct.pack("<I", 4), struct.pack("<II", 4, 65536)  # levels; cube faces, array elements
+    tracemalloc.start()
+    with pytest.raises(FormatError, match="TruncatedData") as e:
+        dds.decode_dds(bytes(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert e.value.offset == len(data) and peak < 1 << 20, (e.value.offset, peak)
+
+
+def test_decoded_batches_end_by_their_samples(spark, monkeypatch):
+    from imagelake.sources import catalog
+    from imagelake.sources.base import Image
+
+    png = catalog.REGISTRY.codecs["png"]
+    files = spark.createDataFrame([(str(k), bytearray(png.encode(Image("png", ["Y"], "unorm8", np.full((2, 3, 1), k, np.uint8)))) if k % 3 else None) for k in range(9)], "path string, content binary").coalesce(1)
+    want = [(str(k), [float(k)] * 6 if k % 3 else None, None if k % 3 else "any") for k in range(9)]
+    for size in (catalog.HANDED_ON, 10, 1):
+        monkeypatch.setattr(catalog, "HANDED_ON", size)
+        assert [(r.path, r.samples, r.error and r.error.format) for r in catalog.decode_images(files).collect()] == want
