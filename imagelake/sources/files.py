@@ -6,9 +6,14 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of contents after which a batch is handed on.
+HANDED_ON = 4 << 20
 
 
 def at(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -36,6 +41,46 @@ def listed(uri: str, endings: tuple[str, ...]) -> list[str]:
     return [uri.rstrip("/") + f.path[len(path.rstrip("/")) :] for f in sorted(found, key=lambda f: f.path) if f.type == pafs.FileType.File and f.path.lower().endswith(endings)]
 
 
+def _each(rows: DataFrame, make: Callable[[str], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """The rows that `make` gives for each text of one column, in batches of about HANDED_ON bytes of contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for row in make(text):
+                    made.append(row)
+                    size += 256 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+                    if size >= HANDED_ON:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+                        made, size = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder, listed by tasks: one lists the folder itself, others what is below each folder
+    in it. The driver holds no list, which Spark's own file sources do."""
+
+    def entries(uri: str, recursive: bool) -> Iterator[tuple[str, bool]]:
+        fs, path = at(uri)
+        for f in fs.get_file_info(pafs.FileSelector(path, recursive=recursive)):
+            if f.type == pafs.FileType.File or not recursive:
+                yield uri.rstrip("/") + f.path[len(path.rstrip("/")) :], f.type == pafs.FileType.Directory
+
+    schema, ddl = pa.schema([("path", pa.string()), ("folder", pa.bool_())]), "path string, folder boolean"
+    top = _each(spark.createDataFrame([(folder,)], "path string"), lambda uri: entries(uri, False), schema, ddl)
+    below = top.filter("folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+    return top.filter("not folder").unionByName(_each(below, lambda uri: entries(uri, True), schema, ddl)).select("path")
+
+
+def contents(paths: DataFrame) -> DataFrame:
+    """(path, content) of files, each read by the task that has its path."""
+    return _each(paths.select("path"), lambda uri: iter([(uri, read_bytes(uri))]), pa.schema([("path", pa.string()), ("content", pa.binary())]), "path string, content binary")
+
+
 def replace_file(fs: pafs.FileSystem, temporary: str, path: str) -> None:
     """Moves a whole file to its place. Most stores put it over an older one in one step; where one refuses, the older
     file is set aside first, and comes back if the move fails."""

@@ -231,3 +231,25 @@ def test_decoded_batches_end_by_their_samples(spark, monkeypatch):
     for size in (catalog.HANDED_ON, 10, 1):
         monkeypatch.setattr(catalog, "HANDED_ON", size)
         assert [(r.path, r.samples, r.error and r.error.format) for r in catalog.decode_images(files).collect()] == want
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """All files below a folder, with no list of them in the driver's plan."""
+    for place in ("a", "0/b.png", "0/c.png", "1/x/y/d", "2/e f.exr"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_bytes(place.encode() * 3)
+    (tmp_path / "3").mkdir()
+    want = {f"{tmp_path}/{p}": p.encode() * 3 for p in ("a", "0/b.png", "0/c.png", "1/x/y/d", "2/e f.exr")}
+    for uri, head in ((str(tmp_path), ""), (f"file://{tmp_path}", "file://")):
+        found = files.contents(files.listing(spark, uri))
+        assert sorted((r.path, bytes(r.content)) for r in found.collect()) == sorted((head + p, c) for p, c in want.items())
+        assert found.inputFiles() == []
+
+
+def test_read_back_takes_tasks_by_rows_not_by_files(spark):
+    from imagelake.queries_files import files_of, written
+    from imagelake.queries_codecs import images
+
+    rows = images(spark, "/root/testdata/sf0.001", "Y", "unorm8").withColumn("path", F.concat(F.col("vec_id") % 7, F.lit("/"), "vec_id"))
+    back = files_of(spark, written(rows, "png", {"compression": "none"}))
+    assert back.count() == 500 and back.inputFiles() == [] and back.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
