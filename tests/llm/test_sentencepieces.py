@@ -122,3 +122,18 @@ def test_frames(spark, library):
     back = sp.decode(sp.encode(df)).filter("doc_id is not null and doc_id != 1").collect()
     assert all(r.text == TEXTS[r.doc_id].replace("▁", " ") for r in back)
     assert sp.encode(df.limit(0)).count() == 0
+
+
+def test_stretches_are_cut_where_no_piece_goes(model, library):
+    """Stretches made of known parts need no lattice; ids are the library's."""
+    encoder, runs = sp.Encoder(model), []
+    short = encoder.viterbi.short
+    encoder.viterbi.short = lambda text: runs.append(text) or short(text)
+    words = ["anelleaux", "iertre", "lacht", "über", "日本"]
+    text = " ".join(w + end for w in words for end in ("", ".", "***", "%%%", ".%%%", "&&&,"))
+    assert np.frombuffer(encoder.encode(text), np.int32).tolist() == library.encode(text)
+    assert len(runs) == len(set(runs)) < 30  # one a stretch before
+    for t in TEXTS + random_texts():
+        parts = encoder.viterbi.parts(model.normalise(t))
+        assert "".join(parts) == model.normalise(t)
+        assert [i for p in parts if p for i in short(p)] == library.encode(t)
