@@ -14,14 +14,27 @@ from imagelake.sources import bc6h, catalog, dds
 LOSSLESS = "SELECT vec_id, 0e0 AS max_error, CAST(NULL AS VARCHAR) AS error FROM embeddings"
 
 
-def images(spark: SparkSession, sf_dir: str, channels: str, sample: str) -> DataFrame:
-    """Rows of catalog.IMAGE_SCHEMA; channels differ, so that swapped ones show."""
-    v = F.abs("v")
-    one = {"unorm8": F.least(F.floor(v * 255), F.lit(255)), "unorm16": F.least(F.floor(v * 65535), F.lit(65535)), "uint32": F.floor(v * 1e9)}.get(sample, F.floor(v * 64) / 64).cast("double")
+def texel(v: Column, sample: str) -> Column:
+    """What an image has of a number: a sample of its kind."""
+    v = F.abs(v)
+    return {"unorm8": F.least(F.floor(v * 255), F.lit(255)), "unorm16": F.least(F.floor(v * 65535), F.lit(65535)), "uint32": F.floor(v * 1e9)}.get(sample, F.floor(v * 64) / 64).cast("double")
+
+
+def channel(v: Column, k: int, sample: str) -> Column:
+    """A texel's sample in its channel k; channels differ, so that swapped ones show."""
     top = {"unorm8": 255.0, "unorm16": 65535.0, "uint32": 4294967295.0}.get(sample)
-    texel = F.collect_list(F.struct("y", "x", one.alias("v")))
-    rows = raster(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(texel).alias("t"))
-    each = lambda p: F.array(*((p["v"] if top is None else (p["v"] + 37 * k) % (top + 1)) * (1 if top else 1 + k % 2) for k in range(len(channels))))
+    return (v if top is None else (v + 37 * k) % (top + 1)) * (1 if top else 1 + k % 2)
+
+
+def images(spark: SparkSession, sf_dir: str, channels: str, sample: str) -> DataFrame:
+    """Rows of catalog.IMAGE_SCHEMA."""
+    rows = raster(spark, sf_dir).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", texel(F.col("v"), sample).alias("v")))).alias("t"))
+    return pictures(rows.withColumn("t", F.col("t.v")), channels, sample)
+
+
+def pictures(rows: DataFrame, channels: str, sample: str) -> DataFrame:
+    """Rows of catalog.IMAGE_SCHEMA from (vec_id, t), the texels of 8 x 8 images in their order."""
+    each = lambda v: F.array(*(channel(v, k, sample) for k in range(len(channels))))
     return rows.select(
         "vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(*map(F.lit, channels)).alias("channels"), F.lit(sample).alias("sample"),
         F.lit("identity").alias("orientation"), F.flatten(F.transform("t", each)).alias("samples"),

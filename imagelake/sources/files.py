@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of contents after which a batch is handed on.
 HANDED_ON = 4 << 20
@@ -42,27 +43,26 @@ def listed(uri: str, endings: tuple[str, ...]) -> list[str]:
 
 
 def _each(rows: DataFrame, make: Callable[[str], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """The rows that `make` gives for each text of one column, in batches of about HANDED_ON bytes of contents."""
+    """The rows that `make` gives for each text of one column, in batches of about HANDED_ON bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, size = [], 0
+        made = []
         for b in batches:
             for text in b.column(0).to_pylist():
                 for row in make(text):
                     made.append(row)
-                    size += 256 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
-                    if size >= HANDED_ON:
+                    if len(made) * 256 >= HANDED_ON:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
-                        made, size = [], 0
+                        made = []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(run, ddl)
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of all files below a folder, listed by tasks: one lists the folder itself, others what is below each folder
-    in it. The driver holds no list, which Spark's own file sources do."""
+def listing(spark: SparkSession, *folders: str) -> DataFrame:
+    """(path) of all files below folders, listed by tasks: one lists a folder itself, others what is below each folder in
+    it. The driver holds no list, which Spark's own file sources do."""
 
     def entries(uri: str, recursive: bool) -> Iterator[tuple[str, bool]]:
         fs, path = at(uri)
@@ -71,14 +71,25 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
                 yield uri.rstrip("/") + f.path[len(path.rstrip("/")) :], f.type == pafs.FileType.Directory
 
     schema, ddl = pa.schema([("path", pa.string()), ("folder", pa.bool_())]), "path string, folder boolean"
-    top = _each(spark.createDataFrame([(folder,)], "path string"), lambda uri: entries(uri, False), schema, ddl)
+    top = _each(spark.createDataFrame([(f,) for f in folders], "path string"), lambda uri: entries(uri, False), schema, ddl)
     below = top.filter("folder").select("path").repartition(spark.sparkContext.defaultParallelism, "path")
     return top.filter("not folder").unionByName(_each(below, lambda uri: entries(uri, True), schema, ddl)).select("path")
 
 
-def contents(paths: DataFrame) -> DataFrame:
-    """(path, content) of files, each read by the task that has its path."""
-    return _each(paths.select("path"), lambda uri: iter([(uri, read_bytes(uri))]), pa.schema([("path", pa.string()), ("content", pa.binary())]), "path string, content binary")
+def contents(files: DataFrame) -> DataFrame:
+    """All columns, path among them, and the content of files, each read by the task that has its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, made, size = 0, [], 0
+            for i, uri in enumerate(b.column("path").to_pylist(), 1):
+                made.append(read_bytes(uri))
+                size += 256 + len(made[-1])
+                if size >= HANDED_ON or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, len(made)).columns, pa.array(made, pa.binary())], [*b.schema.names, "content"])
+                    first, made, size = i, [], 0
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
 
 def replace_file(fs: pafs.FileSystem, temporary: str, path: str) -> None:

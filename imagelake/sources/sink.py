@@ -6,19 +6,21 @@ enforced: bands of one image come together, in the contract's order, of its gran
 and description are the same in all. A row that breaks it fails the job.
 
 Tasks write below a folder of the job's own, beside the places that files will have. When all tasks are done, the driver
-takes their lists one at a time, refuses places that two files would take (and, but for overwrite mode, places that are
+goes through their lists, some files at a time, refuses places that two files would take (and, but for overwrite mode, places that are
 taken), before it moves the first file. If a task or the commit fails, the job's folder goes, and nothing else has been
 touched; an attempt that a task repeats leaves nothing but what goes with that folder. Overwrite mode replaces files of
 the same names only. The driver makes one move per file and holds eight bytes of each."""
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ NEEDED = ("path", "width", "height", "channels", "sample", "samples")
 DTYPES = {"float16": np.float16, "float32": np.float32, "uint32": np.uint32, "unorm16": np.uint16}
 #: Threads that move files when a job commits.
 MOVERS = 16
+#: Files of a list that a commit holds at once.
+AT_ONCE = 1024
 
 
 class ContractError(FormatError):
@@ -154,24 +158,28 @@ class ImageWriter(DataSourceArrowWriter):
         return Written(f"{own}/files", n, size)
 
     def listed(self, messages: list[Written | None]) -> Iterator[list[tuple[str, str]]]:
+        """Files and their places, AT_ONCE at most at a time."""
         fs, _ = at(self.folder)
         for m in messages:
             if m is not None:
-                with fs.open_input_stream(m.listing) as f:
-                    yield [tuple(json.loads(line)) for line in f.read().splitlines()]
+                with fs.open_input_stream(m.listing) as f, io.BufferedReader(f) as lines:
+                    while files := [tuple(json.loads(line)) for line in islice(lines, AT_ONCE)]:
+                        yield files
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = at(self.folder)
-        seen: set[int] = set()
+        seen, n = np.empty(sum(m.files for m in messages if m is not None), np.int64), 0
         for files in self.listed(messages):
-            for _, place in files:
-                if hash(place) in seen:
-                    raise FileExistsError(f"two images would become {place}")
-                seen.add(hash(place))
+            seen[n : n + len(files)] = [hash(place) for _, place in files]
+            n += len(files)
             if not self.overwrite:
                 taken = [f.path for f in fs.get_file_info([f"{folder}/{place}" for _, place in files]) if f.type.name != "NotFound"]
                 if taken:
                     raise FileExistsError(f"{taken[0]} is there already")
+        seen.sort()
+        if (twice := np.flatnonzero(seen[1:] == seen[:-1])).size:
+            place = next(place for files in self.listed(messages) for _, place in files if hash(place) == seen[twice[0]])
+            raise FileExistsError(f"two images would become {place}")
         with ThreadPoolExecutor(MOVERS) as movers:
             for files in self.listed(messages):
                 for parent in {f"{folder}/{place}".rpartition("/")[0] for _, place in files}:
